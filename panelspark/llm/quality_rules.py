@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import needs, without
 
-BLANK = r"[\x20\x09-\x0D]+"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_capital_words")
+#: Patterns as SQL strings have them: ASCII blanks, and any other character.
+BLANK, NOT_BLANK = r"[\\x20\\x09-\\x0D]+", r"[^\\x20\\x09-\\x0D]"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_capital_runs")
 
 #: Rule by bit: name and SQL condition of failure over the measurements.
 RULES = {
@@ -17,7 +18,7 @@ RULES = {
     2: ("symbols", "10 * n_symbols > n_words"),
     3: ("repeated_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
     4: ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"),
-    5: ("shouting", "n_words > 0 and 2 * n_capital_words > n_words"),
+    5: ("shouting", "n_words > 0 and 2 * n_capital_runs > n_words"),
     6: ("some_repeated_words", "100 * n_repeat_words > 20 * n_words"),
 }
 BASE = 0b11
@@ -49,21 +50,23 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     Words are runs of other than ASCII blanks; a null text is as empty: all measures 0. word_chars counts
     code points in words, n_symbols the characters #*$%&|<>, n_lines the lines that hold a word,
     n_dup_lines those of them equal to an earlier one, n_repeat_words the words in 3-word windows found
-    twice or more in the text, n_capital_words the words of two or more letters A-Z without a-z.
+    twice or more in the text, n_capital_runs the runs of two or more letters A-Z.
     """
     needs(docs, text)
     docs = without(docs, [*MEASURES, "_text", "_words", "_lines", "_windows"])
     one = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    two = one.withColumn("_words", F.expr(rf"filter(split(_text, '{BLANK}'), w -> w <> '')".replace("\\", "\\\\"))).withColumn("_lines", F.expr(r"filter(split(_text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
-    three = two.withColumn("_windows", F.expr("case when size(_words) < 3 then array() else transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) end"))
+    two = one.withColumn("_words", F.expr(rf"array_remove(split(_text, '{BLANK}'), '')")).withColumn("_lines", F.expr(rf"filter(split(_text, '\n'), l -> l rlike '{NOT_BLANK}')"))
+    hashes = "transform(_words, w -> xxhash64(w))"
+    windows = let("g", hashes, "transform(slice(g, 1, size(g) - 2), (x, i) -> xxhash64(x, g[i + 1], g[i + 2]))")
+    three = two.withColumn("_windows", F.expr(f"case when size(_words) < 3 then array() else {windows} end"))
     counts = {
         "n_words": "size(_words)",
-        "word_chars": r"length(translate(_text, ' \t\n\u000b\u000c\r', ''))",
-        "n_symbols": "length(_text) - length(translate(_text, '#*$%&|<>', ''))",
+        "word_chars": "length(array_join(_words, ''))",
+        "n_symbols": "regexp_count(_text, '[#*$%&|<>]')",
         "n_dup_lines": "size(_lines) - size(array_distinct(_lines))",
         "n_lines": "size(_lines)",
         "n_repeat_words": f"case when size(array_distinct(_windows)) = size(_windows) then 0L else {repeated_words('_windows')} end",
-        "n_capital_words": "size(filter(_words, w -> w rlike '[A-Z].*[A-Z]' and not w rlike '[a-z]'))",
+        "n_capital_runs": "regexp_count(_text, '[A-Z]{2,}')",
     }
     return three.withColumns({k: F.expr(v).cast("long") for k, v in counts.items()}).drop("_text", "_words", "_lines", "_windows")
 
