@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontamination, line_dedup, quality_rules, simhash
+from panelspark.llm import byte_bpe, decontamination, line_dedup, quality_rules, simhash, substring_dedup, token_counts
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -25,6 +25,15 @@ def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents"), length=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -49,6 +58,8 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": byte_bpe_query,
+    "op4_token_counts": token_counts_query,
+    "op6_substring_dedup": substring_dedup_query,
     "op7_line_dedup": line_dedup_query,
     "op8_quality_rules": quality_rules_query,
     "op9_simhash_near_dedup": simhash_query,
