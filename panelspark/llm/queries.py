@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontamination, line_dedup, quality_rules, simhash, substring_dedup, token_counts
+from panelspark.llm import byte_bpe, decontamination, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -17,6 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is the file <source>/<lang>/<doc_id>."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), "/", "_"), F.lit("none"))
+    files = docs.select("doc_id", F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text")
+    return license_scan.licences(files).drop("text")
+
+
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    langs, model = language_id.learn(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), langs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", F.size("languages").cast("long").alias("n_languages"))
+
+
+def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 of low quality, 2 good; a document is kept if it is more likely good than not.
+
+    Rated documents whose crc32 of the id leaves 2 by 4 are held out of the fit.
+    """
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    ratings = labels.where(~language_id.held_out()).select("doc_id", F.expr("case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end").alias("grade"))
+    graded = quality_classifier.grade(docs, *quality_classifier.learn(docs, ratings, grades=3))
+    tails = [F.col("tails")[k].alias(f"p_grade_{k + 1}_up") for k in range(2)]
+    return graded.select("doc_id", language_id.held_out().alias("held_out"), "expected_grade", *tails, (F.col("tails")[1] >= 0.5).alias("kept"))
+
+
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,8 +84,11 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": license_scan_query,
+    "op2_language_id": language_id_query,
     "op3_byte_bpe": byte_bpe_query,
     "op4_token_counts": token_counts_query,
+    "op5_quality_classifier": quality_classifier_query,
     "op6_substring_dedup": substring_dedup_query,
     "op7_line_dedup": line_dedup_query,
     "op8_quality_rules": quality_rules_query,
