@@ -1,0 +1 @@
+"""Composed queries and their registry."""
