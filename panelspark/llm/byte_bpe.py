@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import array
 import base64
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -15,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from panelspark.llm.common import fields, needs, slices, without
+from panelspark.llm.common import fields, lean, needs, slices, without
 
-#: Pre-tokens that a Python worker remembers; longer ones than WORD_LIMIT are not kept.
-WORDS_KEPT, WORD_LIMIT = 300_000, 64
+#: Pre-tokens that a Python worker remembers; longer ones than WORD_LIMIT are not kept. How many are encoded at
+#: once, and bytes of text that are split at once.
+WORDS_KEPT, WORD_LIMIT, AT_ONCE, TEXT_AT_ONCE = 100_000, 64, 2048, 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -57,25 +57,10 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
 class Coder:
     """The tokenizers library for one vocabulary, with the ids of recent pre-tokens."""
 
-    held: dict[str, Coder] = {}
-
     def __init__(self, definition: str, pattern: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        byte_of = {c: b for b, c in enumerate(byte_characters())}
-        vocab = self.tokenizer.get_vocab()
-        self.token = [b""] * (max(vocab.values(), default=-1) + 1)
-        for text, i in vocab.items():
-            self.token[i] = bytes(map(byte_of.__getitem__, text))
-        self.length = np.array([len(x) for x in self.token], dtype=np.int64)
-
-    @classmethod
-    def of(cls, definition: str, pattern: str) -> Coder:
-        key = hashlib.sha256((pattern + definition).encode()).hexdigest()
-        if key not in cls.held:
-            cls.held = {key: cls(definition, pattern)}
-        return cls.held[key]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -83,23 +68,31 @@ class Coder:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         new = [*set().union(*split).difference(self.known)]
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = self.known
-        ids.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(new, got, strict=True))
-        out = [b"".join(map(ids.__getitem__, words)) for words in split]
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > WORD_LIMIT:
-                del ids[w]
+                del self.known[w]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
-    def offsets(self, ids: bytes) -> np.ndarray:
-        """Where each token begins, in bytes of the text, and the text's end."""
-        out = np.zeros(len(ids) // 4 + 1, dtype=np.int64)
-        np.cumsum(self.length[np.frombuffer(ids, dtype="<u4")], out=out[1:])
-        return out
+def byte_table(vocabulary: dict[str, int]) -> list[bytes]:
+    """The bytes of each token id, by the reversed byte table."""
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    table = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for token, i in vocabulary.items():
+        table[i] = bytes(map(byte_of.__getitem__, token))
+    return table
+
+
+def byte_offsets(ids: bytes, length: np.ndarray) -> np.ndarray:
+    """Where each token begins, in bytes of the text, and the text's end; length: bytes of each token."""
+    out = np.zeros(len(ids) // 4 + 1, dtype=np.int64)
+    np.cumsum(length[np.frombuffer(ids, dtype="<u4")], out=out[1:])
+    return out
 
 
 def char_offsets(text: bytes, offsets: np.ndarray) -> np.ndarray:
@@ -110,9 +103,16 @@ def char_offsets(text: bytes, offsets: np.ndarray) -> np.ndarray:
     return before[offsets] - inside[offsets]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
+def decoded_bytes(table: list[bytes], ids: list[bytes | None]) -> list[bytes | None]:
+    """Bytes that ids stand for. Tokens are joined before any text is made, as a character may lie in several."""
+    token = table.__getitem__
+    return [None if x is None else b"".join(map(token, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """docs with `ids_le` (ids as little-endian unsigned 32-bit integers), `n_tokens`, and on request the
-    arrays `byte_offsets` and `char_offsets` of each token's begin, ended by the text's length.
+    arrays `byte_offsets` and `char_offsets` of each token's begin, ended by the text's length, and `decoded`:
+    the bytes that the ids stand for, made from the ids alone in the same pass.
 
     Each match of `pattern` is encoded by itself, special strings are ordinary text, and null is as empty:
     no ids. Any length of text is taken whole; repeated rows stay; an empty table gives an empty table.
@@ -123,40 +123,46 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     added = [("ids_le", T.BinaryType()), ("n_tokens", T.LongType())]
     if offsets:
         added += [("byte_offsets", T.ArrayType(T.LongType())), ("char_offsets", T.ArrayType(T.LongType()))]
+    if decoded:
+        added += [("decoded", T.BinaryType())]
     docs = without(docs, [n for n, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.of(shared.value, pattern)
-        for batch in slices(batches, text):
+        coder = Coder(shared.value, pattern)
+        table = byte_table(coder.tokenizer.get_vocab())
+        length = np.array([len(x) for x in table], dtype=np.int64)
+        for batch in slices(batches, text, TEXT_AT_ONCE):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             ids = coder.encode(texts)
             columns = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             if offsets:
-                at = [coder.offsets(x) for x in ids]
+                at = [byte_offsets(x, length) for x in ids]
                 chars = [char_offsets(t.encode(), o) for t, o in zip(texts, at, strict=True)]
                 columns += [pa.array(at, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int64()))]
+            if decoded:
+                columns += [pa.array(decoded_bytes(table, ids), pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *[n for n, _ in added]])
 
-    return docs.mapInArrow(run, fields(docs, *added))
+    return docs.mapInArrow(lean(run), fields(docs, *added))
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids_le", as_text: bool = False) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids_le", as_text: bool = False) -> DataFrame:
     """encoded with `decoded`: the bytes that the ids stand for, by the reversed byte table.
 
-    Bytes of one character may lie in several tokens, so tokens are joined before any text is made of them.
     With as_text the result is a string and bytes that are no UTF-8 become U+FFFD. Null ids give null.
     """
     needs(encoded, ids)
-    shared = encoded.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(ranks_path)))
+    chars = byte_characters()
+    shared = encoded.sparkSession.sparkContext.broadcast({"".join(map(chars.__getitem__, t)): r for t, r in read_ranks(ranks_path).items()})
     encoded = without(encoded, ["decoded"])
     kind, arrow = (T.StringType(), pa.string()) if as_text else (T.BinaryType(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.of(shared.value, pattern)
-        for batch in slices(batches, ids):
-            out = [None if x is None else coder.decode(x) for x in batch.column(ids).to_pylist()]
+        table = byte_table(shared.value)
+        for batch in slices(batches, ids, TEXT_AT_ONCE):
+            out = decoded_bytes(table, batch.column(ids).to_pylist())
             if as_text:
                 out = [None if x is None else x.decode(errors="replace") for x in out]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, fields(encoded, ("decoded", kind)))
+    return encoded.mapInArrow(lean(run), fields(encoded, ("decoded", kind)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import RollingHash, fields, joined, needs, row_key, slices, without, words_at, written
+from panelspark.llm.common import RollingHash, fields, joined, lean, needs, row_key, slices, without, words_at, written
 
 #: Test items that are broadcast together take at most so many bytes of text; more come in further blocks.
 BLOCK_BYTES = 16 << 20
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, items: list[tuple[int, bytes]], window: int) -> DataFr
             columns = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *[n for n, _ in ADDED]])
 
-    return docs.mapInArrow(run, fields(docs, *ADDED))
+    return docs.mapInArrow(lean(run), fields(docs, *ADDED))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:

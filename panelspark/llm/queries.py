@@ -47,8 +47,7 @@ def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, ranks, pattern).select("doc_id", "n_tokens", "ids_le")
-    back = byte_bpe.decode(ids, ranks, pattern)
+    back = byte_bpe.encode(docs, ranks, pattern, decoded=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

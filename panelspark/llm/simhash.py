@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import components, fields, needs, row_key, slices, utf8, without, written
+from panelspark.llm.common import components, fields, lean, needs, row_key, slices, utf8, without, written
 
 #: Shingles whose bits are counted together.
 BLOCK = 1 << 16
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 5, text: str = "text") -> DataFra
             got = np.array([fingerprint(x, width) for x in utf8(batch.column(text))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, "fp"])
 
-    return docs.mapInArrow(run, fields(docs, ("fp", T.LongType())))
+    return docs.mapInArrow(lean(run), fields(docs, ("fp", T.LongType())))
 
 
 def variants(fp: str, radius: int) -> F.Column:

@@ -46,8 +46,8 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(spark, rows):
     random.seed(1)
     fuzz = [(1000 + k, "".join(random.choice(["a", "aa", "e", "ee", " ", "  ", "\n", "'s", "é", "🙂", "7", "=", "==", "-"]) for _ in range(200))) for k in range(300)]
     every = rows + fuzz
-    df = byte_bpe.encode(frame(spark, every), ranks, pattern, offsets=True)
-    df = byte_bpe.decode(byte_bpe.decode(df, ranks, pattern).withColumnRenamed("decoded", "d"), ranks, pattern, as_text=True)
+    df = byte_bpe.encode(frame(spark, every), ranks, pattern, offsets=True, decoded=True)
+    df = byte_bpe.decode(df.withColumnRenamed("decoded", "d"), ranks, as_text=True)
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_tokens, sha(r.ids_le), bytes(r.d), r.decoded) for r in df.collect()), key=str)
     ids = [own.encode_ordinary(t or "") for _, t in every]
     want = wanted(every, [(len(x), sha(b"".join(i.to_bytes(4, "little") for i in x)), (t or "").encode(), t or "") for x, (_, t) in zip(ids, every, strict=True)])
