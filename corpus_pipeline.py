@@ -42,7 +42,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and whether they decode to its text."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    back = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern), ranks, pattern)
+    back = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, decoded=True)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return back.select("doc_id", "lang", "source", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), same.alias("round_trip"), "ids_le")
 
