@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from panelspark.functions.columns import safe_div
 
-BARS = Window.partitionBy("asset").orderBy("n")
+
+def bars_of():
+    return Window.partitionBy("asset").orderBy("n")
 
 
 def numbered(bars: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def numbered(bars: DataFrame) -> DataFrame:
 
 
 def last(n: int):
-    return BARS.rowsBetween(-n + 1, 0)
+    return bars_of().rowsBetween(-n + 1, 0)
 
 
 def full(c: Column, n: int) -> Column:
@@ -29,7 +31,7 @@ def full(c: Column, n: int) -> Column:
 
 
 def before(c: str, k: int = 1) -> Column:
-    return F.lag(c, k).over(BARS)
+    return F.lag(c, k).over(bars_of())
 
 
 def smoothed(df: DataFrame, spans: dict[str, tuple[str, float]]) -> DataFrame:
@@ -62,7 +64,7 @@ def movements(bars: DataFrame) -> DataFrame:
         "tr": tr,
         "up": F.when((rise > fall) & (rise > 0), rise).otherwise(zero),
         "down": F.when((fall > rise) & (fall > 0), fall).otherwise(zero),
-        "ad": F.sum(F.coalesce(clv(), zero) * F.col("volume")).over(BARS.rowsBetween(Window.unboundedPreceding, 0)),
+        "ad": F.sum(F.coalesce(clv(), zero) * F.col("volume")).over(bars_of().rowsBetween(Window.unboundedPreceding, 0)),
     })
 
 
@@ -101,7 +103,7 @@ def window_set(bars: DataFrame) -> DataFrame:
     b = b.withColumns({
         "flow": F.signum(F.col("tp") - before("tp")),
         "k": 100 * safe_div(c - F.min("low").over(last(14)), F.max("high").over(last(14)) - F.min("low").over(last(14))),
-        "obv": F.sum(F.coalesce(F.signum(c - before("close")), F.lit(0.0)) * v).over(BARS.rowsBetween(Window.unboundedPreceding, 0)),
+        "obv": F.sum(F.coalesce(F.signum(c - before("close")), F.lit(0.0)) * v).over(bars_of().rowsBetween(Window.unboundedPreceding, 0)),
         "month": F.trunc("date", "month"),
     })
     b = b.withColumn("k3", F.avg("k").over(last(3)))

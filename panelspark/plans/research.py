@@ -364,7 +364,7 @@ CTE["zs"] = ("fits ou fill_m", "select f.a, f.b, x.i, (ln(x.close) - alpha - bet
 
 @query("e07_spread_zscore", sql("select a, b, i, round(z, 5) + 0.0 as z from zs", "zs"))
 def _(spark, sf):
-    return rounded(zs(spark, sf), "a", "b", "i", d=5, z="z")
+    return rounded(zs(spark, sf), "a", "b", F.col("i").cast("long").alias("i"), d=5, z="z")
 
 
 POSITION = "case when z.z is null then 0 when s.dead or abs(z.z) > 3.5 then 0 when s.pos = 0 and z.z >= 2.0 then -1 when s.pos = 0 and z.z <= -2.0 then 1 when s.pos <> 0 and abs(z.z) < 0.5 then 0 else s.pos end"
