@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import byte_bpe, decontamination, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from panelspark.llm.oracles import ORACLE_SQL  # noqa: F401
+
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -94,6 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": simhash_query,
     "op10_benchmark_decontamination": decontamination_query,
 }
-
-#: DuckDB SQL.
-ORACLE_SQL: dict[str, str] = {}
