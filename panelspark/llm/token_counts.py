@@ -158,10 +158,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
             new = [*set(parts).difference(known)]
             known.update(zip(new, pieces.counts(new), strict=True))
             tokens = np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts)) * rest.column("freq").to_numpy()
-            rid, place = np.unique(rest.column("rid").to_numpy(), return_inverse=True)
-            sums = np.zeros(len(rid), dtype=np.int64)
-            np.add.at(sums, place, tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.nulls(len(rid), batch.schema.field("doc_id").type), pa.nulls(len(rid), pa.int64()), pa.array(sums)], names=["rid", "doc_id", "n_bytes", "tokens"])
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([rest.column("rid"), pa.nulls(n, batch.schema.field("doc_id").type), pa.nulls(n, pa.int64()), pa.array(tokens)], names=["rid", "doc_id", "n_bytes", "tokens"])
 
     rows = numbered.mapInArrow(spread, schema)
     dealt = rows.repartition(F.col("part"), F.when(F.col("part").isNull(), F.col("rid")))
