@@ -58,10 +58,10 @@ def full(e: str, n: int) -> str:
     return f"case when n >= {n} then {e} end"
 
 
-def put_window(name: str, expressions: dict[str, str]) -> None:
-    @query(name, sql("select asset, date, " + ", ".join(f"round({e}, {D}) + 0.0 as {k}" for k, e in expressions.items()) + " from tq window w as (partition by asset order by n)", "tq"))
+def put_window(name: str, expressions: dict[str, str], d: int = D) -> None:
+    @query(name, sql("select asset, date, " + ", ".join(f"round({e}, {d}) + 0.0 as {k}" for k, e in expressions.items()) + " from tq window w as (partition by asset order by n)", "tq"))
     def _(spark, sf):
-        return rounded(I.window_set(fx.ohlcv(spark, sf)), "asset", "date", d=D, **{k: k for k in expressions})
+        return rounded(I.window_set(fx.ohlcv(spark, sf)), "asset", "date", d=d, **{k: k for k in expressions})
 
 
 @query("t04_cci", sql("select a.asset, a.date, round(case when a.n >= 20 and avg(abs(b.tp - a.m)) <> 0 then (a.tp - a.m) / (0.015 * avg(abs(b.tp - a.m))) end, 5) + 0.0 as cci from t a join t b on a.asset = b.asset and b.n between a.n - 19 and a.n group by a.asset, a.date, a.n, a.tp, a.m", "tp", t=f"select *, avg(tp) {frame(20)} as m from tp"))
@@ -72,7 +72,7 @@ def _(spark, sf):
 put_window("t06_stochastic", {"stoch_k": full("k3 / 100", 16), "stoch_d": full(f"avg(k3) {frame(3)} / 100", 18)})
 put_window("t07_roc_mom", {"roc_5": "close / lag(close, 5) over w - 1", "roc_21": "close / lag(close, 21) over w - 1", "mom_14": "(close - lag(close, 14) over w) / close"})
 put_window("t09_bollinger", {"bb_up": full(f"(avg(close) {frame(20)} + 2 * stddev_pop(close) {frame(20)} - close) / close", 20), "bb_low": full(f"(avg(close) {frame(20)} - 2 * stddev_pop(close) {frame(20)} - close) / close", 20), "bb_width": full(f"4 * stddev_pop(close) {frame(20)} / avg(close) {frame(20)}", 20)})
-put_window("t11_obv", {"obv_change": "case when lag(obv) over w <> 0 then (obv - lag(obv) over w) / abs(lag(obv) over w) end"})
+put_window("t11_obv", {"obv_change": "case when lag(obv) over w <> 0 then (obv - lag(obv) over w) / abs(lag(obv) over w) end"}, 10)
 put_window("t12_vwap", {"vwap": "(sum(tp * volume) over (partition by asset, date_trunc('month', date) order by n rows unbounded preceding) / sum(volume) over (partition by asset, date_trunc('month', date) order by n rows unbounded preceding) - close) / close"})
 POS, NEG = (f"sum(case when flow {s} 0 then tp * volume else 0 end) {frame(14)}" for s in (">", "<"))
 put_window("t13_mfi", {"mfi": full(f"coalesce(case when {POS} + {NEG} <> 0 then 100 * {POS} / ({POS} + {NEG}) end, 50) / 100", 14)})
