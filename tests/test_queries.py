@@ -14,7 +14,7 @@ from panelspark.operators import ledger as L
 from panelspark.operators import stats as E
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
-from panelspark.plans import core, events, research, technical  # noqa: F401
+from panelspark.plans import core, events, models, research, technical  # noqa: F401
 from panelspark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
