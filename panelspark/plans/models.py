@@ -304,3 +304,27 @@ def _(spark, sf):
             else least(greatest((s.b * (x.ret - s.a) - 0.5D * s.a * (x.ret * x.ret - s.b)) / pow(s.b - s.a * s.a, 1.5D), -10D), 10D) end as d)) as path), s -> s.path)"""
     each = sleeves(spark, sf).groupBy("strategy").agg(rows.alias("rows")).select("strategy", F.explode(F.expr(fold)).alias("p"))
     return each.select("strategy", "p.date", (F.round("p.d", 6) + 0.0).alias("d"))
+
+
+CTE["sector_w"] = ("scores", "select 'top' as model, date, i, asset, 1.0 / k as w from (select *, row_number() over (partition by date order by mom desc, asset) as t, greatest(1, cast(floor(count(*) over (partition by date) * 0.2 + 1e-9) as int)) as k from scores where mom is not null and i % 3 = 0) where t <= k union all select 'even', date, i, asset, 1.0 / count(*) over (partition by date) from scores where mom is not null and i % 3 = 0")
+
+
+@query("b07_sector_ledger", sql("""select model, date, round(g - turnover * 0.001, 8) + 0.0 as net from (select w.model, w.date, sum(w.w * coalesce(l.s, 0)) as g from sector_w w left join (select asset, cast(floor((i - 1) / 3.0) as bigint) * 3 as i, sum(ln(1 + least(greatest(ret, -0.15), 0.15))) as s from ret_m where i >= 1 and ret is not null group by 1, 2) l using (asset, i) group by 1, 2)
+    join (select coalesce(x.model, y.model) as model, coalesce(x.i, y.i) as i, sum(abs(coalesce(x.w, 0) - coalesce(y.w, 0))) as turnover from sector_w x full join (select model, i + 3 as i, asset, w from sector_w) y on x.model = y.model and x.i = y.i and x.asset = y.asset group by 1, 2) t using (model) join (select distinct date, i from sector_w) d using (date) where t.i = d.i""", "sector_w", "ret_m"))
+def _(spark, sf):
+    rows = scores(spark, sf).where("mom is not null and i % 3 = 0")
+    d = Window.partitionBy("date")
+    n = F.count(F.lit(1)).over(d)
+    top = rows.withColumns({"t": F.row_number().over(d.orderBy(F.desc("mom"), "asset")), "n": n}).withColumn("k", K.side("n", 0.2)).where("t <= k").select(F.lit("top").alias("model"), "date", "i", "asset", (1 / F.col("k")).alias("w"))
+    both = top.unionByName(rows.select(F.lit("even").alias("model"), "date", "i", "asset", (1 / n).alias("w")))
+    logs = ret_m(spark, sf).where("i >= 1 and ret is not null").groupBy("asset", (F.floor((F.col("i") - 1) / 3) * 3).alias("i")).agg(F.sum(F.log1p(clip(F.col("ret"), -0.15, 0.15))).alias("s"))
+    gross = both.join(logs, ["asset", "i"], "left").groupBy("model", "date").agg(F.sum(F.col("w") * F.coalesce("s", F.lit(0.0))).alias("g"))
+    # Each model pays for its own trades.
+    return rounded(gross.join(L.turnover(both, ("model",)), ["model", "date"]), "model", "date", net=F.col("g") - F.col("turnover") * 0.001)
+
+
+@query("m10_regime_argmax", sql("select date, cast(arg_min(strategy, row(-ret, strategy)) as int) as regime from sleeves group by date", "sleeves"))
+def _(spark, sf):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("strategy", "ret"))), lambda x: x["ret"])
+    by_date = sleeves(spark, sf).groupBy("date").agg(ordered.alias("p"), F.array_sort(F.collect_list("strategy")).alias("s"))
+    return by_date.select("date", F.col("s")[F.array_position("p", F.array_max("p")).cast("int") - 1].cast("int").alias("regime"))
