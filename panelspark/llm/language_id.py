@@ -93,13 +93,20 @@ def learn(train: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def em(p: np.ndarray, count: np.ndarray, first: np.ndarray, text: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of each language in each text, and the log-likelihood under them. Rows of p are one text's n-grams."""
-    share = np.full((len(first), p.shape[1]), 1 / p.shape[1])
+    """Shares of each language in each text, and the log-likelihood under them. p: a row for each language, with the
+    probability of each text's n-grams; texts begin at `first` and `text` numbers them."""
+    share = np.full((len(p), len(first)), 1 / len(p))
+
+    def mixed() -> np.ndarray:
+        out = p[0] * share[0][text]
+        for row, part in zip(p[1:], share[1:], strict=True):
+            out += row * part[text]
+        return out
+
     for _ in range(ROUNDS):
-        mixed = p * share[text]
-        mixed *= (count / mixed.sum(axis=1))[:, None]
-        share = np.add.reduceat(mixed, first) / n[:, None]
-    return share, np.add.reduceat(np.log((p * share[text]).sum(axis=1)) * count, first)
+        weight = count / mixed()
+        share = share * np.array([np.add.reduceat(row * weight, first) for row in p]) / n
+    return share, np.add.reduceat(np.log(mixed()) * count, first)
 
 
 def mixture(p: np.ndarray, count: np.ndarray, alone: np.ndarray, full: float) -> np.ndarray:
@@ -108,17 +115,17 @@ def mixture(p: np.ndarray, count: np.ndarray, alone: np.ndarray, full: float) ->
     cost, chosen = PENALTY * math.log(n + 1), [int(alone.argmax())]
     best, shares = alone.max(), np.ones(1)
     start, whole, total = np.zeros(1, dtype=np.int64), np.zeros(len(count), dtype=np.int64), np.array([n])
-    while len(chosen) < p.shape[1] and full - best > cost:
+    while len(chosen) < len(p) and full - best > cost:
         tried = []
-        for lang in range(p.shape[1]):
+        for lang in range(len(p)):
             if lang not in chosen:
-                share, value = em(p[:, [*chosen, lang]], count, start, whole, total)
-                tried.append((value[0], lang, share[0]))
+                share, value = em(p[[*chosen, lang]], count, start, whole, total)
+                tried.append((value[0], lang, share[:, 0]))
         value, lang, share = max(tried, key=lambda x: x[:2])
         if value - best <= cost:
             break
         best, shares, chosen = value, share, [*chosen, lang]
-    out = np.zeros(p.shape[1])
+    out = np.zeros(len(p))
     out[chosen] = shares
     return out
 
@@ -131,8 +138,8 @@ def shares_of(column: pa.Array, model: np.ndarray) -> np.ndarray:
         return out
     first = np.flatnonzero(np.diff(text, prepend=-1))
     dense = np.cumsum(np.diff(text, prepend=text[0]) > 0)
-    p, n = model[bucket], np.add.reduceat(count, first)
-    alone = np.add.reduceat(np.log(p) * count[:, None], first)
+    p, n = np.ascontiguousarray(model[bucket].T), np.add.reduceat(count, first)
+    alone = np.array([np.add.reduceat(np.log(row) * count, first) for row in p]).T
     # One round over all languages bounds what any set of them can reach.
     _, full = em(p, count, first, dense, n)
     last = np.append(first[1:], len(text))
@@ -141,7 +148,7 @@ def shares_of(column: pa.Array, model: np.ndarray) -> np.ndarray:
     out[which[single], alone.argmax(axis=1)[single]] = 1
     for k in np.flatnonzero(~single).tolist():
         part = slice(first[k], last[k])
-        out[which[k]] = mixture(p[part], count[part], alone[k], full[k])
+        out[which[k]] = mixture(p[:, part], count[part], alone[k], full[k])
     return out
 
 

@@ -105,7 +105,7 @@ def test_language_mixtures_and_hard_rows(spark):
 def test_em_raises_the_likelihood():
     p = np.array([[0.7, 0.1], [0.2, 0.3], [0.1, 0.6]])
     count = np.array([5.0, 3.0, 4.0])
-    share, value = language_id.em(p, count, np.zeros(1, dtype=int), np.zeros(3, dtype=int), np.array([12.0]))
+    share, value = language_id.em(p.T, count, np.zeros(1, dtype=int), np.zeros(3, dtype=int), np.array([12.0]))
     even = (np.log(p.mean(axis=1)) * count).sum()
     assert value[0] >= even and abs(share.sum() - 1) < 1e-9
     grid = max((np.log(p @ [a, 1 - a]) * count).sum() for a in np.linspace(0, 1, 1001))
