@@ -117,13 +117,14 @@ def walkforward_windows(n: int, formation: int, trading: int) -> list[tuple[int,
     return [(k, s, s + formation, s + formation + trading) for k, s in enumerate(range(0, n - formation - trading + 1, trading))]
 
 
-def bootstrap_mean(df: DataFrame, value: str, order: str, n_boot: int, seed: int, conf: float) -> DataFrame:
-    """(low, high): percentile interval of resampled means. The k-th draw of each sample is a hash of (seed, sample, k),
-    so any number of tasks draw alike."""
-    rows = df.where(F.col(value).isNotNull()).select((F.row_number().over(Window.orderBy(order)) - 1).alias("k"), F.col(value).alias("v"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"))
-    draws = rows.select("k").join(F.broadcast(size)).select("n", "k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("sample"))
-    picked = draws.select("sample", F.pmod(F.xxhash64(F.lit(seed), "sample", "k"), F.col("n")).alias("k")).join(rows, "k")
-    means = picked.groupBy("sample").agg(F.avg("v").alias("m"))
+def bootstrap_mean(df: DataFrame, value: str, by: str, order: str, n_boot: int, seed: int, conf: float) -> DataFrame:
+    """(by, low, high): percentile interval of resampled means of each group. The k-th draw of each sample is a hash of
+    (seed, group, sample, k), so any number of tasks draw alike."""
+    w = Window.partitionBy(by)
+    known = df.where(F.col(value).isNotNull())
+    rows = known.select(by, (F.row_number().over(w.orderBy(order)) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"), F.col(value).alias("v"))
+    draws = rows.select(by, "n", "k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("sample"))
+    picked = draws.select(by, "sample", F.pmod(F.xxhash64(F.lit(seed), by, "sample", "k"), F.col("n")).alias("k")).join(rows.select(by, "k", "v"), [by, "k"])
+    means = picked.groupBy(by, "sample").agg(F.avg("v").alias("m"))
     q = F.percentile("m", F.array(F.lit((1 - conf) / 2), F.lit((1 + conf) / 2)))
-    return means.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return means.groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import average_rank, clip, row_mean, safe_div
+from panelspark.functions.columns import clip, row_mean, safe_div
 from panelspark.operators import calendar as C
 from panelspark.operators import clean as P
 from panelspark.operators import construct as K
@@ -54,9 +54,9 @@ CTE["scores"] = (
 )
 
 
-@query("s01_read_panel", "select l_suppkey as asset, cast(l_shipdate as date) as date, l_quantity as qty from lineitem where l_shipdate >= timestamp '1998-01-01'")
+@query("s01_read_panel", "select l_suppkey as asset, cast(l_shipdate as date) as date, l_quantity as qty from lineitem")
 def _(spark, sf):
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_shipdate >= timestamp '1998-01-01'")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     return lines.select(F.col("l_suppkey").alias("asset"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("qty"))
 
 

@@ -91,7 +91,7 @@ def _(spark, sf):
 @query("m11_sector_pca")
 def _(spark, sf):
     v = fx.table(spark, sf, "embeddings").select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    labels = [r.label for r in v.select("label").distinct().orderBy("label").limit(4).collect()]  # four groups at most
+    labels = [r.label for r in v.select("label").distinct().orderBy("label").collect()]  # groups are few by definition
     return M.group_pca(v, "v", "label", labels, 3)
 
 

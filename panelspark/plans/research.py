@@ -388,7 +388,7 @@ def _(spark, sf):
 
 @query("e11_bootstrap_ci")
 def _(spark, sf):
-    return E.bootstrap_mean(sleeves(spark, sf).where("strategy = 0"), "ret", "date", 500, 7, 0.95)
+    return E.bootstrap_mean(sleeves(spark, sf), "ret", "strategy", "date", 500, 7, 0.95)
 
 
 @query("x19_ic_decay", sql("select k, round(avg(ic), 6) + 0.0 as mean_ic from (select k, date, case when count(*) >= 10 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then corr(a, b) end as ic from (select k, date, rank() over (partition by k, date order by mom) + (count(*) over (partition by k, date, mom) - 1) / 2.0 as a, rank() over (partition by k, date order by f) + (count(*) over (partition by k, date, f) - 1) / 2.0 as b from h where mom is not null and f is not null) group by k, date) group by k", "scores", h="select *, exp(s) - 1 as f from (select k, date, asset, mom, case when count(fwd_ret) over (partition by k, asset order by i rows between current row and 2 following) >= 0 then null end as x, case when k = 1 then case when fwd_ret is not null then ln(1 + fwd_ret) end when k = 2 then ln(1 + fwd_ret) + ln(1 + lead(fwd_ret) over (partition by k, asset order by i)) else ln(1 + fwd_ret) + ln(1 + lead(fwd_ret) over (partition by k, asset order by i)) + ln(1 + lead(fwd_ret, 2) over (partition by k, asset order by i)) end as s from scores, (select unnest([1, 2, 3]) as k))"))
