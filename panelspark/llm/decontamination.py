@@ -211,11 +211,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         F.max("n_words").alias("longest_match"),
         F.array_sort(F.collect_set(F.struct("item_id", "item_word", "doc_word", F.col("n_words").alias("n_words")))).alias("matches"),
     )
-    facts = facts.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash"), "n_hit", "n_items", "items_sha256", "longest_match", "matches").hint("shuffle_hash")
+    facts = facts.select(F.col("doc_id").alias("_ps_id"), F.col("_row").alias("_ps_hash"), "n_hit", "n_items", "items_sha256", "longest_match", "matches").hint("shuffle_hash")
     counted = scan(docs, [], window).drop("n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "matches")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key()[1] == F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (row_key()[1] == F.col("_ps_hash"))
     zero = {"n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.lit(digest(set())), "longest_match": F.lit(0), "matches": F.array().cast(T.ArrayType(MATCH))}
-    out = counted.join(facts, same, "left").drop("_id", "_hash").withColumns({n: F.coalesce(n, v) for n, v in zero.items()})
+    out = counted.join(facts, same, "left").drop("_ps_id", "_ps_hash").withColumns({n: F.coalesce(n, v) for n, v in zero.items()})
     return out.withColumn("contaminated", F.col("n_hit") > 0).select(*[n for n in counted.columns if n != "n_words"], *[n for n, _ in ADDED])
 
 
@@ -224,5 +224,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     if not any(c.lower() in {n for n, _ in ADDED} for c in docs.columns):
         return contamination(docs, benchmark, window).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
     bad = contamination(docs.select("doc_id", "text"), benchmark, window).where("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_id"), row_key()[1].alias("_hash")).distinct().hint("shuffle_hash")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key()[1] == F.col("_hash")), "left_anti")
+    bad = bad.select(F.col("doc_id").alias("_ps_id"), row_key()[1].alias("_ps_hash")).distinct().hint("shuffle_hash")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (row_key()[1] == F.col("_ps_hash")), "left_anti")

@@ -141,25 +141,25 @@ def licences(files: DataFrame, templates: dict[str, list[str]] | None = None, he
     """
     needs(files, "path", "text")
     added = ["licence", "how", "score", "licence_path"]
-    files = without(files, [*added, "_row", "_dir"])
+    files = without(files, [*added, "_ps_row", "_ps_dir"])
     stated = written(scanned(files, TEMPLATES if templates is None else templates, header, whole))
     sources = stated.where("is_file and path is not null").select(F.expr(directory("path")).alias("dir"), "licence", "score", "path")
     order = F.struct(-F.col("score"), F.col("path"))
     sources = sources.groupBy("dir").agg(F.min_by("licence", order).alias("licence"), F.max("score").alias("score"), F.min_by("path", order).alias("licence_path"))
     # Directories, each once, with all of their ancestors; the deepest that has a licence is the nearest.
-    dirs = files.where("path is not null").select(F.expr(directory("path")).alias("_dir")).distinct()
-    parts = "split(_dir, '/')"
-    above = dirs.select("_dir", F.explode(F.expr(f"transform(sequence(0, if(_dir = '', 0, size({parts}))), k -> array_join(slice({parts}, 1, k), '/'))")).alias("dir"))
+    dirs = files.where("path is not null").select(F.expr(directory("path")).alias("_ps_dir")).distinct()
+    parts = "split(_ps_dir, '/')"
+    above = dirs.select("_ps_dir", F.explode(F.expr(f"transform(sequence(0, if(_ps_dir = '', 0, size({parts}))), k -> array_join(slice({parts}, 1, k), '/'))")).alias("dir"))
     met = above.join(sources, "dir")
     # Written, so that a directory with a great share of the files can be split where they meet.
-    near = written(met.groupBy("_dir").agg(*[F.max_by(c, F.length("dir")).alias(f"_{c}") for c in ("licence", "score", "licence_path")]))
-    own = stated.select(F.col("path").alias("_path"), F.col("_row").alias("_hash"), F.col("licence").alias("_own"), F.col("score").alias("_own_score")).hint("shuffle_hash")
-    keyed = files.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_dir", F.expr(directory("path")))
-    both = keyed.join(own, F.col("path").eqNullSafe(F.col("_path")) & (F.col("_row") == F.col("_hash")), "left").join(near, "_dir", "left")
+    near = written(met.groupBy("_ps_dir").agg(*[F.max_by(c, F.length("dir")).alias(f"_ps_near_{c}") for c in ("licence", "score", "licence_path")]))
+    own = stated.select(F.col("path").alias("_ps_path"), F.col("_row").alias("_ps_hash"), F.col("licence").alias("_ps_own"), F.col("score").alias("_ps_own_score")).hint("shuffle_hash")
+    keyed = files.withColumn("_ps_row", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_ps_dir", F.expr(directory("path")))
+    both = keyed.join(own, F.col("path").eqNullSafe(F.col("_ps_path")) & (F.col("_ps_row") == F.col("_ps_hash")), "left").join(near, "_ps_dir", "left")
     return both.select(
         *[F.col(f"`{c}`") for c in files.columns],
-        F.coalesce("_own", "_licence").alias("licence"),
-        F.expr("case when _own is not null then 'header' when _licence is not null then 'inherited' else 'none' end").alias("how"),
-        F.coalesce("_own_score", "_score").alias("score"),
-        F.expr("case when _own is not null then path else _licence_path end").alias("licence_path"),
+        F.coalesce("_ps_own", "_ps_near_licence").alias("licence"),
+        F.expr("case when _ps_own is not null then 'header' when _ps_near_licence is not null then 'inherited' else 'none' end").alias("how"),
+        F.coalesce("_ps_own_score", "_ps_near_score").alias("score"),
+        F.expr("case when _ps_own is not null then path else _ps_near_licence_path end").alias("licence_path"),
     )

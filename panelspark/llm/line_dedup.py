@@ -25,14 +25,14 @@ LINES = r"filter(split(coalesce(text, ''), '\n'), l -> l rlike '[^\\x20\\x09-\\x
 
 
 def first_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(_id, _hash, firsts): for each document the windows that occur there first in the corpus.
+    """(_ps_id, _ps_hash, _ps_firsts): for each document the windows that occur there first in the corpus.
 
     Every distinct window has exactly one first place, so a minimum by hash finds them; it is combined before
     the shuffle, so a window that a third of all documents share costs one row a task.
     """
     place = F.struct("doc_id", "_row", "at")
     first = line_windows(docs, width).groupBy("hash").agg(F.min(place).alias("p")).select("p.*")
-    return first.groupBy("doc_id", "_row").agg(F.collect_set("at").alias("firsts")).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash"), "firsts")
+    return first.groupBy("doc_id", "_row").agg(F.collect_set("at").alias("_ps_firsts")).select(F.col("doc_id").alias("_ps_id"), F.col("_row").alias("_ps_hash"), "_ps_firsts")
 
 
 def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -45,18 +45,18 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     doc_id comes first. Columns of docs with the names of outputs are replaced. Only built-in functions.
     """
     needs(docs, "doc_id", "text")
-    docs = without(docs, [*ADDED, "_id", "_hash", "firsts", "_gone", "_all", "_number"])
+    docs = without(docs, [*ADDED, "_ps_id", "_ps_hash", "_ps_firsts", "_ps_gone"])
     found = first_windows(docs.select("doc_id", "text"), width).hint("shuffle_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key()[1] == F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (row_key()[1] == F.col("_ps_hash"))
     both = docs.join(found, same, "left")
     n = f"size({LINES})"
-    later = f"case when {n} < {width} then array() else array_except(sequence(0, {n} - {width}), coalesce(firsts, array())) end"
+    later = f"case when {n} < {width} then array() else array_except(sequence(0, {n} - {width}), coalesce(_ps_firsts, array())) end"
     reach = ", ".join(f"x + {k}" for k in range(width))
-    both = both.withColumn("n_lines", F.expr(n).cast("long")).withColumn("_gone", F.expr(f"array_distinct(flatten(transform({later}, x -> array({reach}))))"))
-    both = both.withColumn("n_removed", F.size("_gone").cast("long"))
+    both = both.withColumn("n_lines", F.expr(n).cast("long")).withColumn("_ps_gone", F.expr(f"array_distinct(flatten(transform({later}, x -> array({reach}))))"))
+    both = both.withColumn("n_removed", F.size("_ps_gone").cast("long"))
     # Line numbers count lines with a word only; the sorted numbers of those that stay are picked by place.
     kept_text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.expr(KEPT))
-    return both.withColumn("text", kept_text).drop("_id", "_hash", "firsts", "_gone")
+    return both.withColumn("text", kept_text).drop("_ps_id", "_ps_hash", "_ps_firsts", "_ps_gone")
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -64,13 +64,13 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-#: SQL: the text less the lines whose number, among those with a word, is in _gone; linear in the lines.
+#: SQL: the text less the lines whose number, among those with a word, is in _ps_gone; linear in the lines.
 KEPT = let(
     "l",
     r"split(text, '\n')",
     let(
         "placed",
         r"filter(sequence(0, size(l) - 1), i -> l[i] rlike '[^\\x20\\x09-\\x0D]')",
-        r"array_join(transform(array_except(sequence(0, size(l) - 1), transform(_gone, g -> placed[g])), i -> l[i]), '\n')",
+        r"array_join(transform(array_except(sequence(0, size(l) - 1), transform(_ps_gone, g -> placed[g])), i -> l[i]), '\n')",
     ),
 )

@@ -53,22 +53,22 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     twice or more in the text, n_capital_runs the runs of two or more letters A-Z.
     """
     needs(docs, text)
-    docs = without(docs, [*MEASURES, "_text", "_words", "_lines", "_windows"])
-    one = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    two = one.withColumn("_words", F.expr(rf"array_remove(split(_text, '{BLANK}'), '')")).withColumn("_lines", F.expr(rf"filter(split(_text, '\n'), l -> l rlike '{NOT_BLANK}')"))
-    hashes = "transform(_words, w -> xxhash64(w))"
+    docs = without(docs, [*MEASURES, "_ps_text", "_ps_words", "_ps_lines", "_ps_windows"])
+    one = docs.withColumn("_ps_text", F.coalesce(F.col(text), F.lit("")))
+    two = one.withColumn("_ps_words", F.expr(rf"array_remove(split(_ps_text, '{BLANK}'), '')")).withColumn("_ps_lines", F.expr(rf"filter(split(_ps_text, '\n'), l -> l rlike '{NOT_BLANK}')"))
+    hashes = "transform(_ps_words, w -> xxhash64(w))"
     windows = let("g", hashes, "transform(slice(g, 1, size(g) - 2), (x, i) -> xxhash64(x, g[i + 1], g[i + 2]))")
-    three = two.withColumn("_windows", F.expr(f"case when size(_words) < 3 then array() else {windows} end"))
+    three = two.withColumn("_ps_windows", F.expr(f"case when size(_ps_words) < 3 then array() else {windows} end"))
     counts = {
-        "n_words": "size(_words)",
-        "word_chars": "length(array_join(_words, ''))",
-        "n_symbols": "regexp_count(_text, '[#*$%&|<>]')",
-        "n_dup_lines": "size(_lines) - size(array_distinct(_lines))",
-        "n_lines": "size(_lines)",
-        "n_repeat_words": f"case when size(array_distinct(_windows)) = size(_windows) then 0L else {repeated_words('_windows')} end",
-        "n_capital_runs": "regexp_count(_text, '[A-Z]{2,}')",
+        "n_words": "size(_ps_words)",
+        "word_chars": "length(array_join(_ps_words, ''))",
+        "n_symbols": "regexp_count(_ps_text, '[#*$%&|<>]')",
+        "n_dup_lines": "size(_ps_lines) - size(array_distinct(_ps_lines))",
+        "n_lines": "size(_ps_lines)",
+        "n_repeat_words": f"case when size(array_distinct(_ps_windows)) = size(_ps_windows) then 0L else {repeated_words('_ps_windows')} end",
+        "n_capital_runs": "regexp_count(_ps_text, '[A-Z]{2,}')",
     }
-    return three.withColumns({k: F.expr(v).cast("long") for k, v in counts.items()}).drop("_text", "_words", "_lines", "_windows")
+    return three.withColumns({k: F.expr(v).cast("long") for k, v in counts.items()}).drop("_ps_text", "_ps_words", "_ps_lines", "_ps_windows")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

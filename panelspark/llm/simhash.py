@@ -106,6 +106,6 @@ def keep_one(docs: DataFrame, distance: int = 2, width: int = 5) -> DataFrame:
     Rows that have that id stay, repeated ones too. A component without any id keeps its rows.
     """
     rest = near_duplicates(docs, distance, width).where("component_id is not null and not (doc_id <=> component_id)")
-    rest = rest.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash")).distinct().hint("shuffle_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key()[1] == F.col("_hash"))
+    rest = rest.select(F.col("doc_id").alias("_ps_id"), F.col("_row").alias("_ps_hash")).distinct().hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (row_key()[1] == F.col("_ps_hash"))
     return docs.join(rest, same, "left_anti")
