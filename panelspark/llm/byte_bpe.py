@@ -5,6 +5,7 @@ from __future__ import annotations
 import array
 import base64
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,8 @@ class Coder:
     """The tokenizers library for one vocabulary, with the ids of recent pre-tokens."""
 
     def __init__(self, definition: str, pattern: str):
+        # A task has one core; the library's own threads would each keep memory for themselves.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
