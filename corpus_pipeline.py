@@ -30,8 +30,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles)."""
-    return simhash.keep_one(docs, distance=2, width=5).select(COLUMNS)
+    """The document with the smallest id of each group of near copies: five-word shingles with fingerprints within 2 bits
+    or a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one(docs, distance=2, width=5, jaccard=0.8).select(COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

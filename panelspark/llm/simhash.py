@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.llm import similar
 from panelspark.llm.common import components, fields, lean, needs, row_key, slices, utf8, without, written
 
 #: Shingles whose bits are counted together.
@@ -18,20 +19,23 @@ BLOCK = 1 << 16
 SEED = 42
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """64 bits: bit i is set if it is set in over half the hashes of the text's shingles, repeats included."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """A hash for each shingle of the text, repeats included; none for a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     text = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(text, SEED)], dtype=np.uint64)
-    else:
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        begin = np.cumsum(size + 1) - size - 1
-        end = (begin + size)[width - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(begin.tolist(), end, strict=False)), dtype=np.uint64, count=len(end))
+        return np.array([xxhash.xxh64_intdigest(text, SEED)], dtype=np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    begin = np.cumsum(size + 1) - size - 1
+    end = (begin + size)[width - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(text[a:b], SEED) for a, b in zip(begin.tolist(), end, strict=False)), dtype=np.uint64, count=len(end))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: bit i is set if it is set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), BLOCK):
         block = hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8)
@@ -39,6 +43,11 @@ def fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """64 bits: bit i is set if it is set in over half the hashes of the text's shingles, repeats included."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
     """docs with `fp`, the fingerprint as a signed 64-bit integer.
 
@@ -81,9 +90,10 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
     return pairs.where(f"bit_count(a ^ b) <= {distance}").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 5, text: str = "text", doc_id: str = "doc_id", jaccard: float | None = None) -> DataFrame:
     """(doc_id, _row, fp, component_id) for each row of docs: the smallest doc_id reachable over links of
-    `distance` or fewer bits, and a hash of the text that tells rows of one id apart.
+    `distance` or fewer bits, and a hash of the text that tells rows of one id apart. With `jaccard`, texts whose
+    sets of shingles have at least that similarity are linked too, however far apart their fingerprints are.
 
     One row in, one row out. Equal fingerprints are one node, so copies cost a row each and no pairs.
     Null, empty and blank texts share fingerprint zero and link like any others. Rows with null doc_id get
@@ -91,21 +101,26 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 5, text: st
     """
     needs(docs, text, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = written(fingerprints(rows, width).select(*row_key(), "fp"))
+    if jaccard is None:
+        rows = written(fingerprints(rows, width).select(*row_key(), "fp"))
+        edges = links(rows.select("fp").distinct(), distance)
+        roots = components(edges).toDF("fp", "root")
+    else:
+        texts, rows = rows, written(similar.marks(rows, width).select(*row_key(), "fp", "bands"))
+        roots = similar.roots(texts, rows, links(rows.select("fp").distinct(), distance), width, jaccard)
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), distance)).toDF("fp", "root")
     grouped = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = grouped.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return rows.join(labels, "fp").select("doc_id", "_row", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 2, width: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = 2, width: int = 5, jaccard: float | None = None) -> DataFrame:
     """docs less all rows whose id is not the smallest of their component.
 
     Rows that have that id stay, repeated ones too. A component without any id keeps its rows.
     """
-    rest = near_duplicates(docs, distance, width).where("component_id is not null and not (doc_id <=> component_id)")
+    rest = near_duplicates(docs, distance, width, jaccard=jaccard).where("component_id is not null and not (doc_id <=> component_id)")
     rest = rest.select(F.col("doc_id").alias("_ps_id"), F.col("_row").alias("_ps_hash")).distinct().hint("shuffle_hash")
     same = F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (row_key()[1] == F.col("_ps_hash"))
     return docs.join(rest, same, "left_anti")
