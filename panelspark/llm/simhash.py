@@ -79,7 +79,10 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
     variant meet there. Among distinct fingerprints a ball of radius r holds a bounded number (65 for r = 1),
     so each links to the least of its ball: a star, not all pairs. For an even distance all in one ball are
     near each other; otherwise pairs are verified, and then all pairs of the ball, still bounded, are compared.
+    Balls of a radius above 2, for distances above 4, are refused: they hold over 40,000 variants each.
     """
+    if not 0 <= distance <= 4:
+        raise ValueError(f"distance {distance}: 0 to 4 bits can be linked by balls")
     radius = (distance + 1) // 2
     balls = distinct.select("fp", F.explode(variants("fp", radius)).alias("ball"))
     if distance % 2:

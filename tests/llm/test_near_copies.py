@@ -1,8 +1,10 @@
 """The near-dedup stage of the pipeline against brute-force similarity of shingles."""
 
+import pytest
 from brute import fingerprint, smallest_reachable, words
 
 import corpus_pipeline
+from panelspark.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +42,11 @@ def test_large_group_of_near_copies_without_a_common_member(spark):
     assert five_word_jaccard(texts[0], texts[1]) > 0.9 and five_word_jaccard(texts[0], texts[9]) < 0.8
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SF).collect()] == [0]
+
+
+def test_distances_that_balls_do_not_reach_are_refused(spark):
+    fps = spark.createDataFrame([(0,), (0b1111,)], "fp long")
+    assert [tuple(r) for r in simhash.links(fps, 4).collect()] == [(0, 0b1111)]
+    for distance in (5, 6, -1):
+        with pytest.raises(ValueError):
+            simhash.links(fps, distance)
