@@ -1,4 +1,8 @@
-"""Substring dedup: winnowed anchors are joined, matches extended both ways, repeats over a length removed."""
+"""Substring dedup: whole windows around recurring winnowed anchors are hashed and counted, repeated ones removed.
+
+This replaces joining documents on anchors and extending matches both ways, which costs the square of a hot
+passage's copies; overlapping repeated windows make up the same longer repeats.
+"""
 
 from __future__ import annotations
 
