@@ -11,13 +11,15 @@ ADDED = ("n_lines", "n_removed")
 
 
 def line_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, _row, at, hash): every window of `width` consecutive lines with a word, by its first line's number."""
-    lines = docs.select(*row_key(), F.expr(LINES).alias("lines"))
-    hashes = F.expr("transform(lines, l -> xxhash64(l))")
-    lines = lines.where(F.size("lines") >= width).select("doc_id", "_row", hashes.alias("h"))
-    joint = ", ".join(f"h[i + {k}]" for k in range(width))
-    windows = F.expr(f"transform(sequence(0, size(h) - {width}), i -> xxhash64({joint}))")
-    return lines.select("doc_id", "_row", F.posexplode(windows).alias("at", "hash"))
+    """(doc_id, _row, at, w1, w2): every window of `width` consecutive lines with a word, by its first line's number.
+
+    Two independent 64-bit hashes name a window: of 10**12 windows no two different ones are likely to agree in both.
+    """
+    lines = docs.select(*row_key(), F.expr(LINES).alias("lines")).where(F.size("lines") >= width)
+    hashes = lines.select("doc_id", "_row", F.expr("transform(lines, l -> xxhash64(l))").alias("h"), F.expr("transform(lines, l -> xxhash64(1L, l))").alias("g"))
+    joint = lambda x: ", ".join(f"{x}[i + {k}]" for k in range(width))
+    windows = F.expr(f"transform(sequence(0, size(h) - {width}), i -> struct(xxhash64({joint('h')}) as w1, xxhash64({joint('g')}) as w2))")
+    return hashes.select("doc_id", "_row", F.posexplode(windows).alias("at", "w")).select("doc_id", "_row", "at", "w.w1", "w.w2")
 
 
 #: SQL: the lines of a text that hold a word.
@@ -27,11 +29,11 @@ LINES = r"filter(split(coalesce(text, ''), '\n'), l -> l rlike '[^\\x20\\x09-\\x
 def first_windows(docs: DataFrame, width: int) -> DataFrame:
     """(_ps_id, _ps_hash, _ps_firsts): for each document the windows that occur there first in the corpus.
 
-    Every distinct window has exactly one first place, so a minimum by hash finds them; it is combined before
+    Every distinct window has exactly one first place, so a minimum by its hashes finds them; it is combined before
     the shuffle, so a window that a third of all documents share costs one row a task.
     """
     place = F.struct("doc_id", "_row", "at")
-    first = line_windows(docs, width).groupBy("hash").agg(F.min(place).alias("p")).select("p.*")
+    first = line_windows(docs, width).groupBy("w1", "w2").agg(F.min(place).alias("p")).select("p.*")
     return first.groupBy("doc_id", "_row").agg(F.collect_set("at").alias("_ps_firsts")).select(F.col("doc_id").alias("_ps_id"), F.col("_row").alias("_ps_hash"), "_ps_firsts")
 
 
@@ -42,7 +44,8 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     no part of windows and are never removed by themselves. The first occurrence, by doc_id, then a hash of the text, then line,
     stays; a line goes if any later occurrence covers it. Fewer lines than `width` make no window. Null text
     stays null with 0 lines. Rows equal in doc_id and text are one document: what one keeps, all keep; null
-    doc_id comes first. Columns of docs with the names of outputs are replaced. Only built-in functions.
+    doc_id comes first. Empty and blank texts have 0 lines and stay as they are, a text of any length is taken whole, an
+    empty table stays empty. Columns of docs with the names of outputs are replaced. Only built-in functions.
     """
     needs(docs, "doc_id", "text")
     docs = without(docs, [*ADDED, "_ps_id", "_ps_hash", "_ps_firsts", "_ps_gone"])
