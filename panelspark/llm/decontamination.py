@@ -1,15 +1,13 @@
-"""Benchmark decontamination: suffix arrays of training shards, searched with every test suffix.
+"""Benchmark decontamination: suffix arrays of training shards, searched with the suffixes of test items.
 
-A shard is a slice of a Spark partition, held in one Python worker. Its suffix array holds the suffixes that
-can match at all (those whose next words all occur in the test items), sorted by their next words; each
-window of an item is looked up by binary search and gives the run of equal suffixes, hence all locations.
+A shard is a slice of a Spark partition, held in one Python worker. Its suffix array orders the suffixes that begin
+with a window of a test item, a stretch of words at a time; every test suffix is found in it by binary search,
+which gives the longest verbatim matches and their places.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,165 +15,223 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import RollingHash, fields, joined, lean, needs, row_key, slices, without, words_at, written
+from panelspark.llm.common import RollingHash, joined, lean, needs, row_key, slices, without, words_at, written
 
-#: Test items that are broadcast together take at most so many bytes of text; more come in further blocks.
-BLOCK_BYTES = 16 << 20
+#: Test items that are searched together take at most so many bytes of text, or are one item; the others follow.
+BLOCK_BYTES = 4 << 20
 
 #: For each byte the lower-cased byte if words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ hold it, else 0.
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[ord("A") : ord("Z") + 1] += 32
 LOWERED[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0
 IN_WORD = LOWERED > 0
+#: SQL: the number of such words of a text; A-Z need not be lowered to count them.
+N_WORDS = r"cast(regexp_count(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as long)"
 
-MATCH = T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "item_word", "doc_word", "n_words")])
-ADDED = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("longest_match", T.LongType()), ("matches", T.ArrayType(MATCH))]
+MATCH = T.StructType([T.StructField("item_id", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("item_word", "doc_word", "n_words")]])
+SPAN = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
+ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "matches"]
 
 
-def hashed_words(roll: RollingHash, buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word and, for each text, its first word (one more entry than texts)."""
-    begin, end, first = words_at(buffer, ends, IN_WORD)
-    return roll.spans(roll.sums(roll.bytes[LOWERED[buffer]]), begin, end), first
+def rolls() -> tuple[RollingHash, RollingHash]:
+    """Hashes of a word's bytes and of a window's words."""
+    if not hasattr(rolls, "kept"):
+        rolls.kept = (RollingHash(11), RollingHash(12))
+    return rolls.kept
 
 
-@dataclass
-class Windows:
-    """Windows of one length: distinct rows of word numbers, and the (item, word) places of each."""
+class Words:
+    """Hashes of the words of some texts, with the end of each word's text."""
+
+    def __init__(self, buffer: np.ndarray, ends: np.ndarray):
+        one, two = rolls()
+        begin, end, self.first = words_at(buffer, ends, IN_WORD)
+        self.hash = one.spans(one.sums(one.bytes[LOWERED[buffer]]), begin, end)
+        self.end = np.repeat(self.first[1:], np.diff(self.first))
+        self.sums = two.sums(self.hash)
+
+    def starts(self, length: int) -> np.ndarray:
+        """Words that `length` words of the same text begin with."""
+        at = np.arange(max(0, len(self.hash) - length + 1))
+        return at[at + length <= self.end[at]]
+
+    def windows(self, at: np.ndarray, length: int) -> np.ndarray:
+        return rolls()[1].spans(self.sums, at, at + length)
+
+    def rows(self, at: np.ndarray, depth: int, length: int, group: np.ndarray) -> np.ndarray:
+        """A sortable byte string for each suffix: its group and `length` words from `depth` on, zeros behind the text."""
+        out = np.zeros((len(at), length + 1), dtype=">u8")
+        out[:, 0] = group
+        for k in range(depth, depth + length):
+            inside = at + k < self.end[at]
+            out[inside, k - depth + 1] = self.hash[at[inside] + k]
+        return out.view(f"S{8 * length + 8}").ravel()
+
 
-    length: int
-    rows: np.ndarray  # one fixed-width byte string each: word numbers, big-endian
-    places: list[list[tuple[int, int]]]
+def in_common(x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """For each pair of rows of one group how many of their next words agree; -1 for rows of two groups."""
+    p, q = (np.ascontiguousarray(v).view(">u8").reshape(-1, length + 1) for v in (x, y))
+    same = (p == q) & ((p > 0) | (np.arange(length + 1) == 0))
+    return np.cumprod(same, axis=1).sum(axis=1) - 1
+
+
+class Windows:
+    """The distinct windows of one length that items hold, each with its places."""
+
+    def __init__(self, test: Words, at: np.ndarray, length: int):
+        self.length, self.test = length, test
+        self.hashes, number = np.unique(test.windows(at, length), return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        #: First words of all windows, those of equal ones together, and where each distinct one begins among them.
+        self.at, self.number = at[order], number[order]
+        self.first = np.searchsorted(self.number, np.arange(len(self.hashes) + 1))
+        self.low = np.zeros(1 << 20, dtype=bool)
+        self.low[self.hashes & np.uint64((1 << 20) - 1)] = True
+
+    def found(self, shard: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the shard that a window begins at, and the window's number."""
+        at = shard.starts(self.length)
+        hashes = shard.windows(at, self.length)
+        likely = self.low[hashes & np.uint64((1 << 20) - 1)]
+        at, hashes = at[likely], hashes[likely]
+        number = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = self.hashes[number] == hashes
+        at, number = at[same], number[same]
+        zero = np.zeros(len(at), dtype=np.uint64)
+        equal = shard.rows(at, 0, self.length, zero) == self.test.rows(self.at[self.first[number]], 0, self.length, zero)
+        return at[equal], number[equal]
+
+    def longest(self, shard: Words, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each training suffix `at` that begins with window `number`, the words of its longest match with any
+        test suffix, and a word at which that begins in the test items.
+
+        At each depth the suffixes still matched are sorted by their next words, test suffixes are searched in
+        that array, and each training suffix has its longest match with one of its neighbours among them.
+        """
+        step, size, place = self.length, np.full(len(at), self.length), self.at[self.first[number]].copy()
+        mine, group = np.arange(len(at)), number
+        held = np.isin(self.number, number)
+        tests, tests_group, depth = self.at[held], self.number[held], step
+        while len(mine) and len(tests):
+            order = np.argsort(rows := shard.rows(at[mine], depth, step, group), kind="stable")
+            suffixes, mine = rows[order], mine[order]
+            keys, least, key = np.unique(self.test.rows(tests, depth, step, tests_group), return_index=True, return_inverse=True)
+            left = np.searchsorted(suffixes, keys, "left")
+            below = np.searchsorted(left, np.arange(len(suffixes)), "right") - 1
+            common = [np.full(len(mine), -1), np.full(len(mine), -1)]
+            for side, (near, inside) in enumerate(((below, below >= 0), (below + 1, below + 1 < len(keys)))):
+                common[side][inside] = in_common(suffixes[inside], keys[near[inside]], step)
+            most = np.maximum(*common)
+            nearest = np.where(common[0] >= common[1], below, below + 1)
+            longer = most > 0
+            size[mine[longer]] = depth + most[longer]
+            place[mine[longer]] = tests[least[nearest[longer]]]
+            on = most == step
+            mine, group = mine[on], nearest[on].astype(np.uint64)
+            going = np.isin(key, nearest[on])
+            tests, tests_group, depth = tests[going], key[going].astype(np.uint64), depth + step
+        return size, place
 
 
 class TestSide:
-    """Vocabulary and windows of a block of items."""
+    """A block of items with their windows by length: `window` words, or all of an item that has fewer."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
-        self.roll = RollingHash(11)
-        buffer, ends = np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), np.cumsum([0, *[len(t) for _, t in items]])
-        hashes, first = hashed_words(self.roll, buffer, ends)
-        self.vocabulary, number = np.unique(hashes, return_inverse=True)
-        self.low = np.zeros(1 << 16, dtype=bool)
-        self.low[self.vocabulary & np.uint64(0xFFFF)] = True
-        found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        numbers = (number + 1).astype(">u4")
-        for k, (item, _) in enumerate(items):
-            words = numbers[first[k] : first[k + 1]]
-            length = min(window, len(words))
-            for at in range(len(words) - length + 1 if length else 0):
-                found.setdefault(length, {}).setdefault(words[at : at + length].tobytes(), []).append((item, at))
-        self.windows = [Windows(n, np.array(list(x), dtype=f"S{4 * n}"), list(x.values())) for n, x in sorted(found.items())]
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers from 1; 0 for words that no item has."""
-        out = np.zeros(len(hashes), dtype=">u4")
-        if len(self.vocabulary):
-            likely = np.flatnonzero(self.low[hashes & np.uint64(0xFFFF)])
-            at = np.minimum(np.searchsorted(self.vocabulary, hashes[likely]), len(self.vocabulary) - 1)
-            same = self.vocabulary[at] == hashes[likely]
-            out[likely[same]] = at[same] + 1
-        return out
-
-
-class SuffixArray:
-    """Suffixes of a shard that begin with at least `length` known words, sorted by those words."""
-
-    def __init__(self, numbers: np.ndarray, run: np.ndarray, length: int):
-        self.at = np.flatnonzero(run >= length)
-        rows = np.lib.stride_tricks.sliding_window_view(numbers, length)[self.at] if len(self.at) else np.zeros((0, length), ">u4")
-        self.rows = np.ascontiguousarray(rows).view(f"S{4 * length}").ravel()
-        order = np.argsort(self.rows, kind="stable")
-        self.at, self.rows = self.at[order], self.rows[order]
-
-    def search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each wanted row the first suffix that begins with it and the one behind the last."""
-        return np.searchsorted(self.rows, wanted, "left"), np.searchsorted(self.rows, wanted, "right")
-
-
-def known_runs(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word how many words from it on are known, within its text."""
-    n = len(numbers)
-    stop = np.full(n + 1, n, dtype=np.int64)
-    unknown = np.flatnonzero(numbers == 0)
-    stop[unknown] = unknown
-    # The first unknown word at or behind each place, but not behind its text.
-    stop = np.minimum.accumulate(stop[::-1])[::-1][:n]
-    text_end = np.repeat(first[1:], np.diff(first))
-    return np.minimum(stop, text_end) - np.arange(n)
-
-
-def shard_matches(test: TestSide, buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int, int, int]]]]:
-    """Words of each text, hit words of each, and (item, item's word, text's word, words) of the maximal matches by text."""
-    hashes, first = hashed_words(test.roll, buffer, ends)
-    numbers = test.numbers(hashes)
-    run = known_runs(numbers, first)
-    edge = np.zeros(len(hashes) + 1, dtype=np.int64)
-    located: list[tuple[int, int, int, int]] = []  # word, item, item's word, length
-    for w in test.windows:
-        suffixes = SuffixArray(numbers, run, w.length)
-        low, high = suffixes.search(w.rows)
-        for k in np.flatnonzero(high > low).tolist():
-            at = suffixes.at[low[k] : high[k]]
-            edge[at] += 1
-            edge[at + w.length] -= 1  # a place occurs once: one suffix has one row
-            located += [(p, item, i, w.length) for p in at.tolist() for item, i in w.places[k]]
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    n_words, n_hit = np.diff(first), hit[first[1:]] - hit[first[:-1]]
-    # Windows one word apart in both item and text are one longer match.
-    grown: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    out: dict[int, list[tuple[int, int, int, int]]] = {}
-    done = []
-    for p, item, i, length in sorted(located):
-        last = grown.get((item, i - p))
-        if last and last[2] + last[3] - length + 1 == p:
-            grown[item, i - p] = (*last[:3], last[3] + 1)
-        else:
-            if last:
-                done.append(last)
-            grown[item, i - p] = (item, i, p, length)
-    for item, i, p, length in sorted([*done, *grown.values()], key=lambda x: (x[2], x[0], x[1])):
-        text = int(np.searchsorted(first, p, side="right")) - 1
-        out.setdefault(text, []).append((item, i, p - int(first[text]), length))
-    return n_words, n_hit, out
-
-
-def blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, bytes]]]:
-    """Items in blocks whose texts take at most block_bytes (one item at least); null ids and null texts have no part."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    out, size = [[]], 0
-    for row in items.toLocalIterator():
-        text = row.text.encode()
-        if out[-1] and size + len(text) > block_bytes:
-            out, size = [*out, []], 0
-        out[-1].append((row.item_id, text))
-        size += len(text)
-    return out
-
-
-def digest(items: set[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
-def scan(docs: DataFrame, items: list[tuple[int, bytes]], window: int) -> DataFrame:
-    """docs with the columns of ADDED, matched against one block of items; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    docs = without(docs, [n for n, _ in ADDED])
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.struct([(f.name, pa.int64()) for f in MATCH]))]
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        self.ids = [i for i, _ in items]
+        self.words = Words(np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), np.cumsum([0, *[len(t) for _, t in items]]))
+        length = np.minimum(np.diff(self.words.first), window)
+        self.windows = []
+        for n in sorted({*length.tolist()} - {0}):
+            at = self.words.starts(n)
+            self.windows.append(Windows(self.words, at[length[self.item(at)] == n], n))
+
+    def item(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.words.first, at, side="right") - 1
+
+
+def shard_matches(test: TestSide, window: int, buffer: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, list, list, list]]:
+    """(text, hit spans, items, maximal matches) of each text of the shard with a window of an item."""
+    shard = Words(buffer, ends)
+    hits = [(w, *w.found(shard)) for w in test.windows]
+    size, place = np.zeros(len(shard.hash), dtype=np.int64), np.zeros(len(shard.hash), dtype=np.int64)
+    for w, at, number in hits:
+        most, where = w.longest(shard, at, number) if w.length == window else (np.full(len(at), w.length), w.at[w.first[number]])
+        longer = most > size[at]
+        size[at[longer]], place[at[longer]] = most[longer], where[longer]
+    at = np.flatnonzero(size)
+    text = np.searchsorted(shard.first, at, side="right") - 1
+    for k in np.unique(text).tolist():
+        begin, end = shard.first[k], shard.first[k + 1]
+        mine = at[text == k] if len(at) < 64 else at[np.searchsorted(text, k) : np.searchsorted(text, k, side="right")]
+        edge = np.zeros(end - begin + 1, dtype=np.int64)
+        np.add.at(edge, mine - begin, 1)
+        np.add.at(edge, mine - begin + size[mine], -1)
+        turns = np.flatnonzero(np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)).reshape(-1, 2)
+        items: set[int] = set()
+        for w, found, number in hits:
+            inside = number[np.searchsorted(found, begin) : np.searchsorted(found, end)]
+            for n in np.unique(inside).tolist():
+                items.update(test.item(w.at[w.first[n] : w.first[n + 1]]).tolist())
+        before = np.where(mine > begin, size[np.maximum(mine - 1, 0)], 0)
+        top = mine[size[mine] >= np.maximum(before, 1)]
+        owner = test.item(place[top])
+        matches = [(test.ids[o], int(p - test.words.first[o]), int(m - begin), int(size[m])) for o, p, m in zip(owner.tolist(), place[top].tolist(), top.tolist(), strict=True)]
+        yield k, turns.tolist(), sorted({test.ids[i] for i in items}), matches
+
+
+def blocks(benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """(bucket, block, item_id, text): distinct items in blocks of about block_bytes, ids as strings.
+
+    Items are dealt to buckets by hash and numbered within each by the sum of sizes before them, so no block
+    holds more than block_bytes and one item. Null ids and null texts have no part.
+    """
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    items = written(items.withColumn("size", F.octet_length("text").cast("long")))
+    total = items.agg(F.sum("size")).first()[0] or 0
+    dealt = items.withColumn("bucket", F.expr(f"pmod(xxhash64(item_id, text), {1 + total // block_bytes})"))
+    before = F.expr("sum(size) over (partition by bucket order by item_id, text rows unbounded preceding) - size")
+    return written(dealt.select("bucket", F.floor(before / block_bytes).alias("block"), "item_id", "text"))
+
+
+def scan(keyed: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+    """(doc_id, _row, hits, items, matches) of the rows of keyed (doc_id, _row, text) that a window of the items touches; written."""
+    shared = keyed.sparkSession.sparkContext.broadcast(items)
+    kinds = [pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), *[(n, pa.int64()) for n in ("item_word", "doc_word", "n_words")]]))]
+    names = ["hits", "items", "matches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = TestSide(shared.value, window)
         for batch in slices(batches, "text"):
-            n_words, n_hit, found = shard_matches(test, *joined(batch.column("text")))
-            rows = [found.get(i, []) for i in range(batch.num_rows)]
-            ids = [{m[0] for m in x} for x in rows]
-            names = [f.name for f in MATCH]
-            values = [n_words, n_hit, [len(x) for x in ids], [digest(x) for x in ids], n_hit > 0, [max((m[3] for m in x), default=0) for x in rows], [[dict(zip(names, m, strict=True)) for m in x] for x in rows]]
-            columns = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *[n for n, _ in ADDED]])
+            found = list(shard_matches(test, window, *joined(batch.column("text"))))
+            if found:
+                rows = pa.array([f[0] for f in found])
+                values = [[{"begin": a, "end": b} for a, b in f[1]] for f in found], [f[2] for f in found], [[dict(zip(MATCH.names, m, strict=True)) for m in f[3]] for f in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("_row").take(rows), *map(pa.array, values, kinds)], names=["doc_id", "_row", *names])
+
+    out = T.StructType([keyed.schema["doc_id"], keyed.schema["_row"], *[T.StructField(n, T.ArrayType(t)) for n, t in zip(names, (SPAN, T.StringType(), MATCH), strict=True)]])
+    found = written(keyed.mapInArrow(lean(run), out))
+    shared.destroy()
+    return found
+
 
-    return docs.mapInArrow(lean(run), fields(docs, *ADDED))
+#: SQL: words in the union of an array of spans.
+COVERED = "aggregate(array_sort(hits), struct(0L as total, 0L as last), (a, s) -> struct(a.total + greatest(0L, s.end - greatest(s.begin, a.last)) as total, greatest(a.last, s.end) as last), a -> a.total)"
+
+
+def touched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(doc_id, _row, hits, items, matches) once for each document that a window touches, over all blocks of items."""
+    keyed = docs.select(*row_key(), "text")
+    items = blocks(benchmark, block_bytes)
+    found = keyed.select("doc_id", "_row", F.array().cast(T.ArrayType(SPAN)).alias("hits"), F.array().cast("array<string>").alias("items"), F.array().cast(T.ArrayType(MATCH)).alias("matches"), F.lit(0).alias("block")).limit(0)
+    for k, r in enumerate( items.select("bucket", "block").distinct().orderBy("bucket", "block").collect()):
+        block = items.where((F.col("bucket") == r.bucket) & (F.col("block") == r.block)).select("item_id", "text").orderBy("item_id", "text")
+        found = found.union(scan(keyed, [(x.item_id, x.text.encode()) for x in block.collect()], window).withColumn("block", F.lit(k)))
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "matches")]
+    # Rows equal in id and text are one document here: each block's first row of them stands for all.
+    once = found.groupBy("doc_id", "_row", "block").agg(*[F.first(c).alias(c) for c in ("hits", "items", "matches")])
+    return once.groupBy("doc_id", "_row").agg(*lists)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -183,46 +239,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered. A window is `window` consecutive
     words of an item; an item of fewer words, but not none, is one window. A document's word inside any
-    occurrence of a window is hit. matches lists the maximal verbatim matches with their places. A null text
-    has no words; items with null id or text take no part; without items nothing is hit; repeated rows stay;
-    columns of docs with the names of outputs are replaced.
-
-    The items are broadcast in blocks of a bounded size, each against all documents. With several blocks the
-    hit words of a document are the union over blocks, joined by the row's id and a hash of its text.
+    occurrence of a window is hit. matches lists the document's maximal verbatim matches with one place of each
+    in an item (ids as strings), longest_match is the length of the longest. A null, empty or blank text has no
+    words; a text of any length is searched whole; items with null id or text take no part; without items, or
+    without documents, nothing is hit; repeated rows stay, each with the same facts; columns of docs with the names of
+    outputs are replaced.
+
+    The items are searched in blocks of a bounded size, one after the other, so the driver holds one block at a
+    time. Each block costs a pass over docs that writes only what it found.
     """
     needs(docs, "doc_id", "text")
     needs(benchmark, "item_id", "text")
-    parts = blocks(benchmark, block_bytes)
-    if len(parts) == 1:
-        return scan(docs, parts[0], window)
-    keyed = [scan(docs.select("doc_id", "text"), x, window).where("contaminated").select(*row_key(), "matches") for x in parts]
-    found = keyed[0]
-    for other in keyed[1:]:
-        found = found.union(other)
-    # Rows that are equal in id and text are one document here.
-    found = written(found.distinct())
-    m = found.select("doc_id", "_row", F.explode("matches").alias("m")).select("doc_id", "_row", "m.*")
-    before = F.expr("max(doc_word + n_words) over (partition by doc_id, _row order by doc_word, doc_word + n_words rows between unbounded preceding and 1 preceding)")
-    fresh = m.withColumn("fresh", F.greatest(F.lit(0), F.expr("doc_word + n_words") - F.greatest(F.col("doc_word"), F.coalesce(before, F.lit(0)))))
-    facts = fresh.groupBy("doc_id", "_row").agg(
-        F.sum("fresh").alias("n_hit"),
-        F.sha2(F.array_join(F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"),
-        F.countDistinct("item_id").alias("n_items"),
-        F.max("n_words").alias("longest_match"),
-        F.array_sort(F.collect_set(F.struct("item_id", "item_word", "doc_word", F.col("n_words").alias("n_words")))).alias("matches"),
+    docs = without(docs, [*ADDED, "_ps_id", "_ps_hash", "_ps_matches"])
+    ids = F.array_sort(F.array_distinct("items"))
+    facts = touched(docs, benchmark, window, block_bytes).select(
+        F.col("doc_id").alias("_ps_id"),
+        F.col("_row").alias("_ps_hash"),
+        F.expr(COVERED).alias("n_hit"),
+        F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        F.expr("array_max(transform(matches, m -> m.n_words))").alias("longest_match"),
+        F.expr("array_sort(matches, (x, y) -> case when x.doc_word <> y.doc_word then int(sign(x.doc_word - y.doc_word)) when x.item_id < y.item_id then -1 when x.item_id > y.item_id then 1 else 0 end)").alias("_ps_matches"),
     )
-    facts = facts.select(F.col("doc_id").alias("_ps_id"), F.col("_row").alias("_ps_hash"), "n_hit", "n_items", "items_sha256", "longest_match", "matches").hint("shuffle_hash")
-    counted = scan(docs, [], window).drop("n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "matches")
-    same = F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (row_key()[1] == F.col("_ps_hash"))
-    zero = {"n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.lit(digest(set())), "longest_match": F.lit(0), "matches": F.array().cast(T.ArrayType(MATCH))}
-    out = counted.join(facts, same, "left").drop("_ps_id", "_ps_hash").withColumns({n: F.coalesce(n, v) for n, v in zero.items()})
-    return out.withColumn("contaminated", F.col("n_hit") > 0).select(*[n for n in counted.columns if n != "n_words"], *[n for n, _ in ADDED])
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents that no benchmark window touches, with the columns of docs."""
-    if not any(c.lower() in {n for n, _ in ADDED} for c in docs.columns):
-        return contamination(docs, benchmark, window).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
-    bad = contamination(docs.select("doc_id", "text"), benchmark, window).where("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_ps_id"), row_key()[1].alias("_ps_hash")).distinct().hint("shuffle_hash")
+    both = docs.join(facts, F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (row_key()[1] == F.col("_ps_hash")), "left")
+    return both.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.expr(N_WORDS).alias("n_words"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        F.expr("coalesce(n_hit, 0L) > 0").alias("contaminated"),
+        F.coalesce("longest_match", F.lit(0).cast("long")).alias("longest_match"),
+        F.coalesce("_ps_matches", F.array().cast(T.ArrayType(MATCH))).alias("matches"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that no benchmark window touches, with the columns of docs; nulls, empty texts and repeated
+    rows as in `contamination`."""
+    needs(docs, "doc_id", "text")
+    needs(benchmark, "item_id", "text")
+    bad = touched(docs, benchmark, window, block_bytes).select(F.col("doc_id").alias("_ps_id"), F.col("_row").alias("_ps_hash"))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (row_key()[1] == F.col("_ps_hash")), "left_anti")

@@ -126,11 +126,56 @@ def test_decontamination(spark, rows):
     blocked = decontamination.contamination(df, table, block_bytes=3000)
     assert by_row(blocked, *names) == want
     whole = decontamination.contamination(df, table).where("doc_id = 5000").collect()[0]
-    assert whole.longest_match == 13 and [tuple(m) for m in whole.matches if m.item_id == 905] == [(905, 0, 1, 11), (905, 0, 13, 13)]
-    assert [tuple(m) for m in blocked.where("doc_id = 5000").collect()[0].matches if m.item_id == 905] == [(905, 0, 1, 11), (905, 0, 13, 13)]
+    assert whole.longest_match == 13 and [tuple(m) for m in whole.matches if m.item_id == "905"] == [("905", 0, 1, 11), ("905", 0, 13, 13)]
+    assert [tuple(m) for m in blocked.where("doc_id = 5000").collect()[0].matches if m.item_id == "905"] == [("905", 0, 1, 11), ("905", 0, 13, 13)]
     kept = decontamination.clean(df, table)
     assert kept.columns == df.columns and kept.count() == sum(not w[-1] for w in want)
     assert bench_words("É-a") == ["É", "a"]
+    named = table.select(F.concat(F.lit("q"), "item_id").alias("item_id"), "text")
+    assert {x for r in decontamination.contamination(df, named).where("doc_id = 5000").collect() for x in [m.item_id for m in r.matches]} >= {"q905"}
+
+
+def longest_common(w, items, window):
+    """Words of the longest verbatim match of a document with an item, of whole windows only."""
+    best = 0
+    for _, text in items:
+        o = bench_words(text)
+        least = min(window, len(o))
+        for i in range(len(w)):
+            for j in range(len(o)):
+                n = 0
+                while i + n < len(w) and j + n < len(o) and w[i + n] == o[j + n]:
+                    n += 1
+                if least and n >= least and (len(o) >= window or n == len(o)):
+                    best = max(best, n)
+    return best
+
+
+@pytest.mark.parametrize("window", [3, 4])
+def test_longest_matches_by_brute_force(spark, window):
+    """Few words, so that suffixes tie, end inside a stretch and meet neighbours on both sides."""
+    rng = random.Random(window)
+    texts = lambda n, most: [" ".join(rng.choice("abc") for _ in range(rng.randrange(most))) for _ in range(n)]
+    docs, bench = list(enumerate(texts(40, 60))), list(enumerate(texts(12, 14)))
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    for size in (1 << 20, 60):
+        got = decontamination.contamination(df, table, window, size)
+        assert by_row(got, *names, "longest_match") == wanted(docs, [(*contamination(t, bench, window), longest_common(bench_words(t), bench, window)) for _, t in docs])
+    for r in got.collect():
+        for m in r.matches:
+            item = bench_words(dict(bench)[int(m.item_id)])
+            assert item[m.item_word : m.item_word + m.n_words] == bench_words(r.text)[m.doc_word : m.doc_word + m.n_words]
+
+
+def test_shared_header_costs_no_pairs(spark):
+    """One header 50 times in a document and in 2,000 items: matches grow with the document only."""
+    header = "the following are multiple choice questions with answers about a topic"
+    table = spark.createDataFrame([(k, f"{header} q{k}") for k in range(2000)], "item_id long, text string")
+    df = spark.createDataFrame([(1, " x ".join([header] * 50))], "doc_id long, text string")
+    r = decontamination.contamination(df, table).collect()[0]
+    assert (r.n_items, r.n_hit, r.longest_match, len(r.matches)) == (2000, 550, 11, 50)
 
 
 def test_empty_tables(spark):
