@@ -35,6 +35,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task of a small table takes.
+TASK_ROWS = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table in as few partitions as its rows need: a row count of Parquet reads no rows."""
+    return table.coalesce(1 + table.count() // TASK_ROWS)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less its columns of these names in any case: what an operator adds replaces what was there."""
     gone = {n.lower() for n in names}
@@ -164,18 +173,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the smallest node that it reaches.
 
     Each round takes the least root among the neighbours, then the root of that root, so long chains halve;
-    rounds end when nothing changes. Only grouped minima and joins, each round written to the shared folder.
+    rounds end when nothing changes. Only grouped minima and joins, each round written to the shared folder, in
+    tasks of about TASK_ROWS edges.
     """
     edges = written(edges.select("a", "b").where("a <> b").distinct())
-    both = edges.union(edges.select("b", "a")).toDF("node", "other")
-    roots = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+    tasks = 1 + edges.count() // TASK_ROWS
+    both = edges.coalesce(tasks).union(edges.coalesce(tasks).select("b", "a")).toDF("node", "other")
+    roots = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")).coalesce(tasks))
     while True:
         near = both.join(roots.select(F.col("node").alias("other"), "root"), "other").select("node", "root")
         best = near.union(roots.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("upper"))
         best = best.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
         old = roots.select("node", F.col("root").alias("old"))
-        best = written(best.join(old, "node").select("node", "root", (F.col("root") != F.col("old")).alias("moved")))
+        best = written(best.join(old, "node").select("node", "root", (F.col("root") != F.col("old")).alias("moved")).coalesce(tasks))
         roots = best.select("node", "root")
         if not best.where("moved").limit(1).count():
             return roots

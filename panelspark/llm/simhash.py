@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 5, text: st
         edges = links(rows.select("fp").distinct(), distance)
         roots = components(edges).toDF("fp", "root")
     else:
-        texts, rows = rows, written(similar.marks(rows, width).select(*row_key(), "fp", "bands"))
+        texts, rows = rows, written(similar.marks(rows, width).select(*row_key(), "fp", "bands", "size"))
         roots = similar.roots(texts, rows, links(rows.select("fp").distinct(), distance), width, jaccard)
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     grouped = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

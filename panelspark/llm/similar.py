@@ -1,8 +1,9 @@
 """Near copies by similarity of their sets of shingles, for texts whose fingerprints are too far apart for balls.
 
 At a similarity of 0.8 fingerprints differ in ten bits and more, where balls hold millions of variants. Least hashes of
-shingles agree with the similarity's probability, so a few bands of them bring near copies together; each pair
-that meets is then compared shingle by shingle.
+shingles agree with the similarity's probability, so a few bands of them bring near copies together. Each text of a
+bucket is compared shingle by shingle to the bucket's most central one; texts of a bucket that this leaves apart are
+compared to each other where their rarest shingles allow the similarity at all.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import simhash
-from panelspark.llm.common import components, fields, lean, mixed, slices, utf8, without, written
+from panelspark.llm.common import components, fields, lean, mixed, slices, small, utf8, without, written
 
 #: Bands, and least hashes in each: two texts of similarity 0.8 share no band with probability (1 - 0.8**5)**24 = 7e-5.
 BANDS, EACH = 24, 5
 #: Shingles whose hashes are taken together.
 BLOCK = 1 << 12
-#: In a bucket whose members are not all connected by its least member, each is compared to so many others after it.
-NEXT = 32
 #: Fixed odd factors and offsets of the hash functions.
 FACTORS = (mixed(np.arange(1, BANDS * EACH + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 OFFSETS = mixed(np.arange(1001, 1001 + BANDS * EACH, dtype=np.uint64))[:, None]
+#: Bytes of sets of shingles that are compared together.
+COMPARED_BYTES = 4 << 20
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -43,75 +44,112 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """docs with `fp`, the fingerprint, and `bands`, the keys of the text's bands."""
-    docs = without(docs, ["fp", "bands"])
+    """docs with `fp`, the fingerprint, `bands`, the keys of the text's bands, and `size`, its number of distinct shingles."""
+    added = [("fp", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("size", T.IntegerType())]
+    docs = without(docs, [n for n, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            prints, keys = [], []
+            prints, keys, sizes = [], [], []
             for x in utf8(batch.column(text)):
                 hashes = simhash.shingle_hashes(x, width)
+                distinct = np.unique(hashes)
                 prints.append(simhash.majority(hashes))
-                keys.append(bands(hashes))
-            got = [pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *got], names=[*batch.schema.names, "fp", "bands"])
+                keys.append(bands(distinct))
+                sizes.append(len(distinct))
+            got = [pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *got], names=[*batch.schema.names, *[n for n, _ in added]])
 
-    return docs.mapInArrow(lean(run), fields(docs, ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType()))))
+    return docs.mapInArrow(lean(run), fields(docs, *added))
 
 
-def shingles(text: bytes, width: int) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(_row, hashes) of texts (_row, text): the sorted distinct 64-bit hashes of each text's shingles, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(simhash.shingle_hashes(x, width)).tobytes() for x in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sets, pa.binary())], names=["_row", "hashes"])
+
+    return texts.mapInArrow(lean(run), "_row long, hashes binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, jaccard: float) -> DataFrame:
-    """Edges (a, b) of the pairs (a, a_row, b, b_row) whose texts (_row, text) have the similarity."""
-    pairs = written(pairs)
-    rows = pairs.select(F.col("a_row").alias("_row")).union(pairs.select("b_row")).distinct()
-    # Written once: only texts of pairs, each once.
-    texts = written(texts.join(rows, "_row", "left_semi").groupBy("_row").agg(F.first("text").alias("text")))
-    both = pairs.join(texts.toDF("b_row", "b_text"), "b_row").join(texts.toDF("a_row", "a_text"), "a_row")
+def common_shingles(jaccard: float, x: str, y: str) -> str:
+    """SQL: the least number of common shingles with which sets of x and y shingles reach the similarity."""
+    return f"cast(ceil({jaccard!r}D / (1 + {jaccard!r}D) * ({x} + {y}) - 1e-9D) as int)"
+
+
+def verified(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """Edges (a, b) of the pairs (a, a_row, b, b_row) whose sets of shingles have the similarity."""
+    both = pairs.join(sets.toDF("b_row", "b_set"), "b_row").join(sets.toDF("a_row", "a_set"), "a_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, set()
         for whole in batches:
-            for batch in slices([whole], "b_text"):
+            for batch in slices([whole], "b_set", COMPARED_BYTES):
                 near = []
-                for x, y in zip(utf8(batch.column("a_text")), utf8(batch.column("b_text")), strict=True):
-                    if x != last:
-                        last, mine = x, shingles(x, width)
-                    other = shingles(y, width)
-                    shared = len(mine & other)
-                    near.append(shared > 0 and shared >= jaccard * (len(mine) + len(other) - shared) - 1e-9)
+                for x, y in zip(utf8(batch.column("a_set")), utf8(batch.column("b_set")), strict=True):
+                    p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                    shared = len(np.intersect1d(p, q, assume_unique=True))
+                    near.append(shared > 0 and shared >= jaccard * (len(p) + len(q) - shared) - 1e-9)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(lean(run), "a long, b long").distinct()
+    return both.select("a", "b", "a_set", "b_set").mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def rarest(sets: DataFrame, jaccard: float) -> DataFrame:
+    """(_row, rare) of sets (_row, hashes): each set's rarest shingles, as many as it can miss and one more.
+
+    Two sets with m common shingles share one of their first size - m + 1 in any order that is the same for
+    all sets; by rarity among these sets, copies with changes of their own share none and need no comparison.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "hashes"):
+            x = [np.frombuffer(b, dtype=np.int64) for b in utf8(batch.column("hashes"))]
+            size = np.array([len(v) for v in x], dtype=np.int64)
+            rows = np.repeat(batch.column("_row").to_numpy(), size)
+            for i in range(0, len(rows), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + (1 << 18)]), pa.array(np.concatenate(x)[i : i + (1 << 18)])], names=["_row", "hash"])
+
+    each = sets.mapInArrow(lean(run), "_row long, hash long")
+    held = each.join(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash")
+    listed = held.groupBy("_row").agg(F.expr("sort_array(collect_list(struct(n, hash)))").alias("all"))
+    first = f"size(all) - cast(ceil({jaccard!r}D * size(all) - 1e-9D) as int) + 1"
+    return listed.select("_row", F.expr(f"transform(slice(all, 1, {first}), x -> x.hash)").alias("rare"))
 
 
 def roots(docs: DataFrame, rows: DataFrame, edges: DataFrame, width: int, jaccard: float) -> DataFrame:
-    """(fp, root) of the fingerprints that any link connects: `edges`, and texts of that similarity.
+    """(fp, root) of the fingerprints that any link connects: `edges`, and texts of that similarity that share a band.
 
-    Each member of a bucket is first compared to the bucket's least; where that leaves a bucket unconnected, its
-    members are compared to each other as well, each to the next NEXT in an order of the bucket's own. So buckets
-    of up to NEXT + 1 distinct texts are compared whole, and a larger one costs no square of its size.
+    A bucket's members are compared to its most central one, which has the most company over all of its own
+    buckets: one row each. Where that leaves a bucket unconnected, pairs of its members of different components
+    are compared, each pair in the first bucket that both share, and only if their rarest shingles meet.
     """
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text")
-    members = written(rows.select("fp", "_row", "bands").distinct())
-    dealt = members.select(F.explode("bands").alias("key"), "fp", "_row")
-    least = dealt.groupBy("key").agg(F.min(F.struct("fp", "_row")).alias("least"), F.max("fp").alias("most")).where("least.fp < most")
-    met = written(dealt.join(least.select("key", "least"), "key"))
-    stars = written(met.where("fp <> least.fp").selectExpr("least.fp a", "least._row a_row", "fp b", "_row b_row").distinct())
-    edges = written(edges.select("a", "b").union(verified(stars, texts, width, jaccard)))
+    members = written(rows.groupBy("_row").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    dealt = members.select(F.explode("bands").alias("key"), "fp", "_row", "size")
+    keys = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("company"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    met = written(dealt.join(keys.select("key", "company"), "key"))
+    degree = met.groupBy("_row").agg(F.sum("company").alias("degree"))
+    central = met.join(degree, "_row").groupBy("key").agg(F.max(F.struct("degree", "fp", "_row", "size")).alias("c"))
+    stars = met.join(central, "key").where(f"fp <> c.fp and least(size, c.size) >= {common_shingles(jaccard, 'size', 'c.size')}")
+    stars = stars.selectExpr("c.fp a", "c._row a_row", "fp b", "_row b_row").distinct()
+    wanted = met.select("_row").distinct()
+    sets = written(shingle_sets(texts.join(wanted, "_row", "left_semi").groupBy("_row").agg(F.first("text").alias("text")), width))
+    edges = small(written(edges.select("a", "b").union(verified(stars, sets, jaccard))))
     found = components(edges).toDF("fp", "root")
 
-    rooted = met.join(found, "fp", "left").select("key", "fp", "_row", F.coalesce("root", "fp").alias("root"))
+    rooted = met.select("key", "fp", "_row", "size").join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    after = F.expr(f"collect_list(struct(fp, _row, root)) over (partition by key order by xxhash64(key, fp, _row), fp, _row rows between 1 following and {NEXT} following)")
-    pairs = rooted.join(apart, "key").select("fp", "_row", "root", after.alias("after"))
-    pairs = pairs.select("fp", "_row", F.explode(F.expr("filter(after, o -> o.root <> root)")).alias("o"))
-    pairs = pairs.selectExpr("least(struct(fp, _row), struct(o.fp as fp, o._row as _row)) x", "greatest(struct(fp, _row), struct(o.fp as fp, o._row as _row)) y")
-    pairs = pairs.selectExpr("x.fp a", "x._row a_row", "y.fp b", "y._row b_row").distinct()
-    more = written(verified(pairs.join(stars, ["a", "a_row", "b", "b_row"], "left_anti"), texts, width, jaccard))
+    left = written(rooted.join(apart, "key"))
+    rare = written(rarest(sets.join(left.select("_row").distinct(), "_row", "left_semi"), jaccard))
+    left = left.join(rare, "_row").join(members.select("_row", "bands"), "_row")
+    x, y = left.alias("x"), left.alias("y")
+    m = common_shingles(jaccard, "x.size", "y.size")
+    prefix = lambda t: f"slice({t}.rare, 1, {t}.size - {m} + 1)"
+    near = f"x.key = y.key and x._row < y._row and x.root <> y.root and least(x.size, y.size) >= {m} and array_intersect(x.bands, y.bands)[0] = x.key and arrays_overlap({prefix('x')}, {prefix('y')})"
+    pairs = written(x.join(y, F.expr(near)).selectExpr("x.fp a", "x._row a_row", "y.fp b", "y._row b_row"))
+    more = small(written(verified(pairs, sets, jaccard)))
     if not more.limit(1).count():
         return found
     return components(edges.union(more)).toDF("fp", "root")

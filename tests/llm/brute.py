@@ -100,3 +100,12 @@ def substring_dedup(texts, length=35):
         gone = {i + k for i in range(len(w) - length + 1) if many[tuple(w[i : i + length])] > 1 for k in range(length)}
         out.append((len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone).encode())))
     return out
+
+
+def shingle_set(text, width=5):
+    w = words((text or "").lower())
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 0.0

@@ -3,7 +3,7 @@
 import duckdb
 import public_tokenizers
 import tiktoken
-from brute import contamination, fingerprint, line_dedup, rules, sha, smallest_reachable, words
+from brute import contamination, fingerprint, jaccard, line_dedup, rules, sha, shingle_set, smallest_reachable, words
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -29,8 +29,8 @@ def test_pipeline_equals_plain_python(spark):
     left = [(i, t) for i, t in sorted(docs.items()) if kept_by_rules(t)]
     assert 100 < len(left) < 200
     lined = [(i, x) for (i, _), (_, gone, x) in zip(left, line_dedup(left, range(len(left))), strict=True) if not gone or words(x)]
-    prints = [(i, fingerprint(t, 5)) for i, t in lined]
-    least = smallest_reachable(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    marks = [(i, (fingerprint(t, 5), shingle_set(t))) for i, t in lined]
+    least = smallest_reachable(marks, lambda a, b: (a[0] ^ b[0]).bit_count() <= 2 or jaccard(a[1], b[1]) >= 0.8)
     single = [(i, t) for (i, t), c in zip(lined, least, strict=True) if c == i]
     clean = [(i, t) for i, t in single if not contamination(t, items)[-1]]
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
