@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +22,7 @@ MOST_LANGUAGES = 256
 #: Rounds of expectation-maximisation, and what a further language must gain: PENALTY * log(n-grams).
 ROUNDS, PENALTY = 12, 8.0
 SHARE = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 #: Bytes as n-grams see them: A-Z lowered, ASCII that is no letter as a blank.
 SEEN = np.arange(256, dtype=np.uint64)
@@ -92,9 +92,13 @@ def learn(train: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, smooth / smooth.sum(axis=0)
 
 
-def em(p: np.ndarray, count: np.ndarray, first: np.ndarray, text: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of each language in each text, and the log-likelihood under them. p: a row for each language, with the
-    probability of each text's n-grams; texts begin at `first` and `text` numbers them."""
+def em(p: np.ndarray, count: np.ndarray, first: np.ndarray, text: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of each language in each text, the log-likelihood under them, and what no shares at all can exceed.
+
+    p: a row for each language, with the probability of each text's n-grams; texts begin at `first` and `text`
+    numbers them. The log-likelihood is concave in the shares, so its tangent at any shares bounds it everywhere:
+    the greatest slope less the mean one, n, is the most that is still to be gained.
+    """
     share = np.full((len(p), len(first)), 1 / len(p))
 
     def mixed() -> np.ndarray:
@@ -106,20 +110,24 @@ def em(p: np.ndarray, count: np.ndarray, first: np.ndarray, text: np.ndarray, n:
     for _ in range(ROUNDS):
         weight = count / mixed()
         share = share * np.array([np.add.reduceat(row * weight, first) for row in p]) / n
-    return share, np.add.reduceat(np.log(mixed()) * count, first)
+    mix = mixed()
+    slopes = np.array([np.add.reduceat(row * (count / mix), first) for row in p])
+    value = np.add.reduceat(np.log(mix) * count, first)
+    return share, value, value + np.maximum(slopes.max(axis=0) - n, 0)
 
 
-def mixture(p: np.ndarray, count: np.ndarray, alone: np.ndarray, full: float) -> np.ndarray:
-    """Shares for one text: languages join one by one, the best first, while each gains more than the penalty."""
+def mixture(p: np.ndarray, count: np.ndarray, alone: np.ndarray, bound: float) -> np.ndarray:
+    """Shares for one text: languages join one by one, the best first, while each gains more than the penalty; none
+    can gain more than what is left to the bound."""
     n = count.sum()
     cost, chosen = PENALTY * math.log(n + 1), [int(alone.argmax())]
     best, shares = alone.max(), np.ones(1)
     start, whole, total = np.zeros(1, dtype=np.int64), np.zeros(len(count), dtype=np.int64), np.array([n])
-    while len(chosen) < len(p) and full - best > cost:
+    while len(chosen) < len(p) and bound - best > cost:
         tried = []
         for lang in range(len(p)):
             if lang not in chosen:
-                share, value = em(p[[*chosen, lang]], count, start, whole, total)
+                share, value, _ = em(p[[*chosen, lang]], count, start, whole, total)
                 tried.append((value[0], lang, share[:, 0]))
         value, lang, share = max(tried, key=lambda x: x[:2])
         if value - best <= cost:
@@ -140,24 +148,25 @@ def shares_of(column: pa.Array, model: np.ndarray) -> np.ndarray:
     dense = np.cumsum(np.diff(text, prepend=text[0]) > 0)
     p, n = np.ascontiguousarray(model[bucket].T), np.add.reduceat(count, first)
     alone = np.array([np.add.reduceat(np.log(row) * count, first) for row in p]).T
-    # One round over all languages bounds what any set of them can reach.
-    _, full = em(p, count, first, dense, n)
+    # No set of languages exceeds the bound over all of them, so most texts need no search for a second one.
+    _, _, bound = em(p, count, first, dense, n)
     last = np.append(first[1:], len(text))
-    single = full - alone.max(axis=1) <= PENALTY * np.log(n + 1)
+    single = bound - alone.max(axis=1) <= PENALTY * np.log(n + 1)
     which = text[first]
     out[which[single], alone.argmax(axis=1)[single]] = 1
     for k in np.flatnonzero(~single).tolist():
         part = slice(first[k], last[k])
-        out[which[k]] = mixture(p[:, part], count[part], alone[k], full[k])
+        out[which[k]] = mixture(p[:, part], count[part], alone[k], bound[k])
     return out
 
 
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     """docs with lang_pred, score (its share of the text) and languages (all chosen ones with their shares).
 
-    Only the text is looked at. `und` with score 0 if it is null, has no letter, or no language is known; a text
-    too short for an n-gram gets the first language with an even share. Ties go to the language that sorts first. Columns of docs with
-    the names of outputs are replaced; repeated rows stay.
+    Only the text is looked at, whole, however long. `und` with score 0 if it is null, has no letter (Unicode category
+    L), or no language is known; a text too short for an n-gram gets the first language with an even share. Ties go to
+    the language that sorts first. Columns of docs with the names of outputs are replaced; repeated rows stay; an
+    empty table stays empty.
     """
     needs(docs, "text")
     added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("languages", SHARE)]

@@ -105,11 +105,70 @@ def test_language_mixtures_and_hard_rows(spark):
 def test_em_raises_the_likelihood():
     p = np.array([[0.7, 0.1], [0.2, 0.3], [0.1, 0.6]])
     count = np.array([5.0, 3.0, 4.0])
-    share, value = language_id.em(p.T, count, np.zeros(1, dtype=int), np.zeros(3, dtype=int), np.array([12.0]))
+    share, value, bound = language_id.em(p.T, count, np.zeros(1, dtype=int), np.zeros(3, dtype=int), np.array([12.0]))
     even = (np.log(p.mean(axis=1)) * count).sum()
     assert value[0] >= even and abs(share.sum() - 1) < 1e-9
     grid = max((np.log(p @ [a, 1 - a]) * count).sum() for a in np.linspace(0, 1, 1001))
-    assert abs(value[0] - grid) < 1e-2
+    assert abs(value[0] - grid) < 1e-2 and bound[0] >= grid
+
+
+def plain_grams(text):
+    """Distinct hashed 4-byte n-grams of a text with their counts, byte by byte."""
+    seen = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in (text or "").encode())
+    codes = [int.from_bytes(seen[i : i + 4], "big") for i in range(len(seen) - 3)]
+    return Counter((c * 0x9E3779B97F4A7C15) % (1 << 64) >> 48 for c in codes if c != 0x20202020)
+
+
+def plain_mixture(p, counts):
+    """Greedy choice of languages by penalised likelihood, with no bound to cut it short."""
+    n = sum(counts)
+
+    def fitted(langs):
+        share = [1 / len(langs)] * len(langs)
+        for _ in range(language_id.ROUNDS):
+            mix = [sum(s * p[k][g] for s, k in zip(share, langs, strict=True)) for g in range(len(counts))]
+            share = [s * sum(c * p[k][g] / mix[g] for g, c in enumerate(counts)) / n for s, k in zip(share, langs, strict=True)]
+        return sum(c * math.log(sum(s * p[k][g] for s, k in zip(share, langs, strict=True))) for g, c in enumerate(counts)), share
+
+    alone = [sum(c * math.log(p[k][g]) for g, c in enumerate(counts)) for k in range(len(p))]
+    chosen = [max(range(len(p)), key=lambda k: alone[k])]
+    best, share = alone[chosen[0]], [1.0]
+    while len(chosen) < len(p):
+        value, new, mine = max((fitted([*chosen, k])[0], k, fitted([*chosen, k])[1]) for k in range(len(p)) if k not in chosen)
+        if value - best <= language_id.PENALTY * math.log(n + 1):
+            break
+        best, share, chosen = value, mine, [*chosen, new]
+    return dict(zip(chosen, share, strict=True))
+
+
+def test_language_mixtures_equal_plain_python(spark):
+    """Six related languages, texts of one to three of them: the same model, sets and shares as without any shortcut."""
+    rng = np.random.default_rng(4)
+    stock = ["".join(rng.choice(list("abcdeé"), 4)) for _ in range(60)]
+    weights = [rng.dirichlet(np.full(60, 0.5)) for _ in range(6)]
+    write = lambda k, n: " ".join(rng.choice(stock, n, p=weights[k]))
+    train = [(f"l{k}", write(k, 400)) for k in range(6)] + [(None, "x"), ("l0", None)]
+    langs, model = language_id.learn(spark.createDataFrame(train, "lang string, text string"))
+    counts = {k: plain_grams(t) for k, t in train if k and t}
+    assert langs == sorted(counts)
+    for k, lang in enumerate(langs):
+        total = sum(counts[lang].values()) + 0.5 * language_id.BUCKETS
+        assert all(abs(model[b, k] - (n + 0.5) / total) < 1e-15 for b, n in counts[lang].items())
+    texts = [" ".join(write(k, int(rng.integers(5, 200))) for k in rng.choice(6, int(rng.integers(1, 4)), replace=False)) for _ in range(40)]
+    got = language_id.shares_of(pa.array(texts), model)
+    several = 0
+    for text, share in zip(texts, got, strict=True):
+        grams = plain_grams(text)
+        want = plain_mixture([[model[b, k] for b in grams] for k in range(6)], list(grams.values()))
+        assert set(np.flatnonzero(share).tolist()) == set(want) and all(abs(share[k] - s) < 1e-9 for k, s in want.items())
+        several += len(want) > 1
+    assert several > 5
+
+
+def test_texts_without_a_letter_are_und(spark):
+    docs = frame(spark, [(1, "½ ²³ 12"), (2, "٣ _"), (3, "ª"), (4, "日本")])
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, ["xx"], np.full((language_id.BUCKETS, 1), 1 / language_id.BUCKETS)).collect()}
+    assert got == {1: "und", 2: "und", 3: "xx", 4: "xx"}
 
 
 def test_quality_of_held_out_documents(spark):
