@@ -16,10 +16,8 @@ from panelspark.llm.common import fields, needs, slices, utf8, without
 
 #: Hashed words, and the greatest number of rated documents that the regression is fitted on.
 BUCKETS, MOST_ROWS = 1 << 18, 20_000
-#: Rated documents that must hold a bucket before it has a weight.
-LEAST = 15
 #: Full gradient steps, their size, and the weight of the squared weights.
-STEPS, RATE, RIDGE = 250, 0.05, 5e-4
+STEPS, RATE, RIDGE = 250, 0.05, 3e-4
 #: Letters and digits, or signs: each is a word.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+").findall
 
@@ -60,10 +58,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds t of P(grade <= k) = sigmoid(t[k] - f), f the sum of the buckets' weights, by Adam
-    on the whole likelihood with a ridge. A text's length does not dilute a word's weight, and buckets that
-    few texts hold have none."""
-    common = np.bincount(np.concatenate(rows), minlength=BUCKETS) >= LEAST
-    rows = [x[common[x]] for x in rows]
+    on the whole likelihood with a ridge, which also keeps the weights of rare buckets small. A text's length does
+    not dilute a word's weight."""
     size = np.array([len(x) for x in rows])
     index, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
     # Parameters: weights, the first threshold, and logarithms of the steps to the others.
@@ -91,25 +87,26 @@ def thresholds(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, ratings: DataFrame, most: int) -> DataFrame:
-    """(text, grade) of at most `most` rated documents, those whose id hashes least. Null ids, texts and grades have no part."""
+    """(doc_id, text, grade) of rated documents, of at most `most` ids, those that hash least. Null ids, texts and grades have no part."""
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # At most `most` rows, so they may be broadcast.
-    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
 
 
 def learn(docs: DataFrame, ratings: DataFrame, grades: int, most: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from ratings (doc_id, grade in 0..grades-1); of several grades of one id the least holds.
 
-    Words are hashed where the texts are; only a bounded sample of lists of buckets meets in the one task that fits.
-    Without rated texts all weights are 0 and all grades equally likely. Rows with an id of a rated
-    text each count.
+    Words are hashed where the texts are; only lists of distinct buckets, `most` of them at most whatever ids repeat,
+    meet in the one task that fits: rows with the least hashes of their id, then of their buckets. Texts are taken whole;
+    an empty text has the buckets of its style. Without rated texts all weights are 0 and all grades equally likely.
+    Rows with an id of a rated text each count.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(hashed(batch, known), pa.list_(pa.int32())), batch.column("grade").cast(pa.int32())], names=["buckets", "grade"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashed(batch, known), pa.list_(pa.int32())), batch.column("grade").cast(pa.int32())], names=["doc_id", "buckets", "grade"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, grade = [], []
@@ -122,7 +119,9 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int, most: int = MOST_ROW
             weights, cuts = fit([rows[i] for i in order], np.array([grade[i] for i in order]), grades)
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([cuts.tobytes()])], names=["weights", "cuts"])
 
-    table = sample(docs, ratings.where(f"grade >= 0 and grade < {grades}"), most).mapInArrow(features, "buckets array<int>, grade int")
+    rated = sample(docs, ratings.where(f"grade >= 0 and grade < {grades}"), most)
+    table = rated.mapInArrow(features, T.StructType([rated.schema["doc_id"], T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("grade", T.IntegerType())]))
+    table = table.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("buckets"), "grade").limit(most).select("buckets", "grade")
     got = table.repartition(1).mapInArrow(fitted, "weights binary, cuts binary").collect()
     if not got:
         share = np.arange(1, grades) / grades
@@ -133,7 +132,8 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int, most: int = MOST_ROW
 def grade(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> DataFrame:
     """docs with expected_grade and tails, the array of P(grade >= 1), P(grade >= 2), ...
 
-    A null text is graded as an empty one. Repeated rows stay; columns of docs with these names are replaced.
+    A null text is graded as an empty one, a text of any length whole. Rows with equal texts have equal grades;
+    repeated rows stay; an empty table stays empty; columns of docs with these names are replaced.
     """
     needs(docs, "text")
     added = [("expected_grade", T.DoubleType()), ("tails", T.ArrayType(T.DoubleType()))]

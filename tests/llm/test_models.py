@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -194,5 +195,65 @@ def test_ordinal_fit_recovers_order_and_hard_rows(spark):
     none = quality_classifier.learn(docs, ratings.limit(0), 3)
     assert {round(r.expected_grade, 6) for r in quality_classifier.grade(docs, *none).collect()} == {1.0}
     assert quality_classifier.sample(docs, ratings, 10).count() == 10
+    twice = spark.range(1000).selectExpr("id % 2 doc_id", "concat('w', id) text")
+    one = quality_classifier.learn(twice, ratings.where("doc_id < 2"), 3, most=1)
+    assert one[0].any() and np.count_nonzero(one[0]) <= 5  # one row of five buckets at most
     batch = pa.RecordBatch.from_pydict({"text": ["A a", None]})
     assert len(quality_classifier.hashed(batch, {})) == 2
+
+
+def plain_buckets(text):
+    """Distinct buckets of a text's words and style, from its characters."""
+    text = (text or "").encode()
+    words = {m.lower() for m in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", text)}
+    w = text.split()
+    n = max(1, len(w))
+    shares = [("capitals", sum(x.isupper() for x in w) / n), ("again", sum(a == b for a, b in zip(w, w[1:])) / n), ("signs", sum(c in b"#*$%&|<>" for c in text) / n), ("distinct", len(set(w)) / n)]
+    style = [b"\x00" + f"{k}{min(10, int(10 * v + 0.999))}".encode() for k, v in shares]
+    return {zlib.crc32(x) % quality_classifier.BUCKETS for x in [*words, *style]}
+
+
+def plain_fit(rows, grade, grades):
+    """The same ascent, a row at a time, with probabilities of each grade written out."""
+    used = sorted(set().union(*rows))
+    n, sig = len(rows), lambda x: 1 / (1 + math.exp(-x))
+    share = [(sum(g <= k for g in grade) + k + 1) / (n + grades) for k in range(grades - 1)]
+    start = [math.log(s / (1 - s)) for s in share]
+    x = {**{b: 0.0 for b in used}, "t0": start[0], **{f"s{k}": math.log(max(start[k] - start[k - 1], 1e-2)) for k in range(1, grades - 1)}}
+    m, v = dict.fromkeys(x, 0.0), dict.fromkeys(x, 0.0)
+    cuts = lambda: [x["t0"] + sum(math.exp(x[f"s{j}"]) for j in range(1, k + 1)) for k in range(grades - 1)]
+    for step in range(1, quality_classifier.STEPS + 1):
+        t, d = cuts(), dict.fromkeys(x, 0.0)
+        for row, g in zip(rows, grade, strict=True):
+            f = sum(x[b] for b in row)
+            high, low = (sig(t[g] - f) if g < grades - 1 else 1.0), (sig(t[g - 1] - f) if g else 0.0)
+            up, down = high * (1 - high) / (high - low) / n, low * (1 - low) / (high - low) / n
+            for b in row:
+                d[b] += up - down
+            for k, slope in ((g, -up), (g - 1, down)):
+                if 0 <= k < grades - 1:
+                    d["t0"] += slope
+                    for j in range(1, k + 1):
+                        d[f"s{j}"] += slope * math.exp(x[f"s{j}"])
+        for k in x:
+            slope = d[k] + (quality_classifier.RIDGE * x[k] if k in used else 0)
+            m[k], v[k] = 0.9 * m[k] + 0.1 * slope, 0.99 * v[k] + 0.01 * slope * slope
+            x[k] -= quality_classifier.RATE * (m[k] / (1 - 0.9**step)) / (math.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+    return {b: x[b] for b in used}, cuts()
+
+
+def test_quality_classifier_equals_plain_python(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["bad", "Fair", "good!", "é", "a", "b", "C"], int(rng.integers(1, 9)))) for _ in range(60)]
+    grade = [sum(w in t for w in ("good", "Fair")) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratings = spark.createDataFrame(list(enumerate(grade)), "doc_id long, grade int")
+    weights, cuts = quality_classifier.learn(docs, ratings, 3)
+    rows = [plain_buckets(t) for t in texts]
+    want, want_cuts = plain_fit(rows, grade, 3)
+    assert all(abs(weights[b] - w) < 1e-4 for b, w in want.items()) and np.count_nonzero(weights) <= len(want)
+    assert np.allclose(cuts, want_cuts, atol=1e-4)
+    for r in quality_classifier.grade(frame(spark, [*enumerate(texts), *HARD]), weights, cuts).collect():
+        f = sum(float(weights[b]) for b in plain_buckets(r.text))
+        tails = [1 - 1 / (1 + math.exp(-(c - f))) for c in want_cuts]
+        assert abs(r.expected_grade - sum(tails)) < 1e-3 and np.allclose(r.tails, tails, atol=1e-3)
