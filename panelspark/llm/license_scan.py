@@ -1,4 +1,4 @@
-"""License scans: TF-IDF cosine of lines and whole files to templates, then inheritance from the nearest directory."""
+"""License scans: TF-IDF cosine of header lines and licence files to templates, then inheritance from the nearest directory."""
 
 from __future__ import annotations
 
@@ -9,23 +9,59 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import needs, without, written
 
-#: A licence's usual notices, each as one line of text.
-TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+#: The notices that state a licence in a header, by licence.
+NOTICES = {
+    "MIT": [
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
     "All-Rights-Reserved": ["All rights reserved."],
 }
-#: Cosines from which a line is a licence header, and a whole file is a licence file.
-HEADER, FILE = 0.75, 0.5
+#: Whole licence texts, without the holder's line.
+TEXTS = {
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ],
+}
+#: Licences whose notice stands beside others' as well: they hold only where no other is stated, and make no licence file.
+WEAK = ("All-Rights-Reserved",)
+#: Cosines from which a run of lines is a licence header, and a whole text is a licence file.
+HEADER, FILE = 0.75, 0.85
+#: Lines of the longest run, and the share of its words that each line of a run of two or more has from the templates.
+RUN, SHARE = 8, 0.6
 
 #: SQL: words of a lower-cased string: runs of letters and digits, with dots inside numbers.
 WORDS = r"regexp_extract_all(lower({}), '[0-9]+([.][0-9]+)*|[\\p{{L}}\\p{{N}}]+', 0)"
+TEXT = "coalesce(text, '')"
+#: SQL: lines that hold a letter or digit.
+LINES = r"filter(split(text, '\n'), l -> l rlike '[\\p{L}\\p{N}]')"
+
+
+def quoted(words: list[str]) -> str:
+    return "array(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -33,95 +69,103 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def quoted(words: list[str]) -> str:
-    return "array(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
-
-
 class Model:
-    """Templates as TF-IDF vectors of length 1, over the words of all templates.
+    """Templates as TF-IDF vectors of length 1; n files, df of them with a word of the templates.
 
-    n is the number of lines that weights were learned from and df, for the templates' words, how many lines hold
-    each; every other word counts as in no line, so it weighs most and draws a line away from the templates.
+    Notices come first, then whole texts; `licences` names each template's licence.
     """
 
-    def __init__(self, templates: dict[str, list[str]], vectors: list[tuple[str, int, dict[str, int]]], df: dict[str, int], n: int):
-        self.vocabulary = sorted({w for _, _, v in vectors for w in v})
-        self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in self.vocabulary}
-        self.unknown = math.log(1 + n) + 1
-        self.templates = []
-        for name, _, counts in vectors:
-            raw = {w: c * self.idf[w] for w, c in counts.items()}
+    def __init__(self, notices: list[tuple[str, dict[str, int]]], texts: list[tuple[str, dict[str, int]]], df: dict[str, int], n: int):
+        self.n, self.licences, self.notices = n, [name for name, _ in [*notices, *texts]], len(notices)
+        self.vectors = []
+        for _, counts in [*notices, *texts]:
+            raw = {w: c * (math.log((1 + n) / (1 + df.get(w, 0))) + 1) for w, c in counts.items()}
             norm = math.sqrt(sum(x * x for x in raw.values()))
-            self.templates.append((name, {w: x / norm for w, x in raw.items()}))
+            self.vectors.append({w: x / norm for w, x in raw.items()})
+        self.vocabulary = sorted({w for v in self.vectors for w in v})
 
-    def telling(self, least: float) -> list[str]:
-        """Words of which a line must hold one to reach the cosine `least` with any template: by Cauchy's
-        inequality the words that it shares with a template must have squared weights of at least least**2."""
+    def telling(self, header: float, whole: float) -> list[str]:
+        """Words of which a text must hold one to reach its threshold with any template: by Cauchy's inequality
+        the words shared with a template must have squared weights of at least the threshold's square."""
         out = set()
-        for _, v in self.templates:
-            rest = 0.0
+        for k, v in enumerate(self.vectors):
+            least, rest = min(header, whole) if k < self.notices else whole, 0.0
             for w, x in sorted(v.items(), key=lambda p: (p[1], p[0])):
                 rest += x * x
                 if rest >= least * least - 1e-9:
                     out.add(w)
         return sorted(out)
 
-    def cosines(self, words: str) -> str:
-        """SQL: array of structs (score, licence), one for each template, for an array of words."""
-        known = quoted(self.vocabulary)
-        weights = "map(" + ", ".join(f"'{w}', {self.idf[w]!r}D" for w in self.vocabulary) + ")"
-        count = "transform(array_distinct(w), x -> struct(x as x, size(filter(w, y -> y = x)) as n))"
-        weighed = f"transform({count}, c -> struct(c.x as x, c.n * coalesce(if(array_contains({known}, c.x), element_at({weights}, c.x), null), {self.unknown!r}D) as v))"
-        norm = "sqrt(aggregate(v, 0D, (a, c) -> a + c.v * c.v))"
-        dots = []
-        for name, vector in self.templates:
-            m = "map(" + ", ".join(f"'{w}', {x!r}D" for w, x in sorted(vector.items())) + ")"
-            dots.append(f"struct(round(aggregate(v, 0D, (a, c) -> a + c.v * coalesce(try_element_at({m}, c.x), 0D)) / {norm}, 9) as score, '{name}' as licence)")
-        return let("w", words, let("v", weighed, "array(" + ", ".join(dots) + ")"))
-
-
-def template_vectors(spark, templates: dict[str, list[str]]) -> list[tuple[str, int, dict[str, int]]]:
-    """(licence, number, words with counts) of each template; words are those that the files' lines have."""
+    def table(self, spark) -> DataFrame:
+        """(word, weights): for each word of the templates its weight in each; one literal, as large as the parameter."""
+        rows = ", ".join(f"struct('{w}' as word, array({', '.join(repr(v.get(w, 0.0)) + 'D' for v in self.vectors)}) as weights)" for w in self.vocabulary)
+        return spark.range(1).select(F.explode(F.expr(f"array({rows})")).alias("t")).select("t.*")
+
+
+def template_words(spark, templates: dict[str, list[str]]) -> list[tuple[str, dict[str, int]]]:
+    """(licence, words with counts) of each template; words are those that the files' lines have."""
     rows = [(name, k, text) for name, texts in templates.items() for k, text in enumerate(texts)]
+    if not rows:
+        return []
     # One literal row for each template of the parameter, never data.
     table = F.expr("array(" + ", ".join("struct('{}' as licence, {} as k, '{}' as text)".format(n, k, t.replace("\\", "\\\\").replace("'", "\\'")) for n, k, t in rows) + ")")
     words = spark.range(1).select(F.explode(table).alias("t")).select("t.licence", "t.k", F.explode(F.expr(WORDS.format("t.text"))).alias("word"))
     out: dict[tuple[str, int], dict[str, int]] = {}
     for r in words.groupBy("licence", "k", "word").count().orderBy("licence", "k", "word").collect():
         out.setdefault((r.licence, r.k), {})[r.word] = r["count"]
-    return [(name, k, v) for (name, k), v in out.items()]
+    return [(name, v) for (name, _), v in out.items()]
+
 
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """(word, df): in how many files each word occurs, whatever word it is; '' counts the files. Written."""
+    words = files.select(F.explode(F.expr(f"array_append(array_distinct({WORDS.format(TEXT)}), '')")).alias("word"))
+    return written(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
 
-def learn(lines: DataFrame, templates: dict[str, list[str]]) -> Model:
-    """Document frequencies of the templates' words over all lines; what reaches the driver is one row of sums,
-    as wide as the templates have words."""
-    vectors = template_vectors(lines.sparkSession, templates)
-    vocabulary = sorted({w for _, _, v in vectors for w in v})
-    held = lines.select(F.explode(F.expr(f"array_append(array_intersect({WORDS.format('line')}, {quoted(vocabulary)}), '')")).alias("word"))
-    counts = {r.word: r["count"] for r in held.groupBy("word").count().collect()}
-    return Model(templates, vectors, counts, counts.get("", 0))
 
+def pieces(near: DataFrame, vocabulary: list[str], telling: list[str]) -> DataFrame:
+    """(path, _row, piece, words): whole texts (piece -1) and runs of lines of the files `near` (path, _row, text).
 
-def best(column: str) -> str:
-    """SQL: the struct (score, licence) of the best cosine; of equal ones the licence that sorts first."""
-    return f"array_sort({column}, (a, b) -> case when a.score <> b.score then if(a.score > b.score, -1, 1) when a.licence < b.licence then -1 when a.licence > b.licence then 1 else 0 end)[0]"
+    A run is one line that holds a telling word, or two to RUN consecutive ones of which one does and each has
+    at least SHARE of its words from the templates, as the lines of a wrapped notice have.
+    """
+    known, told = quoted(vocabulary), quoted(telling)
+    lines = f"transform({LINES}, l -> {let('w', WORDS.format('l'), f'struct(w as w, arrays_overlap(w, {told}) as told, size(filter(w, x -> array_contains({known}, x))) >= {SHARE}D * size(w) as dense)')})"
+    each = near.select("path", "_row", "text", F.expr(lines).alias("lines"))
+    run = "slice(lines, i + 1, k)"
+    reach = f"sequence(1, least({RUN}, size(lines) - i))"
+    runs = f"flatten(transform(sequence(0, size(lines) - 1), i -> transform(filter({reach}, k -> exists({run}, x -> x.told) and (k = 1 or forall({run}, x -> x.dense))), k -> flatten(transform({run}, x -> x.w)))))"
+    every = f"array_insert(case when size(lines) = 0 then cast(array() as array<array<string>>) else {runs} end, 1, {WORDS.format('text')})"
+    return each.select("path", "_row", F.posexplode(F.expr(every)).alias("piece", "words")).withColumn("piece", F.col("piece") - 1)
 
 
-def scanned(files: DataFrame, templates: dict[str, list[str]], header: float, whole: float) -> DataFrame:
+def scanned(files: DataFrame, notices: dict[str, list[str]], texts: dict[str, list[str]], header: float, whole: float) -> DataFrame:
     """(path, _row, licence, score, is_file) of the files that state a licence themselves."""
+    spark = files.sparkSession
     keyed = files.select("path", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), F.col("text"))
-    lines = keyed.select(F.explode(F.expr(r"filter(split(text, '\n'), l -> l rlike '[\\p{L}\\p{N}]')")).alias("line"))
-    model = learn(lines, templates)
-    telling = quoted(model.telling(min(header, whole)))
-    near = keyed.where(F.expr(f"arrays_overlap({WORDS.format('text')}, {telling})"))
-    one = near.select("path", "_row", F.expr(best(model.cosines(WORDS.format("text")))).alias("all"), F.expr(r"filter(split(text, '\n'), l -> l rlike '[\\p{L}\\p{N}]')").alias("lines"))
-    candidates = one.withColumn("lines", F.expr(f"filter(lines, l -> arrays_overlap({WORDS.format('l')}, {telling}))"))
-    each = candidates.select("path", "_row", "all", F.explode_outer("lines").alias("line"))
-    scored = each.select("path", "_row", "all", F.expr(best(model.cosines(WORDS.format("coalesce(line, '')")))).alias("own"))
-    # struct maxima compare scores first; the licence that sorts last wins a tie between lines, as defined below
-    top = scored.groupBy("path", "_row").agg(F.max("own").alias("own"), F.max("all").alias("all"))
-    states = f"own.score >= {header!r} or all.score >= {whole!r}"
-    return top.where(states).select("path", "_row", F.expr(f"if(own.score >= {header!r}, own, all)").alias("s"), F.expr(f"all.score >= {whole!r}").alias("is_file")).select("path", "_row", "s.licence", "s.score", "is_file")
+    frequency = document_frequencies(files)
+    vectors = template_words(spark, notices), template_words(spark, texts)
+    vocabulary = sorted({w for part in vectors for _, v in part for w in v})
+    df = {r.word: r.df for r in frequency.where(F.col("word").isin(["", *vocabulary])).collect()}
+    model = Model(*vectors, df, df.get("", 0))
+    telling = model.telling(header, whole)
+    near = keyed.where(F.expr(f"arrays_overlap({WORDS.format('text')}, {quoted(telling)})"))
+    # Rows equal in path and text are one file.
+    near = near.groupBy("path", "_row").agg(F.first("text").alias("text"))
+    found = written(pieces(near, model.vocabulary, telling).where(F.size("words") > 0).withColumn("id", F.xxhash64("path", "piece")))
+    counted = found.select("_row", "id", F.explode("words").alias("word")).groupBy("_row", "id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    idf = frequency.select("word", (F.log((1 + F.lit(model.n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    # The templates are a parameter, so their table may be broadcast.
+    weighed = counted.join(idf, "word").join(F.broadcast(model.table(spark)), "word", "left").withColumn("x", F.col("tf") * F.col("idf"))
+    dots = [F.sum(F.expr(f"coalesce(x * weights[{k}], 0D)")).alias(f"d{k}") for k in range(len(model.licences))]
+    sums = weighed.groupBy("_row", "id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
+    scores = ", ".join(f"struct(round(d{k} / norm, 9) as score, {k} as template, '{n}' as licence, {'true' if n in WEAK else 'false'} as weak)" for k, n in enumerate(model.licences))
+    scored = found.select("path", "_row", "piece", "id").join(sums, ["_row", "id"]).select("path", "_row", "piece", F.expr(f"array({scores})").alias("s"))
+    # Runs of lines are compared to notices, whole texts to all templates.
+    stated = f"filter(s, x -> case when piece < 0 then x.score >= {whole!r} else x.template < {model.notices} and x.score >= {header!r} end)"
+    each = scored.select("path", "_row", "piece", F.explode(F.expr(stated)).alias("s"))
+    whole_first = F.expr("struct(not s.weak as strong, piece < 0 as is_file, s.score as score, s.licence as licence)")
+    top = each.groupBy("path", "_row").agg(F.max(whole_first).alias("s"))
+    return top.select("path", "_row", "s.licence", "s.score", F.expr("s.is_file and s.strong").alias("is_file"))
 
 
 def directory(path: str) -> str:
@@ -129,20 +173,25 @@ def directory(path: str) -> str:
     return f"regexp_replace({path}, '/?[^/]*$', '')"
 
 
-def licences(files: DataFrame, templates: dict[str, list[str]] | None = None, header: float = HEADER, whole: float = FILE) -> DataFrame:
+def licences(files: DataFrame, notices: dict[str, list[str]] | None = None, texts: dict[str, list[str]] | None = None, header: float = HEADER, whole: float = FILE) -> DataFrame:
     """files (path, text, ...) with licence, how ('header', 'inherited' or 'none'), score and licence_path.
 
-    A file states a licence if one of its lines has a TF-IDF cosine of `header` or more to a template, or its whole
-    text one of `whole` or more; of several lines the best holds, of equal ones the licence that sorts last. Files whose whole text
-    reaches `whole` are licence files: every other file without a statement takes the licence of the nearest
-    directory upwards, its own first, that has one; of several there the best score, then the smallest path.
-    Weights come from all lines of all files. A null or empty text states nothing but inherits; a null path
-    is a file in no directory. Rows equal in path and text are one file, and each stays a row. Only built-in functions.
+    A file whose whole text has a TF-IDF cosine of `whole` or more to a notice or a licence text is a licence file and
+    states that licence. Any other file states a licence if a run of its lines (see `pieces`) has one of
+    `header` or more to a notice. A whole text decides before runs, of several the best score holds, of equal ones the
+    licence that sorts last; the licences in WEAK hold only if no other is stated. Every file without a statement
+    takes the licence of the nearest directory upwards, its own first, that has a licence file; of several there
+    the best score, then the smallest path.
+
+    Each word weighs by the share of all files that hold it, so equal shares give equal verdicts at every size. A null,
+    empty or wordless text states nothing but inherits; a null path is a file in no directory; a text of any
+    length is taken whole. Rows equal in path and text are one file, and each stays a row; an empty table stays
+    empty; columns of files with the names of outputs are replaced. Only built-in functions.
     """
     needs(files, "path", "text")
     added = ["licence", "how", "score", "licence_path"]
-    files = without(files, [*added, "_ps_row", "_ps_dir"])
-    stated = written(scanned(files, TEMPLATES if templates is None else templates, header, whole))
+    files = without(files, [*added, "_ps_row", "_ps_dir", "_ps_path", "_ps_hash", "_ps_own", "_ps_own_score"])
+    stated = written(scanned(files, NOTICES if notices is None else notices, TEXTS if texts is None else texts, header, whole))
     sources = stated.where("is_file and path is not null").select(F.expr(directory("path")).alias("dir"), "licence", "score", "path")
     order = F.struct(-F.col("score"), F.col("path"))
     sources = sources.groupBy("dir").agg(F.min_by("licence", order).alias("licence"), F.max("score").alias("score"), F.min_by("path", order).alias("licence_path"))

@@ -2,8 +2,10 @@
 
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,37 +17,37 @@ from panelspark.llm import language_id, license_scan, quality_classifier, querie
 SF = "/root/testdata/sf0.01"
 
 
-def brute_licences(files, templates, header, whole):
+def brute_licences(files, notices, texts, header, whole):
     def tokens(x):
         return re.findall(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+", (x or "").lower())
 
-    def lines_of(t):
-        return [x for x in (t or "").split("\n") if re.search(r"[^\W_]", x)]
-
-    vocabulary = {w for texts in templates.values() for t in texts for w in tokens(t)}
-    lines = [x for _, t in files for x in lines_of(t)]
-    df = Counter(w for x in lines for w in set(tokens(x)) & vocabulary)
-    n = len(lines)
+    n, df = len(files), Counter(w for _, t in files for w in set(tokens(t)))
 
     def vector(words):
         v = {w: c * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()}
 
-    models = [(name, vector(tokens(t))) for name, texts in templates.items() for t in texts]
+    templates = [(name, k, vector(tokens(t))) for k, group in enumerate((notices, texts)) for name, many in group.items() for t in many]
+    vocabulary = {w for _, _, m in templates for w in m}
 
-    def best(text):
-        v = vector(tokens(text)) if tokens(text) else {}
-        got = [(round(sum(x * m.get(w, 0) for w, x in v.items()), 9), name) for name, m in models]
-        top = max(s for s, _ in got)
-        return top, min(name for s, name in got if s == top)
+    def scores(words):
+        v = vector(words)
+        return [(round(sum(x * m.get(w, 0) for w, x in v.items()), 9), name, k) for name, k, m in templates]
 
     own = {}
     for f in set(files):
-        score, name = max((best(x) for x in lines_of(f[1])), default=(0, ""))
-        all_score, all_name = best(f[1])
-        if score >= header or all_score >= whole:
-            own[f] = ((name, score) if score >= header else (all_name, all_score), all_score >= whole)
+        lines = [tokens(x) for x in (f[1] or "").split("\n") if re.search(r"[^\W_]", x)]
+        dense = [sum(w in vocabulary for w in x) >= license_scan.SHARE * len(x) for x in lines]
+        found = [(name not in license_scan.WEAK, True, s, name) for s, name, _ in scores(tokens(f[1])) if s >= whole]
+        for i in range(len(lines)):
+            for k in range(1, min(license_scan.RUN, len(lines) - i) + 1):
+                if k == 1 or all(dense[i : i + k]):
+                    run = [w for x in lines[i : i + k] for w in x]
+                    found += [(name not in license_scan.WEAK, False, s, name) for s, name, group in scores(run) if not group and s >= header]
+        if found:
+            strong, is_file, score, name = max(found)
+            own[f] = ((name, score), is_file and strong)
     sources = {}
     for (path, _), ((name, score), is_file) in own.items():
         if is_file and path is not None:
@@ -74,12 +76,51 @@ def test_license_scan_equals_plain_python(spark):
     got = license_scan.licences(df)
     assert got.columns == ["path", "text", "licence", "how", "score", "licence_path"]
     rows = sorted(((r.path, r.licence, r.how, None if r.score is None else round(r.score, 6), r.licence_path) for r in got.collect()), key=str)
-    want = brute_licences(files, license_scan.TEMPLATES, license_scan.HEADER, license_scan.FILE)
+    want = brute_licences(files, license_scan.NOTICES, license_scan.TEXTS, license_scan.HEADER, license_scan.FILE)
     assert rows == sorted(((p, n, h, None if s is None else round(s, 6), q) for p, n, h, s, q in want), key=str)
     assert {r[2] for r in rows} == {"header", "inherited", "none"}
     assert license_scan.licences(df.limit(0)).count() == 0
 
 
+def installed(name):
+    """The licence file of an installed package, if there is one."""
+    found = [p for p in Path(np.__file__).parents[1].glob(f"{name}-*.dist-info/**/LICEN*") if p.is_file()]
+    return found[0].read_text() if found else None
+
+
+def wrapped(text, width, mark):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_real_licence_files_and_wrapped_notices(spark):
+    """Whole licences as projects hold them, notices wrapped in comments, and lines with words beside the notice, among
+    other files in two numbers: the same licences are found in both."""
+    notices = license_scan.NOTICES
+    cases = {
+        "py/a.py": (wrapped(notices["GPL-3.0"][2], 72, "# ") + "\n\nimport os\n", "GPL-3.0"),
+        "c/a.c": ("/*\n" + wrapped(notices["Apache-2.0"][1], 60, " * ") + "\n */\nint main() {}\n", "Apache-2.0"),
+        "c/b.c": (wrapped(notices["MIT"][2], 50, "// "), "MIT"),
+        "c/c.c": ("Copyright (c) 2021 Jane Doe. All rights reserved.\n" + wrapped(notices["BSD-3-Clause"][1], 70, "") + ":\nAll rights reserved.", "BSD-3-Clause"),
+        "md/a.md": ("# A tool\nThis project is released under the MIT License.\nIt runs.", "MIT"),
+        "md/b.md": ("Some notes\nAll rights reserved.\nmore notes", "All-Rights-Reserved"),
+        "no/a": ("The licence of the software is in the conditions of the contract of any person.", None),
+        "gone/LICENSE": ("MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(license_scan.TEXTS["MIT"][0], 78, ""), "MIT"),
+        "gone/src/deep/x.c": ("int x;", "MIT"),
+        "weak/LICENSE": ("All rights reserved.", "All-Rights-Reserved"),
+        "weak/x.c": ("int x;", None),
+    }
+    for name, licence in (("pytest", "MIT"), ("tiktoken", "MIT"), ("pandas", "BSD-3-Clause"), ("psutil", "BSD-3-Clause")):
+        text = installed(name)
+        if text:
+            cases[f"pkg-{name}/LICENSE"] = (text, licence)
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and not lower(text) rlike 'licen[sc]e|rights reserved|public domain'").collect()]
+    for many in (60, 900):
+        rows = [(p, t) for p, (t, _) in cases.items()] + [(f"docs{i}/x", t) for i, t in enumerate(prose[:many])]
+        got = {r.path: (r.licence, r.how) for r in license_scan.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+        assert {p: got[p][0] for p in cases} == {p: x for p, (_, x) in cases.items()}, many
+        assert got["gone/src/deep/x.c"][1] == "inherited"
+
+
 def test_language_of_held_out_documents(spark):
     got = queries.QUERIES["op2_language_id"](spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
