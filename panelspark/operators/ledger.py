@@ -91,3 +91,19 @@ def capacity_curve(weights: DataFrame, adv: DataFrame, net: DataFrame, aum: list
     r = drag.join(net.select("date", "ret"), "date").withColumn("r", F.col("ret") - F.col("drag"))
     s = F.stddev_samp("r")
     return r.groupBy("aum").agg((F.avg("r") * ppy).alias("mean_ret"), F.when(s > 0, F.avg("r") / s * ppy**0.5).alias("sharpe"), F.avg("drag").alias("mean_drag"))
+
+
+def extended_perf(df: DataFrame, ret: str, bench: str, ppy: float, by: tuple[str, ...]) -> DataFrame:
+    """(by..., total, bench_total, excess, annual, info_ratio, hit) of returns beside a benchmark's; nothing for fewer than four rows."""
+    active = F.col(ret) - F.col(bench)
+    total, other = F.product(1 + F.col(ret)), F.product(1 + F.col(bench))
+    facts = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        (total - 1).alias("total"),
+        (other - 1).alias("bench_total"),
+        (total - other).alias("excess"),
+        (F.pow(total, ppy / F.count(F.lit(1))) - 1).alias("annual"),
+        (F.avg(active) / F.stddev_samp(active) * ppy**0.5).alias("info_ratio"),
+        F.avg(F.when(active > 0, 1.0).otherwise(0.0)).alias("hit"),
+    )
+    return facts.where("_n >= 4").drop("_n")

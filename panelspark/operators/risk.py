@@ -7,6 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators import windows
+
 
 def var_historical(r: str, conf: float) -> Column:
     """Loss not exceeded with probability conf, interpolated."""
@@ -32,13 +34,16 @@ def cvar(df: DataFrame, r: str, by: list[str], conf: float) -> DataFrame:
     return q.groupBy(*by).agg(F.coalesce(-F.avg(F.when(F.col(r) <= F.col("_q"), F.col(r))), -F.first("_q")).alias("cvar"))
 
 
-def ratios(r: str, ppy: float, threshold: float = 0.0) -> dict[str, Column]:
-    """Sharpe, sortino and omega (population deviations, 1e-8 under the line)."""
-    down = F.least(F.col(r), F.lit(0.0))
+def ratios(r: str, ppy: float, bench: str, drawdown: str, threshold: float = 0.0) -> dict[str, Column]:
+    """Sharpe, sortino (deviation of the losses alone), omega, calmar and information ratio over a benchmark's
+    returns, with population deviations and 1e-8 under each line."""
+    active = F.col(r) - F.col(bench)
     return {
         "sharpe": F.avg(r) / (F.stddev_pop(r) + 1e-8) * ppy**0.5,
-        "sortino": F.avg(r) / F.sqrt(F.avg(down * down) + 1e-8) * ppy**0.5,
+        "sortino": F.avg(r) / F.sqrt(F.coalesce(F.avg(F.when(F.col(r) < 0, F.col(r) * F.col(r))), F.lit(0.0)) + 1e-8) * ppy**0.5,
         "omega": F.sum(F.greatest(F.col(r) - threshold, F.lit(0.0))) / (F.sum(F.greatest(threshold - F.col(r), F.lit(0.0))) + 1e-8),
+        "calmar": F.avg(r) * ppy / (F.abs(F.min(drawdown)) + 1e-8),
+        "information_ratio": F.avg(active) / (F.stddev_pop(active) + 1e-8) * ppy**0.5,
     }
 
 
@@ -47,12 +52,41 @@ def beta(r: str, bench: str) -> Column:
     return F.covar_samp(r, bench) / (F.var_pop(bench) + 1e-8)
 
 
-def risk_report(df: DataFrame, r: str, by: list[str], ppy: float, confs: list[float]) -> DataFrame:
-    """(by..., metric, value) of all metrics and confidences."""
+def risk_report(df: DataFrame, r: str, bench: str, by: list[str], ppy: float, confs: list[float]) -> DataFrame:
+    """(by..., metric, value): return, volatility, drawdown, shape, ratios, beta, and VaR and CVaR at each confidence.
+
+    One window a series for drawdown and quantiles, then one aggregation; rows without a return have no part.
+    """
     name = lambda m, c: f"{m}_{round(100 * c)}"
-    cols = {name(m, c): f(r, c) for c in confs for m, f in (("var_hist", var_historical), ("var_param", var_parametric), ("var_cf", var_cornish_fisher))}
-    one = df.where(F.col(r).isNotNull()).groupBy(*by).agg(*[v.alias(k) for k, v in (cols | ratios(r, ppy)).items()])
-    return one.unpivot(by, [*cols, *ratios(r, ppy)], "metric", "value")
+    rows = windows.drawdown(df.where(F.col(r).isNotNull()), r, tuple(by))
+    rows = rows.withColumns({name("_q", c): F.percentile(r, F.lit(1 - c)).over(Window.partitionBy(*by)) for c in confs})
+    cols = {
+        "annualized_return": F.avg(r) * ppy,
+        "annualized_vol": F.stddev_pop(r) * ppy**0.5,
+        "max_drawdown": F.min("drawdown"),
+        "skewness": F.skewness(r),
+        "kurtosis": F.kurtosis(r),
+        "beta": beta(r, bench),
+        **ratios(r, ppy, bench, "drawdown"),
+        **{name(m, c): f(r, c) for c in confs for m, f in (("var_hist", var_historical), ("var_param", var_parametric), ("var_cf", var_cornish_fisher))},
+        **{name("cvar", c): F.coalesce(-F.avg(F.when(F.col(r) <= F.col(name("_q", c)), F.col(r))), -F.first(name("_q", c))) for c in confs},
+    }
+    return rows.groupBy(*by).agg(*[v.alias(k) for k, v in cols.items()]).unpivot(by, [*cols], "metric", "value")
+
+
+def value_curve_stats(df: DataFrame, value: str, by: list[str], ppy: float) -> DataFrame:
+    """(by..., total, annualized, sharpe, max_dd, vol, final) of a curve of values by date; n values have n - 1 returns."""
+    w = Window.partitionBy(*by).orderBy("date")
+    rows = df.withColumn("_r", F.col(value) / F.lag(value).over(w) - 1).withColumn("_d", F.col(value) / F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    growth = F.max_by(value, "date") / F.min_by(value, "date")
+    return rows.groupBy(*by).agg(
+        (growth - 1).alias("total"),
+        (F.pow(growth, ppy / F.count("_r")) - 1).alias("annualized"),
+        (F.avg("_r") / (F.stddev_pop("_r") + 1e-8) * ppy**0.5).alias("sharpe"),
+        F.min("_d").alias("max_dd"),
+        (F.stddev_pop("_r") * ppy**0.5).alias("vol"),
+        F.max_by(value, "date").alias("final"),
+    )
 
 
 def path_statistics(paths: DataFrame) -> DataFrame:

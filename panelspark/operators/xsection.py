@@ -65,6 +65,13 @@ def factor_scores(df: DataFrame, factors: list[str], mixed: list[str], group: st
     return df.withColumn("composite", row_mean(*[f"{f}_z" for f in mixed]))
 
 
+def mean_of_zscores(df: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """Df with the z-score of each column, winsorised, as <column>_z, and the mean of those known as `out`."""
+    for c in columns:
+        df = df.withColumn("_w", winsorize(c)).withColumn(f"{c}_z", F.when(F.col("_w").isNotNull(), zscore("_w"))).drop("_w")
+    return df.withColumn(out, row_mean(*[f"{c}_z" for c in columns]))
+
+
 def softmax_topn(df: DataFrame, score: str, n: int, floor: float) -> DataFrame:
     """Weight of the names ranked n or better (ties kept): softmax, at least `floor`, made to sum to 1."""
     top = df.where(F.col(score).isNotNull()).withColumn("_r", F.rank().over(over().orderBy(F.col(score).desc()))).where(F.col("_r") <= n)

@@ -304,11 +304,6 @@ def factor_panel(spark, sf):
     return X.factor_scores(scores(spark, sf), [*FACTORS], ["mom", "low_vol"])
 
 
-@query("x10_factor_scores", sql("select date, asset, round(mom_z, 7) + 0.0 as mom_z, round(low_vol_z, 7) + 0.0 as low_vol_z, round(size_z, 7) + 0.0 as size_z, round(composite, 7) + 0.0 as composite from composite", "composite"))
-def _(spark, sf):
-    return rounded(factor_panel(spark, sf), "date", "asset", d=7, **{c: c for c in ("mom_z", "low_vol_z", "size_z", "composite")})
-
-
 @query("x11_pct_rank", sql(f"select date, asset, round(({q_rank('mom')}) / count(mom) over (partition by date), 8) as rank from scores", "scores"))
 def _(spark, sf):
     return rounded(scores(spark, sf), "date", "asset", rank=X.pct_rank("mom"))

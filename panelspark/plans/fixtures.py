@@ -69,6 +69,23 @@ def eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarters(spark, sf_dir).select("asset", F.expr(FILED).alias("ann_date"), F.expr("revenue / quantity").alias("eps"))
 
 
+FACTS = {
+    "sales": "sum(l_extendedprice * (1 - l_discount))",
+    "gross": "sum(l_extendedprice * (1 - l_discount - l_tax))",
+    "earnings": "sum(case when l_returnflag <> 'R' then l_extendedprice * (1 - l_discount - l_tax) else -l_extendedprice * l_tax end)",
+    "book": "sum(case when l_linestatus = 'F' then l_extendedprice else 0.5 * l_extendedprice end)",
+    "assets": "sum(l_extendedprice)",
+}
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(asset, filed, sales, gross, earnings, book, assets): a supplier's quarter as filed."""
+    lines = table(spark, sf_dir, "lineitem")
+    end = F.date_sub(F.add_months(F.trunc("l_shipdate", "quarter"), 3), 1)
+    total = lines.groupBy(F.col("l_suppkey").alias("asset"), end.alias("period_end")).agg(*[F.expr(e).alias(k) for k, e in FACTS.items()])
+    return total.select("asset", F.expr(FILED).alias("filed"), *FACTS)
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(order_id, asset, filed, owner, shares, price, code, flag): lines of orders as filed transactions."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus")
@@ -120,6 +137,10 @@ CTE: dict[str, tuple[str, str]] = {
     },
     "sector_of": ("", "select s_suppkey as asset, n_regionkey as sector from supplier join nation on s_nationkey = n_nationkey"),
     "quarters": ("", "select l_suppkey as asset, cast(date_trunc('quarter', l_shipdate) + interval 3 month - interval 1 day as date) as period_end, sum(l_extendedprice * (1 - l_discount)) as revenue, cast(sum(l_quantity) as double) as quantity from lineitem group by 1, 2"),
+    "facts": (
+        "",
+        "select asset, period_end + cast(15 + asset % 45 as int) as filed, " + ", ".join(FACTS) + " from (select l_suppkey as asset, cast(date_trunc('quarter', l_shipdate) + interval 3 month - interval 1 day as date) as period_end, " + ", ".join(f"{e} as {k}" for k, e in FACTS.items()) + " from lineitem group by 1, 2)",
+    ),
     "filings": ("quarters", "select asset, period_end, period_end + cast(15 + asset % 45 as int) as filed, '10-Q' as form, revenue as val from quarters union all select asset, period_end, period_end + cast(15 + asset % 45 + 30 as int), '10-Q/A', revenue * 1.01 from quarters where (asset + quarter(period_end)) % 7 = 0"),
     "eps": ("quarters", "select asset, period_end + cast(15 + asset % 45 as int) as ann_date, revenue / quantity as eps from quarters"),
     "purchases": ("", "select o_orderkey as order_id, l_suppkey as asset, cast(o_orderdate as date) as filed, o_custkey as owner, cast(l_quantity as double) as shares, l_extendedprice / l_quantity as price, o_orderstatus as code, l_returnflag as flag from lineitem join orders on l_orderkey = o_orderkey"),

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import clip
+from panelspark.functions.columns import clip, safe_div
 from panelspark.operators import construct as K
 from panelspark.operators import joins as J
 from panelspark.operators import ledger as L
@@ -16,7 +16,7 @@ from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.operators.calendar import calendar
 from panelspark.plans import fixtures as fx
-from panelspark.plans.core import factor_panel, q_rank, ret_d, ret_m, rounded, scores
+from panelspark.plans.core import factor_panel, q_rank, q_winsor, q_z, ret_d, ret_m, rounded, scores
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import query
 from panelspark.plans.research import sleeves, zs
@@ -274,23 +274,57 @@ def _(spark, sf):
     return rounded(df, "asset", "date", score=W.decay_fill("s", 0.85))
 
 
-CTE["fund"] = ("dense_m last_filing", "select d.asset, d.date, d.close, d.volume, f.val from dense_m d asof left join last_filing f on d.asset = f.asset and d.date >= f.filed")
+#: Ratios of the last filed quarter: of the value factor to market value (close times volume), of the quality factor to each other.
+VALUE = {"bp": ("book", "mcap"), "ep": ("earnings", "mcap"), "sp": ("sales", "mcap")}
+QUALITY = {"gpa": ("gross", "assets"), "roe": ("earnings", "book")}
+CTE["fund"] = ("dense_m facts", "select d.asset, d.date, d.close * d.volume as mcap, f.* exclude (asset, filed) from dense_m d asof left join facts f on d.asset = f.asset and d.date >= f.filed")
 
 
-@query("x05_value_factor", sql("select date, asset, round(case when val is not null and close is not null and close * volume <> 0 then val / (close * volume) end, 6) + 0.0 as value from fund", "fund"))
-def _(spark, sf):
-    from panelspark.functions.columns import safe_div
-    from panelspark.plans.events import last_filing
+def q_mean_of_z(ratios: dict[str, tuple[str, str]], out: str) -> str:
+    raw = ", ".join(f"{a} / nullif({b}, 0) as {k}" for k, (a, b) in ratios.items())
+    wins = ", ".join(f"{q_winsor(k)} as {k}_w" for k in ratios)
+    zs_ = ", ".join(f"case when {k}_w is not null then {q_z(k + '_w')} end as {k}_z" for k in ratios)
+    mean = f"({' + '.join(f'coalesce({k}_z, 0)' for k in ratios)}) / nullif({' + '.join(f'({k}_z is not null)::int' for k in ratios)}, 0) as {out}"
+    return f"select *, {mean} from (select *, {zs_} from (select *, {wins} from (select date, asset, {raw} from fund)))"
 
-    df = J.asof_join(fx.dense_m(spark, sf).select("asset", "date", "close", "volume"), last_filing(spark, sf).withColumnRenamed("filed", "date"), ["asset"], "date", ["val"])
-    return rounded(df, "date", "asset", d=6, value=safe_div(F.col("val"), F.col("close") * F.col("volume")))
 
+CTE["value_factor"] = ("fund", q_mean_of_z(VALUE, "value"))
+CTE["quality_factor"] = ("fund", q_mean_of_z(QUALITY, "quality"))
+
+
+def fundamentals(spark, sf):
+    left = fx.dense_m(spark, sf).select("asset", "date", (F.col("close") * F.col("volume")).alias("mcap"))
+    return J.asof_join(left, fx.facts(spark, sf).withColumnRenamed("filed", "date"), ["asset"], "date", [*fx.FACTS])
+
+
+def with_ratios(df, ratios):
+    return df.withColumns({k: safe_div(F.col(a), F.col(b)) for k, (a, b) in ratios.items()})
 
-@query("x06_quality_factor", sql("select date_trunc('quarter', period_end)::date as date, asset, round(revenue / nullif(quantity, 0), 6) as quality from quarters", "quarters"))
-def _(spark, sf):
-    from panelspark.functions.columns import safe_div
 
-    return rounded(fx.quarters(spark, sf).withColumn("date", F.trunc("period_end", "quarter")), "date", "asset", d=6, quality=safe_div(F.col("revenue"), F.col("quantity")))
+for key, ratios, out in (("x05_value_factor", VALUE, "value"), ("x06_quality_factor", QUALITY, "quality")):
+
+    @query(key, sql(f"select date, asset, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in [*[f'{k}_z' for k in ratios], out])} from {out}_factor", f"{out}_factor"))
+    def _(spark, sf, ratios=ratios, out=out):
+        found = X.mean_of_zscores(with_ratios(fundamentals(spark, sf), ratios), [*ratios], out)
+        return rounded(found, "date", "asset", d=6, **{c: c for c in [*[f"{k}_z" for k in ratios], out]})
+
+
+FIVE = ("value", "quality", "mom", "low_vol", "size")
+CTE["five"] = ("scores value_factor quality_factor", "select s.*, v.value, q.quality from scores s left join value_factor v using (date, asset) left join quality_factor q using (date, asset)")
+CTE["five_scores"] = (
+    "five",
+    f"select date, asset, {', '.join(f'{q_z(f"{c}_n")} as {c}_z' for c in FIVE)} from (select *, {', '.join(f'{c}_w - avg({c}_w) over (partition by date, sector) as {c}_n' for c in FIVE)} from (select *, {', '.join(f'{q_winsor(c)} as {c}_w' for c in FIVE)} from five))",
+)
+FIVE_MEAN = f"({' + '.join(f'coalesce({c}_z, 0)' for c in FIVE)}) / nullif({' + '.join(f'({c}_z is not null)::int' for c in FIVE)}, 0)"
+
+
+@query("x10_factor_scores", sql(f"select date, asset, {', '.join(f'round({c}_z, 6) + 0.0 as {c}_z' for c in FIVE)}, round({FIVE_MEAN}, 6) + 0.0 as composite from five_scores", "five_scores"))
+def _(spark, sf):
+    """All five factors, each winsorised and neutralised by sector, and their mean."""
+    both = X.mean_of_zscores(X.mean_of_zscores(with_ratios(fundamentals(spark, sf), VALUE | QUALITY), [*VALUE], "value"), [*QUALITY], "quality")
+    df = scores(spark, sf).join(both.select("date", "asset", "value", "quality"), ["date", "asset"], "left")
+    found = X.factor_scores(df, [*FIVE], [*FIVE])
+    return rounded(found, "date", "asset", d=6, **{c: c for c in [*[f"{c}_z" for c in FIVE], "composite"]})
 
 
 @query("e13_differential_sharpe")

@@ -41,7 +41,6 @@ Z = {c: NormalDist().inv_cdf(1 - c) for c in (0.95, 0.99)}
 CTE["cent"] = ("sleeves", "select strategy, ret, avg(ret) over (partition by strategy) as mu, stddev_pop(ret) over (partition by strategy) as sd from sleeves")
 agg_query("r01_var_historical", {"v95": lambda: R.var_historical("ret", 0.95), "v99": lambda: R.var_historical("ret", 0.99)}, {"v95": "-quantile_cont(ret, 0.05)", "v99": "-quantile_cont(ret, 0.01)"})
 agg_query("r02_var_parametric", {"v95": lambda: R.var_parametric("ret", 0.95)}, {"v95": f"-(avg(ret) + {Z[0.95]!r} * stddev_pop(ret))"})
-agg_query("r05_ratios", {k: (lambda k=k: R.ratios("ret", 12)[k]) for k in ("sharpe", "sortino", "omega")}, {"sharpe": "avg(ret) / (stddev_pop(ret) + 1e-8) * sqrt(12)", "sortino": "avg(ret) / sqrt(avg(pow(least(ret, 0), 2)) + 1e-8) * sqrt(12)", "omega": "sum(greatest(ret, 0)) / (sum(greatest(-ret, 0)) + 1e-8)"})
 
 
 @query("r03_var_cornish_fisher", sql(f"select strategy, round(-(mu + ({Z[0.95]!r} + {(Z[0.95] ** 2 - 1) / 6!r} * s + {(Z[0.95] ** 3 - 3 * Z[0.95]) / 24!r} * k - {(2 * Z[0.95] ** 3 - 5 * Z[0.95]) / 36!r} * s * s) * sd), 6) + 0.0 as v95 from (select strategy, mu, sd, avg(pow((ret - mu) / sd, 3)) as s, avg(pow((ret - mu) / sd, 4)) - 3 as k from cent group by strategy, mu, sd)", "cent"))
@@ -72,10 +71,68 @@ def _(spark, sf):
     return rounded(both.groupBy("strategy").agg(R.beta("ret", "bench").alias("b")), "strategy", d=6, beta="b")
 
 
-@query("r08_risk_report", sql("select strategy, metric, round(value, 6) + 0.0 as value from (select strategy, unnest(['var_hist_95', 'var_hist_99', 'sharpe']) as metric, unnest([-quantile_cont(ret, 0.05), -quantile_cont(ret, 0.01), avg(ret) / (stddev_pop(ret) + 1e-8) * sqrt(12)]) as value from sleeves group by strategy)", "sleeves"))
+#: DuckDB: rows of all sleeves with benchmark, drawdown and the quantiles of each sleeve.
+CTE["risk_rows"] = (
+    "curves bench",
+    "select c.*, bench, avg(ret) over w as mu, stddev_pop(ret) over w as sd, quantile_cont(ret, 0.05) over w as q95, quantile_cont(ret, 0.01) over w as q99 from curves c join bench using (date) window w as (partition by strategy)",
+)
+RATIOS = {
+    "sharpe": "avg(ret) / (stddev_pop(ret) + 1e-8) * sqrt(12)",
+    "sortino": "avg(ret) / sqrt(coalesce(avg(case when ret < 0 then ret * ret end), 0) + 1e-8) * sqrt(12)",
+    "omega": "sum(greatest(ret, 0)) / (sum(greatest(-ret, 0)) + 1e-8)",
+    "calmar": "avg(ret) * 12 / (abs(min(dd)) + 1e-8)",
+    "information_ratio": "avg(ret - bench) / (stddev_pop(ret - bench) + 1e-8) * sqrt(12)",
+}
+SKEW, KURT = "avg(pow((ret - mu) / sd, 3))", "(avg(pow((ret - mu) / sd, 4)) - 3)"
+
+
+def q_fisher(c: float) -> str:
+    z = Z[c]
+    return f"-(avg(ret) + ({z!r} + {(z**2 - 1) / 6!r} * {SKEW} + {(z**3 - 3 * z) / 24!r} * {KURT} - {(2 * z**3 - 5 * z) / 36!r} * {SKEW} * {SKEW}) * stddev_pop(ret))"
+
+
+REPORT = {
+    "annualized_return": "avg(ret) * 12",
+    "annualized_vol": "stddev_pop(ret) * sqrt(12)",
+    "max_drawdown": "min(dd)",
+    "skewness": SKEW,
+    "kurtosis": KURT,
+    "beta": "covar_samp(ret, bench) / (var_pop(bench) + 1e-8)",
+    **RATIOS,
+    **{
+        f"{m}_{round(100 * c)}": e
+        for c in (0.95, 0.99)
+        for m, e in {
+            "var_hist": f"-quantile_cont(ret, {1 - c:.2f})",
+            "var_param": f"-(avg(ret) + {Z[c]!r} * stddev_pop(ret))",
+            "var_cf": q_fisher(c),
+            "cvar": f"-avg(ret) filter (ret <= q{round(100 * c)})",
+        }.items()
+    },
+}
+
+
+def with_bench(df):
+    return df.join(df.groupBy("date").agg(F.avg("ret").alias("bench")), "date")
+
+
+@query("r05_ratios", sql("select strategy, " + ", ".join(f"round({e}, 6) + 0.0 as {k}" for k, e in RATIOS.items()) + " from risk_rows group by strategy", "risk_rows"))
 def _(spark, sf):
-    df = R.risk_report(sleeves(spark, sf), "ret", ["strategy"], 12, [0.95, 0.99])
-    return rounded(df.where("metric in ('var_hist_95', 'var_hist_99', 'sharpe')"), "strategy", "metric", d=6, value="value")
+    rows = W.drawdown(with_bench(sleeves(spark, sf)), "ret", ("strategy",))
+    found = R.ratios("ret", 12, "bench", "drawdown")
+    return rounded(rows.groupBy("strategy").agg(*[v.alias(k) for k, v in found.items()]), "strategy", d=6, **{k: k for k in found})
+
+
+@query(
+    "r08_risk_report",
+    sql(
+        "select strategy, metric, round(value, 6) + 0.0 as value from (select strategy, unnest([" + ", ".join(f"'{k}'" for k in REPORT) + "]) as metric, unnest([" + ", ".join(REPORT.values()) + "]) as value from risk_rows group by strategy)",
+        "risk_rows",
+    ),
+)
+def _(spark, sf):
+    df = R.risk_report(with_bench(sleeves(spark, sf)), "ret", "bench", ["strategy"], 12, [0.95, 0.99])
+    return rounded(df, "strategy", "metric", d=6, value="value")
 
 
 CTE["paths"] = ("", "select vec_id as sim, cast(unnest(generate_series(0, len(embedding) - 1)) as int) as step, cast(unnest(embedding) as double) as ret from embeddings")
@@ -139,12 +196,19 @@ def _(spark, sf):
     return df.select("strategy", "segment", (F.round("total", 6) + 0.0).alias("total"), (F.round("sharpe", 6) + 0.0).alias("sharpe"), "n")
 
 
-@query("a12_extended_perf", sql("select strategy, round(pow(product(1 + ret), 12.0 / count(*)) - 1, 6) + 0.0 as annual, round(avg(ret - bench) / stddev_samp(ret - bench) * sqrt(12), 6) + 0.0 as info_ratio, round(product(1 + ret) - product(1 + bench), 6) + 0.0 as excess from sleeves join bench using (date) group by strategy", "bench"))
+EXTENDED = {
+    "total": "product(1 + ret) - 1",
+    "bench_total": "product(1 + bench) - 1",
+    "excess": "product(1 + ret) - product(1 + bench)",
+    "annual": "pow(product(1 + ret), 12.0 / count(*)) - 1",
+    "info_ratio": "avg(ret - bench) / stddev_samp(ret - bench) * sqrt(12)",
+    "hit": "avg(case when ret > bench then 1.0 else 0.0 end)",
+}
+
+
+@query("a12_extended_perf", sql("select strategy, " + ", ".join(f"round({e}, 6) + 0.0 as {k}" for k, e in EXTENDED.items()) + " from sleeves join bench using (date) group by strategy having count(*) >= 4", "bench"))
 def _(spark, sf):
-    s = sleeves(spark, sf)
-    both = s.join(s.groupBy("date").agg(F.avg("ret").alias("bench")), "date").withColumn("x", F.col("ret") - F.col("bench"))
-    df = both.groupBy("strategy").agg((F.pow(F.product(1 + F.col("ret")), 12.0 / F.count(F.lit(1))) - 1).alias("annual"), (F.avg("x") / F.stddev_samp("x") * 12**0.5).alias("info_ratio"), (F.product(1 + F.col("ret")) - F.product(1 + F.col("bench"))).alias("excess"))
-    return rounded(df, "strategy", d=6, annual="annual", info_ratio="info_ratio", excess="excess")
+    return rounded(L.extended_perf(with_bench(sleeves(spark, sf)), "ret", "bench", 12, ("strategy",)), "strategy", d=6, **{k: k for k in EXTENDED})
 
 
 @query("a15_corr_matrix", sql("select a.strategy as a, b.strategy as b, round(corr(a.ret, b.ret), 6) as corr from sleeves a join sleeves b using (date) group by 1, 2", "sleeves"))
@@ -187,11 +251,20 @@ def _(spark, sf):
     return rounded(m.withColumn("m", F.coalesce(F.last("m", ignorenulls=True).over(w), F.lit(0.0))), "date", market="m")
 
 
-@query("a21_value_curve_stats", sql("select strategy, round(arg_max(eq, date) / arg_min(eq, date) - 1, 6) + 0.0 as total, round(avg(r) / (stddev_pop(r) + 1e-8) * sqrt(12), 6) + 0.0 as sharpe from (select *, eq / lag(eq) over (partition by strategy order by date) - 1 as r from curves) group by strategy", "curves"))
+CURVE = {
+    "total": "arg_max(eq, date) / arg_min(eq, date) - 1",
+    "annualized": "pow(arg_max(eq, date) / arg_min(eq, date), 12.0 / count(r)) - 1",
+    "sharpe": "avg(r) / (stddev_pop(r) + 1e-8) * sqrt(12)",
+    "max_dd": "min(dd)",
+    "vol": "stddev_pop(r) * sqrt(12)",
+    "final": "arg_max(eq, date)",
+}
+
+
+@query("a21_value_curve_stats", sql("select strategy, " + ", ".join(f"round({e}, 6) + 0.0 as {k}" for k, e in CURVE.items()) + " from (select *, eq / lag(eq) over (partition by strategy order by date) - 1 as r from curves) group by strategy", "curves"))
 def _(spark, sf):
-    v = W.drawdown(sleeves(spark, sf), "ret", ("strategy",)).withColumn("r", F.col("equity") / F.lag("equity").over(Window.partitionBy("strategy").orderBy("date")) - 1)
-    df = v.groupBy("strategy").agg((F.max_by("equity", "date") / F.min_by("equity", "date") - 1).alias("total"), (F.avg("r") / (F.stddev_pop("r") + 1e-8) * 12**0.5).alias("sharpe"))
-    return rounded(df, "strategy", d=6, total="total", sharpe="sharpe")
+    curve = W.drawdown(sleeves(spark, sf), "ret", ("strategy",)).select("strategy", "date", "equity")
+    return rounded(R.value_curve_stats(curve, "equity", ["strategy"], 12), "strategy", d=6, **{k: k for k in CURVE})
 
 
 Q_RANK = lambda c: f"rank() over (partition by date, sector order by {c}) + (count(*) over (partition by date, sector, {c}) - 1) / 2.0"

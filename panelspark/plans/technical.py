@@ -6,7 +6,7 @@ from panelspark.operators import indicators as I
 from panelspark.plans import fixtures as fx
 from panelspark.plans.core import rounded
 from panelspark.plans.fixtures import CTE, sql
-from panelspark.plans.registry import query
+from panelspark.plans.registry import ORACLE_SQL, query
 
 D = 6
 CTE["bars"] = ("ohlcv", "select *, row_number() over (partition by asset order by date) as n from ohlcv")
@@ -31,7 +31,14 @@ def steps() -> str:
     from s join moves m on m.asset = s.asset and m.n = s.n + 1)"""
 
 
+#: DuckDB: the expressions of all indicators, over the recursion's rows and over windows.
+RECURSIVE: dict[str, str] = {}
+WINDOWED: dict[str, str] = {}
+
+
 def put_recursive(name: str, expressions: dict[str, str]) -> None:
+    RECURSIVE.update(expressions)
+
     @query(name, steps() + " select asset, date, " + ", ".join(f"round({e}, {D}) + 0.0 as {k}" for k, e in expressions.items()) + " from s")
     def _(spark, sf):
         return rounded(I.recursive_set(fx.ohlcv(spark, sf)), "asset", "date", d=D, **{k: k for k in expressions})
@@ -59,6 +66,8 @@ def full(e: str, n: int) -> str:
 
 
 def put_window(name: str, expressions: dict[str, str], d: int = D) -> None:
+    WINDOWED.update(expressions)
+
     @query(name, sql("select asset, date, " + ", ".join(f"round({e}, {d}) + 0.0 as {k}" for k, e in expressions.items()) + " from tq window w as (partition by asset order by n)", "tq"))
     def _(spark, sf):
         return rounded(I.window_set(fx.ohlcv(spark, sf)), "asset", "date", d=d, **{k: k for k in expressions})
@@ -81,6 +90,15 @@ put_window("t16_pivot", {"pivot": "(lag(tp) over w - close) / close", "r1": "(2
 put_window("t17_donchian", {"don_up": full(f"(max(high) {frame(20)} - close) / close", 20), "don_low": full(f"(min(low) {frame(20)} - close) / close", 20)})
 
 
-@query("t18_indicator_panel", sql("select asset, indicator, count(*) as n from bars, (select unnest(['ema_12', 'ema_26', 'macd', 'macd_hist', 'macd_signal', 'adx', 'rsi_14', 'rsi_28', 'atr', 'keltner_up', 'keltner_low', 'adosc', 'cci', 'stoch_k', 'stoch_d', 'roc_5', 'roc_21', 'mom_14', 'bb_up', 'bb_low', 'bb_width', 'obv_change', 'vwap', 'mfi', 'cmf', 'pivot', 'r1', 's1', 'don_up', 'don_low']) as indicator) group by asset, indicator", "bars"))
+def listed(expressions: dict[str, str], source: str) -> str:
+    names, values = ", ".join(f"'{k}'" for k in expressions), ", ".join(f"cast({e} as double)" for e in expressions.values())
+    return f"select asset, date, unnest([{names}]) as indicator, unnest([{values}]) as value from {source}"
+
+
+ALL = f"""select * from ({steps()} {listed(RECURSIVE, 's')}) union all select * from ({sql(listed(WINDOWED, 'tq window w as (partition by asset order by n)'), 'tq')})
+    union all select asset, date, 'cci', cci from ({ORACLE_SQL['t04_cci']})"""
+
+
+@query("t18_indicator_panel", f"select asset, date, indicator, round(coalesce(last_value(value ignore nulls) over (partition by asset, indicator order by date rows unbounded preceding), 0), 5) + 0.0 as value from ({ALL})")
 def _(spark, sf):
-    return I.indicator_panel(fx.ohlcv(spark, sf)).where("value is not null").groupBy("asset", "indicator").count().withColumnRenamed("count", "n")
+    return rounded(I.indicator_panel(fx.ohlcv(spark, sf)), "asset", "date", "indicator", d=5, value="value")
