@@ -35,12 +35,12 @@ def cvar(df: DataFrame, r: str, by: list[str], conf: float) -> DataFrame:
 
 
 def ratios(r: str, ppy: float, bench: str, drawdown: str, threshold: float = 0.0) -> dict[str, Column]:
-    """Sharpe, sortino (deviation of the losses alone), omega, calmar and information ratio over a benchmark's
+    """Sharpe, sortino (deviation of the losses alone, those beyond rounding), omega, calmar and information ratio over a benchmark's
     returns, with population deviations and 1e-8 under each line."""
     active = F.col(r) - F.col(bench)
     return {
         "sharpe": F.avg(r) / (F.stddev_pop(r) + 1e-8) * ppy**0.5,
-        "sortino": F.avg(r) / F.sqrt(F.coalesce(F.avg(F.when(F.col(r) < 0, F.col(r) * F.col(r))), F.lit(0.0)) + 1e-8) * ppy**0.5,
+        "sortino": F.avg(r) / F.sqrt(F.coalesce(F.avg(F.when(F.col(r) < -1e-12, F.col(r) * F.col(r))), F.lit(0.0)) + 1e-8) * ppy**0.5,
         "omega": F.sum(F.greatest(F.col(r) - threshold, F.lit(0.0))) / (F.sum(F.greatest(threshold - F.col(r), F.lit(0.0))) + 1e-8),
         "calmar": F.avg(r) * ppy / (F.abs(F.min(drawdown)) + 1e-8),
         "information_ratio": F.avg(active) / (F.stddev_pop(active) + 1e-8) * ppy**0.5,

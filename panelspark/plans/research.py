@@ -78,7 +78,7 @@ CTE["risk_rows"] = (
 )
 RATIOS = {
     "sharpe": "avg(ret) / (stddev_pop(ret) + 1e-8) * sqrt(12)",
-    "sortino": "avg(ret) / sqrt(coalesce(avg(case when ret < 0 then ret * ret end), 0) + 1e-8) * sqrt(12)",
+    "sortino": "avg(ret) / sqrt(coalesce(avg(case when ret < -1e-12 then ret * ret end), 0) + 1e-8) * sqrt(12)",
     "omega": "sum(greatest(ret, 0)) / (sum(greatest(-ret, 0)) + 1e-8)",
     "calmar": "avg(ret) * 12 / (abs(min(dd)) + 1e-8)",
     "information_ratio": "avg(ret - bench) / (stddev_pop(ret - bench) + 1e-8) * sqrt(12)",
