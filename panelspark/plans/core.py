@@ -15,6 +15,7 @@ from panelspark.operators import xsection as X
 from panelspark.plans import fixtures as fx
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import query
+from panelspark.sources.shared import written
 
 D = 8
 
@@ -301,7 +302,8 @@ CTE["composite"] = ("factor_scores", "select *, (coalesce(mom_z, 0) + coalesce(l
 
 
 def factor_panel(spark, sf):
-    return X.factor_scores(scores(spark, sf), [*FACTORS], ["mom", "low_vol"])
+    """Written, as books, ledgers and models have many branches over it."""
+    return written(X.factor_scores(scores(spark, sf), [*FACTORS], ["mom", "low_vol"]))
 
 
 @query("x11_pct_rank", sql(f"select date, asset, round(({q_rank('mom')}) / count(mom) over (partition by date), 8) as rank from scores", "scores"))
@@ -356,7 +358,7 @@ CTE["book"] = ("placed", "select date, asset, case when top <= k then 1.0 / k el
 
 
 def book(spark, sf):
-    return K.long_short(factor_panel(spark, sf), "composite")
+    return written(K.long_short(factor_panel(spark, sf), "composite"))
 
 
 @query("k01_long_short_quantile", sql("select date, asset, round(w, 8) as w from book", "book"))
@@ -422,10 +424,15 @@ CTE["path"] = ("ledger", "select *, 1e6 * exp(sum(ln(1 - turnover * 0.001) + ln(
 
 
 def ledger(spark, sf):
-    fwd = scores(spark, sf)
-    last = fwd.agg(F.max("i").alias("end"))
-    fwd = fwd.join(F.broadcast(last)).select("date", "asset", "fwd_ret", "i", "end")
-    return L.portfolio_ledger(book(spark, sf), fwd, 21 * (F.least(F.col("i") + 1, F.col("end")) - F.col("i")), 0.001, 0.01)
+    panel = factor_panel(spark, sf)
+    return ledger_of(panel, written(K.long_short(panel, "composite")))
+
+
+def ledger_of(panel, weights):
+    last = panel.agg(F.max("i").alias("end"))
+    # One row: the calendar's end.
+    fwd = panel.join(F.broadcast(last)).select("date", "asset", "fwd_ret", "i", "end")
+    return L.portfolio_ledger(weights, fwd, 21 * (F.least(F.col("i") + 1, F.col("end")) - F.col("i")), 0.001, 0.01)
 
 
 @query("b01_portfolio_ledger", sql("select date, round(turnover, 8) as turnover, round(period_return, 8) + 0.0 as period_return, round(capital, 3) as capital from path", "path"))

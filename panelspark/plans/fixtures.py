@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.calendar import densify
+from panelspark.sources.shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,12 @@ def px_d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return densify(px_m(spark, sf_dir))
+    """The monthly panel on its calendar; lineitem is aggregated once and written, as four branches use the panel."""
+    return densify(written(px_m(spark, sf_dir)))
 
 
 def dense_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return densify(px_d(spark, sf_dir))
+    return densify(written(px_d(spark, sf_dir)))
 
 
 def sector_of(spark: SparkSession, sf_dir: str) -> DataFrame:

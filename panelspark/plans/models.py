@@ -14,12 +14,13 @@ from panelspark.operators import ml as M
 from panelspark.operators import stats as E
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
-from panelspark.operators.calendar import calendar
+from panelspark.operators.calendar import calendar, next_trading_day
 from panelspark.plans import fixtures as fx
 from panelspark.plans.core import factor_panel, q_rank, q_winsor, q_z, ret_d, ret_m, rounded, scores
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import query
 from panelspark.plans.research import sleeves, zs
+from panelspark.sources.shared import written
 
 FEATURES = ["mom_z", "low_vol_z", "size_z"]
 
@@ -254,10 +255,11 @@ def _(spark, sf):
 
 @query("w33_post_event_return", sql("select e.asset, e.ann_date, round(product(1 + r.ret) - 1, 7) + 0.0 as after from (select e.asset, e.ann_date, min(c.i) as i from eps e join cal_m c on c.date >= e.ann_date group by 1, 2) e join ret_m r on r.asset = e.asset and r.i between e.i + 1 and e.i + 3 where r.ret is not null group by e.asset, e.ann_date", "eps", "ret_m"))
 def _(spark, sf):
-    e = fx.eps(spark, sf).select("asset", F.col("ann_date").alias("date"))
-    cal = calendar(fx.px_m(spark, sf)).select("date", "i").withColumn("one", F.lit(1))
-    landed = J.asof_join(e.withColumn("one", F.lit(1)), cal, ["one"], "date", ["i"], direction="forward").where("i is not null")
-    steps = landed.select("asset", F.col("date").alias("ann_date"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + 3)).alias("i"))
+    e = fx.eps(spark, sf).select("asset", "ann_date", F.date_sub("ann_date", 1).alias("day"))
+    cal = written(calendar(fx.px_m(spark, sf)))
+    # The first calendar date on or after the announcement, by equality with the calendar's days.
+    landed = next_trading_day(e, cal, "day").join(cal.select(F.col("date").alias("next_date"), "i"), "next_date")
+    steps = landed.select("asset", "ann_date", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 3)).alias("i"))
     met = steps.join(ret_m(spark, sf).where("ret is not null").select("asset", "i", "ret"), ["asset", "i"])
     return rounded(met.groupBy("asset", "ann_date").agg((F.product(1 + F.col("ret")) - 1).alias("a")), "asset", "ann_date", d=7, after="a")
 

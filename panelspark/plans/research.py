@@ -17,9 +17,10 @@ from panelspark.operators import stats as E
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.plans import fixtures as fx
-from panelspark.plans.core import book, factor_panel, ledger, ret_d, ret_m, rounded, scores
+from panelspark.plans.core import book, factor_panel, ledger, ledger_of, ret_d, ret_m, rounded, scores
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import query
+from panelspark.sources.shared import written
 
 SPLIT = "1999-06-01"
 CTE["sleeves"] = ("ret_m sector_of", "select sector as strategy, date, avg(least(greatest(ret, -0.15), 0.15)) as ret from ret_m join sector_of using (asset) where ret is not null group by 1, 2")
@@ -344,7 +345,9 @@ def _(spark, sf):
     (select unnest([1e5::double, 1e6, 1e7]) as aum) group by t.date, aum) join ledger using (date) group by aum""", "ledger", "nb", "dense_m"))
 def _(spark, sf):
     adv = fx.dense_m(spark, sf).select("asset", "date", W.adv_dollar(6, 3).alias("adv"))
-    df = L.capacity_curve(book(spark, sf), adv, ledger(spark, sf), [1e5, 1e6, 1e7], 1.0, 0.02, 12)
+    panel = factor_panel(spark, sf)
+    weights = written(K.long_short(panel, "composite"))
+    df = L.capacity_curve(weights, adv, ledger_of(panel, weights), [1e5, 1e6, 1e7], 1.0, 0.02, 12)
     return rounded(df, "aum", mean_ret=F.round("mean_ret", 6), mean_drag="mean_drag")
 
 

@@ -101,8 +101,10 @@ ALL = f"""select * from ({steps()} {listed(RECURSIVE, 's')}) union all select *
     union all select asset, date, 'cci', cci from ({ORACLE_SQL['t04_cci']})"""
 
 
-@query("t18_indicator_panel", f"select asset, date, indicator, round(coalesce(last_value(value ignore nulls) over (partition by asset, indicator order by date rows unbounded preceding), 0), 6) + 0.0 as value from ({ALL})")
+@query("t18_indicator_panel", f"select asset, date, indicator, round(value, case indicator when 'cci' then 5 when 'obv_change' then 10 else 6 end) + 0.0 as value from (select asset, date, indicator, coalesce(last_value(value ignore nulls) over (partition by asset, indicator order by date rows unbounded preceding), 0) as value from ({ALL}))")
 def _(spark, sf):
     df = I.indicator_panel(fx.ohlcv(spark, sf))
-    # As t04: a value of hundreds has fewer decimals that two engines share.
-    return rounded(df.withColumn("value", F.when(F.col("indicator") == "cci", F.round("value", 5)).otherwise(F.col("value"))), "asset", "date", "indicator", d=6, value="value")
+    # Decimals that two engines share: fewer for values of hundreds, more for ratios of whole numbers, which tie.
+    v, name = F.col("value"), F.col("indicator")
+    value = F.when(name == "cci", F.round(v, 5)).when(name == "obv_change", F.round(v, 10)).otherwise(F.round(v, 6)) + 0.0
+    return df.select("asset", "date", "indicator", value.alias("value"))

@@ -50,6 +50,29 @@ def test_query_equals_its_sql(spark, base, name):
         assert sorted(rel.columns) == columns
         place = [rel.columns.index(c) for c in columns]
         assert plain(got) == plain([tuple(r[k] for k in place) for r in rel.fetchall()])
+    else:
+        # No SQL form: rows, no repeated one, and no column without a finite value (the smallest tables open no pair for
+        # the grid, and labels of regimes are lists).
+        assert got and len(set(map(str, got))) == len(got)
+        assert name in ("m09_regime_labels", "m15_param_grid_eval") or all(any(r[k] is not None and not (isinstance(r[k], float) and not math.isfinite(r[k])) for r in got) for k in range(len(columns)))
+
+
+def test_linear_models_equal_least_squares(spark):
+    """The three-feature fits, month by month, against numpy on the same rows."""
+    import numpy as np
+
+    features = models.FEATURES
+    rows = core.factor_panel(spark, SF).select("i", "date", "asset", "fwd_ret", *features).collect()
+    pred = {(r.date, r.asset): r.pred for r in QUERIES["m04_combine_ols"](spark, SF).collect()}
+    x = np.array([[1.0, *[0.0 if r[f] is None else r[f] for f in features]] for r in rows])
+    i, y = np.array([r.i for r in rows]), np.array([np.nan if r.fwd_ret is None else r.fwd_ret for r in rows])
+    months = sorted({r.i for r in rows if (r.date, r.asset) in pred})
+    assert len(months) > 20
+    for m in (months[0], months[len(months) // 2], months[-1]):
+        train = (i < m - 1) & ~np.isnan(y)
+        beta = np.linalg.lstsq(x[train], y[train], rcond=None)[0]
+        mine = [k for k, r in enumerate(rows) if r.i == m and pred.get((r.date, r.asset)) is not None]
+        assert mine and np.allclose([pred[rows[k].date, rows[k].asset] for k in mine], x[mine] @ beta, atol=1e-6)
 
 
 def panel(spark, n=40, assets=12):
