@@ -9,7 +9,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.clean import segment
 from panelspark.operators.stats import gram, solve
+from panelspark.operators.xsection import rank_ic
 
 
 def purged_splits(months: DataFrame, min_train: int, embargo: int) -> DataFrame:
@@ -60,17 +62,48 @@ def ridge_predictions(panel: DataFrame, features: list[str], target: str, min_tr
     return each.join(chosen, ["i", "alpha"])
 
 
-def boosted_predictions(panel: DataFrame, features: list[str], target: str, split: int, embargo: int, depth: int = 3, rounds: int = 20) -> tuple[DataFrame, list[float]]:
-    """(date, asset, fwd_ret, pred) from month `split` on, of boosted trees fitted on the months before
-    split - embargo with the last tenth of them as validation; and the features' importance. Null features become 0
-    with an indicator beside them."""
+def boosted_predictions(panel: DataFrame, features: list[str], target: str, first: int, last: int, every: int, embargo: int, depth: int = 3, rounds: int = 20, step: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(fold, date, asset, fwd_ret, pred) and (fold, feature, importance) of boosted trees that are fitted anew every
+    `every` months from month `first` to `last`: fold i learns from the months before i - embargo, the last tenth of them
+    as validation, and predicts the months i to i + every - 1. Null features become 0 with an indicator beside them. The
+    number of fits is that of the folds, whatever the panel's size; each is distributed."""
     filled = panel.select("i", "date", "asset", target, *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features], *[F.col(f).isNull().cast("double").alias(f"{f}_null") for f in features])
-    rows = VectorAssembler(inputCols=[*features, *[f"{f}_null" for f in features]], outputCol="x").transform(filled)
-    last = split - embargo
-    train = rows.where((F.col("i") < last) & F.col(target).isNotNull()).withColumn("valid", F.col("i") >= 0.9 * last)
-    model = GBTRegressor(featuresCol="x", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=7, validationIndicatorCol="valid").fit(train)
-    pred = model.transform(rows.where(F.col("i") >= split)).select("date", "asset", F.col(target).alias("fwd_ret"), "pred")
-    return pred, [float(x) for x in model.featureImportances.toArray()]
+    names = [*features, *[f"{f}_null" for f in features]]
+    rows = VectorAssembler(inputCols=names, outputCol="x").transform(filled)
+    preds = weights = None
+    for fold in range(first, last + 1, every):
+        end = fold - embargo
+        train = rows.where((F.col("i") < end) & F.col(target).isNotNull()).withColumn("valid", F.col("i") >= 0.9 * end)
+        model = GBTRegressor(featuresCol="x", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.8, seed=7, validationIndicatorCol="valid").fit(train)
+        one = model.transform(rows.where((F.col("i") >= fold) & (F.col("i") < fold + every))).select(F.lit(fold).alias("fold"), "date", "asset", F.col(target).alias("fwd_ret"), "pred")
+        share = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(float(v)).alias("importance")) for n, v in zip(names, model.featureImportances.toArray(), strict=True)])
+        each = panel.sparkSession.range(1).select(F.lit(fold).alias("fold"), F.explode(share).alias("t")).select("fold", "t.*")
+        preds = one if preds is None else preds.union(one)
+        weights = each if weights is None else weights.union(each)
+    return preds, weights
+
+
+def bakeoff(preds: DataFrame, q: float, split: str, base: str, ppy: float = 12.0) -> DataFrame:
+    """(model, segment, n, mean_ic, ic_t, ls_sharpe, ls_total, lift) of predictions (model, date, asset, fwd_ret, pred):
+    rank ICs and the equal-weight return of the top less the bottom share q of each month, by model before (dev) and from
+    `split` on (oos); lift: Sharpe less that of model `base`. Ties are broken by asset."""
+    known = preds.where(F.col("pred").isNotNull() & F.col("fwd_ret").isNotNull())
+    w = Window.partitionBy("model", "date")
+    ranked = known.withColumns({"_t": F.row_number().over(w.orderBy(F.desc("pred"), "asset")), "_b": F.row_number().over(w.orderBy("pred", F.desc("asset"))), "_n": F.count(F.lit(1)).over(w)})
+    k = F.greatest(F.lit(1), F.floor(F.col("_n") * q + 1e-9))
+    spread = F.avg(F.when(F.col("_t") <= k, F.col("fwd_ret"))) - F.avg(F.when(F.col("_b") <= k, F.col("fwd_ret")))
+    months = ranked.groupBy("model", "date").agg(spread.alias("ls")).join(rank_ic(known, "pred", "fwd_ret", 2, ("model", "date")), ["model", "date"], "left")
+    s = F.stddev_samp("ls")
+    n = F.count("ic")
+    parts = segment(months, split).groupBy("model", "segment").agg(
+        n.alias("n"),
+        F.avg("ic").alias("mean_ic"),
+        F.when((n > 1) & (F.stddev_samp("ic") > 0), F.avg("ic") / F.stddev_samp("ic") * F.sqrt(n)).alias("ic_t"),
+        F.when(s > 0, F.avg("ls") / s * ppy**0.5).otherwise(0.0).alias("ls_sharpe"),
+        (F.product(1 + F.col("ls")) - 1).alias("ls_total"),
+    )
+    of_base = F.max(F.when(F.col("model") == base, F.col("ls_sharpe"))).over(Window.partitionBy("segment"))
+    return parts.withColumn("lift", F.col("ls_sharpe") - of_base)
 
 
 def regime_probabilities(df: DataFrame, ret: str, vol: str, k: int, seed: int = 7) -> DataFrame:
@@ -85,14 +118,31 @@ def regime_probabilities(df: DataFrame, ret: str, vol: str, k: int, seed: int =
     return out.withColumn("regime", F.array_position("probs", F.array_max("probs")).cast("int") - 1).drop("_v", "_x", "_p", "_c")
 
 
-def group_pca(df: DataFrame, vector: str, group: str, groups: list, k: int) -> DataFrame:
-    """(group, component, explained) of a PCA of each group's standardised vectors. One fit a group: groups are few."""
-    out = None
+def group_pca(df: DataFrame, vector: str, group: str, groups: list, k: int) -> tuple[DataFrame, DataFrame]:
+    """(group, component, explained) of a PCA of each group's standardised vectors, and df with `factor`, its k scores in
+    its own group's components. One fit a group: groups are few."""
+    shares = factors = None
     for g in groups:
         rows = df.where(F.col(group) == g)
         scaled = StandardScaler(inputCol=vector, outputCol="_x", withMean=True).fit(rows).transform(rows)
-        share = PCA(k=k, inputCol="_x", outputCol="_f").fit(scaled).explainedVariance
-        table = F.array(*[F.struct(F.lit(j).alias("component"), F.lit(float(v)).alias("explained")) for j, v in enumerate(share)])
-        one = rows.limit(1).select(F.lit(g).alias(group), F.explode(table).alias("t")).select(group, "t.*")
-        out = one if out is None else out.union(one)
-    return out
+        model = PCA(k=k, inputCol="_x", outputCol="factor").fit(scaled)
+        one, scores = explained(df, model, group, g), model.transform(scaled).drop("_x")
+        shares = one if shares is None else shares.union(one)
+        factors = scores if factors is None else factors.union(scores)
+    return shares, factors
+
+
+def explained(df: DataFrame, model, group: str, value) -> DataFrame:
+    table = F.array(*[F.struct(F.lit(j).alias("component"), F.lit(float(v)).alias("explained")) for j, v in enumerate(model.explainedVariance)])
+    return df.sparkSession.range(1).select(F.lit(value).alias(group), F.explode(table).alias("t")).select(group, "t.*")
+
+
+def stacked_pca(factors: DataFrame, group: str, step: str, groups: list, k: int) -> DataFrame:
+    """(group = 'all', component, explained) of the global PCA over all groups' factors side by side: one row a step,
+    with the mean of each group's factors there. Steps that some group has no row for are left out."""
+    names = [f"{g}_{j}" for g in groups for j in range(k)]
+    each = factors.select(step, group, F.posexplode(vector_to_array("factor")).alias("j", "f")).withColumn("name", F.concat_ws("_", group, "j"))
+    wide = each.groupBy(step).pivot("name", names).agg(F.avg("f")).dropna()
+    rows = VectorAssembler(inputCols=names, outputCol="_v").transform(wide)
+    scaled = StandardScaler(inputCol="_v", outputCol="_x", withMean=True).fit(rows).transform(rows)
+    return explained(factors, PCA(k=k, inputCol="_x", outputCol="_f").fit(scaled), group, "all")

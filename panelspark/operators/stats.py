@@ -51,30 +51,51 @@ def newey_west(df: DataFrame, value: str, by: list[str], order: str, lags: int)
     return lagged.groupBy(*by).agg(F.avg(value).alias("mean"), F.when(s > 0, F.avg(value) * n / F.sqrt(s)).alias("t"), n.alias("n"))
 
 
-def pair_fit(logs: DataFrame, pairs: DataFrame, n: int, least_corr: float) -> DataFrame:
-    """(a, b, corr, alpha, beta) of log a on log b, over assets with all n rows, correlation of at least
-    least_corr and beta above 0. logs: (asset, i, logp) of one formation window."""
-    whole = logs.where("logp is not null").groupBy("asset").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == n).select("asset")
-    rows = logs.join(whole, "asset", "left_semi")
-    both = pairs.select("a", "b").join(rows.select(F.col("asset").alias("a"), "i", F.col("logp").alias("ya")), "a").join(rows.select(F.col("asset").alias("b"), "i", F.col("logp").alias("yb")), ["b", "i"])
-    fit = both.groupBy("a", "b").agg(correlation(F.col("ya"), F.col("yb")).alias("corr"), F.regr_intercept("ya", "yb").alias("alpha"), F.regr_slope("ya", "yb").alias("beta"))
+#: What names a pair of one walk-forward window.
+PAIR = ("k", "a", "b")
+
+
+def window_rows(panel: DataFrame, formation: int, trading: int) -> DataFrame:
+    """Rows of panel (i, ...) for each full window k, formation from row k * trading on, that holds them, with `trade`: whether i lies in its
+    trading part. A row meets its windows by arithmetic, at most 1 + formation / trading of them."""
+    last = panel.agg((F.max("i") + 1).alias("_n"))  # one row
+    low = F.greatest(F.lit(0), F.floor((F.col("i") - formation - trading) / trading) + 1)
+    high = F.least(F.floor(F.col("i") / trading), F.floor((F.col("_n") - formation - trading) / trading))
+    each = panel.join(F.broadcast(last)).withColumn("k", F.explode(F.when(low <= high, F.sequence(low, high)))).drop("_n")
+    return each.withColumn("trade", F.col("i") >= F.col("k") * trading + formation)
+
+
+def of_pairs(pairs: DataFrame, rows: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
+    """pairs beside the rows (k, asset, i, values...) of a and of b at the same k and i; values by name: the prefix of a's and
+    b's columns. `by`: columns of pairs, among them a and b, that name a pair."""
+    side = lambda x: rows.select("k", F.col("asset").alias(x), "i", *[F.col(c).alias(f"{p}{x}") for c, p in values.items()])
+    return pairs.join(side("a"), [c for c in ("k", "a") if c in by]).join(side("b"), ["k", "b", "i"])
+
+
+def pair_fit(logs: DataFrame, pairs: DataFrame, n: int, least_corr: float, least_log: float) -> DataFrame:
+    """(k, a, b, corr, alpha, beta) of log a on log b in each formation window, over assets with all n rows and a last
+    log price of at least least_log, for correlations of at least least_corr and beta above 0. logs: (k, asset, i, logp)."""
+    known = logs.where("logp is not null").groupBy("k", "asset").agg(F.count(F.lit(1)).alias("_n"), F.max_by("logp", "i").alias("_last"))
+    rows = logs.join(known.where((F.col("_n") == n) & (F.col("_last") >= least_log)), ["k", "asset"], "left_semi")
+    both = of_pairs(pairs.select("a", "b"), rows, ["a", "b"], {"logp": "y"})
+    fit = both.groupBy(*PAIR).agg(correlation(F.col("ya"), F.col("yb")).alias("corr"), F.regr_intercept("ya", "yb").alias("alpha"), F.regr_slope("ya", "yb").alias("beta"))
     return fit.where((F.col("corr") >= least_corr) & (F.col("beta") > 0))
 
 
 def residuals(fit: DataFrame, logs: DataFrame) -> DataFrame:
-    """(a, b, i, s): the pair's spread log a - alpha - beta * log b."""
-    both = fit.join(logs.select(F.col("asset").alias("a"), "i", F.col("logp").alias("ya")), "a").join(logs.select(F.col("asset").alias("b"), "i", F.col("logp").alias("yb")), ["b", "i"])
-    return both.select("a", "b", "i", (F.col("ya") - F.col("alpha") - F.col("beta") * F.col("yb")).alias("s"))
+    """(k, a, b, i, s): the pair's spread log a - alpha - beta * log b."""
+    both = of_pairs(fit, logs, [*PAIR], {"logp": "y"})
+    return both.select(*PAIR, "i", (F.col("ya") - F.col("alpha") - F.col("beta") * F.col("yb")).alias("s"))
 
 
 def spread_steps(spreads: DataFrame) -> DataFrame:
-    w = Window.partitionBy("a", "b").orderBy("i")
+    w = Window.partitionBy(*PAIR).orderBy("i")
     d = spreads.withColumn("s1", F.lag("s").over(w)).withColumn("ds", F.col("s") - F.col("s1"))
     return d.withColumn("ds1", F.lag("ds").over(w))
 
 
 def adf_t(spreads: DataFrame) -> DataFrame:
-    """(a, b, t): t of the level in the regression of the change on 1, the level and the change before."""
+    """(k, a, b, t): t of the level in the regression of the change on 1, the level and the change before."""
     rows = spread_steps(spreads).where("ds1 is not null")
     n = F.count(F.lit(1))
 
@@ -85,36 +106,67 @@ def adf_t(spreads: DataFrame) -> DataFrame:
     det = saa * sbb - sab * sab
     beta, gamma = (say * sbb - sby * sab) / det, (sby * saa - say * sab) / det
     rss = syy - beta * say - gamma * sby
-    return rows.groupBy("a", "b").agg((beta / F.sqrt(rss / (n - 3) * sbb / det)).alias("t"))
+    return rows.groupBy(*PAIR).agg((beta / F.sqrt(rss / (n - 3) * sbb / det)).alias("t"))
 
 
 def ou_fit(spreads: DataFrame, low: float, high: float) -> DataFrame:
-    """(a, b, half_life, mu, sigma) of s on s before, for slopes within (0, 1) and half-lives within [low, high]."""
+    """(k, a, b, half_life, mu, sigma) of s on s before, for slopes within (0, 1) and half-lives within [low, high]."""
     rows = spread_steps(spreads)
-    fit = rows.groupBy("a", "b").agg(F.regr_slope("s", "s1").alias("phi"), F.regr_intercept("s", "s1").alias("c"), F.stddev_samp("s").alias("sigma"))
-    out = fit.where("phi > 0 and phi < 1").select("a", "b", (-F.log(F.lit(2.0)) / F.log("phi")).alias("half_life"), (F.col("c") / (1 - F.col("phi"))).alias("mu"), "sigma")
+    fit = rows.groupBy(*PAIR).agg(F.regr_slope("s", "s1").alias("phi"), F.regr_intercept("s", "s1").alias("c"), F.stddev_samp("s").alias("sigma"))
+    out = fit.where("phi > 0 and phi < 1").select(*PAIR, (-F.log(F.lit(2.0)) / F.log("phi")).alias("half_life"), (F.col("c") / (1 - F.col("phi"))).alias("mu"), "sigma")
     return out.where(F.col("half_life").between(low, high))
 
 
-def pair_positions(z: DataFrame, entry: float, out: float, stop: float) -> DataFrame:
-    """(a, b, i, pos): +1 short of -entry, -1 beyond entry, flat within `out`; beyond `stop` the pair is flat for good.
-    An unknown z is flat. One fold over each pair's rows, which one trading window bounds."""
-    rows = F.array_sort(F.collect_list(F.struct("i", "z")))
-    state = "struct(cast(0 as int) as pos, false as dead, cast(array() as array<struct<i: bigint, pos: int>>) as path)"
-    fold = f"""aggregate(rows, {state}, (s, x) -> case
-        when x.z is null then struct(0 as pos, s.dead as dead, array_append(s.path, struct(cast(x.i as bigint) as i, 0 as pos)) as path)
-        when s.dead or abs(x.z) > {stop} then struct(0 as pos, true as dead, array_append(s.path, struct(cast(x.i as bigint) as i, 0 as pos)) as path)
-        when s.pos = 0 and x.z >= {entry} then struct(-1 as pos, false as dead, array_append(s.path, struct(cast(x.i as bigint) as i, -1 as pos)) as path)
-        when s.pos = 0 and x.z <= -{entry} then struct(1 as pos, false as dead, array_append(s.path, struct(cast(x.i as bigint) as i, 1 as pos)) as path)
-        when s.pos <> 0 and abs(x.z) < {out} then struct(0 as pos, false as dead, array_append(s.path, struct(cast(x.i as bigint) as i, 0 as pos)) as path)
-        else struct(s.pos as pos, false as dead, array_append(s.path, struct(cast(x.i as bigint) as i, s.pos as pos)) as path) end, s -> s.path)"""
-    folded = z.groupBy("a", "b").agg(rows.alias("rows")).select("a", "b", F.expr(fold).alias("path"))
-    return folded.select("a", "b", F.explode("path").alias("p")).select("a", "b", "p.i", "p.pos")
-
-
-def walkforward_windows(n: int, formation: int, trading: int) -> list[tuple[int, int, int, int]]:
-    """(k, first row, first trading row, row behind the last) of all full windows."""
-    return [(k, s, s + formation, s + formation + trading) for k, s in enumerate(range(0, n - formation - trading + 1, trading))]
+def chosen_pairs(fit: DataFrame, spreads: DataFrame, critical: float, low: float, high: float, most: int) -> DataFrame:
+    """fit with t, half_life, mu and sigma: of each window the `most` pairs of least t (ties by a, b) among those of t at
+    most `critical` and a half-life within [low, high]."""
+    rows = fit.join(adf_t(spreads), [*PAIR]).join(ou_fit(spreads, low, high), [*PAIR]).where(F.col("t") <= critical)
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("t", "a", "b"))).where(F.col("_r") <= most).drop("_r")
+
+
+def spread_zscores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs beside (i, z, leg) over the window's trading rows (k, asset, i, logp, nxt): z of the spread with the
+    parameters of the formation, and the next step's return of one long spread, weighed 1 : beta to a gross of 1."""
+    both = of_pairs(pairs, rows, [*PAIR], {"logp": "y", "nxt": "r"})
+    z = (F.col("ya") - F.col("alpha") - F.col("beta") * F.col("yb") - F.col("mu")) / F.col("sigma")
+    leg = (F.col("ra") - F.col("beta") * F.col("rb")) / (1 + F.col("beta"))
+    return both.withColumns({"z": z, "leg": leg}).drop("ya", "yb", "ra", "rb")
+
+
+def pair_positions(z: DataFrame, entry: float | str, out: float, stop: float, by: tuple[str, ...] = PAIR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., i, pos, carry...): +1 below -entry, -1 above entry, flat within `out`; a position that meets a z beyond
+    `stop` ends, and the pair stays flat. An unknown z is flat. entry: a number or a column of `by`. One fold over each
+    pair's rows, which one trading window bounds."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "z", *carry)))
+    kept = "".join(f", x.{c} as {c}" for c in carry)
+    types = "".join(f", {c}: double" for c in carry)
+    step = lambda pos, dead: f"struct(cast({pos} as int) as pos, {dead} as dead, array_append(s.path, struct(x.i as i, cast({pos} as int) as pos{kept})) as path)"
+    fold = f"""aggregate(rows, struct(cast(0 as int) as pos, false as dead, cast(array() as array<struct<i: bigint, pos: int{types}>>) as path), (s, x) -> case
+        when x.z is null then {step("0", "s.dead")}
+        when s.dead then {step("0", "true")}
+        when s.pos = 0 and x.z > {entry} then {step("-1", "false")}
+        when s.pos = 0 and x.z < -{entry} then {step("1", "false")}
+        when s.pos <> 0 and abs(x.z) < {out} then {step("0", "false")}
+        when s.pos <> 0 and abs(x.z) > {stop} then {step("0", "true")}
+        else {step("s.pos", "false")} end, s -> s.path)"""
+    folded = z.groupBy(*by).agg(rows.alias("rows")).select(*by, F.explode(F.expr(fold)).alias("p"))
+    return folded.select(*by, "p.*")
+
+
+def pair_returns(positions: DataFrame, cost: float, by: tuple[str, ...] = PAIR) -> DataFrame:
+    """positions (by..., i, pos, leg) with ret: what the position earns to the next row, less cost for each change of it."""
+    before = F.coalesce(F.lag("pos").over(Window.partitionBy(*by).orderBy("i")), F.lit(0))
+    return positions.withColumn("ret", F.coalesce(F.col("pos") * F.col("leg"), F.lit(0.0)) - cost * F.abs(F.col("pos") - before))
+
+
+def pairs_book(returns: DataFrame, slots: DataFrame, steps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., k, i, n_open, ret): equal-weight mean over all slots of the window, 0 where no pair is open; rows before
+    the first return are left out. slots: (by..., k, n); steps: (by..., k, i), all trading rows."""
+    total = returns.groupBy(*by, "k", "i").agg(F.sum("ret").alias("_sum"), F.count(F.when(F.col("pos") != 0, 1)).alias("n_open"))
+    rows = steps.join(slots, [*by, "k"], "left").join(total, [*by, "k", "i"], "left")
+    rows = rows.select(*by, "k", "i", F.coalesce("n_open", F.lit(0)).alias("n_open"), F.coalesce(F.col("_sum") / F.col("n"), F.lit(0.0)).alias("ret"))
+    begun = F.max(F.col("ret") != 0).over(Window.partitionBy(*by).orderBy("i"))
+    return rows.withColumn("_begun", begun).where("_begun").drop("_begun")
 
 
 def bootstrap_mean(df: DataFrame, value: str, by: str, order: str, n_boot: int, seed: int, conf: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import clip, safe_div
+from panelspark.functions.columns import clip, row_mean, safe_div
 from panelspark.operators import construct as K
 from panelspark.operators import joins as J
 from panelspark.operators import ledger as L
@@ -19,7 +19,7 @@ from panelspark.plans import fixtures as fx
 from panelspark.plans.core import factor_panel, q_rank, q_winsor, q_z, ret_d, ret_m, rounded, scores
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import query
-from panelspark.plans.research import sleeves, zs
+from panelspark.plans.research import sleeves
 from panelspark.sources.shared import written
 
 FEATURES = ["mom_z", "low_vol_z", "size_z"]
@@ -39,8 +39,6 @@ def _(spark, sf):
 
 @query("m03_combine_ew", sql("select date, asset, round((coalesce(mom_z, 0) + coalesce(low_vol_z, 0) + coalesce(size_z, 0)) / nullif((mom_z is not null)::int + (low_vol_z is not null)::int + (size_z is not null)::int, 0), 7) + 0.0 as pred from factor_scores", "factor_scores"))
 def _(spark, sf):
-    from panelspark.functions.columns import row_mean
-
     return rounded(factor_panel(spark, sf), "date", "asset", d=7, pred=row_mean(*FEATURES))
 
 
@@ -61,39 +59,91 @@ def _(spark, sf):
     return M.ridge_predictions(factor_panel(spark, sf), FEATURES, "fwd_ret", 36, 1, [0.1, 1.0, 10.0, 100.0, 1000.0]).select("date", "asset", "alpha", "pred")
 
 
+#: Boosted trees are fitted anew every 12 months from month 37, the first that m04 and m05 predict.
+def boosted(spark, sf):
+    panel = written(X.factor_scores(five_factors(spark, sf), [*FIVE], [*FIVE]))
+    last = panel.agg(F.max("i")).first()[0]  # the number of months, which bounds the fits
+    return panel, *M.boosted_predictions(panel, [f"{c}_z" for c in FIVE], "fwd_ret", 37, last, 12, 1)
+
+
 @query("m06_combine_gbt")
 def _(spark, sf):
-    return M.boosted_predictions(factor_panel(spark, sf), FEATURES, "fwd_ret", 60, 1)[0].select("date", "asset", "pred")
+    return boosted(spark, sf)[1].select("fold", "date", "asset", "pred")
+
+
+BAKED = "'2000-01-01'"
+
+
+def q_bakeoff(preds: str) -> dict[str, str]:
+    known = f"(select * from ({preds}) where pred is not null and fwd_ret is not null)"
+    return {
+        "ics": f"select model, date, case when count(*) >= 2 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then corr(a, b) end as ic from (select model, date, {q_rank('pred', 'model, date')} as a, {q_rank('fwd_ret', 'model, date')} as b from {known}) group by model, date",
+        "lss": f"select model, date, avg(fwd_ret) filter (t <= k) - avg(fwd_ret) filter (b <= k) as ls from (select *, greatest(1, floor(n * 0.1 + 1e-9)) as k from (select *, row_number() over (partition by model, date order by pred desc, asset) as t, row_number() over (partition by model, date order by pred, asset desc) as b, count(*) over (partition by model, date) as n from {known})) group by model, date",
+        "parts": f"select model, case when date < date {BAKED} then 'dev' else 'oos' end as segment, count(ic) as n, avg(ic) as mean_ic, case when count(ic) > 1 and stddev_samp(ic) > 0 then avg(ic) / stddev_samp(ic) * sqrt(count(ic)) end as ic_t, case when stddev_samp(ls) > 0 then avg(ls) / stddev_samp(ls) * sqrt(12) else 0 end as ls_sharpe, product(1 + ls) - 1 as ls_total from lss left join ics using (model, date) group by 1, 2",
+    }
+
+
+BAKEOFF = {c: f"round({c}, 6) + 0.0" for c in ("mean_ic", "ic_t", "ls_sharpe", "ls_total")} | {"lift": "round(ls_sharpe - max(case when model = 'ew' then ls_sharpe end) over (partition by segment), 6) + 0.0"}
+
 
+def model_rows(df, model):
+    return df.select(F.lit(model).alias("model"), "date", "asset", "fwd_ret", "pred")
 
-@query("m07_bakeoff_eval", sql(f"select model, count(ic) as n, round(avg(ic), 6) + 0.0 as mean_ic from (select model, date, case when count(*) >= 10 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then corr(a, b) end as ic from (select model, date, {q_rank('pred', 'model, date')} as a, {q_rank('fwd_ret', 'model, date')} as b from (select unnest(['mom', 'low_vol']) as model, date, asset, fwd_ret, unnest([mom, low_vol]) as pred from scores) where pred is not null and fwd_ret is not null) group by model, date) group by model", "scores"))
+
+def scored(preds):
+    return rounded(M.bakeoff(preds, 0.1, BAKED.strip("'"), "ew"), "model", "segment", "n", d=6, **{c: c for c in BAKEOFF})
+
+
+@query("m07_bakeoff_eval", sql("select model, segment, n, " + ", ".join(f"{v} as {k}" for k, v in BAKEOFF.items()) + " from parts", "scores", **q_bakeoff("select unnest(['ew', 'mom']) as model, date, asset, fwd_ret, unnest([(coalesce(mom, 0) + coalesce(low_vol, 0)) / nullif((mom is not null)::int + (low_vol is not null)::int, 0), mom]) as pred from scores where i >= 37")))
 def _(spark, sf):
-    each = F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("pred")) for c in ("mom", "low_vol")])
-    long = scores(spark, sf).select("date", "asset", "fwd_ret", F.explode(each).alias("m")).select("m.model", "date", "asset", "fwd_ret", "m.pred")
-    ic = X.rank_ic(long, "pred", "fwd_ret", 10, ("model", "date"))
-    return rounded(ic.groupBy("model").agg(F.count("ic").alias("n"), F.avg("ic").alias("m")), "model", "n", d=6, mean_ic="m")
+    """The evaluation alone, on two scores that SQL can say."""
+    rows = written(scores(spark, sf).where("i >= 37"))
+    return scored(model_rows(rows.withColumn("pred", row_mean("mom", "low_vol")), "ew").union(model_rows(rows.withColumn("pred", F.col("mom")), "mom")))
+
+
+@query("m07_bakeoff")
+def _(spark, sf):
+    """Equal weights, least squares, ridge and boosted trees over the same months, purged by one month."""
+    panel, trees, _ = boosted(spark, sf)
+    names = [f"{c}_z" for c in FIVE]
+    ols = M.linear_predictions(panel, M.expanding_coefficients(panel, names, "fwd_ret", 36, 1), names)
+    ridge = M.ridge_predictions(panel, names, "fwd_ret", 36, 1, [0.1, 1.0, 10.0, 100.0, 1000.0])
+    ew = panel.where("i >= 37").withColumn("pred", F.col("composite"))
+    found = None
+    for model, df in (("ew", ew), ("ols", ols), ("ridge", ridge), ("boosted", trees)):
+        found = model_rows(df, model) if found is None else found.union(model_rows(df, model))
+    return scored(written(found))
 
 
 @query("m08_gbt_importance")
 def _(spark, sf):
-    names = [*FEATURES, *[f"{f}_null" for f in FEATURES]]
-    panel = factor_panel(spark, sf)
-    _, importance = M.boosted_predictions(panel, FEATURES, "fwd_ret", 60, 1)
-    table = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(v).alias("importance")) for n, v in zip(names, importance, strict=True)])
-    return panel.limit(1).select(F.explode(table).alias("t")).select("t.*")
+    return boosted(spark, sf)[2]
+
+
+def market(spark, sf):
+    return ret_m(spark, sf).groupBy("date").agg(F.avg(clip(F.col("ret"), -0.15, 0.15)).alias("ret"), F.stddev_samp(clip(F.col("ret"), -0.15, 0.15)).alias("vol"))
 
 
 @query("m09_regime_labels")
 def _(spark, sf):
-    market = ret_m(spark, sf).groupBy("date").agg(F.avg(clip(F.col("ret"), -0.15, 0.15)).alias("ret"), F.stddev_samp(clip(F.col("ret"), -0.15, 0.15)).alias("vol"))
-    return M.regime_probabilities(market, "ret", "vol", 3).select("date", "regime", "probs")
+    return M.regime_probabilities(market(spark, sf), "ret", "vol", 3).select("date", "regime", "probs")
+
+
+@query("m10_regime_argmax")
+def _(spark, sf):
+    """The likeliest regime of m09, named, with its probability."""
+    rows = M.regime_probabilities(market(spark, sf), "ret", "vol", 3)
+    name = F.element_at(F.array(*map(F.lit, ("bear", "side", "bull"))), F.col("regime") + 1)
+    return rows.select("date", name.alias("label"), F.round(F.array_max("probs"), 6).alias("prob"))
 
 
 @query("m11_sector_pca")
 def _(spark, sf):
-    v = fx.table(spark, sf, "embeddings").select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    """PCA by label, and of all labels' factors, stacked by sixteenths of each label's ids."""
+    v = fx.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("label"), F.ntile(16).over(Window.partitionBy("label").orderBy("vec_id")).alias("step"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     labels = [r.label for r in v.select("label").distinct().orderBy("label").collect()]  # groups are few by definition
-    return M.group_pca(v, "v", "label", labels, 3)
+    shares, factors = M.group_pca(v, "v", "label", labels, 3)
+    return shares.union(M.stacked_pca(written(factors.select("label", "step", "factor")), "label", "step", labels, 3))
 
 
 PANEL = {
@@ -124,17 +174,6 @@ def _(spark, sf):
     return rounded(m, "strategy", diff=F.col("oos") - F.col("dev"), share=F.round(F.try_divide(F.col("oos") - F.col("dev"), F.abs("dev")), 6))
 
 
-@query("m15_param_grid_eval")
-def _(spark, sf):
-    out = None
-    z = zs(spark, sf)
-    for entry in (1.5, 2.0, 2.5):
-        for stop in (3.0, 3.5):
-            one = E.pair_positions(z, entry, 0.5, stop).agg(F.lit(entry).alias("entry"), F.lit(stop).alias("stop"), F.sum(F.abs("pos")).alias("n_open"), F.count(F.lit(1)).alias("n"))
-            out = one if out is None else out.union(one)
-    return out
-
-
 @query("m16_aligned_design", sql("select r.asset, r.date, round(r.ret, 8) + 0.0 as ret, round(coalesce(last_value(m.m1 ignore nulls) over (partition by r.asset order by r.i rows unbounded preceding), 0), 4) as m1, round(lead(r.ret) over (partition by r.asset order by r.i), 8) + 0.0 as target from ret_m r left join macro m using (date)", "ret_m", "macro"))
 def _(spark, sf):
     df = ret_m(spark, sf).join(fx.macro(spark, sf).select("date", "m1"), "date", "left")
@@ -235,12 +274,6 @@ def _(spark, sf):
     return rounded(rows.where("t <= k"), "date", "asset", w=0.2 / F.col("k"))
 
 
-@query("e10_pairs_book", sql("select i, round(avg(z), 6) + 0.0 as mean_z, count(*) as n from zs where z is not null group by i", "zs"))
-def _(spark, sf):
-    df = zs(spark, sf).where("z is not null").groupBy(F.col("i").cast("long").alias("i")).agg((F.round(F.avg("z"), 6) + 0.0).alias("mean_z"), F.count(F.lit(1)).alias("n"))
-    return df.select("i", "mean_z", "n")
-
-
 @query("e12_linear_transition", sql("select asset, round(regr_slope(y, x), 6) + 0.0 as slope, round(regr_intercept(y, x), 4) + 0.0 as intercept from (select asset, close as x, lead(close) over (partition by asset order by i) - close as y from dense_m) where y is not null group by asset", "dense_m"))
 def _(spark, sf):
     df = fx.dense_m(spark, sf).withColumn("y", W.lag("close", -1) - F.col("close")).where("y is not null")
@@ -312,6 +345,13 @@ for key, ratios, out in (("x05_value_factor", VALUE, "value"), ("x06_quality_fac
 
 
 FIVE = ("value", "quality", "mom", "low_vol", "size")
+
+
+def five_factors(spark, sf):
+    both = X.mean_of_zscores(X.mean_of_zscores(with_ratios(fundamentals(spark, sf), VALUE | QUALITY), [*VALUE], "value"), [*QUALITY], "quality")
+    return scores(spark, sf).join(both.select("date", "asset", "value", "quality"), ["date", "asset"], "left")
+
+
 CTE["five"] = ("scores value_factor quality_factor", "select s.*, v.value, q.quality from scores s left join value_factor v using (date, asset) left join quality_factor q using (date, asset)")
 CTE["five_scores"] = (
     "five",
@@ -323,9 +363,7 @@ FIVE_MEAN = f"({' + '.join(f'coalesce({c}_z, 0)' for c in FIVE)}) / nullif({' +
 @query("x10_factor_scores", sql(f"select date, asset, {', '.join(f'round({c}_z, 6) + 0.0 as {c}_z' for c in FIVE)}, round({FIVE_MEAN}, 6) + 0.0 as composite from five_scores", "five_scores"))
 def _(spark, sf):
     """All five factors, each winsorised and neutralised by sector, and their mean."""
-    both = X.mean_of_zscores(X.mean_of_zscores(with_ratios(fundamentals(spark, sf), VALUE | QUALITY), [*VALUE], "value"), [*QUALITY], "quality")
-    df = scores(spark, sf).join(both.select("date", "asset", "value", "quality"), ["date", "asset"], "left")
-    found = X.factor_scores(df, [*FIVE], [*FIVE])
+    found = X.factor_scores(five_factors(spark, sf), [*FIVE], [*FIVE])
     return rounded(found, "date", "asset", d=6, **{c: c for c in [*[f"{c}_z" for c in FIVE], "composite"]})
 
 
@@ -357,10 +395,3 @@ def _(spark, sf):
     gross = both.join(logs, ["asset", "i"], "left").groupBy("model", "date").agg(F.sum(F.col("w") * F.coalesce("s", F.lit(0.0))).alias("g"))
     # Each model pays for its own trades.
     return rounded(gross.join(L.turnover(both, ("model",)), ["model", "date"]), "model", "date", net=F.col("g") - F.col("turnover") * 0.001)
-
-
-@query("m10_regime_argmax", sql("select date, cast(arg_min(strategy, row(-ret, strategy)) as int) as regime from sleeves group by date", "sleeves"))
-def _(spark, sf):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("strategy", "ret"))), lambda x: x["ret"])
-    by_date = sleeves(spark, sf).groupBy("date").agg(ordered.alias("p"), F.array_sort(F.collect_list("strategy")).alias("s"))
-    return by_date.select("date", F.col("s")[F.array_position("p", F.array_max("p")).cast("int") - 1].cast("int").alias("regime"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Window
@@ -16,6 +17,7 @@ from panelspark.operators import risk as R
 from panelspark.operators import stats as E
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
+from panelspark.operators.calendar import calendar
 from panelspark.plans import fixtures as fx
 from panelspark.plans.core import book, factor_panel, ledger, ledger_of, ret_d, ret_m, rounded, scores
 from panelspark.plans.fixtures import CTE, sql
@@ -391,75 +393,139 @@ def _(spark, sf):
     return nw.select("feature", "segment", (F.col("mean") * 12).alias("premium"), "t", "n")
 
 
-CTE["logs"] = ("fill_m", "select asset, i, ln(close) as logp from fill_m where i < 60")
+#: Pairs are fitted on 24 months and judged on the next 12, window by window.
+FORMATION, TRADING, ENTRY, EXIT, STOP, PAIR_COST = 24, 12, 2.0, 0.5, 3.5, 0.0005
 CTE["fill_m"] = ("dense_m", "select asset, date, i, volume, case when i - max(case when close is not null then i end) over w <= 5 then last_value(close ignore nulls) over w end as close from dense_m window w as (partition by asset order by i rows unbounded preceding)")
-CTE["fits"] = ("logs sector_of", """select p.a, p.b, corr(x.logp, y.logp) as c, regr_intercept(x.logp, y.logp) as alpha, regr_slope(x.logp, y.logp) as beta from (select a.asset as a, b.asset as b from sector_of a join sector_of b on a.sector = b.sector and a.asset < b.asset) p
-    join w x on x.asset = p.a join w y on y.asset = p.b and y.i = x.i group by p.a, p.b having corr(x.logp, y.logp) >= 0.2 and regr_slope(x.logp, y.logp) > 0""".replace("join w ", "join (select * from logs where asset in (select asset from logs where logp is not null group by asset having count(*) = 60)) "))
-CTE["spreads"] = ("fits logs", "select f.a, f.b, x.i, x.logp - alpha - beta * y.logp as s from fits f join logs x on x.asset = f.a join logs y on y.asset = f.b and y.i = x.i")
-CTE["ssteps"] = ("spreads", "select *, lag(ds) over (partition by a, b order by i) as ds1 from (select *, s - s1 as ds from (select *, lag(s) over (partition by a, b order by i) as s1 from spreads))")
+CTE["pw"] = ("fill_m cal_m", "select asset, k, i, i >= 12 * k + 24 as trade, ln(close) as logp, nxt from (select *, lead(close) over (partition by asset order by i) / close - 1 as nxt from fill_m) join (select unnest(generate_series(0, ((select count(*) from cal_m) - 36) // 12)) as k) on i between 12 * k and 12 * k + 35")
+CTE["logs"] = ("pw", "select p.k, p.asset, p.i, p.logp from pw p join (select k, asset from pw where not trade and logp is not null group by 1, 2 having count(*) = 24 and arg_max(logp, i) >= ln(5)) using (k, asset) where not trade")
+CTE["fits"] = ("logs sector_of", "select x.k, p.a, p.b, corr(x.logp, y.logp) as c, regr_intercept(x.logp, y.logp) as alpha, regr_slope(x.logp, y.logp) as beta from (select a.asset as a, b.asset as b from sector_of a join sector_of b on a.sector = b.sector and a.asset < b.asset) p join logs x on x.asset = p.a join logs y on y.asset = p.b and y.k = x.k and y.i = x.i group by x.k, p.a, p.b having corr(x.logp, y.logp) >= 0.2 and regr_slope(x.logp, y.logp) > 0")
+CTE["spreads"] = ("fits logs", "select f.k, f.a, f.b, x.i, x.logp - alpha - beta * y.logp as s from fits f join logs x on x.asset = f.a and x.k = f.k join logs y on y.asset = f.b and y.k = f.k and y.i = x.i")
+CTE["ssteps"] = ("spreads", "select *, lag(ds) over (partition by k, a, b order by i) as ds1 from (select *, s - s1 as ds from (select *, lag(s) over (partition by k, a, b order by i) as s1 from spreads))")
 
 
-def logs(spark, sf):
-    return P.ffill_limit(fx.dense_m(spark, sf), 5).where("i < 60").select("asset", "i", F.log("close").alias("logp"))
+def pair_rows(spark, sf):
+    """(k, asset, i, trade, logp, nxt): filled log prices and the return to the next month, by window."""
+    filled = P.ffill_limit(fx.dense_m(spark, sf), 5)
+    nxt = F.lead("close").over(Window.partitionBy("asset").orderBy("i")) / F.col("close") - 1
+    return written(E.window_rows(filled.select("asset", "i", F.log("close").alias("logp"), nxt.alias("nxt")), FORMATION, TRADING))
 
 
-def fits(spark, sf):
-    return E.pair_fit(logs(spark, sf), J.pairs_within(fx.sector_of(spark, sf)), 60, 0.2)
+def formed(spark, sf):
+    """Rows by window, the pairs fitted in each formation, and their spreads there."""
+    rows = pair_rows(spark, sf)
+    logs = rows.where("not trade")
+    fit = written(E.pair_fit(logs, J.pairs_within(fx.sector_of(spark, sf)), FORMATION, 0.2, math.log(5)))
+    return rows, fit, written(E.residuals(fit, logs))
 
 
-@query("e04_pair_cointegration", sql("select a, b, round(c, 6) as corr, round(alpha, 5) + 0.0 as alpha, round(beta, 6) as beta from fits", "fits"))
+@query("e04_pair_cointegration", sql("select k, a, b, round(c, 6) as corr, round(alpha, 5) + 0.0 as alpha, round(beta, 6) as beta from fits", "fits"))
 def _(spark, sf):
-    return fits(spark, sf).select("a", "b", F.round("corr", 6).alias("corr"), (F.round("alpha", 5) + 0.0).alias("alpha"), F.round("beta", 6).alias("beta"))
+    return formed(spark, sf)[1].select("k", "a", "b", F.round("corr", 6).alias("corr"), (F.round("alpha", 5) + 0.0).alias("alpha"), F.round("beta", 6).alias("beta"))
 
 
-@query("e05_adf_t", sql("select a, b, round(((say * sbb - sby * sab) / det) / sqrt((syy - (say * sbb - sby * sab) / det * say - (sby * saa - say * sab) / det * sby) / (n - 3) * sbb / det), 5) as t from (select *, saa * sbb - sab * sab as det from (select a, b, count(*) as n, covar_pop(s1, s1) * count(*) as saa, covar_pop(ds1, ds1) * count(*) as sbb, covar_pop(s1, ds1) * count(*) as sab, covar_pop(s1, ds) * count(*) as say, covar_pop(ds1, ds) * count(*) as sby, covar_pop(ds, ds) * count(*) as syy from ssteps where ds1 is not null group by a, b))", "ssteps"))
+CTE["adf"] = ("ssteps", "select k, a, b, ((say * sbb - sby * sab) / det) / sqrt((syy - (say * sbb - sby * sab) / det * say - (sby * saa - say * sab) / det * sby) / (n - 3) * sbb / det) as t from (select *, saa * sbb - sab * sab as det from (select k, a, b, count(*) as n, covar_pop(s1, s1) * count(*) as saa, covar_pop(ds1, ds1) * count(*) as sbb, covar_pop(s1, ds1) * count(*) as sab, covar_pop(s1, ds) * count(*) as say, covar_pop(ds1, ds) * count(*) as sby, covar_pop(ds, ds) * count(*) as syy from ssteps where ds1 is not null group by k, a, b))")
+
+
+@query("e05_adf_t", sql("select k, a, b, round(t, 5) as t from adf", "adf"))
+def _(spark, sf):
+    return rounded(E.adf_t(formed(spark, sf)[2]), "k", "a", "b", d=5, t="t")
+
+
+CTE["ou"] = ("ssteps", "select * from (select k, a, b, -ln(2.0) / ln(phi) as half_life, c / (1 - phi) as mu, sigma from (select k, a, b, regr_slope(s, s1) as phi, regr_intercept(s, s1) as c, stddev_samp(s) as sigma from ssteps group by k, a, b) where phi > 0 and phi < 1) where half_life between 0.2 and 63")
+CTE["sel"] = ("fits adf ou", "select f.*, t, half_life, mu, sigma from fits f join adf using (k, a, b) join ou using (k, a, b) where t <= -2.86 qualify row_number() over (partition by k order by t, a, b) <= 20")
+
+
+@query("e06_ou_fit", sql("select k, a, b, round(half_life, 5) as half_life, round(mu, 6) + 0.0 as mu, round(sigma, 6) as sigma from ou", "ou"))
 def _(spark, sf):
-    return rounded(E.adf_t(E.residuals(fits(spark, sf), logs(spark, sf))), "a", "b", d=5, t="t")
+    return E.ou_fit(formed(spark, sf)[2], 0.2, 63).select("k", "a", "b", F.round("half_life", 5).alias("half_life"), (F.round("mu", 6) + 0.0).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
-CTE["ou"] = ("ssteps", "select * from (select a, b, -ln(2.0) / ln(phi) as half_life, c / (1 - phi) as mu, sigma from (select a, b, regr_slope(s, s1) as phi, regr_intercept(s, s1) as c, stddev_samp(s) as sigma from ssteps group by a, b) where phi > 0 and phi < 1) where half_life between 0.2 and 63")
+def traded(spark, sf):
+    """Rows by window, the chosen pairs (at most 20 a window), and their z over the trading rows."""
+    rows, fit, spreads = formed(spark, sf)
+    chosen = written(E.chosen_pairs(fit, spreads, -2.86, 0.2, 63, 20))
+    return rows, chosen, E.spread_zscores(chosen, rows.where("trade"))
 
 
-def ou(spark, sf):
-    return E.ou_fit(E.residuals(fits(spark, sf), logs(spark, sf)), 0.2, 63)
+CTE["zs"] = ("sel pw", "select f.k, f.a, f.b, half_life, x.i, (x.logp - alpha - beta * y.logp - mu) / sigma as z, (x.nxt - beta * y.nxt) / (1 + beta) as leg from sel f join pw x on x.asset = f.a and x.k = f.k and x.trade join pw y on y.asset = f.b and y.k = f.k and y.i = x.i")
 
 
-@query("e06_ou_fit", sql("select a, b, round(half_life, 5) as half_life, round(mu, 6) + 0.0 as mu, round(sigma, 6) as sigma from ou", "ou"))
+@query("e07_spread_zscore", sql("select k, a, b, i, round(z, 5) + 0.0 as z from zs", "zs"))
 def _(spark, sf):
-    return ou(spark, sf).select("a", "b", F.round("half_life", 5).alias("half_life"), (F.round("mu", 6) + 0.0).alias("mu"), F.round("sigma", 6).alias("sigma"))
+    return rounded(traded(spark, sf)[2], "k", "a", "b", F.col("i").cast("long").alias("i"), d=5, z="z")
+
 
+def tradable(z):
+    """The trading rows but the last of each window; without a return to the next row nothing can be held."""
+    inside = z.where(F.col("i") < F.col("k") * TRADING + FORMATION + TRADING - 1)
+    return inside.withColumn("z", F.when(F.col("leg").isNotNull(), F.col("z")))
 
-def zs(spark, sf):
-    fit = fits(spark, sf)
-    later = P.ffill_limit(fx.dense_m(spark, sf), 5).where("i >= 60").select("asset", "i", F.log("close").alias("logp"))
-    return E.residuals(fit, later).join(ou(spark, sf), ["a", "b"]).select("a", "b", "i", ((F.col("s") - F.col("mu")) / F.col("sigma")).alias("z"))
 
+POSITION = "case when z.z is null or s.dead then 0 when s.pos = 0 and z.z > s.entry then -1 when s.pos = 0 and z.z < -s.entry then 1 when s.pos <> 0 and (abs(z.z) < 0.5 or abs(z.z) > 3.5) then 0 else s.pos end"
+DEAD = "s.dead or (s.pos <> 0 and z.z is not null and abs(z.z) >= 0.5 and abs(z.z) > 3.5)"
 
-CTE["zs"] = ("fits ou fill_m", "select f.a, f.b, x.i, (ln(x.close) - alpha - beta * ln(y.close) - mu) / sigma as z from fits f join ou on ou.a = f.a and ou.b = f.b join fill_m x on x.asset = f.a and x.i >= 60 join fill_m y on y.asset = f.b and y.i = x.i")
 
+def q_positions(body: str, grid: str, **more: str) -> str:
+    """SQL over `pos` (entry, band, k, a, b, i, pos, leg): positions for each (entry, band) of a grid; band: longest half-life."""
+    recursion = {
+        "grid": grid,
+        "zk": "select entry, band, k, a, b, i, leg, case when leg is not null then z end as z, row_number() over (partition by entry, band, k, a, b order by i) as r from zs, grid where i < 12 * k + 35 and half_life <= band",
+        "p": f"select distinct entry, band, k, a, b, cast(0 as bigint) as i, cast(0 as bigint) as r, cast(0 as int) as pos, false as dead, cast(null as double) as leg from zk union all select s.entry, s.band, z.k, z.a, z.b, z.i, z.r, cast({POSITION} as int), {DEAD}, z.leg from p s join zk z on z.entry = s.entry and z.band = s.band and z.k = s.k and z.a = s.a and z.b = s.b and z.r = s.r + 1",
+        "pos": "select * from p where r > 0",
+        "prets": "select *, coalesce(pos * leg, 0) - 0.0005 * abs(pos - lag(pos, 1, 0) over (partition by entry, band, k, a, b order by r)) as ret from pos",
+        "pbook": """select entry, band, date, i, n_open, ret from (select *, max(cast(ret <> 0 as int)) over (partition by entry, band order by i) as begun from (
+            select g.entry, g.band, c.date, c.i, coalesce(b.n_open, 0) as n_open, coalesce(b.s / n.n, 0) as ret from grid g cross join (select distinct k, i from pw where trade) t join cal_m c using (i)
+            left join (select entry, band, k, i, sum(ret) as s, count(*) filter (pos <> 0) as n_open from prets group by 1, 2, 3, 4) b on b.entry = g.entry and b.band = g.band and b.k = t.k and b.i = t.i
+            left join (select band, k, count(*) as n from sel, (select distinct band from grid) where half_life <= band group by 1, 2) n on n.band = g.band and n.k = t.k)) where begun = 1""",
+    }
+    return sql(body, "zs", "cal_m", **recursion, **more).replace("with ", "with recursive ", 1)
 
-@query("e07_spread_zscore", sql("select a, b, i, round(z, 5) + 0.0 as z from zs", "zs"))
+
+ONE_RULE = "select 2.0::double as entry, 63.0::double as band"
+
+
+@query("e08_pair_positions", q_positions("select k, a, b, i, pos from pos", ONE_RULE))
 def _(spark, sf):
-    return rounded(zs(spark, sf), "a", "b", F.col("i").cast("long").alias("i"), d=5, z="z")
+    return E.pair_positions(tradable(traded(spark, sf)[2]), ENTRY, EXIT, STOP)
 
 
-POSITION = "case when z.z is null then 0 when s.dead or abs(z.z) > 3.5 then 0 when s.pos = 0 and z.z >= 2.0 then -1 when s.pos = 0 and z.z <= -2.0 then 1 when s.pos <> 0 and abs(z.z) < 0.5 then 0 else s.pos end"
+@query("e10_pairs_book", q_positions("select date, n_open, round(ret, 8) + 0.0 as ret, round(1e6 * exp(sum(ln(1 + ret)) over (order by i rows unbounded preceding)), 2) as capital from pbook", ONE_RULE))
+def _(spark, sf):
+    rows, chosen, z = traded(spark, sf)
+    returns = E.pair_returns(E.pair_positions(tradable(z), ENTRY, EXIT, STOP, carry=("leg",)), PAIR_COST)
+    slots = chosen.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    book = E.pairs_book(returns, slots, rows.where("trade").select("k", "i").distinct())
+    capital = 1e6 * F.exp(F.sum(F.log1p("ret")).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    dated = book.withColumn("capital", capital).join(calendar(fx.px_m(spark, sf)), "i")
+    return dated.select("date", "n_open", (F.round("ret", 8) + 0.0).alias("ret"), F.round("capital", 2).alias("capital"))
 
 
-@query("e08_pair_positions", sql(f"select a, b, i, pos from p where k > 0", "zs").replace("with ", "with recursive ", 1).replace(" select a, b, i, pos from p", f", zk as (select *, row_number() over (partition by a, b order by i) as k from zs), p as (select distinct a, b, cast(0 as bigint) as i, cast(0 as bigint) as k, cast(0 as int) as pos, false as dead from zs union all select z.a, z.b, z.i, z.k, cast({POSITION} as int), s.dead or (z.z is not null and abs(z.z) > 3.5) from p s join zk z on z.a = s.a and z.b = s.b and z.k = s.k + 1) select a, b, i, pos from p"))
+GRID = [(entry, band) for entry in (1.5, 2.0, 2.5) for band in (0.5, 1.0, 63.0)]
+SCORED = "select entry, band, round(sharpe, 6) + 0.0 as sharpe, round(total, 8) + 0.0 as total, n, row_number() over (order by round(sharpe, 6) desc nulls last, entry, band) as place from (select entry, band, case when stddev_samp(ret) > 0 then avg(ret) / stddev_samp(ret) * sqrt(12) end as sharpe, exp(sum(ln(1 + ret))) - 1 as total, count(*) as n from pbook group by entry, band)"
+
+
+@query("m15_param_grid_eval", q_positions(SCORED, "select * from (values " + ", ".join(f"({e}::double, {b}::double)" for e, b in GRID) + ") t(entry, band)"))
 def _(spark, sf):
-    return E.pair_positions(zs(spark, sf), 2.0, 0.5, 3.5)
+    """Rules of entry and longest half-life, scored by the Sharpe ratio of their book and sorted: the grid is a column."""
+    rows, chosen, z = traded(spark, sf)
+    rules = F.explode(F.array(*[F.struct(F.lit(e).alias("entry"), F.lit(b).alias("band")) for e, b in GRID])).alias("g")
+    each = lambda df, *keep: df.select(*keep, rules).select(*keep, "g.*")
+    by = ("entry", "band", *E.PAIR)
+    ruled = each(tradable(z), *E.PAIR, "i", "z", "leg", "half_life").where("half_life <= band")
+    returns = E.pair_returns(E.pair_positions(ruled, "entry", EXIT, STOP, by, ("leg",)), PAIR_COST, by)
+    slots = each(chosen, "k", "half_life").where("half_life <= band").groupBy("entry", "band", "k").agg(F.count(F.lit(1)).alias("n"))
+    book = E.pairs_book(returns, slots, each(rows.where("trade").select("k", "i").distinct(), "k", "i"), ("entry", "band"))
+    s = F.stddev_samp("ret")
+    scored = book.groupBy("entry", "band").agg(F.round(F.when(s > 0, F.avg("ret") / s * 12**0.5), 6).alias("sharpe"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("sharpe"), "entry", "band"))  # one row a rule
+    return scored.select("entry", "band", (F.col("sharpe") + 0.0).alias("sharpe"), (F.round("total", 8) + 0.0).alias("total"), "n", place.cast("long").alias("place"))
 
 
 @query("e09_walkforward_windows", sql("select k, s as first, s + 24 as trade, s + 36 as stop, count(*) as n from (select unnest(generate_series(0, (select count(*) from cal_m) - 36, 12)) as s), (select 1), cal_m c, lateral (select cast(s / 12 as bigint) as k) where c.i >= s and c.i < s + 36 group by all", "cal_m"))
 def _(spark, sf):
-    from panelspark.operators.calendar import calendar
-
-    cal = calendar(fx.px_m(spark, sf))
-    count = cal.count()  # one row a date
-    spans = E.walkforward_windows(count, 24, 12)
-    table = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("k", "first", "trade", "stop"), s, strict=True)]) for s in spans])
-    return cal.withColumn("w", F.explode(table)).where("i >= w.first and i < w.stop").groupBy("w.k", "w.first", "w.trade", "w.stop").agg(F.count(F.lit(1)).alias("n"))
+    rows = E.window_rows(calendar(fx.px_m(spark, sf)), FORMATION, TRADING).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    first = F.col("k") * TRADING
+    return rows.select("k", first.alias("first"), (first + FORMATION).alias("trade"), (first + FORMATION + TRADING).alias("stop"), "n")
 
 
 @query("e11_bootstrap_ci")

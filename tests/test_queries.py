@@ -143,5 +143,5 @@ def test_bounded_fill(spark):
 
 def test_pair_positions_latch(spark):
     z = [0.0, 2.1, 1.0, 0.4, -2.5, None, -2.2, -3.6, -2.5]
-    df = spark.createDataFrame([(1, 2, k, x) for k, x in enumerate(z)], "a int, b int, i long, z double")
+    df = spark.createDataFrame([(0, 1, 2, k, x) for k, x in enumerate(z)], "k int, a int, b int, i long, z double")
     assert [r.pos for r in E.pair_positions(df, 2.0, 0.5, 3.5).orderBy("i").collect()] == [0, -1, -1, 0, 1, 0, 1, 0, 0]
