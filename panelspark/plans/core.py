@@ -200,7 +200,6 @@ put_feature("w15_forward_sum", {"fwd": lambda: W.forward_sum(r(), 3)}, {"fwd": c
 put_feature("w18_rolling_corr", {"corr": lambda: W.rolling_corr("ret", "volume", 12)}, {"corr": f"(case when count(case when volume is not null then ret end) {rows(-11, 0)} >= 12 then corr(ret, volume) {rows(-11, 0)} end)"}, d=7)
 put_feature("w19_relative_volume", {"rel": lambda: W.relative_volume("volume", 3, 12)}, {"rel": f"(case when count(volume) {rows(-2, 0)} >= 3 then avg(greatest(volume, 1)) {rows(-2, 0)} end) / ((case when count(volume) {rows(-11, 0)} >= 12 then avg(greatest(volume, 1)) {rows(-11, 0)} end) + 1e-6)"})
 put_feature("w20_high_ratio", {"ratio": lambda: W.high_ratio("close", 12, 6)}, {"ratio": f"close / {counted('max', 'close', -11, 0, 6)}"})
-put_feature("w21_derived", {"vol_ratio": lambda: W.rolling(r(), -5, 0, F.stddev_samp) / W.rolling(r(), -11, 0, F.stddev_samp), "reversal": lambda: -W.rolling(r(), -1, 0, F.sum)}, {"vol_ratio": f"{counted('stddev_samp', 'ret', -5, 0)} / {counted('stddev_samp', 'ret', -11, 0)}", "reversal": f"-{counted('sum', 'ret', -1, 0)}"})
 put_feature("w30_adv_dollar", {"adv": lambda: W.adv_dollar(6, 3)}, {"adv": counted("avg", "close * volume", -5, 0, 3)}, d=4)
 put_feature("w31_expanding_std", {"sd": lambda: W.expanding_std(r(), 12, ("asset",), "i")}, {"sd": "(case when count(ret) over (partition by asset order by i rows between unbounded preceding and 1 preceding) >= 12 then stddev_samp(ret) over (partition by asset order by i rows between unbounded preceding and 1 preceding) end)"})
 

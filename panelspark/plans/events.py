@@ -267,32 +267,6 @@ def _(spark, sf):
     return W.latest(fx.filings(spark, sf), ["asset", "period_end"], F.col("filed"), F.col("val")).select("asset", "period_end", "filed", "form")
 
 
-@query("w27_eps_growth", sql("select asset, ann_date, round(g, 6) + 0.0 as growth, round(g - lag(g) over (partition by asset order by ann_date), 6) + 0.0 as acceleration from (select *, case when p <> 0 then least(greatest((eps - p) / abs(p), -2), 10) end as g from (select *, lag(eps, 4) over (partition by asset order by ann_date) as p from eps))", "eps"))
-def _(spark, sf):
-    from panelspark.functions.columns import clip, safe_div
-
-    before = W.lag("eps", 4, "ann_date")
-    df = fx.eps(spark, sf).withColumn("growth", clip(safe_div(F.col("eps") - before, before), -2.0, 10.0))
-    return rounded(df, "asset", "ann_date", d=6, growth="growth", acceleration=F.col("growth") - W.lag("growth", 1, "ann_date"))
-
-
-@query("w28_trailing_pe", sql("select d.asset, d.date, round(case when t.ttm > 0 and d.close is not null then least(greatest(d.close / t.ttm, 0), 200) end, 6) + 0.0 as pe from dense_m d asof left join (select asset, ann_date, sum(eps) over (partition by asset order by ann_date rows between 3 preceding and current row) as ttm from eps) t on d.asset = t.asset and d.date >= t.ann_date", "dense_m", "eps"))
-def _(spark, sf):
-    from panelspark.functions.columns import clip
-
-    ttm = fx.eps(spark, sf).select("asset", F.col("ann_date").alias("date"), W.ttm_sum("eps", 4, "ann_date", "sum").alias("ttm"))
-    df = J.asof_join(fx.dense_m(spark, sf).select("asset", "date", "close"), ttm, ["asset"], "date", ["ttm"])
-    return rounded(df, "asset", "date", d=6, pe=clip(F.when(F.col("ttm") > 0, F.col("close") / F.col("ttm")), 0.0, 200.0))
-
-
-@query("w29_revenue_growth", sql("select asset, period_end, round(case when p <> 0 then (revenue - p) / abs(p) end, 6) + 0.0 as growth, round(ln(greatest(revenue, 1e6)), 6) as log_revenue from (select *, lag(revenue, 4) over (partition by asset order by period_end) as p from quarters)", "quarters"))
-def _(spark, sf):
-    from panelspark.functions.columns import safe_div
-
-    before = W.lag("revenue", 4, "period_end")
-    return rounded(fx.quarters(spark, sf), "asset", "period_end", d=6, growth=safe_div(F.col("revenue") - before, before), log_revenue=F.log(F.greatest(F.col("revenue"), F.lit(1e6))))
-
-
 @query("x20_event_avg_by_leg", sql("select ann_date, round(avg(case when sue > 1 then sue end), 6) as long_sue, round(avg(case when sue < -1 then sue end), 6) as short_sue from sue group by ann_date", "sue"))
 def _(spark, sf):
     return sue(spark, sf).groupBy("ann_date").agg(F.round(F.avg(F.when(F.col("sue") > 1, F.col("sue"))), 6).alias("long_sue"), F.round(F.avg(F.when(F.col("sue") < -1, F.col("sue"))), 6).alias("short_sue"))

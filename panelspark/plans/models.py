@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import clip, row_mean, safe_div
 from panelspark.operators import construct as K
+from panelspark.operators import features as FT
 from panelspark.operators import joins as J
 from panelspark.operators import ledger as L
 from panelspark.operators import ml as M
@@ -16,7 +17,7 @@ from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.operators.calendar import calendar, next_trading_day
 from panelspark.plans import fixtures as fx
-from panelspark.plans.core import factor_panel, q_rank, q_winsor, q_z, ret_d, ret_m, rounded, scores
+from panelspark.plans.core import counted, factor_panel, q_rank, q_winsor, q_z, ret_d, ret_m, rounded, rows, scores
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import query
 from panelspark.plans.research import sleeves
@@ -146,18 +147,78 @@ def _(spark, sf):
     return shares.union(M.stacked_pca(written(factors.select("label", "step", "factor")), "label", "step", labels, 3))
 
 
-PANEL = {
-    "ret_1": ("ret", lambda: F.col("ret")),
-    "mom": ("lag(close, 1) over w / lag(close, 12) over w - 1", lambda: W.momentum(1, 12)),
-    "vol_6": ("case when count(ret) over v6 >= 6 then stddev_samp(ret) over v6 end", lambda: W.rolling(F.col("ret"), -5, 0, F.stddev_samp)),
-    "sum_3": ("case when count(ret) over v3 >= 3 then sum(ret) over v3 end", lambda: W.rolling(F.col("ret"), -2, 0, F.sum)),
-    "high_12": ("close / case when count(close) over v12 >= 6 then max(close) over v12 end", lambda: W.high_ratio("close", 12, 6)),
+def q_ratio(a: str, b: str) -> str:
+    return f"({a}) / nullif({b}, 0)"
+
+
+def q_clip(x: str, low: float, high: float) -> str:
+    return f"(case when ({x}) is not null then least(greatest({x}, {low}), {high}) end)"
+
+
+def q_change(c: str, k: int) -> str:
+    return q_ratio(f"{c} - lag({c}, {k}) over w", f"abs(lag({c}, {k}) over w)")
+
+
+def q_rows(agg: str, c: str, low: int, high: int, least: int) -> str:
+    o = f"over (partition by asset order by date rows between {-low} preceding and {'current row' if not high else f'{-high} preceding'})"
+    return f"case when count({c}) {o} >= {least} then {agg}({c}) {o} end"
+
+
+QW = "window w as (partition by asset order by date)"
+CTE["quarter_facts"] = ("facts eps", "select f.asset, f.filed as date, e.eps, f.sales, f.gross from facts f join eps e on e.asset = f.asset and e.ann_date = f.filed")
+CTE["filed"] = ("quarter_facts", f"""select *, eps_growth_yoy - lag(eps_growth_yoy, 4) over w as eps_acceleration, {q_rows("sum", "s", -3, 0, 2)} as eps_revision_trend, {q_clip("revenue_growth_yoy - lag(revenue_growth_yoy) over w", -3, 3)} as revenue_acceleration, {q_clip("gross_margin - lag(gross_margin, 4) over w", -0.3, 0.3)} as gross_margin_expansion from (
+    select *, {q_clip(q_change("eps_ttm", 4), -2, 10)} as eps_growth_yoy, {q_clip(q_ratio("eps - est", "abs(est)"), -2, 2)} as eps_surprise, {q_clip(q_change("est", 1), -2, 2)} as eps_revision, cast(sign(est - lag(est) over w) as double) as s, {q_clip(q_change("sales", 4), -1, 5)} as revenue_growth_yoy, {q_clip(q_ratio("gross", "sales"), 0, 1)} as gross_margin from (
+    select *, {q_rows("sum", "eps", -3, 0, 4)} as eps_ttm, {q_rows("avg", "eps", -4, -1, 2)} as est from quarter_facts) {QW}) {QW}""")
+CTE["sect"] = ("ret_m sector_of", "select sector, date, i, avg(ret) as sec from ret_m join sector_of using (asset) group by 1, 2, 3")
+CTE["sect_v"] = ("sect", "select *, case when count(sec) over h >= 6 then stddev_samp(sec) over h end as v from sect window h as (partition by sector order by i rows between 5 preceding and current row)")
+CTE["sect_p"] = ("sect_v", "select a.sector, a.date, a.i, a.sec, a.v, case when a.v is not null and count(b.v) >= 3 then (count(*) filter (b.v < a.v) + (count(*) filter (b.v = a.v) + 1) / 2.0) / count(b.v) end as p from sect_v a join (select *, row_number() over (partition by sector order by i) as r from sect_v) b on b.sector = a.sector join (select sector, i, row_number() over (partition by sector order by i) as r from sect_v) ar on ar.sector = a.sector and ar.i = a.i and b.r between ar.r - 11 and ar.r group by a.sector, a.date, a.i, a.sec, a.v")
+CTE["sect_s"] = ("sect_p", "select sector, date, sec, lag(v) over w as sector_vol, lag(p) over w as sector_vol_pctile from sect_p window w as (partition by sector order by i)")
+CTE["market_s"] = ("ret_m", f"select date, lag(m) over (order by i) as cs_dispersion, lag(b) over (order by i) as breadth_200d from (select *, case when count(d) over w >= 2 then avg(d) over w end as m from (select date, i, stddev_samp(ret) as d, avg(case when u > 0 then 1.0 else 0.0 end) as b from (select *, {counted('sum', 'ret', -9, 0)} as u from ret_m) group by 1, 2) window w as (order by i rows between 1 preceding and current row))")
+ON_SECTOR = f"count(case when ret is not null then sec end) {rows(-24, -1)} >= 12 and var_samp(case when ret is not null then sec end) {rows(-24, -1)} > 1e-12"
+TECHNICAL = {
+    "idio_mom_1m": counted("sum", "e", -1, 0), "idio_mom_3m": counted("sum", "e", -2, 0), "idio_mom_6m": counted("sum", "e", -5, 0),
+    "total_mom_1m": counted("sum", "x", -1, 0), "total_mom_3m": counted("sum", "x", -2, 0), "reversal_1w": "ret", "beta": "beta_",
+    "mom_12_1": f"{counted('sum', 'ret', -11, 0)} - {counted('sum', 'ret', -1, 0)}", "sd": counted("stddev_samp", "ret", -5, 0),
+    "high_52w_ratio": q_clip(f"cum / {counted('max', 'cum', -11, 0, 3)}", 0, 1), "rel_volume": f"{counted('avg', 'vol', -1, 0)} / ({counted('avg', 'vol', -5, 0)} + 1e-6)",
+    "price_vol_corr": f"(case when count(case when dv is not null then ret end) {rows(-5, 0)} >= 6 then corr(ret, dv) {rows(-5, 0)} end)",
 }
+CTE["technical"] = ("ret_m sector_of sect_s market_s", f"""select asset, date, close, volume, {', '.join(f'lag({c}) over w as {c}' for c in TECHNICAL if c != 'sd')}, lag(sd) over w / (sector_vol + 1e-8) as vol_ratio, sector_vol_pctile, cs_dispersion, breadth_200d,
+    case when date - min(case when close is not null then date end) over (partition by asset) > 0 then cast(date - min(case when close is not null then date end) over (partition by asset) as double) end as ipo_age_days from (
+    select asset, date, i, close, volume, sector_vol, sector_vol_pctile, {', '.join(f'{e} as {c}' for c, e in TECHNICAL.items())} from (select *, ln(vol) - lag(ln(vol)) over (partition by asset order by i) as dv from (
+    select *, case when {ON_SECTOR} then regr_slope(ret, sec) {rows(-24, -1)} end as beta_, case when {ON_SECTOR} then ret - regr_intercept(ret, sec) {rows(-24, -1)} - regr_slope(ret, sec) {rows(-24, -1)} * sec end as e, ret - sec as x,
+    greatest(last_value(volume ignore nulls) over (partition by asset order by i rows unbounded preceding), 1) as vol, case when ret is not null then exp(sum(ret) over (partition by asset order by i rows unbounded preceding)) end as cum
+    from ret_m join sector_of using (asset) join sect_s using (sector, date)))) join market_s using (date) window w as (partition by asset order by i)""")
+CTE["features"] = ("technical filed", f"""select *, ({q_rank("trailing_pe")}) / count(trailing_pe) over (partition by date) as pe_rank_cs from (select *, {q_clip("trailing_pe / nullif(eps_growth_yoy * 100, 0)", 0, 20)} as peg_ratio from (
+    select t.*, {', '.join(f'f.{c}' for c in FT.FILED)}, {q_clip("case when f.eps_ttm > 0 then t.close / f.eps_ttm end", 0, 200)} as trailing_pe, case when t.close is not null and t.volume is not null then ln(greatest(t.close * t.volume, 1e6)) end as log_market_cap from technical t asof left join filed f on f.asset = t.asset and t.date >= f.date))""")
+VALUED = ("trailing_pe", "peg_ratio", "log_market_cap", "pe_rank_cs")
+COLUMNS = [*FT.STOCK, *FT.MARKET, "sector_vol_pctile", "ipo_age_days", *FT.FILED, *VALUED]
 
 
-@query("m12_feature_panel", sql("select asset, date, " + ", ".join(f"round({q}, 8) + 0.0 as {k}" for k, (q, _) in PANEL.items()) + " from ret_m window w as (partition by asset order by i), " + ", ".join(f"v{n} as (partition by asset order by i rows between {n - 1} preceding and current row)" for n in (3, 6, 12)), "ret_m"))
-def _(spark, sf):
-    return rounded(ret_m(spark, sf), "asset", "date", **{k: f() for k, (_, f) in PANEL.items()})
+def quarter_facts(spark, sf):
+    both = fx.facts(spark, sf).select("asset", F.col("filed").alias("date"), "sales", "gross").join(fx.eps(spark, sf).withColumnRenamed("ann_date", "date"), ["asset", "date"])
+    return both.select("asset", "date", "eps", "sales", "gross")
+
+
+def stock_panel(spark, sf):
+    return written(ret_m(spark, sf).join(fx.sector_of(spark, sf), "asset"))
+
+
+def technical(spark, sf):
+    """Written: further projections over so many windows keep the optimizer busy for minutes."""
+    return written(FT.technical_features(stock_panel(spark, sf)))
+
+
+def feature_query(name: str, columns: list[str], source: str, build) -> None:
+    @query(name, sql("select asset, date, " + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in columns) + f" from {source}", source))
+    def _(spark, sf):
+        return rounded(build(spark, sf), "asset", "date", d=6, **{c: c for c in columns})
+
+
+feature_query("w21_derived", [c for c in FT.STOCK if c.startswith(("idio", "total")) or c in ("vol_ratio", "reversal_1w")], "technical", technical)
+feature_query("w27_eps_growth", [c for c in FT.FILED if c.startswith("eps")], "filed", lambda spark, sf: FT.filed_features(quarter_facts(spark, sf)))
+feature_query("w29_revenue_growth", [c for c in FT.FILED if not c.startswith("eps")], "filed", lambda spark, sf: FT.filed_features(quarter_facts(spark, sf)))
+feature_query("w28_trailing_pe", [*VALUED], "features", lambda spark, sf: FT.valuation(J.asof_join(fx.dense_m(spark, sf), FT.filed_features(quarter_facts(spark, sf)), ["asset"], "date", [*FT.FILED])))
+feature_query("m12_feature_panel", COLUMNS, "features", lambda spark, sf: FT.feature_panel(technical(spark, sf), quarter_facts(spark, sf)))
 
 
 @query("m13_factor_panel_build", sql("select date, asset, round(mom_z, 7) + 0.0 as mom, round(low_vol_z, 7) + 0.0 as low_vol, round(fwd_ret, 7) + 0.0 as fwd_ret from factor_scores where fwd_ret is not null and (mom_z is not null or low_vol_z is not null)", "factor_scores"))
@@ -297,10 +358,13 @@ def _(spark, sf):
     return rounded(met.groupBy("asset", "ann_date").agg((F.product(1 + F.col("ret")) - 1).alias("a")), "asset", "ann_date", d=7, after="a")
 
 
-@query("w34_earnings_features", sql("select asset, ann_date, round(case when p1 is not null then least(greatest((eps - p1) / greatest(abs(p1), 1e-4), -5), 5) end, 6) + 0.0 as qoq, round(case when p4 is not null then least(greatest((eps - p4) / greatest(abs(p4), 1e-4), -5), 5) end, 6) + 0.0 as yoy from (select *, lag(eps) over w as p1, lag(eps, 4) over w as p4 from eps window w as (partition by asset order by ann_date))", "eps"))
+@query("w34_earnings_features", sql("select asset, ann_date, round(case when est is not null then (eps - est) / greatest(abs(est), 1e-4) * 100 else 0 end, 4) + 0.0 as surprise, round(case when p1 is not null then least(greatest((eps - p1) / greatest(abs(p1), 1e-4), -5), 5) end, 6) + 0.0 as qoq, round(case when p4 is not null then least(greatest((eps - p4) / greatest(abs(p4), 1e-4), -5), 5) end, 6) + 0.0 as yoy from (select *, lag(eps) over w as p1, lag(eps, 4) over w as p4, case when count(eps) over b >= 2 then avg(eps) over b end as est from eps window w as (partition by asset order by ann_date), b as (partition by asset order by ann_date rows between 4 preceding and 1 preceding))", "eps"))
 def _(spark, sf):
     growth = lambda k: clip((F.col("eps") - W.lag("eps", k, "ann_date")) / F.greatest(F.abs(W.lag("eps", k, "ann_date")), F.lit(1e-4)), -5.0, 5.0)
-    return rounded(fx.eps(spark, sf), "asset", "ann_date", d=6, qoq=growth(1), yoy=growth(4))
+    # Without an estimate (here the mean of the quarters before) the actual stands in for it.
+    est = F.coalesce(W.rolling(F.col("eps"), -4, -1, F.avg, 2, "ann_date"), F.col("eps"))
+    surprise = (F.col("eps") - est) / F.greatest(F.abs(est), F.lit(1e-4)) * 100
+    return rounded(fx.eps(spark, sf), "asset", "ann_date", d=6, surprise=F.round(surprise, 4), qoq=growth(1), yoy=growth(4))
 
 
 @query("w35_decay_fill", sql("select asset, date, round(coalesce(last_value(s ignore nulls) over w * pow(0.85, i - max(case when s is not null then i end) over w), 0), 8) + 0.0 as score from (select *, case when volume > 600 then close / 1000 end as s from dense_m) window w as (partition by asset order by i rows unbounded preceding)", "dense_m"))
