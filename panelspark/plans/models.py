@@ -312,12 +312,16 @@ def _(spark, sf):
     return rounded(L.turnover(w.select("date", "asset", "w")).where("turnover > 0.001"), "date", turnover="turnover")
 
 
-@query("b12_fold_validation", sql("select cast(floor(i / (select cast(floor(count(*) / 5) as bigint) from daily)) as bigint) as fold, count(*) as n, round(avg(gross), 8) + 0.0 as mean from daily where i < 5 * (select cast(floor(count(*) / 5) as bigint) from daily) group by 1", "daily"))
+@query("b12_fold_validation", sql("select fold, count(*) as n, round(avg(gross), 8) + 0.0 as mean_gross, round(avg(net), 8) + 0.0 as mean_net, round(sum(turnover), 6) + 0.0 as turnover, round(exp(sum(ln(1 + net))) - 1, 7) + 0.0 as total from (select cast(floor(i / (select cast(floor(count(*) / 5) as bigint) from daily)) as bigint) as fold, gross, coalesce(turnover, 0) as turnover, gross - coalesce(turnover, 0) * 0.0015 as net from daily left join daily_t using (i) where i < 5 * (select cast(floor(count(*) / 5) as bigint) from daily)) group by fold", "daily", "daily_t"))
 def _(spark, sf):
-    _, gross = daily_parts(spark, sf)
-    size = gross.agg(F.floor(F.count(F.lit(1)) / 5).alias("size"))
-    rows = gross.join(F.broadcast(size)).where("i < 5 * size").withColumn("fold", F.floor(F.col("i") / F.col("size")))
-    return rounded(rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("gross").alias("m")), "fold", "n", mean="m")
+    """The daily ledger of each of five contiguous folds; a fold carries in the book that the one before left."""
+    w, gross = daily_parts(spark, sf)
+    ledger = gross.join(L.turnover(w.select("date", "asset", "w")), "date", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
+    ledger = ledger.withColumn("net", F.col("gross") - F.col("turnover") * 0.0015)
+    size = gross.agg(F.floor(F.count(F.lit(1)) / 5).alias("size"))  # one row
+    folds = ledger.join(F.broadcast(size)).where("i < 5 * size").withColumn("fold", F.floor(F.col("i") / F.col("size")))
+    found = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("gross").alias("g"), F.avg("net").alias("m"), F.sum("turnover").alias("t"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("r"))
+    return rounded(found, "fold", "n", mean_gross="g", mean_net="m", turnover=F.round("t", 6), total=F.round("r", 7))
 
 
 @query("k06_rank_invvol", sql("""select date, asset, round(w / sum(w) over (partition by date) * g, 8) as w from (select date, asset, g, least(s / sum(s) over (partition by date) * g, 0.2) as w from (
@@ -347,15 +351,16 @@ def _(spark, sf):
     return rounded(ret_m(spark, sf).where("ret is not null").join(fx.sector_of(spark, sf), "asset"), "sector", "date", "asset", ret="ret")
 
 
-@query("w33_post_event_return", sql("select e.asset, e.ann_date, round(product(1 + r.ret) - 1, 7) + 0.0 as after from (select e.asset, e.ann_date, min(c.i) as i from eps e join cal_m c on c.date >= e.ann_date group by 1, 2) e join ret_m r on r.asset = e.asset and r.i between e.i + 1 and e.i + 3 where r.ret is not null group by e.asset, e.ann_date", "eps", "ret_m"))
+@query("w33_post_event_return", sql("select e.asset, e.ann_date, e.i + 3 as seen, round(product(1 + r.ret) - 1, 7) + 0.0 as after from (select e.asset, e.ann_date, min(c.i) as i from eps e join cal_m c on c.date >= e.ann_date group by 1, 2) e join ret_m r on r.asset = e.asset and r.i between e.i + 1 and e.i + 3 where r.ret is not null group by e.asset, e.ann_date, e.i", "eps", "ret_m"))
 def _(spark, sf):
     e = fx.eps(spark, sf).select("asset", "ann_date", F.date_sub("ann_date", 1).alias("day"))
     cal = written(calendar(fx.px_m(spark, sf)))
     # The first calendar date on or after the announcement, by equality with the calendar's days.
     landed = next_trading_day(e, cal, "day").join(cal.select(F.col("date").alias("next_date"), "i"), "next_date")
-    steps = landed.select("asset", "ann_date", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 3)).alias("i"))
+    # The return is known, and may be used, only from its last row on: `seen`.
+    steps = landed.select("asset", "ann_date", (F.col("i") + 3).cast("long").alias("seen"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + 3)).alias("i"))
     met = steps.join(ret_m(spark, sf).where("ret is not null").select("asset", "i", "ret"), ["asset", "i"])
-    return rounded(met.groupBy("asset", "ann_date").agg((F.product(1 + F.col("ret")) - 1).alias("a")), "asset", "ann_date", d=7, after="a")
+    return rounded(met.groupBy("asset", "ann_date", "seen").agg((F.product(1 + F.col("ret")) - 1).alias("a")), "asset", "ann_date", "seen", d=7, after="a")
 
 
 @query("w34_earnings_features", sql("select asset, ann_date, round(case when est is not null then (eps - est) / greatest(abs(est), 1e-4) * 100 else 0 end, 4) + 0.0 as surprise, round(case when p1 is not null then least(greatest((eps - p1) / greatest(abs(p1), 1e-4), -5), 5) end, 6) + 0.0 as qoq, round(case when p4 is not null then least(greatest((eps - p4) / greatest(abs(p4), 1e-4), -5), 5) end, 6) + 0.0 as yoy from (select *, lag(eps) over w as p1, lag(eps, 4) over w as p4, case when count(eps) over b >= 2 then avg(eps) over b end as est from eps window w as (partition by asset order by ann_date), b as (partition by asset order by ann_date rows between 4 preceding and 1 preceding))", "eps"))
