@@ -62,9 +62,22 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bi
 from t left join cov using (doc_id) left join its using (doc_id) left join top using (doc_id)
 """
 
+JACCARD = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') as ws from documents),
+g as (select distinct doc_id, g from (select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as g from w)),
+sizes as (select doc_id, count(*) as n from g group by 1),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+reach as (select doc_id, doc_id as other from w union select reach.doc_id, links.b from reach join links on links.a = reach.other),
+least as (select doc_id, min(other) as component_id from reach group by 1)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id from least left join sizes using (doc_id)
+"""
+
 ORACLE_SQL = {
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op7_line_dedup": LINE_DEDUP,
     "op8_quality_rules": QUALITY_RULES,
     "op10_benchmark_decontamination": DECONTAMINATION,
+    "op13_ngram_jaccard_join": JACCARD,
 }
