@@ -74,10 +74,25 @@ least as (select doc_id, min(other) as component_id from reach group by 1)
 select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id from least left join sizes using (doc_id)
 """
 
+TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+LEXICAL_SEARCH = rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') as ws from documents),
+s as (select count(*) as n_docs, cast(sum(len(ws)) as bigint) as n_terms from d where len(ws) > 0),
+t as (select doc_id, w, count(*) as tf from (select doc_id, unnest(ws) as w from d) group by 1, 2),
+b as (select item_id, w, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) as w from benchmark) group by 1, 2),
+weights as (select w, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as weight from t, s group by w, n_docs),
+m as (select doc_id, 100 - 75 + (75 * len(ws) * n_docs) // n_terms as m from d, s where len(ws) > 0),
+scores as (select item_id, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score from b join t using (w) join weights using (w) join m using (doc_id) group by 1, 2),
+ranked as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scores where score > 0)
+select * from ranked where rank <= 10
+"""
+
 ORACLE_SQL = {
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op7_line_dedup": LINE_DEDUP,
     "op8_quality_rules": QUALITY_RULES,
     "op10_benchmark_decontamination": DECONTAMINATION,
+    "op11_ranked_lexical_search": LEXICAL_SEARCH,
     "op13_ngram_jaccard_join": JACCARD,
 }

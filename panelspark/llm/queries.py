@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontamination, jaccard_join, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from panelspark.llm import byte_bpe, decontamination, jaccard_join, language_id, lexical_search, license_scan, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 from panelspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -84,6 +84,10 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+def lexical_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes_of_near_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=90, width=3)
 
@@ -99,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules_query,
     "op9_simhash_near_dedup": simhash_query,
     "op10_benchmark_decontamination": decontamination_query,
+    "op11_ranked_lexical_search": lexical_search_query,
     "op13_ngram_jaccard_join": jaccard_query,
 }
