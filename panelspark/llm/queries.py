@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontamination, jaccard_join, language_id, lexical_search, license_scan, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from panelspark.llm import byte_bpe, conversation_repair, decontamination, jaccard_join, language_id, lexical_search, license_scan, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from panelspark.llm.common import written
 from panelspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -88,6 +89,30 @@ def lexical_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of each row's conversation and turn; `gone` marks rows that are dropped."""
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", "", "turn")])
+    kept = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")], (F.crc32(key.cast("binary")) % 20).alias("k"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("k") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return kept.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("k") == 0).alias("gone"), times.alias("_copy")).drop("_copy")
+
+
+def conversation_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = damaged(table(spark, sf_dir, "conversations"))
+    rows = every.where("not gone").drop("gone")
+    found = written(conversation_repair.assess(rows))
+    digests = conversation_repair.digests(conversation_repair.repaired(rows, found))
+    turn = F.when(~F.col("gone"), F.col("turn"))
+    gaps = every.groupBy("conv_id").agg(F.coalesce(F.max(turn) - F.min(turn) + 1 - F.count_distinct(turn), F.lit(0)).cast("long").alias("gaps"))
+    same = lambda x, y: x.conv_id.eqNullSafe(y.conv_id)
+    all_three = gaps.join(found, same(gaps, found), "left").drop(found.conv_id)
+    all_three = all_three.join(digests, same(all_three, digests), "left").drop(digests.conv_id)
+    longs = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")]
+    return all_three.select("conv_id", "gaps", *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes_of_near_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=90, width=3)
 
@@ -104,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": simhash_query,
     "op10_benchmark_decontamination": decontamination_query,
     "op11_ranked_lexical_search": lexical_search_query,
+    "op12_conversation_repair": conversation_repair_query,
     "op13_ngram_jaccard_join": jaccard_query,
 }
