@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +30,18 @@ def rolling_train_rows(months: DataFrame, length: int, every: int, purge: int =
     return folds.select("fold", F.explode(F.sequence(F.col("fold") - length, F.col("fold") - 1 - purge)).alias("i")).join(months, "i").select("fold", "date")
 
 
+def expanding_sums(panel: DataFrame, features: list[str], target: str, min_train: int, embargo: int) -> DataFrame:
+    """Gram sums of all months before i - embargo, a row a month; its window has no key, over one row a month."""
+    sums = gram(panel, features, target, ["i"])
+    w = Window.orderBy("i").rangeBetween(Window.unboundedPreceding, -embargo - 1)
+    grown = sums.select("i", *[F.sum(c).over(w).alias(c) for c in sums.columns if c != "i"])
+    return grown.where(F.col("n").isNotNull() & (F.col("i") >= min_train + embargo))
+
+
 def expanding_coefficients(panel: DataFrame, features: list[str], target: str, min_train: int, embargo: int, ridge: float = 0.0) -> DataFrame:
     """(i, feature, slope): for every month the least-squares fit on all months before i - embargo. Sums of products
     are made once a month and accumulated, so all folds take one pass over the panel."""
-    sums = gram(panel, features, target, ["i"])
-    w = Window.orderBy("i").rangeBetween(Window.unboundedPreceding, -embargo - 1)
-    grown = sums.select("i", *[F.sum(c).over(w).alias(c) for c in sums.columns if c != "i"]).where(F.col("n").isNotNull() & (F.col("i") >= min_train + embargo))
-    return solve(grown, features, ["i"], len(features) + 2, ridge)
+    return solve(expanding_sums(panel, features, target, min_train, embargo), features, ["i"], len(features) + 2, ridge)
 
 
 def linear_predictions(panel: DataFrame, slopes: DataFrame, features: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -49,17 +54,60 @@ def linear_predictions(panel: DataFrame, slopes: DataFrame, features: list[str],
     return panel.join(wide, "i").select(*keys, "i", "date", "asset", "fwd_ret", pred.alias("pred"))
 
 
+def inverses(panel: DataFrame, features: list[str], target: str, min_train: int, embargo: int, alphas: list[float]) -> dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]:
+    """{(fold, alpha): (inverse of X'X + alpha, coefficients)} of every month's expanding fit: a small matrix for each month and penalty."""
+    grown = expanding_sums(panel, features, target, min_train, embargo).collect()  # one row a month
+    k = len(features) + 1
+    found = {}
+    for r in grown:
+        a = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        y = np.array([r[f"y{i}"] for i in range(k)])
+        if r["n"] >= k + 1:
+            for alpha in alphas:
+                inverse = np.linalg.pinv(a + alpha * np.diag([0.0, *[1.0] * (k - 1)]))
+                found[r["i"], alpha] = inverse, inverse @ y
+    return found
+
+
+def left_out_errors(panel: DataFrame, features: list[str], target: str, fits: dict, embargo: int) -> DataFrame:
+    """(i, alpha, sse, n): squared errors of each fold's training rows, each predicted by the fit without it.
+
+    A ridge fit's error with row x left out is its error over 1 - h, where h = x' A^-1 x and A is the fold's penalised matrix,
+    so nothing is fitted again. All folds' matrices go to the tasks (folds times penalties small matrices); a batch of
+    rows is met with each of them, and only sums leave the task.
+    """
+    shared = panel.sparkSession.sparkContext.broadcast(fits)
+    rows = panel.where(F.col(target).isNotNull()).select(F.col("i").cast("long").alias("i"), F.col(target).cast("double").alias("_y"), *[F.coalesce(F.col(f), F.lit(0.0)).cast("double").alias(f) for f in features])
+
+    def run(batches):
+        sums: dict = {}
+        for part in batches:
+            x = np.column_stack([np.ones(len(part)), part[features].to_numpy()])
+            y, i = part["_y"].to_numpy(), part["i"].to_numpy()
+            for (fold, alpha), (inverse, slopes) in shared.value.items():
+                train = i < fold - embargo
+                if train.any():
+                    z = x[train]
+                    error = (y[train] - z @ slopes) / np.maximum(1 - ((z @ inverse) * z).sum(axis=1), 1e-12)
+                    old = sums.get((fold, alpha), (0.0, 0))
+                    sums[fold, alpha] = (old[0] + float(error @ error), old[1] + len(z))
+        yield pd.DataFrame([(f, a, e, n) for (f, a), (e, n) in sums.items()], columns=["i", "alpha", "sse", "n"])
+
+    parts = rows.mapInPandas(run, "i long, alpha double, sse double, n long")
+    return parts.groupBy("i", "alpha").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
+
+
 def ridge_predictions(panel: DataFrame, features: list[str], target: str, min_train: int, embargo: int, alphas: list[float]) -> DataFrame:
-    """Predictions of the penalty that had the least mean squared error over all earlier test months (the smallest
-    penalty at first, and on ties). Chosen by months gone by, where leaving single rows out would mix a month."""
-    each = None
-    for a in alphas:
-        p = linear_predictions(panel, expanding_coefficients(panel, features, target, min_train, embargo, a), features).withColumn("alpha", F.lit(a))
-        each = p if each is None else each.unionByName(p)
-    errors = each.groupBy("alpha", "i").agg(F.avg((F.col("pred") - F.col("fwd_ret")) ** 2).alias("e"))
-    past = errors.withColumn("past", F.coalesce(F.avg("e").over(Window.partitionBy("alpha").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    chosen = past.groupBy("i").agg(F.min_by("alpha", F.struct("past", "alpha")).alias("alpha"))
-    return each.join(chosen, ["i", "alpha"])
+    """Predictions of every month by the penalty with the least mean squared error over its training rows, each left out in
+    turn (the smallest penalty on ties). The intercept is not penalised."""
+    fits = inverses(panel, features, target, min_train, embargo, alphas)
+    errors = left_out_errors(panel, features, target, fits, embargo)
+    chosen = errors.groupBy("i").agg(F.min_by("alpha", F.struct(F.col("sse") / F.col("n"), "alpha")).alias("alpha"))
+    table = [(int(fold), float(alpha), name, float(b)) for (fold, alpha), (_, slopes) in fits.items() for name, b in zip(["intercept", *features], slopes, strict=True)]
+    slopes = panel.sparkSession.createDataFrame(table, "i long, alpha double, feature string, slope double")
+    best = slopes.join(chosen, ["i", "alpha"])
+    alpha = best.select("i", "alpha").distinct()
+    return linear_predictions(panel, best.drop("alpha"), features).join(alpha, "i")
 
 
 def boosted_predictions(panel: DataFrame, features: list[str], target: str, first: int, last: int, every: int, embargo: int, depth: int = 3, rounds: int = 20, step: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -104,45 +152,3 @@ def bakeoff(preds: DataFrame, q: float, split: str, base: str, ppy: float = 12.0
     )
     of_base = F.max(F.when(F.col("model") == base, F.col("ls_sharpe"))).over(Window.partitionBy("segment"))
     return parts.withColumn("lift", F.col("ls_sharpe") - of_base)
-
-
-def regime_probabilities(df: DataFrame, ret: str, vol: str, k: int, seed: int = 7) -> DataFrame:
-    """Df with probs (posterior of k normal regimes of standardised return and volatility, ordered by mean return)
-    and regime, the likeliest, from 0. Fitted on all of df: fold it first for live use."""
-    rows = VectorAssembler(inputCols=[ret, vol], outputCol="_v").transform(df.where(F.col(ret).isNotNull() & F.col(vol).isNotNull()))
-    scaled = StandardScaler(inputCol="_v", outputCol="_x", withMean=True).fit(rows).transform(rows)
-    model = GaussianMixture(featuresCol="_x", probabilityCol="_p", predictionCol="_c", k=k, seed=seed).fit(scaled)
-    order = sorted(range(k), key=lambda j: float(model.gaussians[j].mean[0]))
-    p = vector_to_array("_p")
-    out = model.transform(scaled).withColumn("probs", F.array(*[p[j] for j in order]))
-    return out.withColumn("regime", F.array_position("probs", F.array_max("probs")).cast("int") - 1).drop("_v", "_x", "_p", "_c")
-
-
-def group_pca(df: DataFrame, vector: str, group: str, groups: list, k: int) -> tuple[DataFrame, DataFrame]:
-    """(group, component, explained) of a PCA of each group's standardised vectors, and df with `factor`, its k scores in
-    its own group's components. One fit a group: groups are few."""
-    shares = factors = None
-    for g in groups:
-        rows = df.where(F.col(group) == g)
-        scaled = StandardScaler(inputCol=vector, outputCol="_x", withMean=True).fit(rows).transform(rows)
-        model = PCA(k=k, inputCol="_x", outputCol="factor").fit(scaled)
-        one, scores = explained(df, model, group, g), model.transform(scaled).drop("_x")
-        shares = one if shares is None else shares.union(one)
-        factors = scores if factors is None else factors.union(scores)
-    return shares, factors
-
-
-def explained(df: DataFrame, model, group: str, value) -> DataFrame:
-    table = F.array(*[F.struct(F.lit(j).alias("component"), F.lit(float(v)).alias("explained")) for j, v in enumerate(model.explainedVariance)])
-    return df.sparkSession.range(1).select(F.lit(value).alias(group), F.explode(table).alias("t")).select(group, "t.*")
-
-
-def stacked_pca(factors: DataFrame, group: str, step: str, groups: list, k: int) -> DataFrame:
-    """(group = 'all', component, explained) of the global PCA over all groups' factors side by side: one row a step,
-    with the mean of each group's factors there. Steps that some group has no row for are left out."""
-    names = [f"{g}_{j}" for g in groups for j in range(k)]
-    each = factors.select(step, group, F.posexplode(vector_to_array("factor")).alias("j", "f")).withColumn("name", F.concat_ws("_", group, "j"))
-    wide = each.groupBy(step).pivot("name", names).agg(F.avg("f")).dropna()
-    rows = VectorAssembler(inputCols=names, outputCol="_v").transform(wide)
-    scaled = StandardScaler(inputCol="_v", outputCol="_x", withMean=True).fit(rows).transform(rows)
-    return explained(factors, PCA(k=k, inputCol="_x", outputCol="_f").fit(scaled), group, "all")

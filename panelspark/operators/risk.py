@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators import windows
+from panelspark.operators.selection import exact_quantiles
+from panelspark.sources.shared import written
 
 
 def var_historical(r: str, conf: float) -> Column:
@@ -90,19 +92,21 @@ def value_curve_stats(df: DataFrame, value: str, by: list[str], ppy: float) -> D
 
 
 def path_statistics(paths: DataFrame) -> DataFrame:
-    """Mean, std (population), median, percentiles, share above 0 and mean of the worst 5 % of the paths' sums."""
-    sums = paths.groupBy("sim").agg(F.sum("ret").alias("s"))
-    q = F.percentile("s", F.array(*map(F.lit, (0.01, 0.05, 0.5, 0.95)))).alias("q")
-    facts = sums.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), q, F.avg(F.when(F.col("s") > 0, 1.0).otherwise(0.0)).alias("p_up"))
-    tail = sums.join(F.broadcast(facts.select("q"))).where(F.col("s") <= F.col("q")[1]).agg((-F.avg("s")).alias("es95"))
-    return facts.join(F.broadcast(tail)).select("mean", "std", F.col("q")[2].alias("median"), F.col("q")[0].alias("p1"), F.col("q")[1].alias("p5"), F.col("q")[3].alias("p95"), "p_up", "es95")
+    """Mean, std (population), median, percentiles, share above 0 and mean of the worst 5 % of the paths' sums. Quantiles
+    are selected from ranges of the sums; everything else is one row of combined sums."""
+    sums = written(paths.groupBy("sim").agg(F.sum("ret").alias("s")))
+    names = {0.01: "p1", 0.05: "p5", 0.5: "median", 0.95: "p95"}
+    q = exact_quantiles(sums, "s", [], [*names]).agg(*[F.max(F.when(F.col("level") == level, F.col("value"))).alias(n) for level, n in names.items()])
+    q = written(q)  # one row, used twice
+    facts = sums.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.avg(F.when(F.col("s") > 0, 1.0).otherwise(0.0)).alias("p_up"))
+    tail = sums.join(F.broadcast(q.select("p5"))).where("s <= p5").agg((-F.avg("s")).alias("es95"))
+    return facts.join(F.broadcast(q)).join(F.broadcast(tail)).select("mean", "std", "median", "p1", "p5", "p95", "p_up", "es95")
 
 
 def confidence_bands(paths: DataFrame, levels: list[float]) -> DataFrame:
-    """(step, level, value): quantiles over paths of the running sum."""
+    """(step, level, value): quantiles over paths of the running sum, selected from ranges of each step's sums."""
     run = paths.withColumn("c", F.sum("ret").over(Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
-    q = run.groupBy("step").agg(F.percentile("c", F.array(*map(F.lit, levels))).alias("q"))
-    return q.select("step", F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("q").alias("value"))).alias("z")).select("step", "z.level", "z.value")
+    return exact_quantiles(run, "c", ["step"], levels)
 
 
 def cov_table(df: DataFrame, key: str, r: str, per_year: float) -> DataFrame:

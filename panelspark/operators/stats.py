@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,16 +74,6 @@ def of_pairs(pairs: DataFrame, rows: DataFrame, by: list[str], values: dict[str,
     return pairs.join(side("a"), [c for c in ("k", "a") if c in by]).join(side("b"), ["k", "b", "i"])
 
 
-def pair_fit(logs: DataFrame, pairs: DataFrame, n: int, least_corr: float, least_log: float) -> DataFrame:
-    """(k, a, b, corr, alpha, beta) of log a on log b in each formation window, over assets with all n rows and a last
-    log price of at least least_log, for correlations of at least least_corr and beta above 0. logs: (k, asset, i, logp)."""
-    known = logs.where("logp is not null").groupBy("k", "asset").agg(F.count(F.lit(1)).alias("_n"), F.max_by("logp", "i").alias("_last"))
-    rows = logs.join(known.where((F.col("_n") == n) & (F.col("_last") >= least_log)), ["k", "asset"], "left_semi")
-    both = of_pairs(pairs.select("a", "b"), rows, ["a", "b"], {"logp": "y"})
-    fit = both.groupBy(*PAIR).agg(correlation(F.col("ya"), F.col("yb")).alias("corr"), F.regr_intercept("ya", "yb").alias("alpha"), F.regr_slope("ya", "yb").alias("beta"))
-    return fit.where((F.col("corr") >= least_corr) & (F.col("beta") > 0))
-
-
 def residuals(fit: DataFrame, logs: DataFrame) -> DataFrame:
     """(k, a, b, i, s): the pair's spread log a - alpha - beta * log b."""
     both = of_pairs(fit, logs, [*PAIR], {"logp": "y"})
@@ -169,14 +161,57 @@ def pairs_book(returns: DataFrame, slots: DataFrame, steps: DataFrame, by: tuple
     return rows.withColumn("_begun", begun).where("_begun").drop("_begun")
 
 
-def bootstrap_mean(df: DataFrame, value: str, by: str, order: str, n_boot: int, seed: int, conf: float) -> DataFrame:
-    """(by, low, high): percentile interval of resampled means of each group. The k-th draw of each sample is a hash of
-    (seed, group, sample, k), so any number of tasks draw alike."""
-    w = Window.partitionBy(by)
-    known = df.where(F.col(value).isNotNull())
-    rows = known.select(by, (F.row_number().over(w.orderBy(order)) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"), F.col(value).alias("v"))
-    draws = rows.select(by, "n", "k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("sample"))
-    picked = draws.select(by, "sample", F.pmod(F.xxhash64(F.lit(seed), by, "sample", "k"), F.col("n")).alias("k")).join(rows.select(by, "k", "v"), [by, "k"])
-    means = picked.groupBy(by, "sample").agg(F.avg("v").alias("m"))
-    q = F.percentile("m", F.array(F.lit((1 - conf) / 2), F.lit((1 + conf) / 2)))
-    return means.groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+#: Least uniform numbers at which a row is drawn 1, 2, ... times: sums of the Poisson distribution of mean 1.
+DRAWS = [sum(math.exp(-1) / math.factorial(j) for j in range(k)) for k in range(1, 13)]
+
+
+def bootstrap_mean(df: DataFrame, value: str, by: list[str], order: str, n_boot: int, seed: int, conf: float) -> DataFrame:
+    """(by..., low, high): percentile interval of resampled means of each group.
+
+    A row takes part in a sample as often as a Poisson number of mean 1, which the hash of (seed, row, sample) chooses, so
+    samples are drawn where rows are, in one pass; a group's sample has its number of rows on average. Weighted sums combine
+    before the shuffle: n_boot rows a group and task. `order` and `by` tell rows apart; null values are left out.
+    """
+    key = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*by, order)])
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), key.alias("_key"))
+    each = rows.withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    uniform = F.conv(F.substring(F.md5(F.concat_ws(":", "_key", F.col("_sample").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = F.lit(0)
+    for least in DRAWS:
+        times = times + (F.col("_u") >= least).cast("int")
+    drawn = each.withColumn("_u", uniform).withColumn("_w", times).where("_w > 0")
+    means = drawn.groupBy(*by, "_sample").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
+    q = F.percentile("_m", F.array(F.lit((1 - conf) / 2), F.lit((1 + conf) / 2)))
+    return means.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def transition_fit(steps: DataFrame, states: list[str], by: list[str], dt: float, least: int, floor: float = 1e-6) -> DataFrame:
+    """(by..., target, drift, offset, sigma2) of dz = (A z + b) dt + noise for each group's vector state z: `drift` is the
+    target's row of A in the order of `states`, `offset` its b, sigma2 its residual variance over dt, floored.
+
+    steps: by, the states, and `next_<state>`. One aggregation has the sums of products of (1, z) with itself and
+    with all the changes, and of each change with itself; each group's small system is solved from these. Rows with a
+    null are left out, groups of fewer than `least` rows too.
+    """
+    x = [F.lit(1.0), *map(F.col, states)]
+    y = [F.col(f"next_{s}") - F.col(s) for s in states]
+    k, d = len(x), len(states)
+    sums = [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]
+    sums += [F.sum(x[i] * y[t]).alias(f"y{i}_{t}") for i in range(k) for t in range(d)] + [F.sum(y[t] * y[t]).alias(f"e{t}") for t in range(d)]
+    known = steps.where(" and ".join(f"{c} is not null" for s in states for c in (s, f"next_{s}")))
+    grams = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
+    schema = T.StructType([*[grams.schema[b] for b in by], T.StructField("target", T.StringType()), T.StructField("drift", T.ArrayType(T.DoubleType())), T.StructField("offset", T.DoubleType()), T.StructField("sigma2", T.DoubleType())])
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows[rows["n"] >= least].to_dict("records"):
+                a = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                c = np.array([[r[f"y{i}_{t}"] for t in range(d)] for i in range(k)])
+                slopes = np.linalg.lstsq(a, c, rcond=None)[0]
+                for t, s in enumerate(states):
+                    left = max(0.0, r[f"e{t}"] - float(slopes[:, t] @ c[:, t])) / r["n"]
+                    out.append([*[r[b] for b in by], s, slopes[1:, t] / dt, slopes[0, t] / dt, max(floor, left / dt)])
+            yield pd.DataFrame(out, columns=[*by, "target", "drift", "offset", "sigma2"])
+
+    return grams.mapInPandas(run, schema)

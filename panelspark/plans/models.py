@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import clip, row_mean, safe_div
 from panelspark.operators import construct as K
+from panelspark.operators import blocks as BL
 from panelspark.operators import features as FT
 from panelspark.operators import joins as J
 from panelspark.operators import ledger as L
 from panelspark.operators import ml as M
+from panelspark.operators import recurrence as RC
+from panelspark.operators import regimes as RG
 from panelspark.operators import stats as E
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
@@ -121,30 +123,54 @@ def _(spark, sf):
     return boosted(spark, sf)[2]
 
 
-def market(spark, sf):
-    return ret_m(spark, sf).groupBy("date").agg(F.avg(clip(F.col("ret"), -0.15, 0.15)).alias("ret"), F.stddev_samp(clip(F.col("ret"), -0.15, 0.15)).alias("vol"))
+def sector_rows(spark, sf):
+    """(sector, i, date, ret, vol): a sector's mean return and its deviation over the last six months."""
+    rets = ret_m(spark, sf).where("ret is not null").join(fx.sector_of(spark, sf), "asset")
+    rows = rets.groupBy("sector", "i", "date").agg(F.avg(clip(F.col("ret"), -0.15, 0.15)).alias("ret"))
+    past = Window.partitionBy("sector").orderBy("i").rowsBetween(-5, 0)
+    return rows.withColumn("vol", F.when(F.count("ret").over(past) == 6, F.stddev_samp("ret").over(past)))
+
+
+def sector_regimes(spark, sf):
+    """Three regimes of each sector, fitted anew every 12 months from month 36 on what was known by then."""
+    return RG.walk_forward_regimes(sector_rows(spark, sf), ["ret", "vol"], ["sector"], 3, 36, 12)
 
 
 @query("m09_regime_labels")
 def _(spark, sf):
-    return M.regime_probabilities(market(spark, sf), "ret", "vol", 3).select("date", "regime", "probs")
+    names = ("p_bear", "p_side", "p_bull")
+    return sector_regimes(spark, sf).select("sector", "fold", "date", "regime", *[F.col("probs")[j].alias(n) for j, n in enumerate(names)])
 
 
 @query("m10_regime_argmax")
 def _(spark, sf):
     """The likeliest regime of m09, named, with its probability."""
-    rows = M.regime_probabilities(market(spark, sf), "ret", "vol", 3)
     name = F.element_at(F.array(*map(F.lit, ("bear", "side", "bull"))), F.col("regime") + 1)
-    return rows.select("date", name.alias("label"), F.round(F.array_max("probs"), 6).alias("prob"))
+    return sector_regimes(spark, sf).select("sector", "date", name.alias("label"), F.round(F.array_max("probs"), 6).alias("prob"))
+
+
+def sector_components(spark, sf):
+    """Shares and scores of each sector's components over the months: returns clipped, unknown ones as the asset's mean."""
+    rets = ret_m(spark, sf).select("asset", "i", clip(F.col("ret"), -0.15, 0.15).alias("ret")).where("ret is not null and i >= 1")
+    n = rets.agg(F.max("i")).first()[0]  # the number of months, which bounds the vectors
+    vectors = written(BL.standard_vectors(rets, "asset", "i", "ret", 1, n).join(fx.sector_of(spark, sf), "asset"))
+    return BL.group_factors(written(BL.gram_rows(vectors, "sector", "v", n)), "sector", 3)
 
 
 @query("m11_sector_pca")
 def _(spark, sf):
-    """PCA by label, and of all labels' factors, stacked by sixteenths of each label's ids."""
-    v = fx.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("label"), F.ntile(16).over(Window.partitionBy("label").orderBy("vec_id")).alias("step"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    labels = [r.label for r in v.select("label").distinct().orderBy("label").collect()]  # groups are few by definition
-    shares, factors = M.group_pca(v, "v", "label", labels, 3)
-    return shares.union(M.stacked_pca(written(factors.select("label", "step", "factor")), "label", "step", labels, 3))
+    """Shares of variance of each sector's components, and of the global factors of their common factors."""
+    shares, scores_ = sector_components(spark, sf)
+    every = BL.global_factors(written(scores_), "sector", 5, 4)
+    total = every.groupBy().agg(F.first("explained").alias("e")).select(F.lit("all").alias("sector"), F.posexplode("e").alias("component", "explained"))
+    return shares.select(F.col("sector").cast("string").alias("sector"), "component", "explained").union(total)
+
+
+@query("m11_global_factors")
+def _(spark, sf):
+    """The global factors by month: components of the common factors of all sectors' components."""
+    found = BL.global_factors(written(sector_components(spark, sf)[1]), "sector", 5, 4)
+    return found.select((F.col("row") + 1).alias("i"), *[F.col("factors")[j].alias(f"gf_{j + 1}") for j in range(4)])
 
 
 def q_ratio(a: str, b: str) -> str:
@@ -339,11 +365,19 @@ def _(spark, sf):
     return rounded(rows.where("t <= k"), "date", "asset", w=0.2 / F.col("k"))
 
 
-@query("e12_linear_transition", sql("select asset, round(regr_slope(y, x), 6) + 0.0 as slope, round(regr_intercept(y, x), 4) + 0.0 as intercept from (select asset, close as x, lead(close) over (partition by asset order by i) - close as y from dense_m) where y is not null group by asset", "dense_m"))
+CTE["moves"] = ("dense_m", "select asset, x, z, ya, yb from (select asset, ln(close) as x, ln(volume) as z, lead(ln(close)) over w - ln(close) as ya, lead(ln(volume)) over w - ln(volume) as yb from dense_m window w as (partition by asset order by i)) where x is not null and z is not null and ya is not null and yb is not null")
+CTE["msums"] = ("moves", "select asset, target, count(*) as n, covar_pop(x, x) as xx, covar_pop(z, z) as zz, covar_pop(x, z) as xz, covar_pop(x, y) as xy, covar_pop(z, y) as zy, covar_pop(y, y) as yy, avg(x) as mx, avg(z) as mz, avg(y) as my from (select asset, x, z, unnest(['close', 'volume']) as target, unnest([ya, yb]) as y from moves) group by 1, 2 having count(*) >= 12")
+CTE["mfit"] = ("msums", "select *, (xy * zz - zy * xz) / (xx * zz - xz * xz) as p, (zy * xx - xy * xz) / (xx * zz - xz * xz) as q from msums")
+
+
+@query("e12_linear_transition", sql("select asset, target, round(p * 12, 5) + 0.0 as of_close, round(q * 12, 5) + 0.0 as of_volume, round((my - p * mx - q * mz) * 12, 4) + 0.0 as offset, round(greatest(1e-6, (yy - p * xy - q * zy) * 12), 5) as sigma2 from mfit", "mfit"))
 def _(spark, sf):
-    df = fx.dense_m(spark, sf).withColumn("y", W.lag("close", -1) - F.col("close")).where("y is not null")
-    fit = df.groupBy("asset").agg(F.regr_slope("y", "close").alias("s"), F.regr_intercept("y", "close").alias("c"))
-    return fit.select("asset", (F.round("s", 6) + 0.0).alias("slope"), (F.round("c", 4) + 0.0).alias("intercept"))
+    """Drift, offset and diffusion of the state (log price, log volume) of each asset, by Cramer's rule in the oracle."""
+    df = fx.dense_m(spark, sf).select("asset", "i", F.log("close").alias("close"), F.log("volume").alias("volume"))
+    steps = df.withColumns({f"next_{c}": F.lead(c).over(Window.partitionBy("asset").orderBy("i")) for c in ("close", "volume")})
+    fit = E.transition_fit(steps, ["close", "volume"], ["asset"], 1 / 12, 12)
+    drift = {f"of_{c}": F.round(F.col("drift")[j], 5) + 0.0 for j, c in enumerate(("close", "volume"))}
+    return fit.select("asset", "target", *[v.alias(k) for k, v in drift.items()], (F.round("offset", 4) + 0.0).alias("offset"), F.round("sigma2", 5).alias("sigma2"))
 
 
 @query("w02_sector_returns", sql("select sector, date, asset, round(ret, 8) + 0.0 as ret from ret_m join sector_of using (asset) where ret is not null", "ret_m", "sector_of"))
@@ -436,17 +470,16 @@ def _(spark, sf):
     return rounded(found, "date", "asset", d=6, **{c: c for c in [*[f"{c}_z" for c in FIVE], "composite"]})
 
 
-@query("e13_differential_sharpe")
+CTE["ewm"] = (
+    "sleeves",
+    "select * from (with recursive r as (select *, row_number() over (partition by strategy order by date) as k from sleeves), f as (select distinct strategy, cast(0 as bigint) as k, cast(0 as double) as a, cast(0 as double) as b from sleeves union all select r.strategy, r.k, a + 0.05::double * (ret - a), b + 0.05::double * (ret * ret - b) from f join r on r.strategy = f.strategy and r.k = f.k + 1) select r.strategy, r.date, r.ret, f.k, f.a, f.b from r join f on f.strategy = r.strategy and f.k = r.k - 1)",
+)
+
+
+@query("e13_differential_sharpe", sql("select strategy, date, round(case when k < 20 or b - a * a <= 1e-12 then 100 * ret else least(greatest((b * (ret - a) - 0.5 * a * (ret * ret - b)) / pow(b - a * a, 1.5), -10), 10) end, 6) + 0.0 as d from ewm", "ewm"))
 def _(spark, sf):
-    """Ordered fold per strategy over moving first and second moments; the first 1 / eta steps give 100 * r."""
-    eta = 0.05
-    rows = F.array_sort(F.collect_list(F.struct("date", "ret")))
-    fold = f"""aggregate(rows, struct(0D as a, 0D as b, 0 as k, cast(array() as array<struct<date: date, d: double>>) as path), (s, x) -> struct(
-        s.a + {eta} * (x.ret - s.a) as a, s.b + {eta} * (x.ret * x.ret - s.b) as b, s.k + 1 as k,
-        array_append(s.path, struct(x.date as date, case when s.k < 20 or s.b - s.a * s.a <= 1e-12 then 100 * x.ret
-            else least(greatest((s.b * (x.ret - s.a) - 0.5D * s.a * (x.ret * x.ret - s.b)) / pow(s.b - s.a * s.a, 1.5D), -10D), 10D) end as d)) as path), s -> s.path)"""
-    each = sleeves(spark, sf).groupBy("strategy").agg(rows.alias("rows")).select("strategy", F.explode(F.expr(fold)).alias("p"))
-    return each.select("strategy", "p.date", (F.round("p.d", 6) + 0.0).alias("d"))
+    """From the moving first and second moments before each row; the first 1 / eta steps give 100 * r."""
+    return RC.differential_sharpe(sleeves(spark, sf), "ret", ["strategy"], ["date"], 0.05).select("strategy", "date", (F.round("d", 6) + 0.0).alias("d"))
 
 
 CTE["sector_w"] = ("scores", "select 'top' as model, date, i, asset, 1.0 / k as w from (select *, row_number() over (partition by date order by mom desc, asset) as t, greatest(1, cast(floor(count(*) over (partition by date) * 0.2 + 1e-9) as int)) as k from scores where mom is not null and i % 3 = 0) where t <= k union all select 'even', date, i, asset, 1.0 / count(*) over (partition by date) from scores where mom is not null and i % 3 = 0")

@@ -9,9 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import clip, correlation
+from panelspark.operators import blocks as BL
 from panelspark.operators import clean as P
 from panelspark.operators import construct as K
-from panelspark.operators import joins as J
 from panelspark.operators import ledger as L
 from panelspark.operators import risk as R
 from panelspark.operators import stats as E
@@ -414,7 +414,7 @@ def formed(spark, sf):
     """Rows by window, the pairs fitted in each formation, and their spreads there."""
     rows = pair_rows(spark, sf)
     logs = rows.where("not trade")
-    fit = written(E.pair_fit(logs, J.pairs_within(fx.sector_of(spark, sf)), FORMATION, 0.2, math.log(5)))
+    fit = written(BL.pair_fit(logs, fx.sector_of(spark, sf), FORMATION, 0.2, math.log(5)))
     return rows, fit, written(E.residuals(fit, logs))
 
 
@@ -528,9 +528,20 @@ def _(spark, sf):
     return rows.select("k", first.alias("first"), (first + FORMATION).alias("trade"), (first + FORMATION + TRADING).alias("stop"), "n")
 
 
-@query("e11_bootstrap_ci")
+TIMES = " + ".join(f"(u >= {least!r})::int" for least in E.DRAWS)
+
+
+@query(
+    "e11_bootstrap_ci",
+    sql(
+        "select strategy, round(quantile_cont(m, 0.025), 6) + 0.0 as low, round(quantile_cont(m, 0.975), 6) + 0.0 as high from means group by strategy",
+        "sleeves",
+        draws="select strategy, ret, sample, cast(('0x' || substr(md5('7:' || strategy || ':' || date || ':' || sample), 1, 8)) as bigint) / 4294967296.0::double as u from sleeves, (select unnest(generate_series(1, 500)) as sample)",
+        means=f"select strategy, sample, sum(w * ret) / sum(w) as m from (select *, {TIMES} as w from draws) where w > 0 group by 1, 2",
+    ),
+)
 def _(spark, sf):
-    return E.bootstrap_mean(sleeves(spark, sf), "ret", "strategy", "date", 500, 7, 0.95)
+    return rounded(E.bootstrap_mean(sleeves(spark, sf), "ret", ["strategy"], "date", 500, 7, 0.95), "strategy", d=6, low="low", high="high")
 
 
 @query("x19_ic_decay", sql("select k, round(avg(ic), 6) + 0.0 as mean_ic from (select k, date, case when count(*) >= 10 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then corr(a, b) end as ic from (select k, date, rank() over (partition by k, date order by mom) + (count(*) over (partition by k, date, mom) - 1) / 2.0 as a, rank() over (partition by k, date order by f) + (count(*) over (partition by k, date, f) - 1) / 2.0 as b from h where mom is not null and f is not null) group by k, date) group by k", "scores", h="select *, exp(s) - 1 as f from (select k, date, asset, mom, case when count(fwd_ret) over (partition by k, asset order by i rows between current row and 2 following) >= 0 then null end as x, case when k = 1 then case when fwd_ret is not null then ln(1 + fwd_ret) end when k = 2 then ln(1 + fwd_ret) + ln(1 + lead(fwd_ret) over (partition by k, asset order by i)) else ln(1 + fwd_ret) + ln(1 + lead(fwd_ret) over (partition by k, asset order by i)) + ln(1 + lead(fwd_ret, 2) over (partition by k, asset order by i)) end as s from scores, (select unnest([1, 2, 3]) as k))"))
