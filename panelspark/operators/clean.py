@@ -69,6 +69,16 @@ def duration_filter(df: DataFrame, low: int, high: int, start: str = "start", en
     return df.where(F.datediff(end, start).between(low, high))
 
 
+def duration_bands(df: DataFrame, forms: list[str], bands: dict[str, tuple[int, int]]) -> DataFrame:
+    """P10: filed rows (start, end, form, fp) of these forms whose period is as long as its fiscal period says: `bands` has the
+    days for the first letter of fp, so quarters keep no sums of the year to date. Rows without a start or end go."""
+    days = F.datediff("end", "start")
+    fits = F.lit(False)
+    for first, (low, high) in bands.items():
+        fits = fits | (F.substring("fp", 1, 1) == first) & days.between(low, high)
+    return df.where(F.col("form").isin(forms) & fits)
+
+
 def finite_fill(dense: DataFrame, col: str) -> DataFrame:
     """Infinities to null, then filled forward, then 0."""
     bare = dense.withColumn(col, F.when(F.abs(F.col(col)) != float("inf"), F.col(col)))

@@ -89,3 +89,38 @@ def decile_spread(df: DataFrame, score: str, fwd: str, q: float) -> DataFrame:
     p = placed(df.where(F.col(fwd).isNotNull()), score).withColumn("_k", side("_n", q))
     top, bottom = F.avg(F.when(F.col("_top") <= F.col("_k"), F.col(fwd))), F.avg(F.when(F.col("_bottom") <= F.col("_k"), F.col(fwd)))
     return p.groupBy("date").agg((top - bottom).alias("spread"))
+
+
+def two_layer(groups: DataFrame, names: DataFrame, group: str, least: float = 0.01) -> DataFrame:
+    """(date, group, asset, w): each name's weight within its group times the group's weight, made to sum to what all groups of the
+    date sum to. groups: (date, group, weight), of which those under `least` are cut; names: (date, group, asset, within)."""
+    d = Window.partitionBy("date")
+    layer = groups.withColumn("_all", F.sum("weight").over(d)).where(F.col("weight") >= least)
+    rows = names.join(layer, ["date", group]).withColumn("_w", F.col("weight") * F.col("within"))
+    return rows.withColumn("w", F.col("_w") / F.sum("_w").over(d) * F.col("_all")).select("date", group, "asset", "w")
+
+
+def inverse_vol_within(df: DataFrame, score: str, vol: str, group: str, q: float, low: float) -> DataFrame:
+    """(date, group, asset, within): the best share q of each group by score (ties by asset), weighed by one over their
+    volatility, at least `low`; a missing one is the mean of the date's group."""
+    g = Window.partitionBy("date", group)
+    rows = df.where(F.col(score).isNotNull()).withColumns({"_t": F.row_number().over(g.orderBy(F.col(score).desc(), "asset")), "_n": F.count(F.lit(1)).over(g)})
+    rows = rows.where(F.col("_t") <= side("_n", q)).withColumn("_i", 1 / F.greatest(F.coalesce(F.col(vol), F.avg(vol).over(g), F.lit(low)), F.lit(low)))
+    return rows.select("date", group, "asset", (F.col("_i") / F.sum("_i").over(g)).alias("within"))
+
+
+def signal_report(weights: DataFrame, least: float = 0.001) -> DataFrame:
+    """(date, gross, net, n_long, long_total, n_short, short_total, longs, shorts) of books: exposures, and the names beyond
+    `least` of either side, heaviest first, joined by |. A date's list is a book's names."""
+    w = F.col("w")
+    rows = weights.withColumns({"_l": w > least, "_s": w < -least})
+    total = lambda on: F.coalesce(F.sum(F.when(F.col(on), w)), F.lit(0.0))
+
+    def names(on: str, size: Column) -> Column:
+        picked = F.array_sort(F.collect_list(F.when(F.col(on), F.struct(size.alias("k"), F.col("asset").alias("a")))))
+        return F.array_join(F.transform(picked, lambda x: x["a"].cast("string")), "|")
+
+    return rows.groupBy("date").agg(
+        F.sum(F.abs(w)).alias("gross"), F.sum(w).alias("net"), F.count(F.when(F.col("_l"), 1)).alias("n_long"), total("_l").alias("long_total"),
+        F.count(F.when(F.col("_s"), 1)).alias("n_short"), total("_s").alias("short_total"), names("_l", -w).alias("longs"), names("_s", w).alias("shorts"),
+    )

@@ -9,6 +9,7 @@ from panelspark.functions.columns import clip, safe_div
 from panelspark.operators import windows as W
 from panelspark.operators.joins import asof_join
 from panelspark.operators.xsection import pct_rank
+from panelspark.sources.shared import written
 
 #: Rows of a week, a month, a quarter, half a year and a year, of breadth, and of the regression on the sector.
 MONTHLY = {"week": 1, "month": 2, "quarter": 3, "half": 6, "year": 12, "breadth": 10, "fit": 24}
@@ -48,7 +49,8 @@ def technical_features(panel: DataFrame, n: dict[str, int] = MONTHLY) -> DataFra
     fit = W.rolling_ols("ret", "sec", n["fit"], n["year"])
     volume = F.greatest(F.last("volume", ignorenulls=True).over(whole), F.lit(1.0))
     df = df.withColumns({"_e": fit["resid"], "beta": fit["beta"], "_x": F.col("ret") - F.col("sec"), "_vol": volume, "_cum": F.when(F.col("ret").isNotNull(), F.exp(F.sum("ret").over(whole)))})
-    df = df.withColumn("_dv", F.log("_vol") - W.lag(F.log("_vol"), 1))
+    df = written(df.withColumn("_lv", F.log("_vol")))
+    df = df.withColumn("_dv", F.col("_lv") - W.lag("_lv", 1))
     total = lambda c, k: W.rolling(F.col(c), -n[k] + 1, 0, F.sum)
     mean = lambda k: W.rolling(F.col("_vol"), -n[k] + 1, 0, F.avg)
     df = df.withColumns({
@@ -60,6 +62,7 @@ def technical_features(panel: DataFrame, n: dict[str, int] = MONTHLY) -> DataFra
         "rel_volume": mean("month") / (mean("half") + 1e-6),
         "price_vol_corr": W.rolling_corr("ret", "_dv", n["half"]),
     })
+    df = written(df)
     lagged = {c: W.lag(c, 1) for c in STOCK if c != "vol_ratio"} | {"vol_ratio": W.lag("_sd", 1) / (F.col("sector_vol") + 1e-8)}
     df = df.withColumns(lagged | {"ipo_age_days": W.age_days()})
     return df.select("asset", "sector", "date", "close", "volume", *STOCK, *MARKET, "sector_vol_pctile", "ipo_age_days")
@@ -99,6 +102,5 @@ def valuation(panel: DataFrame) -> DataFrame:
 
 
 def feature_panel(technical: DataFrame, quarters: DataFrame) -> DataFrame:
-    """Technical features (a written table: their plan is deep), fundamentals as last filed and valuation, by asset and
-    date."""
+    """Technical features, fundamentals as last filed and valuation, by asset and date."""
     return valuation(asof_join(technical, filed_features(quarters), ["asset"], "date", [*FILED]))

@@ -107,3 +107,41 @@ def extended_perf(df: DataFrame, ret: str, bench: str, ppy: float, by: tuple[str
         F.avg(F.when(active > 0, 1.0).otherwise(0.0)).alias("hit"),
     )
     return facts.where("_n >= 4").drop("_n")
+
+
+def ledger_perf(rows: DataFrame, ppy: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., statistic...) of ledgers (date, period_return, capital, benchmark_return, turnover, gross, cost, long_ret, ic, vol):
+    returns of capital and benchmark, Sharpe and information ratio, drawdown, ICs and their hit rate over known ones, sums of
+    long returns and costs, means of turnover, gross exposure and volatility. Nothing for fewer than four rows or no deviation.
+    """
+    peak = F.max("capital").over(Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    r, bench = F.col("period_return"), F.product(1 + F.col("benchmark_return")) - 1
+    active = r - F.col("benchmark_return")
+    total = F.max_by("capital", "date") / F.min_by("capital", "date") - 1
+    s, n = F.stddev_samp(r), F.count(F.lit(1))
+    found = rows.withColumn("_down", F.col("capital") / peak - 1).groupBy(*by).agg(
+        n.alias("n"), s.alias("_s"), total.alias("total"), bench.alias("bench_total"), (total - bench).alias("excess"), (F.pow(1 + total, ppy / n) - 1).alias("annual"), (F.avg(r) / s * ppy**0.5).alias("sharpe"),
+        F.when(F.stddev_samp(active) > 1e-10, F.avg(active) / F.stddev_samp(active) * ppy**0.5).otherwise(0.0).alias("info_ratio"), F.min("_down").alias("max_dd"),
+        F.avg("ic").alias("mean_ic"), F.avg(F.when(F.col("ic").isNotNull(), F.when(F.col("ic") > 0, 1.0).otherwise(0.0))).alias("ic_hit"),
+        F.sum("long_ret").alias("long_total"), F.sum("cost").alias("total_cost"), F.avg("turnover").alias("avg_turnover"), F.avg("gross").alias("avg_gross"), F.avg("vol").alias("avg_vol"),
+    )
+    return found.where("n >= 4 and _s >= 1e-10").drop("_s")
+
+
+def benchmark_windows(dense: DataFrame, asset, freq: int) -> DataFrame:
+    """(date, i, log_return, simple_return) of one asset's next freq rows, fewer at the calendar's end: the sum of log
+    returns, which skips unknown ones, and the change from price to price. One row a date, so one ordered partition."""
+    w = Window.orderBy("i")
+    one = dense.where(F.col("asset") == asset).withColumn("_l", F.log(F.col("close") / F.lag("close").over(w)))
+    ahead = w.rowsBetween(1, freq)
+    end = F.coalesce(F.lead("close", freq).over(w), F.last("close").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return one.select("date", "i", F.coalesce(F.sum("_l").over(ahead), F.lit(0.0)).alias("log_return"), (end / F.col("close") - 1).alias("simple_return"))
+
+
+def segment_changes(stats: DataFrame, by: str, metrics: list[str]) -> DataFrame:
+    """(by, metric, dev, oos, diff, share) of statistics by segment: what each metric is out of sample less what it was in
+    it, and that over its size in sample; null where that is 0."""
+    long = stats.unpivot([by, "segment"], metrics, "metric", "value")
+    wide = long.groupBy(by, "metric").pivot("segment", ["dev", "oos"]).agg(F.first("value"))
+    diff = F.col("oos") - F.col("dev")
+    return wide.select(by, "metric", "dev", "oos", diff.alias("diff"), F.when(F.col("dev") != 0, diff / F.abs("dev")).alias("share"))

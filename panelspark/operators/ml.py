@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from panelspark.operators.clean import segment
 from panelspark.operators.stats import gram, solve
 from panelspark.operators.xsection import rank_ic
+from panelspark.sources.shared import written
 
 
 def purged_splits(months: DataFrame, min_train: int, embargo: int) -> DataFrame:
@@ -110,24 +114,49 @@ def ridge_predictions(panel: DataFrame, features: list[str], target: str, min_tr
     return linear_predictions(panel, best.drop("alpha"), features).join(alpha, "i")
 
 
-def boosted_predictions(panel: DataFrame, features: list[str], target: str, first: int, last: int, every: int, embargo: int, depth: int = 3, rounds: int = 20, step: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(fold, date, asset, fwd_ret, pred) and (fold, feature, importance) of boosted trees that are fitted anew every
-    `every` months from month `first` to `last`: fold i learns from the months before i - embargo, the last tenth of them
-    as validation, and predicts the months i to i + every - 1. Null features become 0 with an indicator beside them. The
-    number of fits is that of the folds, whatever the panel's size; each is distributed."""
-    filled = panel.select("i", "date", "asset", target, *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features], *[F.col(f).isNull().cast("double").alias(f"{f}_null") for f in features])
+#: Boosted fits that run side by side.
+FITS = 4
+
+
+def boosted_predictions(
+    panel: DataFrame, features: list[str], target: str, first: int, every: int, embargo: int, depth: int = 3, rounds: int = 300, step: float = 0.03, sample: float = 0.8, least: int = 50
+) -> tuple[DataFrame, DataFrame]:
+    """(fold, date, asset, fwd_ret, pred, n_train, last_train) and (fold, feature, importance) of boosted trees that are
+    fitted anew every `every` months from month `first` to the last: fold i learns from the months before i - embargo and
+    predicts the months i to i + every - 1; n_train and last_train, the last month learned from, say what it saw.
+
+    Null features become 0 with an indicator beside them. The last tenth of the training months is held back, and rounds
+    end when its error falls no further. The matrix is assembled and written once; each fit is distributed, and up to FITS
+    folds are submitted side by side, so their small jobs share the cluster. The number of fits is that of the folds, whatever
+    the panel's size. Folds without training rows, or without held-back ones, give none.
+    """
+    session = panel.sparkSession
+    nulls = [F.col(f).isNull().cast("double").alias(f"{f}_null") for f in features]
+    filled = panel.select("i", "date", "asset", F.col(target).alias("fwd_ret"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], *nulls)
     names = [*features, *[f"{f}_null" for f in features]]
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(filled)
-    preds = weights = None
-    for fold in range(first, last + 1, every):
+    rows = written(VectorAssembler(inputCols=names, outputCol="x").transform(filled).select("i", "date", "asset", "fwd_ret", "x"))
+    last = rows.agg(F.max("i")).first()[0]  # the number of months, which bounds the fits
+
+    def fit(fold: int) -> tuple[DataFrame, list] | None:
         end = fold - embargo
-        train = rows.where((F.col("i") < end) & F.col(target).isNotNull()).withColumn("valid", F.col("i") >= 0.9 * end)
-        model = GBTRegressor(featuresCol="x", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.8, seed=7, validationIndicatorCol="valid").fit(train)
-        one = model.transform(rows.where((F.col("i") >= fold) & (F.col("i") < fold + every))).select(F.lit(fold).alias("fold"), "date", "asset", F.col(target).alias("fwd_ret"), "pred")
-        share = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(float(v)).alias("importance")) for n, v in zip(names, model.featureImportances.toArray(), strict=True)])
-        each = panel.sparkSession.range(1).select(F.lit(fold).alias("fold"), F.explode(share).alias("t")).select("fold", "t.*")
-        preds = one if preds is None else preds.union(one)
-        weights = each if weights is None else weights.union(each)
+        train = rows.where((F.col("i") < end) & F.col("fwd_ret").isNotNull()).withColumn("valid", F.col("i") >= 0.9 * end)
+        seen = train.agg(F.count(F.lit(1)), F.sum(F.col("valid").cast("int")), F.max("i")).first()
+        if not seen[1] or seen[0] == seen[1]:
+            return None
+        trees = GBTRegressor(
+            featuresCol="x", labelCol="fwd_ret", predictionCol="pred", maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=sample, featureSubsetStrategy=str(sample),
+            minInstancesPerNode=least, seed=7, validationIndicatorCol="valid", validationTol=0.0, maxMemoryInMB=512,
+        )
+        model = trees.fit(train)
+        now = rows.where((F.col("i") >= fold) & (F.col("i") < fold + every))
+        one = model.transform(now).select(F.lit(fold).alias("fold"), "date", "asset", "fwd_ret", "pred", F.lit(seen[0]).alias("n_train"), F.lit(seen[2]).alias("last_train"))
+        return one, [(fold, n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
+
+    with ThreadPoolExecutor(FITS) as pool:
+        found = [f for f in pool.map(fit, [] if last is None else range(first, last + 1, every)) if f]
+    weights = session.createDataFrame([w for _, each in found for w in each], "fold int, feature string, importance double")
+    schema = f"fold int, date {panel.schema['date'].dataType.simpleString()}, asset {panel.schema['asset'].dataType.simpleString()}, fwd_ret double, pred double, n_train long, last_train long"
+    preds = reduce(DataFrame.union, [one for one, _ in found]) if found else session.createDataFrame([], schema)
     return preds, weights
 
 

@@ -85,3 +85,19 @@ def rank_ic(df: DataFrame, score: str, fwd: str, least: int = 10, by: tuple[str,
     both = df.where(F.col(score).isNotNull() & F.col(fwd).isNotNull())
     ranked = both.withColumn("_a", average_rank(score, *by)).withColumn("_b", average_rank(fwd, *by))
     return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= least, correlation(F.col("_a"), F.col("_b"))).alias("ic"), F.count(F.lit(1)).alias("n"))
+
+
+def macro_tilt(macro: DataFrame, betas: DataFrame, series: list[str]) -> DataFrame:
+    """(date, sector, tilt): the sum over series of a sector's beta times the series' z-score. macro: (date, one z a series);
+    betas: (sector, beta_<series>...), a row a sector; dates on which a z is unknown have no tilt."""
+    both = macro.where(" and ".join(f"{s} is not null" for s in series)).crossJoin(F.broadcast(betas))  # a row a sector
+    return both.select("date", "sector", sum((F.col(f"beta_{s}") * F.col(s) for s in series), F.lit(0.0)).alias("tilt"))
+
+
+def rotation(df: DataFrame, weights: dict[str, float], out: str) -> DataFrame:
+    """Weighted sum of each column's z-score over the date's sectors, 0 for one without deviation; unknown values count 0."""
+    total = F.lit(0.0)
+    for c, weight in weights.items():
+        x, s = F.coalesce(F.col(c), F.lit(0.0)), F.stddev_samp(F.coalesce(F.col(c), F.lit(0.0))).over(over())
+        total = total + weight * F.when(s > 1e-8, (x - F.avg(x).over(over())) / s).otherwise(0.0)
+    return df.withColumn(out, total)

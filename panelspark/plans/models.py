@@ -62,16 +62,35 @@ def _(spark, sf):
     return M.ridge_predictions(factor_panel(spark, sf), FEATURES, "fwd_ret", 36, 1, [0.1, 1.0, 10.0, 100.0, 1000.0]).select("date", "asset", "alpha", "pred")
 
 
-#: Boosted trees are fitted anew every 12 months from month 37, the first that m04 and m05 predict.
+def model_matrix(spark, sf):
+    """(asset, date, i, sector, fwd_ret, ...): the feature panel, the sector's regime probabilities, zero where not yet known, the
+    five factors' scores and composite, and the next month's return."""
+    factors = X.factor_scores(five_factors(spark, sf), [*FIVE], [*FIVE]).select("asset", "date", "i", "sector", "fwd_ret", "composite", *[f"{c}_z" for c in FIVE])
+    features = FT.feature_panel(technical(spark, sf), quarter_facts(spark, sf)).select("asset", "date", *COLUMNS)
+    probs = sector_regimes(spark, sf).select("sector", "date", *[F.col("probs")[j].alias(c) for j, c in enumerate(REGIMES)])
+    both = factors.join(features, ["asset", "date"], "left").join(probs, ["sector", "date"], "left")
+    return both.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in REGIMES})
+
+
+REGIMES = ("regime_0", "regime_1", "regime_2")
+#: Tables of boosted fits by session and folder of tables: three queries read one set of fits.
+FITTED: dict[tuple[str, str], tuple] = {}
+
+
 def boosted(spark, sf):
-    panel = written(X.factor_scores(five_factors(spark, sf), [*FIVE], [*FIVE]))
-    last = panel.agg(F.max("i")).first()[0]  # the number of months, which bounds the fits
-    return panel, *M.boosted_predictions(panel, [f"{c}_z" for c in FIVE], "fwd_ret", 37, last, 12, 1)
+    """The model matrix, and predictions and importances of trees on all its features, fitted anew every 12 months from month 37."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in FITTED:
+        panel = written(model_matrix(spark, sf))
+        preds, weights = M.boosted_predictions(panel, [*COLUMNS, *REGIMES], "fwd_ret", 37, 12, 1)
+        FITTED.clear()
+        FITTED[key] = panel, written(preds), written(weights)
+    return FITTED[key]
 
 
 @query("m06_combine_gbt")
 def _(spark, sf):
-    return boosted(spark, sf)[1].select("fold", "date", "asset", "pred")
+    return boosted(spark, sf)[1].select("fold", "date", "asset", "pred", "n_train", "last_train")
 
 
 BAKED = "'2000-01-01'"
@@ -230,8 +249,7 @@ def stock_panel(spark, sf):
 
 
 def technical(spark, sf):
-    """Written: further projections over so many windows keep the optimizer busy for minutes."""
-    return written(FT.technical_features(stock_panel(spark, sf)))
+    return FT.technical_features(stock_panel(spark, sf))
 
 
 def feature_query(name: str, columns: list[str], source: str, build) -> None:
@@ -244,6 +262,14 @@ feature_query("w21_derived", [c for c in FT.STOCK if c.startswith(("idio", "tota
 feature_query("w27_eps_growth", [c for c in FT.FILED if c.startswith("eps")], "filed", lambda spark, sf: FT.filed_features(quarter_facts(spark, sf)))
 feature_query("w29_revenue_growth", [c for c in FT.FILED if not c.startswith("eps")], "filed", lambda spark, sf: FT.filed_features(quarter_facts(spark, sf)))
 feature_query("w28_trailing_pe", [*VALUED], "features", lambda spark, sf: FT.valuation(J.asof_join(fx.dense_m(spark, sf), FT.filed_features(quarter_facts(spark, sf)), ["asset"], "date", [*FT.FILED])))
+
+
+@query("m12_model_matrix")
+def _(spark, sf):
+    """All columns that the boosted trees learn from: m12's, and the regimes of m09."""
+    return model_matrix(spark, sf).select("asset", "date", "i", "fwd_ret", *COLUMNS, *REGIMES)
+
+
 feature_query("m12_feature_panel", COLUMNS, "features", lambda spark, sf: FT.feature_panel(technical(spark, sf), quarter_facts(spark, sf)))
 
 
@@ -365,8 +391,8 @@ def _(spark, sf):
     return rounded(rows.where("t <= k"), "date", "asset", w=0.2 / F.col("k"))
 
 
-CTE["moves"] = ("dense_m", "select asset, x, z, ya, yb from (select asset, ln(close) as x, ln(volume) as z, lead(ln(close)) over w - ln(close) as ya, lead(ln(volume)) over w - ln(volume) as yb from dense_m window w as (partition by asset order by i)) where x is not null and z is not null and ya is not null and yb is not null")
-CTE["msums"] = ("moves", "select asset, target, count(*) as n, covar_pop(x, x) as xx, covar_pop(z, z) as zz, covar_pop(x, z) as xz, covar_pop(x, y) as xy, covar_pop(z, y) as zy, covar_pop(y, y) as yy, avg(x) as mx, avg(z) as mz, avg(y) as my from (select asset, x, z, unnest(['close', 'volume']) as target, unnest([ya, yb]) as y from moves) group by 1, 2 having count(*) >= 12")
+CTE["state_moves"] = ("dense_m", "select asset, x, z, ya, yb from (select asset, ln(close) as x, ln(volume) as z, lead(ln(close)) over w - ln(close) as ya, lead(ln(volume)) over w - ln(volume) as yb from dense_m window w as (partition by asset order by i)) where x is not null and z is not null and ya is not null and yb is not null")
+CTE["msums"] = ("state_moves", "select asset, target, count(*) as n, covar_pop(x, x) as xx, covar_pop(z, z) as zz, covar_pop(x, z) as xz, covar_pop(x, y) as xy, covar_pop(z, y) as zy, covar_pop(y, y) as yy, avg(x) as mx, avg(z) as mz, avg(y) as my from (select asset, x, z, unnest(['close', 'volume']) as target, unnest([ya, yb]) as y from state_moves) group by 1, 2 having count(*) >= 12")
 CTE["mfit"] = ("msums", "select *, (xy * zz - zy * xz) / (xx * zz - xz * xz) as p, (zy * xx - xy * xz) / (xx * zz - xz * xz) as q from msums")
 
 

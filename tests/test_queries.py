@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.operators import blocks as B
 from panelspark.operators import calendar as C
 from panelspark.operators import clean as P
 from panelspark.operators import construct as K
@@ -14,7 +15,7 @@ from panelspark.operators import ledger as L
 from panelspark.operators import stats as E
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
-from panelspark.plans import core, events, models, research, technical  # noqa: F401
+from panelspark.plans import core, events, models, reports, research, technical  # noqa: F401
 from panelspark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -160,8 +161,8 @@ def test_pairs_are_found_traded_and_charged(spark):
     rows = [(a, t, float(v[t]), float(np.exp(v[t + 1] - v[t]) - 1) if t + 1 < n else None) for a, v in logs.items() for t in range(n)]
     panel = E.window_rows(spark.createDataFrame(rows, "asset int, i int, logp double, nxt double"), 24, 12)
     assert {(r.k, r.n) for r in panel.where("asset = 1").groupBy("k").agg(F.count("*").alias("n")).collect()} == {(0, 36), (1, 36)}
-    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a int, b int")
-    fit = E.pair_fit(panel.where("not trade"), pairs, 24, 0.2, 0.0)
+    groups = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "asset int, sector int")
+    fit = B.pair_fit(panel.where("not trade"), groups, 24, 0.2, 0.0)
     chosen = E.chosen_pairs(fit, E.residuals(fit, panel.where("not trade")), -1.5, 0.1, 63, 20)
     found = {(r.k, r.a, r.b): r for r in chosen.collect()}
     assert any(key[1:] == (1, 2) for key in found)
