@@ -118,13 +118,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose values are mixed together.
+MIXED_BYTES = 1 << 18
+
+
+def word_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits for each word [begin, end) of the byte values: the sum of a random number for each byte at its place in the word.
+
+    Every pair of byte and place has its own number, so no pattern of bytes, such as a word and its complement, cancels out
+    as in polynomials modulo 2**64.
+    """
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    salt, first = mixed(np.array([seed], dtype=np.uint64))[0], 0
+    for at in range(0, len(values), MIXED_BYTES):
+        to = min(at + MIXED_BYTES, len(values))
+        word = np.zeros(to - at, dtype=np.int64)
+        here = begin[np.searchsorted(begin, at) : np.searchsorted(begin, to)]
+        word[here - at] = here
+        word[0] = max(word[0], first)
+        np.maximum.accumulate(word, out=word)
+        first = int(word[-1])
+        place = (np.arange(at, to) - word).astype(np.uint64)
+        np.cumsum(mixed((place << np.uint64(8) | values[at:to]) + salt), out=sums[at + 1 : to + 1])
+        sums[at + 1 : to + 1] += sums[at]
+    return mixed(sums[end] - sums[begin] + (end - begin).astype(np.uint64))
+
+
 class RollingHash:
-    """Polynomial hashes modulo 2**64 of all spans of a sequence from one running sum."""
+    """Polynomial hashes modulo 2**64 of all spans of a sequence from one running sum, for spans of under 1,024 values: patterns
+    of that many can cancel out."""
 
     def __init__(self, seed: int):
         self.base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFF8 | 5
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.bytes = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
         self.powers = self.inverses = np.ones(1, dtype=np.uint64)
 
     def _grow(self, n: int) -> None:

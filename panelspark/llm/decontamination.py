@@ -1,8 +1,7 @@
-"""Benchmark decontamination: suffix arrays of training shards, searched with the suffixes of test items.
+"""Benchmark decontamination: suffix arrays of training shards, searched with every suffix of the test items.
 
-A shard is a slice of a Spark partition, held in one Python worker. Its suffix array orders the suffixes that begin
-with a window of a test item, a stretch of words at a time; every test suffix is found in it by binary search,
-which gives the longest verbatim matches and their places.
+A shard is a slice of a Spark partition, held in one Python worker. Its suffix array has all its suffixes in order; each
+test suffix is searched in it by halving, which gives all places of its window, the longest verbatim matches and theirs.
 """
 
 from __future__ import annotations
@@ -15,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import RollingHash, joined, lean, needs, row_key, slices, without, words_at, written
+from panelspark.llm.common import joined, lean, needs, row_key, slices, without, word_hashes, words_at, written
 
-#: Test items that are searched together take at most so many bytes of text, or are one item; the others follow.
-BLOCK_BYTES = 4 << 20
+#: Test items of a block take at most so many bytes of text, or are one item; and what an item counts besides its text.
+BLOCK_BYTES, ITEM_BYTES = 4 << 20, 64
+#: Blocks of items that are searched in one pass over the documents.
+BLOCKS_A_PASS = 4
 
 #: For each byte the lower-cased byte if words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ hold it, else 0.
 LOWERED = np.arange(256, dtype=np.uint8)
@@ -33,186 +34,172 @@ SPAN = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end",
 ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "matches"]
 
 
-def rolls() -> tuple[RollingHash, RollingHash]:
-    """Hashes of a word's bytes and of a window's words."""
-    if not hasattr(rolls, "kept"):
-        rolls.kept = (RollingHash(11), RollingHash(12))
-    return rolls.kept
+class Shard:
+    """Texts as words, each word by its rank among the shard's, 0 behind each text, and the array of all suffixes in order.
 
+    Suffixes are ordered by their first `depth` words, by doubling: ranks by so many words make ranks by twice as many.
+    """
 
-class Words:
-    """Hashes of the words of some texts, with the end of each word's text."""
-
-    def __init__(self, buffer: np.ndarray, ends: np.ndarray):
-        one, two = rolls()
+    def __init__(self, buffer: np.ndarray, ends: np.ndarray, depth: int):
         begin, end, self.first = words_at(buffer, ends, IN_WORD)
-        self.hash = one.spans(one.sums(one.bytes[LOWERED[buffer]]), begin, end)
-        self.end = np.repeat(self.first[1:], np.diff(self.first))
-        self.sums = two.sums(self.hash)
-
-    def starts(self, length: int) -> np.ndarray:
-        """Words that `length` words of the same text begin with."""
-        at = np.arange(max(0, len(self.hash) - length + 1))
-        return at[at + length <= self.end[at]]
-
-    def windows(self, at: np.ndarray, length: int) -> np.ndarray:
-        return rolls()[1].spans(self.sums, at, at + length)
-
-    def rows(self, at: np.ndarray, depth: int, length: int, group: np.ndarray) -> np.ndarray:
-        """A sortable byte string for each suffix: its group and `length` words from `depth` on, zeros behind the text."""
-        out = np.zeros((len(at), length + 1), dtype=">u8")
-        out[:, 0] = group
-        for k in range(depth, depth + length):
-            inside = at + k < self.end[at]
-            out[inside, k - depth + 1] = self.hash[at[inside] + k]
-        return out.view(f"S{8 * length + 8}").ravel()
-
-
-def in_common(x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
-    """For each pair of rows of one group how many of their next words agree; -1 for rows of two groups."""
-    p, q = (np.ascontiguousarray(v).view(">u8").reshape(-1, length + 1) for v in (x, y))
-    same = (p == q) & ((p > 0) | (np.arange(length + 1) == 0))
-    return np.cumprod(same, axis=1).sum(axis=1) - 1
-
-
-class Windows:
-    """The distinct windows of one length that items hold, each with its places."""
-
-    def __init__(self, test: Words, at: np.ndarray, length: int):
-        self.length, self.test = length, test
-        self.hashes, number = np.unique(test.windows(at, length), return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        #: First words of all windows, those of equal ones together, and where each distinct one begins among them.
-        self.at, self.number = at[order], number[order]
-        self.first = np.searchsorted(self.number, np.arange(len(self.hashes) + 1))
-        self.low = np.zeros(1 << 20, dtype=bool)
-        self.low[self.hashes & np.uint64((1 << 20) - 1)] = True
-
-    def found(self, shard: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Words of the shard that a window begins at, and the window's number."""
-        at = shard.starts(self.length)
-        hashes = shard.windows(at, self.length)
-        likely = self.low[hashes & np.uint64((1 << 20) - 1)]
-        at, hashes = at[likely], hashes[likely]
-        number = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        same = self.hashes[number] == hashes
-        at, number = at[same], number[same]
-        zero = np.zeros(len(at), dtype=np.uint64)
-        equal = shard.rows(at, 0, self.length, zero) == self.test.rows(self.at[self.first[number]], 0, self.length, zero)
-        return at[equal], number[equal]
-
-    def longest(self, shard: Words, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each training suffix `at` that begins with window `number`, the words of its longest match with any
-        test suffix, and a word at which that begins in the test items.
-
-        At each depth the suffixes still matched are sorted by their next words, test suffixes are searched in
-        that array, and each training suffix has its longest match with one of its neighbours among them.
-        """
-        step, size, place = self.length, np.full(len(at), self.length), self.at[self.first[number]].copy()
-        mine, group = np.arange(len(at)), number
-        held = np.isin(self.number, number)
-        tests, tests_group, depth = self.at[held], self.number[held], step
-        while len(mine) and len(tests):
-            order = np.argsort(rows := shard.rows(at[mine], depth, step, group), kind="stable")
-            suffixes, mine = rows[order], mine[order]
-            keys, least, key = np.unique(self.test.rows(tests, depth, step, tests_group), return_index=True, return_inverse=True)
-            left = np.searchsorted(suffixes, keys, "left")
-            below = np.searchsorted(left, np.arange(len(suffixes)), "right") - 1
-            common = [np.full(len(mine), -1), np.full(len(mine), -1)]
-            for side, (near, inside) in enumerate(((below, below >= 0), (below + 1, below + 1 < len(keys)))):
-                common[side][inside] = in_common(suffixes[inside], keys[near[inside]], step)
-            most = np.maximum(*common)
-            nearest = np.where(common[0] >= common[1], below, below + 1)
-            longer = most > 0
-            size[mine[longer]] = depth + most[longer]
-            place[mine[longer]] = tests[least[nearest[longer]]]
-            on = most == step
-            mine, group = mine[on], nearest[on].astype(np.uint64)
-            going = np.isin(key, nearest[on])
-            tests, tests_group, depth = tests[going], key[going].astype(np.uint64), depth + step
-        return size, place
+        self.alphabet, rank = np.unique(word_hashes(LOWERED[buffer], begin, end, 11), return_inverse=True)
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(self.first))
+        #: Words of all texts in a row, one place later for each text before.
+        self.words = np.zeros(len(begin) + len(ends), dtype=np.int64)
+        self.words[np.arange(len(begin)) + text] = rank + 1
+        self.text = np.full(len(self.words), len(ends) - 1)
+        self.text[np.arange(len(begin)) + text] = text
+        by, n, done = self.words, len(self.words), 1
+        self.order = np.argsort(by, kind="stable")
+        while True:
+            new = np.diff(by[self.order], prepend=by[self.order[:1]]) != 0
+            if done >= depth or new.all():
+                break
+            place = np.empty(n, dtype=np.int64)
+            place[self.order] = np.cumsum(new)
+            behind = np.zeros(n, dtype=np.int64)
+            behind[: max(0, n - done)] = place[done:] + 1
+            by = place * (n + 1) + behind
+            self.order = np.argsort(by)
+            done *= 2
+
+    def bound(self, low: np.ndarray, high: np.ndarray, depth: int, word: np.ndarray, above: bool) -> np.ndarray:
+        """For each range of the array whose suffixes agree in `depth` words: where the suffixes begin whose next word is not
+        below `word`, or is above it. All ranges are halved together."""
+        low, high = low.copy(), high.copy()
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            middle = (low[todo] + high[todo]) >> 1
+            here = self.words[self.order[middle] + depth]
+            right = here <= word[todo] if above else here < word[todo]
+            low[todo[right]] = middle[right] + 1
+            high[todo[~right]] = middle[~right]
+            todo = todo[low[todo] < high[todo]]
+        return low
 
 
 class TestSide:
-    """A block of items with their windows by length: `window` words, or all of an item that has fewer."""
+    """A block of items: their words, and for each test suffix that begins with a whole window how long that window is."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.ids = [i for i, _ in items]
-        self.words = Words(np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), np.cumsum([0, *[len(t) for _, t in items]]))
-        length = np.minimum(np.diff(self.words.first), window)
-        self.windows = []
-        for n in sorted({*length.tolist()} - {0}):
-            at = self.words.starts(n)
-            self.windows.append(Windows(self.words, at[length[self.item(at)] == n], n))
-
-    def item(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.words.first, at, side="right") - 1
-
-
-def shard_matches(test: TestSide, window: int, buffer: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, list, list, list]]:
-    """(text, hit spans, items, maximal matches) of each text of the shard with a window of an item."""
-    shard = Words(buffer, ends)
-    hits = [(w, *w.found(shard)) for w in test.windows]
-    size, place = np.zeros(len(shard.hash), dtype=np.int64), np.zeros(len(shard.hash), dtype=np.int64)
-    for w, at, number in hits:
-        most, where = w.longest(shard, at, number) if w.length == window else (np.full(len(at), w.length), w.at[w.first[number]])
-        longer = most > size[at]
-        size[at[longer]], place[at[longer]] = most[longer], where[longer]
-    at = np.flatnonzero(size)
-    text = np.searchsorted(shard.first, at, side="right") - 1
+        buffer, ends = np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), np.cumsum([0, *[len(t) for _, t in items]])
+        begin, end, self.first = words_at(buffer, ends, IN_WORD)
+        self.hash = word_hashes(LOWERED[buffer], begin, end, 11)
+        size = np.diff(self.first)
+        self.depth = int(size.max(initial=0))
+        self.item = np.repeat(np.arange(len(size)), size)
+        #: First word, words to the item's end, and words of the window, of each test suffix.
+        at = np.arange(len(self.hash))
+        left, length = self.first[1:][self.item] - at, np.minimum(size, window)[self.item]
+        whole = left >= length
+        self.at, self.left, self.length = at[whole], left[whole], length[whole]
+
+
+def shard_matches(test: TestSide, shard: Shard) -> Iterator[tuple[int, list, list, list]]:
+    """(text, hit spans, items, maximal matches) of each text of the shard with a window of an item.
+
+    Every test suffix is searched in the array, a word deeper at a time; a range that is empty ends its search. Where
+    a suffix has its window, its range holds all places of the window; from there on each range tells the
+    suffixes in it how far they match, so each keeps its longest match. Test suffixes of one range are one search.
+    """
+    at, left, length = test.at, test.left, test.length
+    rank = np.searchsorted(shard.alphabet, test.hash)
+    known = shard.alphabet[np.minimum(rank, len(shard.alphabet) - 1)] == test.hash if len(shard.alphabet) else np.zeros(len(rank), dtype=bool)
+    rank = np.where(known, rank + 1, -1)
+    low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(shard.order))
+    size, place, depth = np.zeros(len(shard.words), dtype=np.int64), np.zeros(len(shard.words), dtype=np.int64), 0
+    items_of: list[np.ndarray] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(at):
+        # One search for all test suffixes of one range with one next word; ranges of one depth are apart or equal.
+        word = rank[at + depth]
+        keep = word > 0
+        at, left, length, low, high, word = (x[keep] for x in (at, left, length, low, high, word))
+        if not len(at):
+            break
+        _, one, many = np.unique(low * (len(shard.alphabet) + 1) + word, return_index=True, return_inverse=True)
+        least, most = (shard.bound(low[one], high[one], depth, word[one], above)[many] for above in (False, True))
+        keep = least < most
+        at, left, length, low, high = (x[keep] for x in (at, left, length, least, most))
+        depth += 1
+        deep = depth >= length
+        ranges, first, number = np.unique(low[deep], return_index=True, return_inverse=True)
+        tests, upto = at[deep], high[deep][first]
+        for k in range(len(ranges)):
+            places = shard.order[ranges[k] : upto[k]]
+            size[places], place[places] = depth, tests[first[k]]
+        new = depth == length[deep]
+        by = np.argsort(number[new], kind="stable")
+        held, owners = number[new][by], test.item[tests[new][by]]
+        for k in np.unique(held).tolist():
+            found.append((shard.order[ranges[k] : upto[k]], np.full(upto[k] - ranges[k], len(items_of))))
+            items_of.append(np.unique(owners[np.searchsorted(held, k) : np.searchsorted(held, k, side="right")]))
+        on = left > depth
+        at, left, length, low, high = (x[on] for x in (at, left, length, low, high))
+    if not found:
+        return
+    hit, window = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(shard.text[hit], kind="stable")
+    hit, window = hit[order], window[order]
+    text = shard.text[hit]
     for k in np.unique(text).tolist():
-        begin, end = shard.first[k], shard.first[k + 1]
-        mine = at[text == k] if len(at) < 64 else at[np.searchsorted(text, k) : np.searchsorted(text, k, side="right")]
-        edge = np.zeros(end - begin + 1, dtype=np.int64)
-        np.add.at(edge, mine - begin, 1)
-        np.add.at(edge, mine - begin + size[mine], -1)
+        a, b = np.searchsorted(text, k), np.searchsorted(text, k, side="right")
+        base = int(shard.first[k]) + k
+        mine = np.unique(hit[a:b])
+        edge = np.zeros(int(shard.first[k + 1] - shard.first[k]) + 1, dtype=np.int64)
+        np.add.at(edge, mine - base, 1)
+        np.add.at(edge, mine - base + size[mine], -1)
         turns = np.flatnonzero(np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)).reshape(-1, 2)
-        items: set[int] = set()
-        for w, found, number in hits:
-            inside = number[np.searchsorted(found, begin) : np.searchsorted(found, end)]
-            for n in np.unique(inside).tolist():
-                items.update(test.item(w.at[w.first[n] : w.first[n + 1]]).tolist())
-        before = np.where(mine > begin, size[np.maximum(mine - 1, 0)], 0)
+        items = np.unique(np.concatenate([items_of[w] for w in np.unique(window[a:b]).tolist()]))
+        before = np.where(mine > base, size[np.maximum(mine - 1, 0)], 0)
         top = mine[size[mine] >= np.maximum(before, 1)]
-        owner = test.item(place[top])
-        matches = [(test.ids[o], int(p - test.words.first[o]), int(m - begin), int(size[m])) for o, p, m in zip(owner.tolist(), place[top].tolist(), top.tolist(), strict=True)]
-        yield k, turns.tolist(), sorted({test.ids[i] for i in items}), matches
+        owner = test.item[place[top]]
+        matches = [(test.ids[o], int(p - test.first[o]), int(m - base), int(size[m])) for o, p, m in zip(owner.tolist(), place[top].tolist(), top.tolist(), strict=True)]
+        yield k, turns.tolist(), sorted({test.ids[i] for i in items.tolist()}), matches
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> DataFrame:
-    """(bucket, block, item_id, text): distinct items in blocks of about block_bytes, ids as strings.
-
-    Items are dealt to buckets by hash and numbered within each by the sum of sizes before them, so no block
-    holds more than block_bytes and one item. Null ids and null texts have no part.
-    """
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Distinct items (id as string, text), a block of at most block_bytes, or one item, at a time: the driver holds one. Null ids
+    and null texts have no part."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    items = written(items.withColumn("size", F.octet_length("text").cast("long")))
-    total = items.agg(F.sum("size")).first()[0] or 0
-    dealt = items.withColumn("bucket", F.expr(f"pmod(xxhash64(item_id, text), {1 + total // block_bytes})"))
-    before = F.expr("sum(size) over (partition by bucket order by item_id, text rows unbounded preceding) - size")
-    return written(dealt.select("bucket", F.floor(before / block_bytes).alias("block"), "item_id", "text"))
-
-
-def scan(keyed: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
-    """(doc_id, _row, hits, items, matches) of the rows of keyed (doc_id, _row, text) that a window of the items touches; written."""
-    shared = keyed.sparkSession.sparkContext.broadcast(items)
+    block, size = [], 0
+    for r in written(items).toLocalIterator():
+        text = r.text.encode()
+        if block and size + len(text) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, text))
+        size += len(text) + ITEM_BYTES
+    if block:
+        yield block
+
+
+def scan(keyed: DataFrame, shared: list, window: int) -> DataFrame:
+    """(doc_id, _row, block, hits, items, matches) of the rows of keyed (doc_id, _row, text) that a window of the blocks' items touches;
+    one pass over keyed for all the blocks, and written."""
     kinds = [pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), *[(n, pa.int64()) for n in ("item_word", "doc_word", "n_words")]]))]
     names = ["hits", "items", "matches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = TestSide(shared.value, window)
+        tests = [TestSide(b.value, window) for b in shared]
+        depth = max(t.depth for t in tests)
         for batch in slices(batches, "text"):
-            found = list(shard_matches(test, window, *joined(batch.column("text"))))
-            if found:
-                rows = pa.array([f[0] for f in found])
-                values = [[{"begin": a, "end": b} for a, b in f[1]] for f in found], [f[2] for f in found], [[dict(zip(MATCH.names, m, strict=True)) for m in f[3]] for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("_row").take(rows), *map(pa.array, values, kinds)], names=["doc_id", "_row", *names])
-
-    out = T.StructType([keyed.schema["doc_id"], keyed.schema["_row"], *[T.StructField(n, T.ArrayType(t)) for n, t in zip(names, (SPAN, T.StringType(), MATCH), strict=True)]])
-    found = written(keyed.mapInArrow(lean(run), out))
-    shared.destroy()
+            shard = Shard(*joined(batch.column("text")), depth)
+            for number, test in enumerate(tests):
+                found = list(shard_matches(test, shard))
+                if found:
+                    rows = pa.array([f[0] for f in found])
+                    values = [[{"begin": a, "end": b} for a, b in f[1]] for f in found], [f[2] for f in found], [[dict(zip(MATCH.names, m, strict=True)) for m in f[3]] for f in found]
+                    columns = [batch.column("doc_id").take(rows), batch.column("_row").take(rows), pa.array([number] * len(found), pa.int32()), *map(pa.array, values, kinds)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "block", *names])
+
+    fields = [keyed.schema["doc_id"], keyed.schema["_row"], T.StructField("block", T.IntegerType()), *[T.StructField(n, T.ArrayType(t)) for n, t in zip(names, (SPAN, T.StringType(), MATCH), strict=True)]]
+    found = written(keyed.mapInArrow(lean(run), T.StructType(fields)))
+    for b in shared:
+        b.destroy()
     return found
 
 
@@ -223,15 +210,19 @@ COVERED = "aggregate(array_sort(hits), struct(0L as total, 0L as last), (a, s) -
 def touched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """(doc_id, _row, hits, items, matches) once for each document that a window touches, over all blocks of items."""
     keyed = docs.select(*row_key(), "text")
-    items = blocks(benchmark, block_bytes)
-    found = keyed.select("doc_id", "_row", F.array().cast(T.ArrayType(SPAN)).alias("hits"), F.array().cast("array<string>").alias("items"), F.array().cast(T.ArrayType(MATCH)).alias("matches"), F.lit(0).alias("block")).limit(0)
-    for k, r in enumerate( items.select("bucket", "block").distinct().orderBy("bucket", "block").collect()):
-        block = items.where((F.col("bucket") == r.bucket) & (F.col("block") == r.block)).select("item_id", "text").orderBy("item_id", "text")
-        found = found.union(scan(keyed, [(x.item_id, x.text.encode()) for x in block.collect()], window).withColumn("block", F.lit(k)))
-    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "matches")]
+    context = docs.sparkSession.sparkContext
+    lists = ["hits", "items", "matches"]
+    found = keyed.select("doc_id", "_row", F.lit(0).alias("block"), *[F.array().cast(T.ArrayType(t)).alias(c) for c, t in zip(lists, (SPAN, T.StringType(), MATCH), strict=True)]).limit(0)
+    passes, shared = 0, []
+    for block in (*blocks(benchmark, block_bytes), None):
+        if block is not None:
+            shared.append(context.broadcast(block))
+        if shared and (block is None or len(shared) == BLOCKS_A_PASS):
+            found = found.union(scan(keyed, shared, window).withColumn("block", F.col("block") + passes * BLOCKS_A_PASS))
+            passes, shared = passes + 1, []
     # Rows equal in id and text are one document here: each block's first row of them stands for all.
-    once = found.groupBy("doc_id", "_row", "block").agg(*[F.first(c).alias(c) for c in ("hits", "items", "matches")])
-    return once.groupBy("doc_id", "_row").agg(*lists)
+    once = found.groupBy("doc_id", "_row", "block").agg(*[F.first(c).alias(c) for c in lists])
+    return once.groupBy("doc_id", "_row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -245,8 +236,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     without documents, nothing is hit; repeated rows stay, each with the same facts; columns of docs with the names of
     outputs are replaced.
 
-    The items are searched in blocks of a bounded size, one after the other, so the driver holds one block at a
-    time. Each block costs a pass over docs that writes only what it found.
+    Each task orders all suffixes of a shard, a few MB of text, and searches every test suffix in them; hits, items and matches are read
+    off the ranges that it finds. Items come in blocks of a bounded size: the driver holds one, a task BLOCKS_A_PASS; so many
+    blocks are searched in one pass over docs, which writes only what it found.
     """
     needs(docs, "doc_id", "text")
     needs(benchmark, "item_id", "text")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import NOT_BLANK, RollingHash, joined, mixed, needs, slices, utf8, words_at
+from panelspark.llm.common import NOT_BLANK, RollingHash, joined, lean, mixed, needs, slices, utf8, word_hashes, words_at
 
 #: Words of an anchor. A window of `length` words holds length - ANCHOR + 1 of them and selects the least.
 ANCHOR = 8
@@ -26,20 +26,20 @@ SPAN = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end",
 class Words:
     """Word hashes of a slice of texts, with the anchor that each window selects."""
 
-    def __init__(self, column: pa.Array, length: int, rolls: tuple[RollingHash, RollingHash, RollingHash]):
+    def __init__(self, column: pa.Array, length: int, rolls: tuple[RollingHash, RollingHash]):
         anchor = min(ANCHOR, length)
         buffer, ends = joined(column)
         begin, end, self.first = words_at(buffer, ends, NOT_BLANK)
         self.length = length
-        words = rolls[0].spans(rolls[0].sums(rolls[0].bytes[buffer]), begin, end)
-        n = len(words)
+        n = len(begin)
         text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         start = np.arange(max(0, n - length + 1))
         #: First word of every window, in words of the slice, and its text.
         self.start = start[text[start] == text[start + length - 1]]
         self.text = text[self.start]
-        self.sums = [r.sums(words) for r in rolls[1:]]
-        self.rolls = rolls[1:]
+        #: Two sums over two hashes of each word, so that no pair of words is equal in both.
+        self.sums = [r.sums(word_hashes(buffer, begin, end, 21 + k)) for k, r in enumerate(rolls)]
+        self.rolls = rolls
         self.anchor_hash = self.rolls[0].spans(self.sums[0], np.arange(n - anchor + 1), np.arange(anchor, n + 1)) if n >= anchor else np.zeros(0, np.uint64)
         #: The word at which the anchor of each window begins: the first of the least.
         self.anchor = self.start.copy()
@@ -61,9 +61,9 @@ class Words:
         return out
 
 
-def rolls() -> tuple[RollingHash, RollingHash, RollingHash]:
+def rolls() -> tuple[RollingHash, RollingHash]:
     if not hasattr(rolls, "kept"):
-        rolls.kept = (RollingHash(21), RollingHash(22), RollingHash(23))
+        rolls.kept = (RollingHash(22), RollingHash(23))
     return rolls.kept
 
 
@@ -83,7 +83,7 @@ def anchors(keyed: DataFrame, length: int) -> DataFrame:
             yield rows_of(batch, [w.anchor_hash[at].view(np.int64)], ["anchor"], text, at - w.first[text])
 
     kind = T.StructType([T.StructField("anchor", T.LongType()), keyed.schema["doc_id"], keyed.schema["_row"], T.StructField("at", T.IntegerType())])
-    return keyed.mapInArrow(run, kind)
+    return keyed.mapInArrow(lean(run), kind)
 
 
 def windows(listed: DataFrame, length: int) -> DataFrame:
@@ -97,7 +97,7 @@ def windows(listed: DataFrame, length: int) -> DataFrame:
             yield rows_of(batch, [*w.window_hashes(chosen)], ["w1", "w2"], text, w.start[chosen] - w.first[text])
 
     kind = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.IntegerType()), listed.schema["doc_id"], listed.schema["_row"], T.StructField("at", T.IntegerType())])
-    return listed.mapInArrow(run, kind)
+    return listed.mapInArrow(lean(run), kind)
 
 
 def lone(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -165,4 +165,4 @@ def repeats(docs: DataFrame, length: int = 35) -> DataFrame:
             )
 
     out = T.StructType([keyed.schema["doc_id"], keyed.schema["text"], *[T.StructField(n, t) for n, t in kinds]])
-    return both.mapInArrow(run, out)
+    return both.mapInArrow(lean(run), out)

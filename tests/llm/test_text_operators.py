@@ -184,3 +184,31 @@ def test_empty_tables(spark):
     assert decontamination.contamination(df, bench).count() == 0
     assert decontamination.contamination(frame(spark, HARD), bench).where("contaminated or n_hit > 0").count() == 0
     assert byte_bpe.encode(df, public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN).count() == 0
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_of_one_pattern_and_its_complement_differ(spark, n):
+    """A word of two letters in Thue-Morse order and its complement: no polynomial modulo 2**64 tells them apart."""
+    words, other = [f"w{k}" for k in range(9)], [thue_morse(n, 0), thue_morse(n, 1)]
+    docs = spark.createDataFrame([(k, " ".join([w, *words])) for k, w in enumerate(other)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join([other[0], *words]))], "item_id long, text string")
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.contamination(docs, bench).collect()} == {0: (10, 1, True), 1: (0, 0, False)}
+    from panelspark.llm import substring_dedup
+
+    longer = spark.createDataFrame([(k, " ".join([w, *[f"w{j}" for j in range(34)]])) for k, w in enumerate(other)], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.repeats(longer).collect()] == [0, 0]
+    assert [r.n_removed for r in substring_dedup.repeats(longer.union(longer.where("doc_id = 0"))).orderBy("doc_id").collect()] == [35, 35, 0]
+
+
+def test_texts_and_items_longer_than_a_slice(spark):
+    rng = random.Random(11)
+    long = " ".join(f"u{rng.randrange(10**9)}" for _ in range(450_000))
+    item = " ".join(long.split()[200_000:200_300])
+    assert len(long) > 4 << 20
+    docs = spark.createDataFrame([(1, long), (2, "a b c " + item), (3, "a b c")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.longest_match) for r in decontamination.contamination(docs, spark.createDataFrame([(7, item), (8, "q " * 30)], "item_id long, text string")).collect()}
+    assert got == {1: (300, 1, 300), 2: (300, 1, 300), 3: (0, 0, 0)}
