@@ -41,8 +41,10 @@ def next_trading_day(events: DataFrame, dates: DataFrame, on: str) -> DataFrame:
 
 
 def forward_price(dense: DataFrame, freq: int, close: str = "close") -> DataFrame:
-    """Dense panel with fwd_close, the price freq rows ahead, or at the calendar's last row if that is nearer."""
-    last = dense.agg(F.max("i").alias("end"))
-    ahead = dense.select("asset", F.col("i").alias("j"), F.col(close).alias("fwd_close"))
-    target = dense.join(F.broadcast(last)).withColumn("j", F.least(F.col("i") + freq, F.col("end"))).drop("end")
-    return target.join(ahead, ["asset", "j"], "left").drop("j")
+    """Dense panel with fwd_close, the price freq rows ahead, or at the calendar's last row if that is nearer; null if the
+    asset has no row there. An asset's rows are without gaps, so this is one window by asset."""
+    last = dense.agg(F.max("i").alias("_end"))  # one row
+    w = Window.partitionBy("asset").orderBy("i")
+    at_end = F.max(F.when(F.col("i") == F.col("_end"), F.col(close))).over(Window.partitionBy("asset"))
+    ahead = F.when(F.col("i") + freq <= F.col("_end"), F.lead(close, freq).over(w)).otherwise(at_end)
+    return dense.join(F.broadcast(last)).withColumn("fwd_close", ahead).drop("_end")

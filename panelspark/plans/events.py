@@ -17,11 +17,13 @@ from panelspark.plans.core import rounded
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import query
 from panelspark.sources import files as S
+from panelspark.sources.panels import Cache, lay_out
+from panelspark.sources.shared import shared_folder
 
 
 def scratch(spark) -> str:
-    """A new place in the session's warehouse, which all executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/panelspark-{uuid.uuid4().hex}"
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/panelspark-{uuid.uuid4().hex}"
 
 
 @query("s02_csv_round_trip", sql("select date, asset, close from (select date, asset, round(close, 7) as close from px_m)", "px_m"))
@@ -91,6 +93,23 @@ def _(spark, sf):
     return S.stale_keys(fx.filings(spark, sf), "asset", "filed", "2002-02-20", 10)
 
 
+@query("s10_refresh", sql("select asset, period_end, filed, form, round(val, 4) as val from filings", "filings"))
+def _(spark, sf):
+    """A cache in which a third of the assets end early and some are missing, after a refresh: what a rebuild would give."""
+    every = fx.filings(spark, sf)
+    cache = Cache(spark, scratch(spark), "asset", "filed")
+    cache.rebuild(every.where("asset % 7 <> 3 and (asset % 3 <> 1 or filed < date '1996-01-01')"))
+    cache.refresh(every, lambda keys: every.join(keys, "asset", "left_semi"), "1999-01-01", 60)
+    return cache.read().select("asset", "period_end", "filed", "form", F.round("val", 4).alias("val"))
+
+
+@query("s09_laid_out_panel", sql("select asset, date, round(ret, 8) + 0.0 as ret, round(avg(ret) over (partition by asset order by i rows between 2 preceding and current row), 8) + 0.0 as mean_ret from ret_m", "ret_m"))
+def _(spark, sf):
+    """Returns and their means over three months from the panel in buckets of assets: windows without an exchange."""
+    panel = lay_out(fx.dense_m(spark, sf)).withColumn("ret", W.simple_return())
+    return rounded(panel.withColumn("mean_ret", F.avg("ret").over(W.frame(-2, 0))), "asset", "date", ret="ret", mean_ret="mean_ret")
+
+
 @query("s11_combine", sql("select asset, date, round(close, 7) as close, null::double as extra from px_m where close is not null union all select asset, date, null, round(volume, 7) from px_m", "px_m"))
 def _(spark, sf):
     p = fx.px_m(spark, sf)
