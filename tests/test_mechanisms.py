@@ -210,3 +210,26 @@ def test_bootstrap_draws_where_rows_are(spark):
         v = np.array([x for g, _, x in rows if g == r.g and x is not None])
         assert abs(r.low - (v.mean() - 1.96 * v.std() / 300**0.5)) < 0.03 and abs(r.high - (v.mean() + 1.96 * v.std() / 300**0.5)) < 0.03
     assert E.DRAWS[0] == np.exp(-1) and all(np.diff(E.DRAWS) > 0)
+
+
+def test_boosted_trees_learn_from_the_past_alone(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(40):
+        for a in range(25):
+            f, g = map(float, rng.normal(size=2))
+            rows.append((i, f"2020-{1 + i // 28:02d}-{1 + i % 28:02d}", a, f, g if a % 5 else None, float(np.sign(f) * 0.3 + rng.normal() * 0.1) if i < 39 else None))
+    df = spark.createDataFrame(rows, "i int, date string, asset int, f double, g double, y double")
+    preds, weights = M.boosted_predictions(df, ["f", "g"], "y", 24, 8, 2, rounds=12, step=0.3, least=10)
+    got = {(r.date, r.asset): r for r in preds.collect()}
+    assert len(got) == 16 * 25 and {r.fold for r in got.values()} == {24, 32}
+    assert all(r.last_train == r.fold - 3 and r.n_train == 25 * (r.fold - 2) for r in got.values())
+    assert np.corrcoef([got[d, a].pred for _, d, a, _, _, y in rows if (d, a) in got and y is not None], [y for _, d, a, _, _, y in rows if (d, a) in got and y is not None])[0, 1] > 0.9
+    share = {}
+    for r in weights.collect():
+        share.setdefault(r.fold, {})[r.feature] = r.importance
+    assert all(s["f"] > 0.9 and np.isclose(sum(s.values()), 1) and set(s) == {"f", "g", "f_null", "g_null"} for s in share.values())
+    changed, _ = M.boosted_predictions(df.withColumn("y", F.when(F.col("i") >= 22, -F.col("y")).otherwise(F.col("y"))), ["f", "g"], "y", 24, 8, 2, rounds=12, step=0.3, least=10)
+    same = [r for r in changed.where("fold = 24").collect()]
+    assert len(same) == 200 and all(np.isclose(got[r.date, r.asset].pred, r.pred) for r in same)
+    assert M.boosted_predictions(df.limit(0), ["f", "g"], "y", 24, 8, 2)[0].count() == 0
