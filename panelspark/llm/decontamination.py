@@ -37,7 +37,8 @@ ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest
 class Shard:
     """Texts as words, each word by its rank among the shard's, 0 behind each text, and the array of all suffixes in order.
 
-    Suffixes are ordered by their first `depth` words, by doubling: ranks by so many words make ranks by twice as many.
+    Suffixes are ordered by their first `depth` words, by doubling: ranks by so many words make ranks by twice as many, and
+    only suffixes that are still tied are ordered anew.
     """
 
     def __init__(self, buffer: np.ndarray, ends: np.ndarray, depth: int):
@@ -49,18 +50,26 @@ class Shard:
         self.words[np.arange(len(begin)) + text] = rank + 1
         self.text = np.full(len(self.words), len(ends) - 1)
         self.text[np.arange(len(begin)) + text] = text
-        by, n, done = self.words, len(self.words), 1
-        self.order = np.argsort(by, kind="stable")
-        while True:
-            new = np.diff(by[self.order], prepend=by[self.order[:1]]) != 0
-            if done >= depth or new.all():
+        n, done = len(self.words), 1
+        self.order = np.argsort(self.words, kind="stable")
+        sorted_words = self.words[self.order]
+        new = np.diff(sorted_words, prepend=-1) != 0
+        #: Each suffix's place among the distinct ones so far: the slot where its run of equal ones begins.
+        place = np.empty(n + 1, dtype=np.int64)
+        place[n] = -1
+        place[self.order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        while done < depth:
+            tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+            if not len(tied):
                 break
-            place = np.empty(n, dtype=np.int64)
-            place[self.order] = np.cumsum(new)
-            behind = np.zeros(n, dtype=np.int64)
-            behind[: max(0, n - done)] = place[done:] + 1
-            by = place * (n + 1) + behind
-            self.order = np.argsort(by)
+            mine = self.order[tied]
+            key = place[mine] * (n + 1) + place[np.minimum(mine + done, n)] + 1
+            by = np.argsort(key)
+            key = key[by]
+            self.order[tied] = mine = mine[by]
+            first = np.diff(key, prepend=-1) != 0
+            new[tied] = first
+            place[mine] = np.maximum.accumulate(np.where(first, tied, 0))
             done *= 2
 
     def bound(self, low: np.ndarray, high: np.ndarray, depth: int, word: np.ndarray, above: bool) -> np.ndarray:
