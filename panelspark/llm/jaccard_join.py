@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm import simhash
 from panelspark.llm.common import components, lean, mixed, needs, row_key, slices, small, utf8, written
-from panelspark.llm.simhash import shingle_hashes
 
 #: Sets of a block of a tile: outsiders, and members that they are compared to.
 OUTSIDERS, MEMBERS = 64, 256
@@ -103,7 +103,7 @@ def marks(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(x, width)) for x in utf8(batch.column("text"))]
+            sets = [np.unique(simhash.shingle_hashes(x, width)) for x in utf8(batch.column("text"))]
             columns = [
                 pa.array(map(node, sets), pa.binary()), pa.array(map(len, sets), pa.int32()),
                 pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), pa.array([tiles(s, percent) if len(s) else [] for s in sets], pa.list_(pa.int64())),
@@ -118,7 +118,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(x, width)) for x in utf8(batch.column("text"))]
+            sets = [np.unique(simhash.shingle_hashes(x, width)) for x in utf8(batch.column("text"))]
             columns = [pa.array(map(node, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(bitmap, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "bitmap", "hashes"])
 
@@ -152,7 +152,8 @@ def stars(met: DataFrame) -> DataFrame:
 
 
 def apart(met: DataFrame, roots: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a tile but no root, and whose bitmaps allow the similarity.
+    """Pairs (a, b) of sets that share a tile but no root, and whose bitmaps allow the similarity. met: (key, node, n), nodes as binary or
+    long; roots: (node, root), a node without one is its own; bitmaps: (node, size, bitmap).
 
     In each tile all that have not the commonest root are outsiders; they alone are compared to the members, a block
     of outsiders to a cell of members at a time, so no task holds a whole tile. A tile of two has been compared.
@@ -168,18 +169,30 @@ def apart(met: DataFrame, roots: DataFrame, bitmaps: DataFrame, percent: int) ->
 
     def compared(out: pa.Table, members: pa.Table) -> pa.Table:
         a, b = [], []
-        maps = [np.frombuffer(x, np.uint64) for x in members.column("bitmap").to_pylist()]
-        names, roots_, sizes = members.column("node").to_pylist(), members.column("root").to_pylist(), members.column("size").to_numpy()
+        names, roots_, sizes = (members.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "size"))
+        maps = members.column("bitmap").to_pylist()
+        #: Members of one length of bitmap, their maps in rows.
+        alike: dict[int, list[int]] = {}
+        for i, m in enumerate(maps):
+            alike.setdefault(len(m) // 8, []).append(i)
+        stacked = {words: (np.array(at), np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(-1, words)) for words, at in alike.items()}
         for name, root, size, x in zip(*[out.column(c).to_pylist() for c in ("node", "root", "size", "bitmap")], strict=True):
             x = np.frombuffer(x, np.uint64)
-            for i in np.flatnonzero(reaches(np.minimum(sizes, size), sizes, size, percent)):
-                if roots_[i] != root and reaches(overlaps_at_most(x, maps[i], size, int(sizes[i])), size, int(sizes[i]), percent):
-                    a.append(min(name, names[i]))
-                    b.append(max(name, names[i]))
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
+            for words, (at, rows) in stacked.items():
+                least = min(words, len(x))
+                if words > least:
+                    rows = np.bitwise_xor.reduce(rows.reshape(len(rows), -1, least), axis=1)
+                differ = np.bitwise_count(rows ^ folded(x, least)).sum(axis=1, dtype=np.int64)
+                common = np.minimum((sizes[at] + size - differ) // 2, np.minimum(sizes[at], size))
+                for i in at[reaches(common, sizes[at], size, percent)].tolist():
+                    if roots_[i] != root:
+                        a.append(min(name, names[i]))
+                        b.append(max(name, names[i]))
+        return pa.table([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    kind = pa.binary() if met.schema["node"].dataType.simpleString() == "binary" else pa.int64()
     block = ["key", "block", "cell"]
-    return outside.select(kept).groupBy(block).cogroup(inside.select(kept).groupBy(block)).applyInArrow(compared, "a binary, b binary").distinct()
+    return outside.select(kept).groupBy(block).cogroup(inside.select(kept).groupBy(block)).applyInArrow(compared, f"a {met.schema['node'].dataType.simpleString()}, b {met.schema['node'].dataType.simpleString()}").distinct()
 
 
 def classes_of_near_sets(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

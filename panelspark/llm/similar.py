@@ -3,7 +3,7 @@
 At a similarity of 0.8 fingerprints differ in ten bits and more, where balls hold millions of variants. Least hashes of
 shingles agree with the similarity's probability, so a few bands of them bring near copies together. Each text of a
 bucket is compared shingle by shingle to the bucket's most central one; texts of a bucket that this leaves apart are
-compared to each other where their rarest shingles allow the similarity at all.
+compared to each other where bitmaps of their shingles allow the similarity at all.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm import simhash
+from panelspark.llm import jaccard_join, simhash
 from panelspark.llm.common import components, fields, lean, mixed, slices, small, utf8, without, written
 
 #: Bands, and least hashes in each: two texts of similarity 0.8 share no band with probability (1 - 0.8**5)**24 = 7e-5.
@@ -96,34 +96,23 @@ def verified(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     return both.select("a", "b", "a_set", "b_set").mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def rarest(sets: DataFrame, jaccard: float) -> DataFrame:
-    """(_row, rare) of sets (_row, hashes): each set's rarest shingles, as many as it can miss and one more.
-
-    Two sets with m common shingles share one of their first size - m + 1 in any order that is the same for
-    all sets; by rarity among these sets, copies with changes of their own share none and need no comparison.
-    """
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(node, size, bitmap) of sets (_row, hashes): parities of the shingles' hashes, which bound the overlap of two sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "hashes"):
-            x = [np.frombuffer(b, dtype=np.int64) for b in utf8(batch.column("hashes"))]
-            size = np.array([len(v) for v in x], dtype=np.int64)
-            rows = np.repeat(batch.column("_row").to_numpy(), size)
-            for i in range(0, len(rows), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + (1 << 18)]), pa.array(np.concatenate(x)[i : i + (1 << 18)])], names=["_row", "hash"])
+            x = [np.frombuffer(b, dtype=np.uint64) for b in utf8(batch.column("hashes"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(map(len, x), pa.int32()), pa.array(map(jaccard_join.bitmap, x), pa.binary())], names=["node", "size", "bitmap"])
 
-    each = sets.mapInArrow(lean(run), "_row long, hash long")
-    held = each.join(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash")
-    listed = held.groupBy("_row").agg(F.expr("sort_array(collect_list(struct(n, hash)))").alias("all"))
-    first = f"size(all) - cast(ceil({jaccard!r}D * size(all) - 1e-9D) as int) + 1"
-    return listed.select("_row", F.expr(f"transform(slice(all, 1, {first}), x -> x.hash)").alias("rare"))
+    return sets.mapInArrow(lean(run), "node long, size int, bitmap binary")
 
 
 def roots(docs: DataFrame, rows: DataFrame, edges: DataFrame, width: int, jaccard: float) -> DataFrame:
     """(fp, root) of the fingerprints that any link connects: `edges`, and texts of that similarity that share a band.
 
     A bucket's members are compared to its most central one, which has the most company over all of its own
-    buckets: one row each. Where that leaves a bucket unconnected, pairs of its members of different components
-    are compared, each pair in the first bucket that both share, and only if their rarest shingles meet.
+    buckets: one row each. Where that leaves a bucket unconnected, its members outside its commonest component are compared to
+    the others by bitmaps, block by block, and the sets of those that can reach the similarity are intersected.
     """
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text")
     members = written(rows.groupBy("_row").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
@@ -139,16 +128,10 @@ def roots(docs: DataFrame, rows: DataFrame, edges: DataFrame, width: int, jaccar
     edges = small(written(edges.select("a", "b").union(verified(stars, sets, jaccard))))
     found = components(edges).toDF("fp", "root")
 
-    rooted = met.select("key", "fp", "_row", "size").join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = written(rooted.join(apart, "key"))
-    rare = written(rarest(sets.join(left.select("_row").distinct(), "_row", "left_semi"), jaccard))
-    left = left.join(rare, "_row").join(members.select("_row", "bands"), "_row")
-    x, y = left.alias("x"), left.alias("y")
-    m = common_shingles(jaccard, "x.size", "y.size")
-    prefix = lambda t: f"slice({t}.rare, 1, {t}.size - {m} + 1)"
-    near = f"x.key = y.key and x._row < y._row and x.root <> y.root and least(x.size, y.size) >= {m} and array_intersect(x.bands, y.bands)[0] = x.key and arrays_overlap({prefix('x')}, {prefix('y')})"
-    pairs = written(x.join(y, F.expr(near)).selectExpr("x.fp a", "x._row a_row", "y.fp b", "y._row b_row"))
+    rows = members.select("_row", "fp").join(found, "fp", "left").select(F.col("_row").alias("node"), F.coalesce("root", "fp").alias("root"))
+    near = jaccard_join.apart(met.select("key", F.col("_row").alias("node"), F.col("company").alias("n")), written(rows), bitmaps(sets), round(100 * jaccard))
+    of = lambda x: members.select(F.col("_row").alias(f"{x}_row"), F.col("fp").alias(x))
+    pairs = written(near.toDF("a_row", "b_row").join(of("a"), "a_row").join(of("b"), "b_row").select("a", "a_row", "b", "b_row"))
     more = small(written(verified(pairs, sets, jaccard)))
     if not more.limit(1).count():
         return found
