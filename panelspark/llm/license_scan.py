@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,11 @@ NOTICES = {
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -37,20 +44,16 @@ NOTICES = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
     "All-Rights-Reserved": ["All rights reserved."],
 }
-#: Whole licence texts, without the holder's line.
-TEXTS = {
-    "MIT": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-    ],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
-    ],
-}
+#: Whole licence texts by licence, in the folder beside this module; short ones are without the holder's line.
+TEXTS = {p.stem: [p.read_text()] for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
 #: Licences whose notice stands beside others' as well: they hold only where no other is stated, and make no licence file.
 WEAK = ("All-Rights-Reserved",)
 #: Cosines from which a run of lines is a licence header, and a whole text is a licence file.
 HEADER, FILE = 0.75, 0.85
-#: Lines of the longest run, and the share of its words that each line of a run of two or more has from the templates.
+#: A licence file has at most so many times the words of the licence's text; longer ones bundle several.
+LONGEST = 2
+#: Lines of the longest run, and the share of its words that each line of a run of two or more has from the notices. A notice
+#: wrapped over more than RUN lines is not seen as one.
 RUN, SHARE = 8, 0.6
 
 #: SQL: words of a lower-cased string: runs of letters and digits, with dots inside numbers.
@@ -77,6 +80,7 @@ class Model:
 
     def __init__(self, notices: list[tuple[str, dict[str, int]]], texts: list[tuple[str, dict[str, int]]], df: dict[str, int], n: int):
         self.n, self.licences, self.notices = n, [name for name, _ in [*notices, *texts]], len(notices)
+        self.lengths = [sum(counts.values()) for _, counts in [*notices, *texts]]
         self.vectors = []
         for _, counts in [*notices, *texts]:
             raw = {w: c * (math.log((1 + n) / (1 + df.get(w, 0))) + 1) for w, c in counts.items()}
@@ -98,18 +102,22 @@ class Model:
 
     def table(self, spark) -> DataFrame:
         """(word, weights): for each word of the templates its weight in each; one literal, as large as the parameter."""
-        rows = ", ".join(f"struct('{w}' as word, array({', '.join(repr(v.get(w, 0.0)) + 'D' for v in self.vectors)}) as weights)" for w in self.vocabulary)
-        return spark.range(1).select(F.explode(F.expr(f"array({rows})")).alias("t")).select("t.*")
+        rows = [{"word": w, "weights": [v.get(w, 0.0) for v in self.vectors]} for w in self.vocabulary]
+        return literal(spark, rows, "word string, weights array<double>")
+
+
+def literal(spark, rows: list[dict], schema: str) -> DataFrame:
+    """A parameter as a table of one literal; never data."""
+    kind = f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("t")).select("t.*")
 
 
 def template_words(spark, templates: dict[str, list[str]]) -> list[tuple[str, dict[str, int]]]:
     """(licence, words with counts) of each template; words are those that the files' lines have."""
-    rows = [(name, k, text) for name, texts in templates.items() for k, text in enumerate(texts)]
+    rows = [{"licence": name, "k": k, "text": text} for name, texts in templates.items() for k, text in enumerate(texts)]
     if not rows:
         return []
-    # One literal row for each template of the parameter, never data.
-    table = F.expr("array(" + ", ".join("struct('{}' as licence, {} as k, '{}' as text)".format(n, k, t.replace("\\", "\\\\").replace("'", "\\'")) for n, k, t in rows) + ")")
-    words = spark.range(1).select(F.explode(table).alias("t")).select("t.licence", "t.k", F.explode(F.expr(WORDS.format("t.text"))).alias("word"))
+    words = literal(spark, rows, "licence string, k int, text string").select("licence", "k", F.explode(F.expr(WORDS.format("text"))).alias("word"))
     out: dict[tuple[str, int], dict[str, int]] = {}
     for r in words.groupBy("licence", "k", "word").count().orderBy("licence", "k", "word").collect():
         out.setdefault((r.licence, r.k), {})[r.word] = r["count"]
@@ -126,16 +134,18 @@ def pieces(near: DataFrame, vocabulary: list[str], telling: list[str]) -> DataFr
     """(path, _row, piece, words): whole texts (piece -1) and runs of lines of the files `near` (path, _row, text).
 
     A run is one line that holds a telling word, or two to RUN consecutive ones of which one does and each has
-    at least SHARE of its words from the templates, as the lines of a wrapped notice have.
+    at least SHARE of its words from the vocabulary, that of the notices, as the lines of a wrapped notice have. Lines are rows
+    before runs are made, and only those that a run can have are kept; a run is a row.
     """
     known, told = quoted(vocabulary), quoted(telling)
-    lines = f"transform({LINES}, l -> {let('w', WORDS.format('l'), f'struct(w as w, arrays_overlap(w, {told}) as told, size(filter(w, x -> array_contains({known}, x))) >= {SHARE}D * size(w) as dense)')})"
-    each = near.select("path", "_row", "text", F.expr(lines).alias("lines"))
-    run = "slice(lines, i + 1, k)"
-    reach = f"sequence(1, least({RUN}, size(lines) - i))"
-    runs = f"flatten(transform(sequence(0, size(lines) - 1), i -> transform(filter({reach}, k -> exists({run}, x -> x.told) and (k = 1 or forall({run}, x -> x.dense))), k -> flatten(transform({run}, x -> x.w)))))"
-    every = f"array_insert(case when size(lines) = 0 then cast(array() as array<array<string>>) else {runs} end, 1, {WORDS.format('text')})"
-    return each.select("path", "_row", F.posexplode(F.expr(every)).alias("piece", "words")).withColumn("piece", F.col("piece") - 1)
+    lines = near.select("path", "_row", F.posexplode(F.expr(LINES)).alias("line", "l")).select("path", "_row", "line", F.expr(WORDS.format("l")).alias("w"))
+    flags = lines.withColumns({"told": F.expr(f"arrays_overlap(w, {told})"), "dense": F.expr(f"size(filter(w, x -> array_contains({known}, x))) >= {SHARE}D * size(w)")}).where("told or dense")
+    ahead = f"collect_list(struct(line as line, w as w, told as told, dense as dense)) over (partition by path, _row order by line rows between current row and {RUN - 1} following)"
+    run = "slice(x, 1, k)"
+    whole = f"exists({run}, y -> y.told) and (k = 1 or forall({run}, y -> y.dense) and x[k - 1].line = line + k - 1)"
+    each = flags.withColumn("x", F.expr(ahead)).withColumn("k", F.explode(F.expr(f"filter(sequence(1, size(x)), k -> {whole})")))
+    runs = each.select("path", "_row", (F.col("line") * RUN + F.col("k") - 1).cast("long").alias("piece"), F.expr(f"flatten(transform({run}, y -> y.w))").alias("words"))
+    return near.select("path", "_row", F.lit(-1).cast("long").alias("piece"), F.expr(WORDS.format("text")).alias("words")).union(runs)
 
 
 def scanned(files: DataFrame, notices: dict[str, list[str]], texts: dict[str, list[str]], header: float, whole: float) -> DataFrame:
@@ -150,18 +160,18 @@ def scanned(files: DataFrame, notices: dict[str, list[str]], texts: dict[str, li
     telling = model.telling(header, whole)
     near = keyed.where(F.expr(f"arrays_overlap({WORDS.format('text')}, {quoted(telling)})"))
     # Rows equal in path and text are one file.
-    near = near.groupBy("path", "_row").agg(F.first("text").alias("text"))
-    found = written(pieces(near, model.vocabulary, telling).where(F.size("words") > 0).withColumn("id", F.xxhash64("path", "piece")))
+    near = written(near.groupBy("path", "_row").agg(F.first("text").alias("text")))
+    found = written(pieces(near, sorted({w for _, v in vectors[0] for w in v}), telling).where(F.size("words") > 0).withColumn("id", F.xxhash64("path", "piece")))
     counted = found.select("_row", "id", F.explode("words").alias("word")).groupBy("_row", "id", "word").agg(F.count(F.lit(1)).alias("tf"))
     idf = frequency.select("word", (F.log((1 + F.lit(model.n)) / (1 + F.col("df"))) + 1).alias("idf"))
     # The templates are a parameter, so their table may be broadcast.
     weighed = counted.join(idf, "word").join(F.broadcast(model.table(spark)), "word", "left").withColumn("x", F.col("tf") * F.col("idf"))
     dots = [F.sum(F.expr(f"coalesce(x * weights[{k}], 0D)")).alias(f"d{k}") for k in range(len(model.licences))]
     sums = weighed.groupBy("_row", "id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
-    scores = ", ".join(f"struct(round(d{k} / norm, 9) as score, {k} as template, '{n}' as licence, {'true' if n in WEAK else 'false'} as weak)" for k, n in enumerate(model.licences))
-    scored = found.select("path", "_row", "piece", "id").join(sums, ["_row", "id"]).select("path", "_row", "piece", F.expr(f"array({scores})").alias("s"))
+    scores = ", ".join(f"struct(round(d{k} / norm, 9) as score, {k} as template, '{n}' as licence, {'true' if n in WEAK else 'false'} as weak, {model.lengths[k] if k >= model.notices else 'null'} as length)" for k, n in enumerate(model.licences))
+    scored = found.select("path", "_row", "piece", "id", F.size("words").alias("n")).join(sums, ["_row", "id"]).select("path", "_row", "piece", "n", F.expr(f"array({scores})").alias("s"))
     # Runs of lines are compared to notices, whole texts to all templates.
-    stated = f"filter(s, x -> case when piece < 0 then x.score >= {whole!r} else x.template < {model.notices} and x.score >= {header!r} end)"
+    stated = f"filter(s, x -> case when piece < 0 then x.score >= {whole!r} and coalesce(n <= {LONGEST} * x.length, true) else x.template < {model.notices} and x.score >= {header!r} end)"
     each = scored.select("path", "_row", "piece", F.explode(F.expr(stated)).alias("s"))
     whole_first = F.expr("struct(not s.weak as strong, piece < 0 as is_file, s.score as score, s.licence as licence)")
     top = each.groupBy("path", "_row").agg(F.max(whole_first).alias("s"))
@@ -176,8 +186,8 @@ def directory(path: str) -> str:
 def licences(files: DataFrame, notices: dict[str, list[str]] | None = None, texts: dict[str, list[str]] | None = None, header: float = HEADER, whole: float = FILE) -> DataFrame:
     """files (path, text, ...) with licence, how ('header', 'inherited' or 'none'), score and licence_path.
 
-    A file whose whole text has a TF-IDF cosine of `whole` or more to a notice or a licence text is a licence file and
-    states that licence. Any other file states a licence if a run of its lines (see `pieces`) has one of
+    A file whose whole text has a TF-IDF cosine of `whole` or more to a notice, or to a licence text of at least half its
+    words, is a licence file and states that licence. Any other file states a licence if a run of at most RUN of its lines (see `pieces`) has one of
     `header` or more to a notice. A whole text decides before runs, of several the best score holds, of equal ones the
     licence that sorts last; the licences in WEAK hold only if no other is stated. Every file without a statement
     takes the licence of the nearest directory upwards, its own first, that has a licence file; of several there

@@ -28,8 +28,8 @@ def brute_licences(files, notices, texts, header, whole):
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()}
 
-    templates = [(name, k, vector(tokens(t))) for k, group in enumerate((notices, texts)) for name, many in group.items() for t in many]
-    vocabulary = {w for _, _, m in templates for w in m}
+    templates = [(name, len(tokens(t)) if k else 0, vector(tokens(t))) for k, group in enumerate((notices, texts)) for name, many in group.items() for t in many]
+    vocabulary = {w for _, k, m in templates if not k for w in m}
 
     def scores(words):
         v = vector(words)
@@ -39,7 +39,7 @@ def brute_licences(files, notices, texts, header, whole):
     for f in set(files):
         lines = [tokens(x) for x in (f[1] or "").split("\n") if re.search(r"[^\W_]", x)]
         dense = [sum(w in vocabulary for w in x) >= license_scan.SHARE * len(x) for x in lines]
-        found = [(name not in license_scan.WEAK, True, s, name) for s, name, _ in scores(tokens(f[1])) if s >= whole]
+        found = [(name not in license_scan.WEAK, True, s, name) for s, name, n in scores(tokens(f[1])) if s >= whole and (not n or len(tokens(f[1])) <= license_scan.LONGEST * n)]
         for i in range(len(lines)):
             for k in range(1, min(license_scan.RUN, len(lines) - i) + 1):
                 if k == 1 or all(dense[i : i + k]):
@@ -106,6 +106,10 @@ def test_real_licence_files_and_wrapped_notices(spark):
         "no/a": ("The licence of the software is in the conditions of the contract of any person.", None),
         "gone/LICENSE": ("MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(license_scan.TEXTS["MIT"][0], 78, ""), "MIT"),
         "gone/src/deep/x.c": ("int x;", "MIT"),
+        **{f"whole/{n}/LICENSE": (t[0], n) for n, t in license_scan.TEXTS.items()},
+        **{f"whole/{n}/src/x.c": ("int x;", n) for n in license_scan.TEXTS},
+        "bsd2/LICENSE": ("Copyright (c) 2018-2020, Ewald de Wit\nAll rights reserved.\n\n" + wrapped(license_scan.TEXTS["BSD-2-Clause"][0], 70, ""), "BSD-2-Clause"),
+        "isc/LICENSE": ("A tool is under the ISC license.\n\nCopyright (c) 2013, A team\n\n" + wrapped(license_scan.TEXTS["ISC"][0].upper(), 80, "    "), "ISC"),
         "weak/LICENSE": ("All rights reserved.", "All-Rights-Reserved"),
         "weak/x.c": ("int x;", None),
     }
@@ -121,6 +125,15 @@ def test_real_licence_files_and_wrapped_notices(spark):
         assert got["gone/src/deep/x.c"][1] == "inherited"
 
 
+def test_licence_lines_of_a_long_file_are_rows(spark):
+    """10 MB of licence lines in one file: the whole text is no licence, its lines state one."""
+    line = "Licensed under the Apache License, Version 2.0."
+    text = "\n".join([line, "int x = 1;", "/* released under the terms of the License */"] * 96_000)
+    assert len(text) > 10_000_000
+    got = license_scan.licences(spark.createDataFrame([("a/x", text), ("a/y", "words")] + [(f"d/{i}", f"other words {i}") for i in range(20)], "path string, text string")).collect()
+    assert {r.path: (r.licence, r.how) for r in got if r.path < "b"} == {"a/x": ("Apache-2.0", "header"), "a/y": (None, "none")}
+
+
 def test_language_of_held_out_documents(spark):
     got = queries.QUERIES["op2_language_id"](spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
