@@ -477,8 +477,12 @@ FIVE = ("value", "quality", "mom", "low_vol", "size")
 
 
 def five_factors(spark, sf):
-    both = X.mean_of_zscores(X.mean_of_zscores(with_ratios(fundamentals(spark, sf), VALUE | QUALITY), [*VALUE], "value"), [*QUALITY], "quality")
-    return scores(spark, sf).join(both.select("date", "asset", "value", "quality"), ["date", "asset"], "left")
+    """Scores beside value and quality, over one panel: facts as filed are joined to the rows that have the other factors."""
+    panel = written(scores(spark, sf))
+    left = panel.withColumn("mcap", F.col("close") * F.col("volume"))
+    both = J.asof_join(left, fx.facts(spark, sf).withColumnRenamed("filed", "date"), ["asset"], "date", [*fx.FACTS])
+    both = X.mean_of_zscores(X.mean_of_zscores(with_ratios(both, VALUE | QUALITY), [*VALUE], "value"), [*QUALITY], "quality")
+    return written(both.select(*panel.columns, "value", "quality"))
 
 
 CTE["five"] = ("scores value_factor quality_factor", "select s.*, v.value, q.quality from scores s left join value_factor v using (date, asset) left join quality_factor q using (date, asset)")
