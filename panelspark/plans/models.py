@@ -23,7 +23,7 @@ from panelspark.plans.core import counted, factor_panel, q_rank, q_winsor, q_z,
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import query
 from panelspark.plans.research import sleeves
-from panelspark.sources.shared import written
+from panelspark.sources.shared import WRITTEN, written
 
 FEATURES = ["mom_z", "low_vol_z", "size_z"]
 
@@ -80,12 +80,13 @@ FITTED: dict[tuple[str, str], tuple] = {}
 def boosted(spark, sf):
     """The model matrix, and predictions and importances of trees on all its features, fitted anew every 12 months from month 37."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in FITTED:
+    tables = WRITTEN.setdefault(key[0], [])  # another list once they are cleared
+    if key not in FITTED or FITTED[key][0] is not tables:
         panel = written(model_matrix(spark, sf))
         preds, weights = M.boosted_predictions(panel, [*COLUMNS, *REGIMES], "fwd_ret", 37, 12, 1)
         FITTED.clear()
-        FITTED[key] = panel, written(preds), written(weights)
-    return FITTED[key]
+        FITTED[key] = tables, panel, written(preds), written(weights)
+    return FITTED[key][1:]
 
 
 @query("m06_combine_gbt")

@@ -69,3 +69,12 @@ def test_a_stale_key_without_new_rows_keeps_its_own(spark, tmp_path):
     cache.rebuild(every)
     assert cache.refresh(every, lambda keys: every.where("asset = 1").withColumn("close", F.lit(0.0)), "2021-01-01", 3) == 6
     assert cache.read().count() == 60 and cache.read().where("close = 0").count() == 10
+
+
+def test_written_tables_are_cleared_by_a_call(spark):
+    from panelspark.sources import shared
+
+    df = shared.written(panel(spark))
+    path = shared.WRITTEN[spark.sparkContext.applicationId][-1].removeprefix("file://")
+    assert df.count() == 600 and os.path.isdir(path)
+    assert shared.clear(spark) >= 1 and not os.path.exists(path) and shared.clear(spark) == 0
