@@ -65,6 +65,6 @@ def test_sql_forms_agree(spark):
 
 def test_each_operator_has_one_query(spark):
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
     assert spark.range(1).select(F.lit(1)).count() == 1
