@@ -152,7 +152,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids_le", as_text: bool = False) -> DataFrame:
     """encoded with `decoded`: the bytes that the ids stand for, by the reversed byte table.
 
-    With as_text the result is a string and bytes that are no UTF-8 become U+FFFD. Null ids give null.
+    With as_text the result is a string and bytes that are no UTF-8 become U+FFFD. Null ids give null, no ids an empty
+    value; repeated rows stay, an empty table stays empty, a column `decoded` is replaced.
     """
     needs(encoded, ids)
     chars = byte_characters()

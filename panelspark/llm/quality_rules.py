@@ -51,6 +51,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     code points in words, n_symbols the characters #*$%&|<>, n_lines the lines that hold a word,
     n_dup_lines those of them equal to an earlier one, n_repeat_words the words in 3-word windows found
     twice or more in the text, n_capital_runs the runs of two or more letters A-Z.
+
+    Repeated rows stay and are measured alike, texts of any length are measured whole, an empty table stays empty,
+    columns of docs with the names of measures are replaced.
     """
     needs(docs, text)
     docs = without(docs, [*MEASURES, "_ps_text", "_ps_words", "_ps_lines", "_ps_windows"])
@@ -72,7 +75,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with MEASURES and `failed`: bit i is set if rule i of RULES fails. Repeated rows stay."""
+    """docs with MEASURES and `failed`: bit i is set if rule i of RULES fails. Repeated rows stay, an empty table stays empty;
+    nulls, long texts and columns with these names are as in `measured`."""
     bits = " | ".join(f"(case when {condition} then {1 << bit}L else 0L end)" for bit, (_, condition) in RULES.items())
     return without(measured(docs, text), ["failed"]).withColumn("failed", F.expr(bits))
 

@@ -121,7 +121,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 5, text: st
 def keep_one(docs: DataFrame, distance: int = 2, width: int = 5, jaccard: float | None = None) -> DataFrame:
     """docs less all rows whose id is not the smallest of their component.
 
-    Rows that have that id stay, repeated ones too. A component without any id keeps its rows.
+    Rows that have that id stay, repeated ones too. A component without any id keeps its rows. Null, empty and blank texts are
+    one component; an empty table stays empty; the columns of docs stay, whatever their names.
     """
     rest = near_duplicates(docs, distance, width, jaccard=jaccard).where("component_id is not null and not (doc_id <=> component_id)")
     rest = rest.select(F.col("doc_id").alias("_ps_id"), F.col("_row").alias("_ps_hash")).distinct().hint("shuffle_hash")

@@ -123,13 +123,16 @@ def repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     text; every word that lies in a window whose words also start anywhere else, in the same text or another,
     is removed: no copy stays. removed lists the maximal repeats as [begin, end) word numbers and kept is the other words, joined by
     one space. A null text has no words. Rows are told apart by place, so of two equal rows each is the
-    other's copy. Fewer words than `length` make no window.
+    other's copy. Fewer words than `length` make no window. Texts of any length are read whole, an empty table stays
+    empty, other columns are dropped. length is under 1,024, beyond which hashes of windows could cancel out.
 
     Seeds are winnowed anchors: each window selects its least ANCHOR-word hash, so equal windows select
     equal anchors. Only windows around an anchor that occurs elsewhere are extended: hashed whole and
     compared. Groups are only counted, never listed; what is sent back to a document is its own lone places.
     """
     needs(docs, "doc_id", "text")
+    if not 0 < length < 1024:
+        raise ValueError(f"length {length}: 1 to 1,023 words")
     # The hash of the text tells rows with one doc_id apart; where ids are unique it is left out.
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if twice else F.lit(0).cast("long")

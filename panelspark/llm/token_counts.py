@@ -104,7 +104,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     Tokens are counted as the sentencepiece model gives them for the whole text, without begin or end marks;
     a null text is as empty: 0. over_limit is whether there are more than `limit`. Rows are told apart by
-    place, so repeated rows, and rows with one or no doc_id, each have their own count.
+    place, so repeated rows, and rows with one or no doc_id, each have their own count. An empty table stays empty; other
+    columns, whatever their names, are dropped.
 
     No piece reaches across the places where `Pieces` cuts, so a text's count is the sum over its distinct
     pre-tokens of frequency times pieces. Hot pre-tokens, of which there is a bounded number, are counted
