@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import jaccard_join, simhash
-from panelspark.llm.common import components, fields, lean, mixed, slices, small, utf8, without, written
+from panelspark.llm.common import components, fields, lean, mixed, row_key, slices, small, utf8, without, written
 
 #: Bands, and least hashes in each: two texts of similarity 0.8 share no band with probability (1 - 0.8**5)**24 = 7e-5.
 BANDS, EACH = 24, 5
@@ -114,8 +114,7 @@ def roots(docs: DataFrame, rows: DataFrame, edges: DataFrame, width: int, jaccar
     buckets: one row each. Where that leaves a bucket unconnected, its members outside its commonest component are compared to
     the others by bitmaps, block by block, and the sets of those that can reach the similarity are intersected.
     """
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text")
-    members = written(rows.groupBy("_row").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    members = written(rows.groupBy("_row").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("doc_id").alias("one")))
     dealt = members.select(F.explode("bands").alias("key"), "fp", "_row", "size")
     keys = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("company"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     met = written(dealt.join(keys.select("key", "company"), "key"))
@@ -123,8 +122,10 @@ def roots(docs: DataFrame, rows: DataFrame, edges: DataFrame, width: int, jaccar
     central = met.join(degree, "_row").groupBy("key").agg(F.max(F.struct("degree", "fp", "_row", "size")).alias("c"))
     stars = met.join(central, "key").where(f"fp <> c.fp and least(size, c.size) >= {common_shingles(jaccard, 'size', 'c.size')}")
     stars = stars.selectExpr("c.fp a", "c._row a_row", "fp b", "_row b_row").distinct()
-    wanted = met.select("_row").distinct()
-    sets = written(shingle_sets(texts.join(wanted, "_row", "left_semi").groupBy("_row").agg(F.first("text").alias("text")), width))
+    # One document stands for all copies of its text, so that they do not meet in one task.
+    wanted = members.join(met.select("_row").distinct(), "_row").select(F.col("one").alias("_id"), F.col("_row").alias("_hash")).hint("shuffle_hash")
+    texts = docs.select(*row_key(), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash")), "left_semi")
+    sets = written(shingle_sets(texts.groupBy("_row").agg(F.first("text").alias("text")), width))
     edges = small(written(edges.select("a", "b").union(verified(stars, sets, jaccard))))
     found = components(edges).toDF("fp", "root")
 
