@@ -233,3 +233,30 @@ def test_boosted_trees_learn_from_the_past_alone(spark):
     same = [r for r in changed.where("fold = 24").collect()]
     assert len(same) == 200 and all(np.isclose(got[r.date, r.asset].pred, r.pred) for r in same)
     assert M.boosted_predictions(df.limit(0), ["f", "g"], "y", 24, 8, 2)[0].count() == 0
+
+
+def test_pairs_are_tested_where_they_meet(spark):
+    """Fits, tests and choices from blocks equal those over joined spreads; copies of an asset make a spread that does not move."""
+    rng = np.random.default_rng(11)
+    common = np.cumsum(rng.normal(size=(2, 24)) * 0.1, axis=1)
+    x = np.array([3 + common[a % 2] * (1 + a % 3) + rng.normal(size=24) * 0.05 for a in range(40)])
+    x = np.concatenate([x, x[:3]])  # assets 40 to 42 are copies
+    df = spark.createDataFrame([(0, a, i, float(x[a, i])) for a in range(43) for i in range(24)], "k int, asset int, i int, logp double")
+    groups = spark.createDataFrame([(a, 0) for a in range(43)], "asset int, sector int")
+    found = B.pair_fit(df, groups, 24, 0.2, -99.0, test=True, size=8)
+    assert "Join" not in plan_of(found).split("FlatMapGroups")[0]  # nothing is joined to pairs
+    got = {(r.a, r.b): r for r in found.collect()}
+    copies = {(0, 40), (1, 41), (2, 42)}
+    assert len(got) == found.count() and copies < got.keys() and all(np.isnan(got[c].t) and got[c].half_life is None for c in copies)
+    fit = B.pair_fit(df, groups, 24, 0.2, -99.0).where("not (b >= 40 and a = b - 40)")
+    spreads = E.residuals(fit, df)
+    t = {(r.a, r.b): r.t for r in E.adf_t(spreads).collect()}
+    ou = {(r.a, r.b): (r.half_life, r.mu, r.sigma) for r in E.ou_fit(spreads, 0.0, 1e9).collect()}
+    assert t.keys() == got.keys() - copies and all(np.isclose(t[p], got[p].t) for p in t) and len(t) > 100
+    assert ou.keys() == {p for p, r in got.items() if r.half_life is not None} and all(np.allclose(v, [got[p].half_life, got[p].mu, got[p].sigma], atol=1e-9) for p, v in ou.items())
+    # Copies tie in t to the last bit, so ties go by a and b.
+    ties = [(p, (p[0] + 40, p[1] + 40)) for p in [(0, 1), (0, 2), (1, 2)] if p in got]
+    assert ties and all(got[p].t == got[q].t for p, q in ties)
+    few = B.pair_fit(df, groups, 24, 0.2, -99.0, test=True, keep=lambda p: (p["t"] <= -2.0) & p["half_life"].between(0.1, 63), most=5, size=8)
+    best = [(r.a, r.b) for r in E.best_pairs(few, -2.0, 0.1, 63, 5).orderBy("t", "a", "b").collect()]
+    assert best == [(r.a, r.b) for r in E.best_pairs(found, -2.0, 0.1, 63, 5).orderBy("t", "a", "b").collect()] and len(best) == 5
