@@ -19,11 +19,13 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def correlation(x: Column, y: Column, over=None) -> Column:
-    """Pearson correlation of the rows that have both; null without deviation."""
+    """Pearson correlation of the rows that have both; null without deviation, which the least and greatest value tell: the deviation
+    of equal values is not exactly 0 once partial sums of several tasks are merged."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     put = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-    return F.try_divide(put(F.covar_pop(x, y)), put(F.stddev_pop(x)) * put(F.stddev_pop(y)))
+    moves = (put(F.min(x)) < put(F.max(x))) & (put(F.min(y)) < put(F.max(y)))
+    return F.when(moves, F.try_divide(put(F.covar_pop(x, y)), put(F.stddev_pop(x)) * put(F.stddev_pop(y))))
 
 
 def average_rank(c: str, *by: str) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.functions.columns import correlation
 from panelspark.operators import blocks as B
 from panelspark.operators import ml as M
 from panelspark.operators import recurrence as RC
@@ -260,3 +261,10 @@ def test_pairs_are_tested_where_they_meet(spark):
     few = B.pair_fit(df, groups, 24, 0.2, -99.0, test=True, keep=lambda p: (p["t"] <= -2.0) & p["half_life"].between(0.1, 63), most=5, size=8)
     best = [(r.a, r.b) for r in E.best_pairs(few, -2.0, 0.1, 63, 5).orderBy("t", "a", "b").collect()]
     assert best == [(r.a, r.b) for r in E.best_pairs(found, -2.0, 0.1, 63, 5).orderBy("t", "a", "b").collect()] and len(best) == 5
+
+
+def test_equal_values_have_no_correlation(spark):
+    """Ranks of a date on which all scores are equal, merged from many tasks."""
+    df = spark.range(0, 40 * 47 * 16, 1, 16).selectExpr("cast(id % 40 as int) as g", "29910.5 + (id % 40) * 0.1 as x", "cast(hash(id) as double) as y")
+    found = df.groupBy("g").agg(correlation(F.col("x"), F.col("y")).alias("c"), correlation(F.col("y"), F.col("y")).alias("one")).collect()
+    assert len(found) == 40 and all(r.c is None and np.isclose(r.one, 1) for r in found)
