@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.blocks import BLOCK, DEALT, dealt
 from panelspark.operators.calendar import calendar
 
 
@@ -72,10 +73,13 @@ def inner_align(frames: list[DataFrame], on: str = "date") -> DataFrame:
     return reduce(lambda a, b: a.join(b, on), frames)
 
 
-def pairs_within(members: DataFrame, group: str = "sector") -> DataFrame:
-    """(group, a, b), a < b, within each group: quadratic in a group by definition, so groups must be small."""
-    left, right = members.select(group, F.col("asset").alias("a")), members.select(group, F.col("asset").alias("b"))
-    return left.join(right, group).where("a < b")
+def pairs_within(members: DataFrame, group: str = "sector", size: int = BLOCK) -> DataFrame:
+    """(group, a, b), a < b, within each group. Pairs are quadratic in a group by definition; blocks of about `size` members
+    meet in cells, which are dealt to tasks, so no task has a whole group, and shuffled rows are members times blocks."""
+    cell = [group, "_low", "_high"]
+    each = dealt(members.select(group, "asset"), [group], "asset", size)
+    side = lambda x, own, other: each.select(group, F.col("asset").alias(x), F.col("_own").alias(own), F.col("_other").alias(other)).repartition(DEALT, *cell)
+    return side("a", "_low", "_high").join(side("b", "_high", "_low").hint("merge"), cell).where("a < b").select(group, "a", "b")
 
 
 def with_dimension(df: DataFrame, seed: DataFrame, cached: DataFrame, key: str, value: str, default: str = "Unknown") -> DataFrame:

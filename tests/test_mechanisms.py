@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import correlation
 from panelspark.operators import blocks as B
+from panelspark.operators import joins as J
 from panelspark.operators import ml as M
 from panelspark.operators import recurrence as RC
 from panelspark.operators import regimes as RG
@@ -268,3 +269,14 @@ def test_equal_values_have_no_correlation(spark):
     df = spark.range(0, 40 * 47 * 16, 1, 16).selectExpr("cast(id % 40 as int) as g", "29910.5 + (id % 40) * 0.1 as x", "cast(hash(id) as double) as y")
     found = df.groupBy("g").agg(correlation(F.col("x"), F.col("y")).alias("c"), correlation(F.col("y"), F.col("y")).alias("one")).collect()
     assert len(found) == 40 and all(r.c is None and np.isclose(r.one, 1) for r in found)
+
+
+def test_pairs_within_a_group_meet_in_blocks(spark):
+    """All pairs once, dealt by blocks: no task has the members of a whole group."""
+    df = spark.createDataFrame([(a % 2, a) for a in range(301)], "sector int, asset long")
+    found = J.pairs_within(df, "sector", 16)
+    got = [(r.sector, r.a, r.b) for r in found.collect()]
+    assert sorted(got) == [(s, a, b) for s in (0, 1) for a in range(s, 301, 2) for b in range(a + 2, 301, 2)]
+    made = [n for n in found.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
+    assert len(made) > 20 and max(made) < len(got) / 8
+    assert J.pairs_within(df.limit(0), "sector", 16).count() == 0
