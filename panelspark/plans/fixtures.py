@@ -89,10 +89,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(order_id, asset, filed, owner, shares, price, code, flag): lines of orders as filed transactions."""
+    """(order_id, asset, filed, owner, shares, price, code, flag): lines of orders as filed transactions. A task keeps its orders, of
+    which there are fewer than lines, in a hash table and streams their lines, so no lines are sorted."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    both = lines.join(orders.hint("shuffle_hash"), lines.l_orderkey == orders.o_orderkey)
     return both.select(
         F.col("o_orderkey").alias("order_id"), F.col("l_suppkey").alias("asset"), F.to_date("o_orderdate").alias("filed"), F.col("o_custkey").alias("owner"),
         F.col("l_quantity").cast("double").alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("o_orderstatus").alias("code"), F.col("l_returnflag").alias("flag"),
