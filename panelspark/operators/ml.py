@@ -7,15 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.boosting import boost, predicted
 from panelspark.operators.clean import segment
 from panelspark.operators.stats import gram, solve
 from panelspark.operators.xsection import rank_ic
-from panelspark.sources.shared import written
 
 
 def purged_splits(months: DataFrame, min_train: int, embargo: int) -> DataFrame:
@@ -126,31 +124,27 @@ def boosted_predictions(
     predicts the months i to i + every - 1; n_train and last_train, the last month learned from, say what it saw.
 
     Null features become 0 with an indicator beside them. The last tenth of the training months is held back, and rounds
-    end when its error falls no further. The matrix is assembled and written once; each fit is distributed, and up to FITS
-    folds are submitted side by side, so their small jobs share the cluster. The number of fits is that of the folds, whatever
-    the panel's size. Folds without training rows, or without held-back ones, give none.
+    end when its error rises. Rows are binned once a fold; a pass over them returns sums by bin (see `boosting`), and up to
+    FITS folds are submitted side by side, so their small jobs share the cluster. The number of fits is that of the folds, whatever
+    the panel's size. Folds without training rows, or without held-back ones, give none. panel is read anew by each fold.
     """
     session = panel.sparkSession
-    nulls = [F.col(f).isNull().cast("double").alias(f"{f}_null") for f in features]
-    filled = panel.select("i", "date", "asset", F.col(target).alias("fwd_ret"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], *nulls)
+    rows = panel.select("i", "date", "asset", F.col(target).cast("double").alias("fwd_ret"), *[F.col(f).cast("double").alias(f) for f in features])
     names = [*features, *[f"{f}_null" for f in features]]
-    rows = written(VectorAssembler(inputCols=names, outputCol="x").transform(filled).select("i", "date", "asset", "fwd_ret", "x"))
     last = rows.agg(F.max("i")).first()[0]  # the number of months, which bounds the fits
 
     def fit(fold: int) -> tuple[DataFrame, list] | None:
         end = fold - embargo
-        train = rows.where((F.col("i") < end) & F.col("fwd_ret").isNotNull()).withColumn("valid", F.col("i") >= 0.9 * end)
+        key = F.xxhash64("date", "asset").bitwiseAND(0xFFFFFFFF)
+        train = rows.where((F.col("i") < end) & F.col("fwd_ret").isNotNull()).withColumns({"valid": F.col("i") >= 0.9 * end, "key": key})
         seen = train.agg(F.count(F.lit(1)), F.sum(F.col("valid").cast("int")), F.max("i")).first()
         if not seen[1] or seen[0] == seen[1]:
             return None
-        trees = GBTRegressor(
-            featuresCol="x", labelCol="fwd_ret", predictionCol="pred", maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=sample, featureSubsetStrategy=str(sample),
-            minInstancesPerNode=least, seed=7, validationIndicatorCol="valid", validationTol=0.0, maxMemoryInMB=512,
-        )
-        model = trees.fit(train)
+        cuts, trees, weights = boost(train, features, "fwd_ret", depth, rounds, step, sample, least, 7)
         now = rows.where((F.col("i") >= fold) & (F.col("i") < fold + every))
-        one = model.transform(now).select(F.lit(fold).alias("fold"), "date", "asset", "fwd_ret", "pred", F.lit(seen[0]).alias("n_train"), F.lit(seen[2]).alias("last_train"))
-        return one, [(fold, n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
+        one = predicted(now, features, cuts, trees, ["date", "asset", "fwd_ret"])
+        one = one.select(F.lit(fold).alias("fold"), "date", "asset", "fwd_ret", "pred", F.lit(seen[0]).alias("n_train"), F.lit(seen[2]).alias("last_train"))
+        return one, [(fold, n, float(v)) for n, v in zip(names, weights, strict=True)]
 
     with ThreadPoolExecutor(FITS) as pool:
         found = [f for f in pool.map(fit, [] if last is None else range(first, last + 1, every)) if f]
