@@ -414,7 +414,8 @@ CTE["bret"] = ("book scores", "select date, sum(c) as ret, coalesce(sum(c) filte
 
 @query("a14_book_return", sql("select date, n_long, n_short, round(ret, 8) + 0.0 as ret, round(long_ret, 8) + 0.0 as long_ret, round(short_ret, 8) + 0.0 as short_ret, round(gross, 8) as gross from bret", "bret"))
 def _(spark, sf):
-    return rounded(L.book_return(book(spark, sf), scores(spark, sf)), "date", "n_long", "n_short", ret="ret", long_ret="long_ret", short_ret="short_ret", gross="gross")
+    panel = factor_panel(spark, sf)
+    return rounded(L.book_return(written(K.long_short(panel, "composite")), panel), "date", "n_long", "n_short", ret="ret", long_ret="long_ret", short_ret="short_ret", gross="gross")
 
 
 CTE["held"] = ("scores", "select date, max(21 * (least(i + 1, (select max(i) from scores)) - i)) as held from scores group by date")

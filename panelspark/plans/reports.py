@@ -14,7 +14,7 @@ from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.plans import fixtures as fx
 from panelspark.plans import models, technical
-from panelspark.plans.core import book, ics, ledger, rounded, scores
+from panelspark.plans.core import book, factor_panel, ledger_of, rounded, scores
 from panelspark.plans.fixtures import CTE, sql
 from panelspark.plans.registry import ORACLE_SQL, query
 from panelspark.plans.research import SPLIT, sleeves
@@ -68,9 +68,12 @@ PERF = {
     ),
 )
 def _(spark, sf):
-    """The composite's book: returns, ratios, costs, turnover, exposure and the composite's ICs."""
-    market = scores(spark, sf).groupBy("date").agg(F.avg("fwd_ret").alias("benchmark_return"), F.stddev_samp("fwd_ret").alias("vol"))
-    rows = ledger(spark, sf).withColumn("cost", F.col("turnover") * 0.001).join(market, "date").join(ics(spark, sf).select("date", "ic"), "date", "left")
+    """The composite's book: returns, ratios, costs, turnover, exposure and the composite's ICs, all from one written panel."""
+    panel = factor_panel(spark, sf)
+    market = panel.groupBy("date").agg(F.avg("fwd_ret").alias("benchmark_return"), F.stddev_samp("fwd_ret").alias("vol"))
+    ledger = ledger_of(panel, written(K.long_short(panel, "composite")))
+    ics = X.rank_ic(panel, "composite", "fwd_ret").select("date", "ic")
+    rows = ledger.withColumn("cost", F.col("turnover") * 0.001).join(market, "date").join(ics, "date", "left")
     return rounded(L.ledger_perf(rows, 12), "n", d=6, **{k: k for k in PERF})
 
 

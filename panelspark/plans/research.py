@@ -322,8 +322,8 @@ def _(spark, sf):
 
 @query("b04_hedged_return", sql("select b.date, round(b.long_ret - m.bench - 0.003 * 21 / 252, 8) + 0.0 as hedged from bret b join (select date, avg(fwd_ret) as bench from scores group by date) m using (date)", "bret", "scores"))
 def _(spark, sf):
-    s = scores(spark, sf)
-    both = L.book_return(book(spark, sf), s).join(s.groupBy("date").agg(F.avg("fwd_ret").alias("bench")), "date")
+    s = factor_panel(spark, sf)
+    both = L.book_return(written(K.long_short(s, "composite")), s).join(s.groupBy("date").agg(F.avg("fwd_ret").alias("bench")), "date")
     return rounded(both, "date", hedged=F.col("long_ret") - F.col("bench") - 0.003 * 21 / 252)
 
 
