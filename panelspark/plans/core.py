@@ -37,9 +37,9 @@ CTE["fill_d"] = ("dense_d", "select asset, date, i, volume, case when i - max(ca
 CTE["rd"] = ("fill_d", "select *, case when r is not null then least(greatest(r, -0.15), 0.15) end as ret from (select *, close / lag(close) over (partition by asset order by i) - 1 as r from fill_d)")
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly rows with a sector, three factors and the next month's return."""
-    df = ret_m(spark, sf).withColumns({"mom": W.momentum(1, 12), "low_vol": -W.rolling(F.col("ret"), -11, 0, F.stddev_samp, 6), "size": -F.log(F.col("close") * F.col("volume"))})
+def scores(spark: SparkSession, sf: str, rets: DataFrame | None = None) -> DataFrame:
+    """Monthly rows with a sector, three factors and the next month's return; rets: the returns, where a caller has them."""
+    df = (ret_m(spark, sf) if rets is None else rets).withColumns({"mom": W.momentum(1, 12), "low_vol": -W.rolling(F.col("ret"), -11, 0, F.stddev_samp, 6), "size": -F.log(F.col("close") * F.col("volume"))})
     df = C.forward_price(df, 1).withColumn("fwd_ret", clip(F.col("fwd_close") / F.col("close") - 1, -0.5, 0.5))
     return df.join(fx.sector_of(spark, sf), "asset").select("date", "i", "asset", "sector", "close", "volume", "mom", "low_vol", "size", "fwd_ret")
 

@@ -64,10 +64,11 @@ def _(spark, sf):
 
 def model_matrix(spark, sf):
     """(asset, date, i, sector, fwd_ret, ...): the feature panel, the sector's regime probabilities, zero where not yet known, the
-    five factors' scores and composite, and the next month's return."""
-    factors = X.factor_scores(five_factors(spark, sf), [*FIVE], [*FIVE]).select("asset", "date", "i", "sector", "fwd_ret", "composite", *[f"{c}_z" for c in FIVE])
-    features = FT.feature_panel(technical(spark, sf), quarter_facts(spark, sf)).select("asset", "date", *COLUMNS)
-    probs = sector_regimes(spark, sf).select("sector", "date", *[F.col("probs")[j].alias(c) for j, c in enumerate(REGIMES)])
+    five factors' scores and composite, and the next month's return. Returns and facts as filed are written once for all of them."""
+    rets, filed = written(ret_m(spark, sf)), written(fx.facts(spark, sf))
+    factors = X.factor_scores(five_factors(spark, sf, rets, filed), [*FIVE], [*FIVE]).select("asset", "date", "i", "sector", "fwd_ret", "composite", *[f"{c}_z" for c in FIVE])
+    features = FT.feature_panel(technical(spark, sf, rets), quarter_facts(spark, sf, filed)).select("asset", "date", *COLUMNS)
+    probs = sector_regimes(spark, sf, rets).select("sector", "date", *[F.col("probs")[j].alias(c) for j, c in enumerate(REGIMES)])
     both = factors.join(features, ["asset", "date"], "left").join(probs, ["sector", "date"], "left")
     return both.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in REGIMES})
 
@@ -143,17 +144,17 @@ def _(spark, sf):
     return boosted(spark, sf)[2]
 
 
-def sector_rows(spark, sf):
+def sector_rows(spark, sf, rets=None):
     """(sector, i, date, ret, vol): a sector's mean return and its deviation over the last six months."""
-    rets = ret_m(spark, sf).where("ret is not null").join(fx.sector_of(spark, sf), "asset")
+    rets = (ret_m(spark, sf) if rets is None else rets).where("ret is not null").join(fx.sector_of(spark, sf), "asset")
     rows = rets.groupBy("sector", "i", "date").agg(F.avg(clip(F.col("ret"), -0.15, 0.15)).alias("ret"))
     past = Window.partitionBy("sector").orderBy("i").rowsBetween(-5, 0)
     return rows.withColumn("vol", F.when(F.count("ret").over(past) == 6, F.stddev_samp("ret").over(past)))
 
 
-def sector_regimes(spark, sf):
+def sector_regimes(spark, sf, rets=None):
     """Three regimes of each sector, fitted anew every 12 months from month 36 on what was known by then."""
-    return RG.walk_forward_regimes(sector_rows(spark, sf), ["ret", "vol"], ["sector"], 3, 36, 12)
+    return RG.walk_forward_regimes(sector_rows(spark, sf, rets), ["ret", "vol"], ["sector"], 3, 36, 12)
 
 
 @query("m09_regime_labels")
@@ -240,17 +241,17 @@ VALUED = ("trailing_pe", "peg_ratio", "log_market_cap", "pe_rank_cs")
 COLUMNS = [*FT.STOCK, *FT.MARKET, "sector_vol_pctile", "ipo_age_days", *FT.FILED, *VALUED]
 
 
-def quarter_facts(spark, sf):
-    both = fx.facts(spark, sf).select("asset", F.col("filed").alias("date"), "sales", "gross").join(fx.eps(spark, sf).withColumnRenamed("ann_date", "date"), ["asset", "date"])
+def quarter_facts(spark, sf, filed=None):
+    both = (fx.facts(spark, sf) if filed is None else filed).select("asset", F.col("filed").alias("date"), "sales", "gross").join(fx.eps(spark, sf).withColumnRenamed("ann_date", "date"), ["asset", "date"])
     return both.select("asset", "date", "eps", "sales", "gross")
 
 
-def stock_panel(spark, sf):
-    return written(ret_m(spark, sf).join(fx.sector_of(spark, sf), "asset"))
+def stock_panel(spark, sf, rets=None):
+    return written((ret_m(spark, sf) if rets is None else rets).join(fx.sector_of(spark, sf), "asset"))
 
 
-def technical(spark, sf):
-    return FT.technical_features(stock_panel(spark, sf))
+def technical(spark, sf, rets=None):
+    return FT.technical_features(stock_panel(spark, sf, rets))
 
 
 def feature_query(name: str, columns: list[str], source: str, build) -> None:
@@ -477,11 +478,11 @@ for key, ratios, out in (("x05_value_factor", VALUE, "value"), ("x06_quality_fac
 FIVE = ("value", "quality", "mom", "low_vol", "size")
 
 
-def five_factors(spark, sf):
+def five_factors(spark, sf, rets=None, filed=None):
     """Scores beside value and quality, over one panel: facts as filed are joined to the rows that have the other factors."""
-    panel = written(scores(spark, sf))
+    panel = written(scores(spark, sf, rets))
     left = panel.withColumn("mcap", F.col("close") * F.col("volume"))
-    both = J.asof_join(left, fx.facts(spark, sf).withColumnRenamed("filed", "date"), ["asset"], "date", [*fx.FACTS])
+    both = J.asof_join(left, (fx.facts(spark, sf) if filed is None else filed).withColumnRenamed("filed", "date"), ["asset"], "date", [*fx.FACTS])
     both = X.mean_of_zscores(X.mean_of_zscores(with_ratios(both, VALUE | QUALITY), [*VALUE], "value"), [*QUALITY], "quality")
     return written(both.select(*panel.columns, "value", "quality"))
 
