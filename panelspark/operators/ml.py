@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.boosting import boost, predicted
+from panelspark.operators.boosting import boost_each, predicted
 from panelspark.operators.clean import segment
 from panelspark.operators.stats import gram, solve
 from panelspark.operators.xsection import rank_ic
@@ -112,10 +111,6 @@ def ridge_predictions(panel: DataFrame, features: list[str], target: str, min_tr
     return linear_predictions(panel, best.drop("alpha"), features).join(alpha, "i")
 
 
-#: Boosted fits that run side by side.
-FITS = 4
-
-
 def boosted_predictions(
     panel: DataFrame, features: list[str], target: str, first: int, every: int, embargo: int, depth: int = 3, rounds: int = 300, step: float = 0.03, sample: float = 0.8, least: int = 50
 ) -> tuple[DataFrame, DataFrame]:
@@ -124,30 +119,29 @@ def boosted_predictions(
     predicts the months i to i + every - 1; n_train and last_train, the last month learned from, say what it saw.
 
     Null features become 0 with an indicator beside them. The last tenth of the training months is held back, and rounds
-    end when its error rises. Rows are binned once a fold; a pass over them returns sums by bin (see `boosting`), and up to
-    FITS folds are submitted side by side, so their small jobs share the cluster. The number of fits is that of the folds, whatever
-    the panel's size. Folds without training rows, or without held-back ones, give none. panel is read anew by each fold.
+    end when its error rises. The panel is read twice for all folds together; then a pass over a fold's binned rows returns sums by bin (see
+    `boosting`), and several folds are submitted side by side, so their small jobs share the cluster. The number of fits is that of the
+    folds, whatever the panel's size. Folds without training rows, or without held-back ones, give none.
     """
     session = panel.sparkSession
     rows = panel.select("i", "date", "asset", F.col(target).cast("double").alias("fwd_ret"), *[F.col(f).cast("double").alias(f) for f in features])
     names = [*features, *[f"{f}_null" for f in features]]
-    last = rows.agg(F.max("i")).first()[0]  # the number of months, which bounds the fits
-
-    def fit(fold: int) -> tuple[DataFrame, list] | None:
+    months = {r.i: r.n for r in rows.groupBy("i").agg(F.count("fwd_ret").alias("n")).collect()}  # a row a month
+    folds, spans = [], []
+    for fold in range(first, max(months) + 1, every) if months else []:
         end = fold - embargo
-        key = F.xxhash64("date", "asset").bitwiseAND(0xFFFFFFFF)
-        train = rows.where((F.col("i") < end) & F.col("fwd_ret").isNotNull()).withColumns({"valid": F.col("i") >= 0.9 * end, "key": key})
-        seen = train.agg(F.count(F.lit(1)), F.sum(F.col("valid").cast("int")), F.max("i")).first()
-        if not seen[1] or seen[0] == seen[1]:
-            return None
-        cuts, trees, weights = boost(train, features, "fwd_ret", depth, rounds, step, sample, least, 7)
+        past, middle = [i for i, n in months.items() if i < end and n], int(np.ceil(0.9 * end))
+        if past and min(past) < middle <= max(past):
+            folds.append((fold, sum(months[i] for i in past), max(past)))
+            spans.append((middle, end))
+    known = rows.where(F.col("fwd_ret").isNotNull()).withColumn("key", F.xxhash64("date", "asset").bitwiseAND(0xFFFFFFFF))
+    fits = boost_each(known, features, "fwd_ret", spans, depth, rounds, step, sample, least, 7) if spans else []
+    found = []
+    for (fold, n, seen), (cuts, trees, weights) in zip(folds, fits, strict=True):
         now = rows.where((F.col("i") >= fold) & (F.col("i") < fold + every))
         one = predicted(now, features, cuts, trees, ["date", "asset", "fwd_ret"])
-        one = one.select(F.lit(fold).alias("fold"), "date", "asset", "fwd_ret", "pred", F.lit(seen[0]).alias("n_train"), F.lit(seen[2]).alias("last_train"))
-        return one, [(fold, n, float(v)) for n, v in zip(names, weights, strict=True)]
-
-    with ThreadPoolExecutor(FITS) as pool:
-        found = [f for f in pool.map(fit, [] if last is None else range(first, last + 1, every)) if f]
+        one = one.select(F.lit(fold).alias("fold"), "date", "asset", "fwd_ret", "pred", F.lit(n).alias("n_train"), F.lit(seen).alias("last_train"))
+        found.append((one, [(fold, name, float(v)) for name, v in zip(names, weights, strict=True)]))
     weights = session.createDataFrame([w for _, each in found for w in each], "fold int, feature string, importance double")
     schema = f"fold int, date {panel.schema['date'].dataType.simpleString()}, asset {panel.schema['asset'].dataType.simpleString()}, fwd_ret double, pred double, n_train long, last_train long"
     preds = reduce(DataFrame.union, [one for one, _ in found]) if found else session.createDataFrame([], schema)
