@@ -46,9 +46,9 @@ def technical_features(panel: DataFrame, n: dict[str, int] = MONTHLY) -> DataFra
     of the row before. panel: dense (asset, sector, date, i, close, volume, ret)."""
     whole = W.frame(Window.unboundedPreceding, 0)
     df = panel.join(sector_state(panel, n), ["sector", "date"]).join(market_state(panel, n), "date")
-    fit = W.rolling_ols("ret", "sec", n["fit"], n["year"])
+    df = W.with_rolling_ols(df, "ret", "sec", n["fit"], n["year"]).withColumnRenamed("resid", "_e").drop("alpha")
     volume = F.greatest(F.last("volume", ignorenulls=True).over(whole), F.lit(1.0))
-    df = df.withColumns({"_e": fit["resid"], "beta": fit["beta"], "_x": F.col("ret") - F.col("sec"), "_vol": volume, "_cum": F.when(F.col("ret").isNotNull(), F.exp(F.sum("ret").over(whole)))})
+    df = df.withColumns({"_x": F.col("ret") - F.col("sec"), "_vol": volume, "_cum": F.when(F.col("ret").isNotNull(), F.exp(F.sum("ret").over(whole)))})
     df = written(df.withColumn("_lv", F.log("_vol")))
     df = df.withColumn("_dv", F.col("_lv") - W.lag("_lv", 1))
     total = lambda c, k: W.rolling(F.col(c), -n[k] + 1, 0, F.sum)

@@ -101,6 +101,18 @@ def rolling_ols(y: str, x: str, n: int, least: int) -> dict[str, Column]:
     return {"alpha": alpha, "beta": beta, "resid": F.col(y) - alpha - beta * F.col(x)}
 
 
+def with_rolling_ols(df: DataFrame, y: str, x: str, n: int, least: int) -> DataFrame:
+    """df with alpha, beta and resid of rolling_ols. Each sum over the rows is a column that the three share: Spark would evaluate it again
+    for each expression that names it."""
+    w = frame(-n, -1)
+    of_x, of_y = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    sums = {"_n": F.count(of_x), "_var": F.var_samp(of_x), "_cov": F.covar_samp(y, x), "_mx": F.avg(of_x), "_my": F.avg(of_y)}
+    both = df.withColumns({c: v.over(w) for c, v in sums.items()})
+    both = both.withColumn("beta", F.when((F.col("_n") >= least) & (F.col("_var") > 1e-12), F.col("_cov") / F.col("_var")))
+    both = both.withColumn("alpha", F.col("_my") - F.col("beta") * F.col("_mx"))
+    return both.withColumn("resid", F.col(y) - F.col("alpha") - F.col("beta") * F.col(x)).drop(*sums)
+
+
 def forward_sum(c: Column, h: int) -> Column:
     """Sum of the next h rows, all of them known."""
     return rolling(c, 1, h, F.sum)
